@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, quality_rules, simhash
 
 QUERIES = {
+    "op3_packing": packing.op3_packing,
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
 }
 
