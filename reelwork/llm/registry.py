@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, simhash
+from . import decontamination, packing, quality_rules, simhash
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
+    "op4_decontamination": decontamination.op4_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_decontamination": decontamination.OP4_SQL,
+}
