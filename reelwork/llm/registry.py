@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality_rules, simhash
+from . import decontamination, packing, pii, quality_rules, simhash
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op7_surrogates": pii.op7_surrogates,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
 }
