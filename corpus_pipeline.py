@@ -1,10 +1,22 @@
-"""From raw documents to packed training sequences, in stages that each stand on their own."""
+"""From raw documents to packed training sequences, in stages that each stand on their own.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and, but for the last, returns
+the columns of docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reelwork.llm import decontamination, packing, pii, quality_rules, simhash
+from reelwork.llm.common import table
+
 
-from reelwork.llm import simhash
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the isolation forest reject go."""
+    forest = quality_rules.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_rules.passing(docs, forest)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +24,37 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.deduplicated(docs)
 
 
-STAGES = [("near_copies", drop_near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a fifth of its words substituted, go."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Entities in the texts get surrogates; n_chars, where there is one, follows the new text."""
+    out = pii.pseudonymised(docs).drop("_spans")
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their token ids, sequence and place in it."""
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("quality_rules", keep_quality),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("surrogates", replace_personal_data),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, step in STAGES:
         docs = step(spark, docs, sf_dir)
     return docs
 
 
+#: Isolation forests, hashes and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

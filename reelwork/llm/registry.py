@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, quality_rules, simhash
+from . import decontamination, packing, pii, quality_rules, sharding, simhash, warc
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op6_transactions": warc.op6_transactions,
     "op7_surrogates": pii.op7_surrogates,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_simhash": simhash.op9_simhash,
+    "op10_resharding": sharding.op10_resharding,
 }
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontamination.OP4_SQL,
+    "op6_transactions": warc.OP6_SQL,
 }
