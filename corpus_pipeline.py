@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelwork.llm import decontamination, packing, pii, quality_rules, simhash
-from reelwork.llm.common import table
+from reelwork.llm.common import stage, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +50,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. Each result but the last is written to the shared folder, as
+    the next stage reads it more than once."""
     docs = table(spark, sf_dir, "documents")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = stage(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 #: Isolation forests, hashes and tokenizers are beyond SQL; tests hold the stages against brute force.
