@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, pii, quality_rules, sharding, simhash, warc
+from . import attribution, decontamination, licenses, packing, pii, quality_rules, sharding, simhash, warc
 
 QUERIES = {
+    "op2_attribution": attribution.op2_attribution,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_licenses": licenses.op5_licenses,
     "op6_transactions": warc.op6_transactions,
     "op7_surrogates": pii.op7_surrogates,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -16,5 +18,6 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op4_decontamination": decontamination.OP4_SQL,
+    "op5_licenses": licenses.OP5_SQL,
     "op6_transactions": warc.OP6_SQL,
 }
