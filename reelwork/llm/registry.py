@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import attribution, decontamination, licenses, packing, pii, quality_rules, sharding, simhash, warc
+from . import attribution, decontamination, licenses, packing, pii, quality_classifier, quality_rules, sharding, simhash, warc
 
 QUERIES = {
+    "op1_quality": quality_classifier.op1_quality,
     "op2_attribution": attribution.op2_attribution,
     "op3_packing": packing.op3_packing,
     "op4_decontamination": decontamination.op4_decontamination,
