@@ -67,14 +67,27 @@ class Model:
         return self.indicators(texts) @ self.weights + self.bias
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> np.ndarray:
-    """Weights, the bias last, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))]).astype(np.float64)
-    w, ridge = np.zeros(x.shape[1]), np.full(x.shape[1], penalty)
+def _logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float = 1.0, steps: int = 25, chunk: int = 2000) -> np.ndarray:
+    """Weights, the bias last, by Newton's method over rows that are given by the places of their
+    ones; only a chunk of them is ever dense."""
+
+    def dense(at: int) -> np.ndarray:
+        part = rows[at : at + chunk]
+        x = np.zeros((len(part), width + 1))
+        x[np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part)] = 1
+        x[:, -1] = 1
+        return x
+
+    w, ridge = np.zeros(width + 1), np.full(width + 1, penalty)
     ridge[-1] = 1e-3
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
+        hessian, slope = np.diag(ridge), -ridge * w
+        for at in range(0, len(rows), chunk):
+            x = dense(at)
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            hessian = hessian + (x * (p * (1 - p))[:, None]).T @ x
+            slope = slope + x.T @ (y[at : at + chunk] - p)
+        step = np.linalg.solve(hessian, slope)
         w += step
         if np.abs(step).max() < 1e-6:
             break
@@ -116,14 +129,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED)
 
     def each_row(batches):
         for b in batches:
-            x = model.indicators(_bytes(b.column(1)))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["good", "x"])
-
-    got = own.mapInArrow(each_row, "good int, x array<float>").toPandas()  # at most 2 x most_labelled rows
-    x, y = np.stack(got["x"].to_list()), got["good"].to_numpy().astype(float)
-    order = np.lexsort(np.column_stack([y, x[:, -24:]]).T)
-    w = _logistic(x[order], y[order])
+            ones = [np.flatnonzero(x).astype(np.int16) for x in model.indicators(_bytes(b.column(1)))]
+            ends = np.append(0, np.cumsum([len(o) for o in ones])).astype(np.int32)
+            flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ones, np.zeros(0, np.int16)])))
+            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["good", "ones"])
+
+    got = own.mapInArrow(each_row, "good int, ones array<short>").toPandas()  # at most 2 x most_labelled rows
+    rows = [np.asarray(o, dtype=np.int16) for o in got["ones"]]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), got["good"].iloc[i]))
+    w = _logistic([rows[i] for i in order], got["good"].to_numpy()[order].astype(float), len(words) + sum(map(len, CUTS.values())))
     return Model(words, w[:-1], float(w[-1] - np.log(share / (1 - share))), float(share))
 
 
