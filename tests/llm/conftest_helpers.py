@@ -1,0 +1,2 @@
+def table_rows(df):
+    return [r.asDict() for r in df.collect()]
