@@ -27,7 +27,7 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Titles with the gender that they tell (u: neither), and the script of the names that follow.
 TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "u", "Prof": "u", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f",
-    "Señor": "m", "Señora": "f", "Don": "m", "Doña": "f", "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f",
+    "Señor": "m", "Señora": "f", "господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f",
 }
 FIRST_NAMES = {
     ("latin", "m"): "James John Robert Michael William David Thomas Charles Daniel Matthew Peter Paul Hans Karl Jean Pierre Louis Carlos Juan Miguel Jorge Antonio".split(),
@@ -41,7 +41,7 @@ _SYLLABLES = {
 }
 _ENDINGS = {"latin": ["ton", "ner", "ley", "son", "ert", "in"], "cyrillic": ["нов", "рин", "лев", "сов"]}
 
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ](?:['’]?[A-ZÀ-ÖØ-ÞА-ЯЁ])?[a-zß-öø-ÿа-яё]+"
+_NAME = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ](?:['’]?[A-ZÀ-ÖØ-ÞА-ЯЁ])?[a-zß-öø-ÿа-яё]+|[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,}(?!\w))"
 #: Kind, what a text must hold for its pattern to be tried, pattern; earlier ones win overlaps.
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")),

@@ -1,0 +1,136 @@
+import gzip
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given
+from hypothesis import strategies as st
+
+from reelwork.llm import pii, sharding, warc
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    big = "<html>" + "x" * 2000 + "</html>\r\n\r\nWARC/1.1\r\n"
+    rows = [(1, "http://a.example/x?q=1", big), (2, "http://b.example", big), (9, "https://c.example/é\r\nEvil: 1", big), (3, None, None), (4, "u", ""), (5, "http://d.example/s", "small"), (6, "http://d.example/s", "small"), (7, "http://d.example/s", "ü" * 700), (7, "http://d.example/s", "ü" * 700), (None, "http://n.example/", big)]
+    return spark.createDataFrame([(*r, "k", 1) for r in rows], "page_id long, url string, html string, kind string, value int")
+
+
+def test_captures_round_trip(spark, pages, tmp_path):
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(pages, path)
+    rows = warc.captures(spark, path).collect()
+    assert len(rows) == 10
+    kinds = {r["metadata"]["page_id"]: r["response"]["type"] for r in rows}
+    assert kinds == {1: "revisit", 2: "revisit", 9: "response", 3: "response", 4: "response", 5: "response", 6: "response", 7: "response", None: "response"}
+    html = {r["page_id"]: (r["html"] or "").encode() for r in pages.collect()}
+    ids = {r["capture_id"]: r["metadata"]["page_id"] for r in rows}
+    for r in rows:
+        page = r["metadata"]["page_id"]
+        assert r["response"]["http_length"] == len(html[page]) and r["response"]["digest"] == "sha1:" + hashlib.sha1(html[page]).hexdigest()
+        assert r["request"]["http"].startswith("GET /")
+        if r["response"]["type"] == "revisit":
+            assert ids[r["response"]["refers_to"]] == 9 and r["response"]["payload"] is None
+        else:
+            assert bytes(r["response"]["payload"]) == html[page]
+
+
+def test_reader_takes_members_and_stops_at_a_break():
+    one = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [b for _, b in warc.parse_records(gzip.compress(one) + gzip.compress(one))] == [b"abc"] * 2
+    assert [b for _, b in warc.parse_records(one + one[:-9])] == [b"abc"]
+
+
+def test_no_pages(spark, pages, tmp_path):
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+
+
+@given(st.integers(2, 5000), st.integers(0, 10**6))
+def test_permutation_is_one_to_one(n, tweak):
+    sample = range(n) if n < 300 else range(300)
+    got = [pii.permute(v, n, b"k", str(tweak)) for v in sample]
+    assert len(set(got)) == len(got) and all(0 <= g < n for g in got)
+
+
+def test_surrogates_keep_type_and_coreference():
+    text = 'Mr. John Smith and Mrs SMITH-Jones; a.B7@x1.org A.b7@X1.ORG; 4111 1111 1111 1111; +1 (171) 555-2028; 10.0.0.1; 123-45-6789; token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"; г-жа Анна Петрова'
+    new, spans = pii.replaced(text, b"key")
+    assert [k for _, _, k in spans] == ["person:m", "person:f", "email", "email", "card", "phone", "ip", "ssn", "secret", "person:f"]
+    for a, z, kind in spans:
+        assert text[a:z] not in new
+    found = pii.find(new)
+    assert [k for _, _, k in found] == [k for _, _, k in spans]
+    values = [new[a:z] for a, z, _ in found]
+    assert values[2] == values[3].lower() and pii._luhn(pii._digits(values[4])) == 0
+    first = values[0].split()[0].lower()
+    assert first in [n.lower() for n in pii.FIRST_NAMES["latin", "m"]] and values[-1].split()[0] in pii.FIRST_NAMES["cyrillic", "f"]
+    assert pii.replaced(text, b"key")[0] == new != pii.replaced(text, b"other")[0]
+    clean = "Version 2.0 of 12 apples cost 3.50; see section 4.1.2, mail @home, Dr. who"
+    assert pii.replaced(clean, b"key") == (clean, [])
+
+
+def test_collisions_are_resolved(spark, monkeypatch):
+    monkeypatch.setitem(pii._SYLLABLES, "latin", ["ba", "be", "bo"])
+    monkeypatch.setitem(pii._ENDINGS, "latin", ["ton"])
+    pii.surrogate.cache_clear()
+    real = pii.surrogate
+    names = [(f"last:latin", f"name{i}") for i in range(18)]
+    df = spark.createDataFrame(names, "kind string, canon string")
+    got = pii.assign(df, b"few").collect()  # 27 surnames for 18 people
+    pii.surrogate.cache_clear()
+    assert real is pii.surrogate and len(got) == 18
+    new = Counter(r["new"] for r in got)
+    assert max(new.values()) == 1 and all(r["new"] != r["canon"] for r in got)
+
+
+def test_pseudonymised_rows(docs, spark, empty):
+    extra = spark.createDataFrame([(100, "call +1 (171) 555-2028 or Mr John Nobody"), (100, "Mr John Nobody"), (None, "a@b.cd")], "doc_id long, text string")
+    df = docs.select("doc_id", "text", "path").unionByName(extra, allowMissingColumns=True)
+    out = pii.pseudonymised(df)
+    assert out.columns == [*df.columns, "_spans"] and out.count() == df.count()
+    rows = {(r["doc_id"], len(r["_spans"])): r["text"] for r in out.where("doc_id = 100").collect()}
+    assert rows[100, 2].split("Mr ")[1] == rows[100, 1].split("Mr ")[1]
+    same = out.where("size(_spans) = 0").select("doc_id", "text")
+    assert same.exceptAll(df.select("doc_id", "text")).count() == 0 and pii.pseudonymised(empty).count() == 0
+
+
+def test_attempts_reach_the_texts(spark, monkeypatch):
+    real = pii.assign
+    monkeypatch.setattr(pii, "assign", lambda found, key: real(found, key).selectExpr("kind", "canon", "1 as attempt", "new"))
+    df = spark.createDataFrame([(1, "Mr Smith"), (None, "Mr Smith"), (2, "none")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(df).collect()}
+    want = "Mr " + pii.surrogate("last:latin", "smith", 1, pii.KEY).capitalize()
+    assert got == {1: want, None: want, 2: "none"}
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 6))
+def test_flow_moves_the_fewest_bytes(have, m):
+    room = sharding.even(sum(have), m)
+    flow = sharding.transfers(have, room)
+    assert [sum(r) for r in flow] == have and all(sum(r[j] for r in flow) <= room[j] for j in range(m))
+    stays = sum(min(have[i], room[i]) for i in range(min(len(have), m)))
+    assert sum(flow[i][i] for i in range(min(len(have), m))) == stays
+
+
+def test_resharding(docs, empty, spark, tmp_path):
+    layout = sharding.resharded(docs, shards=5, old_shards=3)
+    rows = layout.rows.collect()
+    assert sum(r["copies"] for r in rows) == docs.count()
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]] += range(r["slot"], r["slot"] + r["copies"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    files = sharding.rewritten(docs, layout, f"file://{tmp_path}/s").collect()
+    assert Counter((r["doc_id"], r["_shard"]) for r in files) == Counter({(r["doc_id"], r["shard"]): 0 for r in rows} | {}) + sum((Counter({(r["doc_id"], r["shard"]): r["copies"]}) for r in rows if r["shard"] != r["old_shard"]), Counter())
+    assert all(r["_slot"] in slots[r["_shard"]] for r in files)
+    assert sharding.resharded(empty).rows.count() == 0
+
+
+def test_near_equal_bytes_and_sizes(spark):
+    d = "/root/testdata/sf0.001"
+    got, text = sharding.op10_resharding(spark, d).collect(), {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    assert all(r["size"] == len(text[r["doc_id"]]) + 8 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]]) for r in got)
+    sizes = np.bincount([r["shard"] for r in got], [r["size"] for r in got], 24)
+    assert len(got) == len(text) and sizes.max() - sizes.min() <= max(len(t) for t in text.values()) + 8
