@@ -285,7 +285,7 @@ def detected(spark, d):
     return detect.detect_frames(frames, _corners, 0.5, 0.3).withColumn("score", F.round("score", 4)).select("frame_id", "class_id", "score", "x", "y", "w", "h")
 
 
-DETECTED = """select frame_id, cast(list_position([r, g, b], greatest(r, g, b)) - 1 as integer) as class_id, round(greatest(r, g, b), 4) as score, 3.0 as x, 3.0 as y, 2.0 as w, 2.0 as h
+DETECTED = """select frame_id, cast(list_position([r, g, b], greatest(r, g, b)) - 1 as integer) as class_id, round(greatest(r, g, b), 4) as score, cast(3 as double) as x, cast(3 as double) as y, cast(2 as double) as w, cast(2 as double) as h
     from (select frame_id, round(sum(r) / 255 / 64, 4) as r, round(sum(g) / 255 / 64, 4) as g, round(sum(b) / 255 / 64, 4) as b from pixels group by frame_id) where greatest(r, g, b) >= 0.5"""
 
 
