@@ -3,9 +3,10 @@
 Detected entities are replaced by values of the same type and format that depend on a secret key
 and the entity alone, so that one entity gets one surrogate in every document without any table.
 Numbers, secrets and the parts of addresses go through a keyed permutation of all values of their
-format, which cannot collide. Names (drawn by gender and script) and addresses whose top-level
-domains fall together can; a job over the distinct entities finds such collisions and gives the
-later entity its next surrogate until all are distinct.
+format, which leaves none in its place. Names (drawn by gender and script), addresses whose top-level
+domains fall together and secrets of symbols alone can still collide or stay as they are; a job over
+the distinct entities finds these and gives the later entity its next surrogate, a longer one each
+time, until all are distinct.
 """
 
 from __future__ import annotations
@@ -103,13 +104,22 @@ def _round(key: bytes, tweak: bytes, r: int, half: int, bits: int) -> int:
 
 
 def permute(value: int, n: int, key: bytes, tweak: str) -> int:
-    """A permutation of 0 .. n - 1 that depends on the key and the tweak: a Feistel network over
-    the next even number of bits, walked until it is below n."""
+    """A permutation of 0 .. n - 1 that depends on the key and the tweak and, if n > 1, maps no
+    value to itself: all values in one cycle, in the order of a Feistel network over the next even
+    number of bits, which is walked until it is below n."""
     if n < 2:
         return value
     bits = max(1, ((n - 1).bit_length() + 1) // 2)
     low = (1 << bits) - 1
     t = tweak.encode()
+    while True:
+        a, b = value >> bits, value & low
+        for r in reversed(range(8)):
+            a, b = b ^ _round(key, t, r, a, bits), a
+        value = (a << bits) | b
+        if value < n:
+            break
+    value = (value + 1) % n
     while True:
         a, b = value >> bits, value & low
         for r in range(8):
@@ -181,14 +191,27 @@ def parts(kind: str, value: str) -> list[tuple[str, str]]:
     return [("secret", value)]
 
 
+def _spoken(n: int, syllables: list[str], count: int) -> tuple[str, int]:
+    """So many syllables by the digits of a number, and what is left of it."""
+    out = ""
+    for _ in range(count):
+        n, i = divmod(n, len(syllables))
+        out += syllables[i]
+    return out, n
+
+
 @lru_cache(maxsize=100_000)
 def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
-    """The canonical form of an entity's surrogate. Each attempt gives another one."""
+    """The canonical form of an entity's surrogate. Each attempt gives another one; of names,
+    addresses and secrets it gets longer without bound."""
     tweak = f"{kind}|{attempt}"
+    drawn = int.from_bytes(blake2b(f"{tweak}|{canon}".encode(), key=key[:64]).digest(), "big")
     if kind == "email":
         local, _, domain = canon.partition("@")
         labels = [reshape(x, key, "domain") for x in domain.split(".")[:-1]]
-        return f"{reshape(local, key, tweak)}@{'.'.join([*labels, 'example'])}"
+        suffix = _spoken(drawn, _SYLLABLES["latin"], attempt)[0]
+        # A local part stays within its 64 characters.
+        return f"{reshape(local, key, tweak)[:max(0, 64 - len(suffix))]}{suffix}@{'.'.join([*labels, 'example'])}"
     if kind == "ip":
         a, b, c, d = map(int, canon.split("."))
         n = permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 32, key, tweak)
@@ -203,17 +226,13 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
     if kind == "ssn":
         return reshape(canon, key, tweak)
     if kind == "secret":
-        return reshape(canon, key, tweak, hexadecimal=re.fullmatch("[0-9a-f]+", canon) is not None)
+        return reshape(canon, key, tweak, hexadecimal=re.fullmatch("[0-9a-f]+", canon) is not None) + _spoken(drawn, _SYLLABLES["latin"], attempt)[0]
     _, script, *gender = kind.split(":")
     names = [x.lower() for x in FIRST_NAMES.get((script, gender[0]), ())] if gender else []
     if canon in names and not attempt:
         return names[permute(names.index(canon), len(names), key, kind)]
     syllables, endings = _SYLLABLES[script], _ENDINGS[script]
-    n = int.from_bytes(blake2b(f"{tweak}|{canon}".encode(), key=key[:64]).digest(), "big")
-    out = ""
-    for _ in range(2 + bool(not gender)):
-        n, i = divmod(n, len(syllables))
-        out += syllables[i]
+    out, n = _spoken(drawn, syllables, 2 + (not gender) + attempt)
     return out + (endings[n % len(endings)] if not gender else "")
 
 
@@ -279,7 +298,11 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, canon, attempt, new) for each distinct entity of ``found`` (kind, canon): new is its
     surrogate, and no two entities of a kind share one. Of those that would, the one with the
     lower canonical form keeps it and the others take their next attempt, as does an entity whose
-    surrogate would be itself."""
+    surrogate would be itself.
+
+    It ends for any number of entities: permuted formats never need a second attempt, and all others
+    get longer with each. If some were drawn for ever, all that are not would at last be shorter than
+    their draws, and then the lowest of them would keep its own."""
     now = stage(_drawn(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), key), "surrogates")
     while True:
         keeps = F.min(F.when(F.col("canon") != F.col("new"), F.col("canon"))).alias("keeps")

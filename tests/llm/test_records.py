@@ -85,6 +85,27 @@ def test_collisions_are_resolved(spark, monkeypatch):
     assert max(new.values()) == 1 and all(r["new"] != r["canon"] for r in got)
 
 
+def test_more_entities_than_short_surrogates(spark, monkeypatch):
+    written, real = [], pii.stage
+
+    def stage(df, name):
+        written.append(name)
+        assert len(written) < 60, "redraws without end"
+        return real(df, name)
+
+    monkeypatch.setattr(pii, "stage", stage)
+    rows = [("first:latin:m", f"first{i}") for i in range(2000)] + [("email", f"{c}@x.{tld}") for c in "%abcdefghijklmnopqrstuvwxyz" for tld in ("com", "org", "net")]
+    rows += [("secret", "-" * 12), ("secret", "_" * 12)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), b"many").collect()
+    assert {(r["kind"], r["canon"]) for r in got} == set(rows) and len(got) == len(rows)
+    assert len({(r["kind"], r["new"]) for r in got}) == len(rows) and all(r["new"] != r["canon"] for r in got)
+
+
+@pytest.mark.parametrize("n", [2, 3, 10, 100, 1000])
+def test_permutation_leaves_none_in_its_place(n):
+    assert all(pii.permute(v, n, b"k", t) != v for v in range(n) for t in ("a", "b"))
+
+
 def test_pseudonymised_rows(docs, spark, empty):
     extra = spark.createDataFrame([(100, "call +1 (171) 555-2028 or Mr John Nobody"), (100, "Mr John Nobody"), (None, "a@b.cd")], "doc_id long, text string")
     df = docs.select("doc_id", "text", "path").unionByName(extra, allowMissingColumns=True)
