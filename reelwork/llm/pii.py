@@ -15,6 +15,7 @@ import re
 from bisect import bisect_right
 from functools import lru_cache
 from hashlib import blake2b
+from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,22 @@ _SYLLABLES = {
 }
 _ENDINGS = {"latin": ["ton", "ner", "ley", "son", "ert", "in"], "cyrillic": ["нов", "рин", "лев", "сов"]}
 
-_NAME = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ](?:['’]?[A-ZÀ-ÖØ-ÞА-ЯЁ])?[a-zß-öø-ÿа-яё]+|[A-ZÀ-ÖØ-ÞА-ЯЁ]{2,}(?!\w))"
+
+def _class(*categories: str) -> str:
+    """The characters of the basic plane with these Unicode categories, as the inside of a set."""
+    chars = [i for i in range(0x10000) if category(chr(i)) in categories]
+    starts = [c for k, c in enumerate(chars) if not k or chars[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(chars) if k + 1 == len(chars) or chars[k + 1] != c + 1]
+    return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in zip(starts, ends, strict=True))
+
+
+#: Letters of any script, with the marks that are written after them; those that can begin a name.
+_LETTER = f"[{_class('Lu', 'Ll', 'Lt', 'Lm', 'Lo', 'Mn', 'Mc')}]"
+_CAPITAL = f"[{_class('Lu', 'Lt', 'Lo')}]"
+#: Two letters at least, up to the word's end; an apostrophe may stand inside, but ends before 's.
+_NAME = rf"(?:{_CAPITAL}(?:{_LETTER}|['’](?!(?:s|d|m|ll|re|ve)(?!{_LETTER}))(?={_LETTER}))+(?!{_LETTER}))"
+#: What may stand before or between names and stays as it is: initials and particles.
+_BETWEEN = rf"(?:(?:{_CAPITAL}\.[ -]?|{_CAPITAL}[ -]|(?:van|von|der|den|de|la|le|du|di|da|del|della|dos|bin|al|ten|ter|zu|y)[ -]){{1,4}})?"
 #: Kind, what a text must hold for its pattern to be tried, pattern; earlier ones win overlaps.
 PATTERNS = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")),
@@ -56,7 +72,14 @@ PATTERNS = [
 ]
 _DIGIT = re.compile(r"[0-9]{2}")
 _SECRET_WORD = re.compile(r"(?i)token|secret|passw|api[_-]?key|access[_-]?key")
-_PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})(\.? )({_NAME}(?:[ -]{_NAME}){{0,2}})")
+_PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, TITLES), key=len, reverse=True))})(\.? ){_BETWEEN}({_NAME}(?:[ -]{_BETWEEN}{_NAME}){{0,2}})")
+#: A known first name and what follows it, without a title.
+_GENDERS = {n: gender for (_, gender), names in FIRST_NAMES.items() for name in names for n in (name, name.upper())}
+_FIRSTS = "".join(sorted({n[0] for n in _GENDERS}))
+_RESTS = "|".join(f"(?<={c})(?:{'|'.join(sorted((n[1:] for n in _GENDERS if n[0] == c), key=len, reverse=True))})" for c in _FIRSTS)
+# A set comes first, as the search then skips all other characters.
+_UNTITLED = re.compile(rf"([{_FIRSTS}](?<!\w[{_FIRSTS}])(?:{_RESTS}))(?:[ -]{_BETWEEN}{_NAME}){{1,2}}")
+_WORD = re.compile(rf"(?<!{_LETTER}){_NAME}")
 
 #: Alphabets that a format keeps: a letter is replaced by one of its own alphabet.
 _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
@@ -65,17 +88,20 @@ _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a whole text, in order, without overlaps. For a person
-    the span is that of the names after the title; its kind is 'person:' and the gender."""
+    the span is that of the names after the title, or of a known first name and those after it; its
+    kind is 'person:' and the gender. A name of such a person that stands alone anywhere in the text
+    is found too; its kind is 'name:' and the kind of that name, where it first stands."""
     digits, secret = _DIGIT.search(text) is not None, None
     spans: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
-    def put(start: int, end: int, kind: str) -> None:
+    def put(start: int, end: int, kind: str) -> bool:
         at = bisect_right(taken, (start, end))
         if (at and taken[at - 1][1] > start) or (at < len(taken) and taken[at][0] < end):
-            return
+            return False
         taken.insert(at, (start, end))
         spans.append((start, end, kind))
+        return True
 
     for kind, needs, pattern in PATTERNS:
         if needs and needs not in text:
@@ -89,9 +115,22 @@ def find(text: str) -> list[tuple[int, int, str]]:
         group = 1 if pattern.groups else 0
         for m in pattern.finditer(text):
             put(*m.span(group), kind)
+    persons = []
     if any(t in text for t in TITLES):
         for m in _PERSON.finditer(text):
-            put(*m.span(3), f"person:{TITLES[m[1]]}")
+            if put(*m.span(3), kind := f"person:{TITLES[m[1]]}"):
+                persons.append((m.start(3), kind, m[3]))
+    for m in _UNTITLED.finditer(text):
+        if put(*m.span(), kind := f"person:{_GENDERS[m[1]]}"):
+            persons.append((m.start(), kind, m[0]))
+    if persons:
+        known: dict[str, str] = {}
+        for _, kind, value in sorted(persons):
+            for part, canon in parts(kind, value):
+                known.setdefault(canon, part)
+        for m in _WORD.finditer(text):
+            if part := known.get(m[0].lower()):
+                put(*m.span(), f"name:{part}")
     return sorted(spans)
 
 
@@ -185,9 +224,11 @@ def parts(kind: str, value: str) -> list[tuple[str, str]]:
     if kind in ("card", "ssn"):
         return [(kind, _digits(value))]
     if kind.startswith("person:"):
-        names = re.split("[ -]", value)
-        script = "cyrillic" if "а" <= names[0][-1] <= "я" else "latin"
+        names = _WORD.findall(value)
+        script = "cyrillic" if "\u0400" <= names[0][0] <= "\u052f" else "latin"
         return [(f"first:{script}:{kind[7:]}", n.lower()) for n in names[:-1]] + [(f"last:{script}", names[-1].lower())]
+    if kind.startswith("name:"):
+        return [(kind[5:], value.lower())]
     return [("secret", value)]
 
 
@@ -250,8 +291,10 @@ def written(kind: str, value: str, news: list[str]) -> str:
     if kind in ("card", "ssn"):
         return _like(value, news[0])
     if kind.startswith("person:"):
-        names, marks = re.split("[ -]", value), [*re.findall("[ -]", value), ""]
-        return "".join(_cased(n, old) + mark for n, old, mark in zip(news, names, marks, strict=True))
+        it = iter(news)
+        return _WORD.sub(lambda m: _cased(next(it), m[0]), value)
+    if kind.startswith("name:"):
+        return _cased(news[0], value)
     return news[0]
 
 

@@ -71,6 +71,19 @@ def test_surrogates_keep_type_and_coreference():
     assert pii.replaced(clean, b"key") == (clean, [])
 
 
+def test_names_of_any_alphabet_and_without_titles():
+    text = "Smith rang. Mr John Smith called; SMITH's son, Smithson, and J. Smith said John left. Anna Nowak-Łoś and Mr Kovačević, Mr Łukasz, Mr. J. R. McDonald, Frau von Ölçer, г-н ПЕТРОВ. Петров met Ms O'Brien; Kovačević and O'Brien's"
+    new, spans = pii.replaced(text, b"key")
+    assert [text[a:z] for a, z, _ in spans] == ["Smith", "John Smith", "SMITH", "Smith", "John", "Anna Nowak-Łoś", "Kovačević", "Łukasz", "McDonald", "Ölçer", "ПЕТРОВ", "Петров", "O'Brien", "Kovačević", "O'Brien"]
+    for gone in ("Smith ", "Smith,", "SMITH", "John", "Nowak", "čević", "Łukasz", "Donald", "Ölçer", "етров", "ЕТРОВ", "Brien"):
+        assert gone not in new
+    last = pii.surrogate("last:latin", "smith", 0, b"key")
+    assert new.lower().count(last) == 4 and new.startswith(last.capitalize()) and f"{last.upper()}'s son, Smithson" in new
+    assert pii.surrogate("last:cyrillic", "петров", 0, b"key").upper() in new
+    clean = "Smith, Paul and the Paul of 1990; Maria went, Version Two"
+    assert pii.replaced(clean, b"key") == (clean, [])
+
+
 def test_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setitem(pii._SYLLABLES, "latin", ["ba", "be", "bo"])
     monkeypatch.setitem(pii._ENDINGS, "latin", ["ton"])
