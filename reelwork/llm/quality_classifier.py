@@ -10,6 +10,7 @@ that document, and its evidence give its posterior.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,8 @@ CUTS = {
 MOST_WORDS = 512
 MOST_LABELLED = 20_000
 LEAST_DOCUMENTS = 8
+#: Texts that are split into words, or made into indicators, at a time.
+SLICE = 200
 _PLAIN = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -94,47 +97,57 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, width: int, penalty: float
     return w
 
 
-def _bytes(column: pa.Array) -> list[bytes | None]:
-    return pc.cast(column, pa.binary()).to_pylist()
+def _slices(batches: Iterable[pa.RecordBatch], text: int) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Short slices of Arrow batches and their texts as bytes: what is made of them is never large."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            part = b.slice(at, SLICE)
+            yield part, pc.cast(part.column(text), pa.binary()).to_pylist()
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
     """A model of the good documents: quality 1 and not toxic.
 
-    It is fitted on the labelled doc_ids with the lowest hashes, at most most_labelled. Rows with a
-    null id or quality aren't used; of several labels of one document the worse counts. Without
-    labelled documents the model gives no evidence.
+    It is fitted on the labelled doc_ids with the lowest hashes, at most most_labelled, and on one
+    text of each: the least, where a doc_id repeats. Rows with a null id or quality aren't used; of
+    several labels of one document the worse counts. Without labelled documents the model gives no
+    evidence.
     """
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1)).cast("int")
     rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min(good).alias("good"))
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
-    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("good", "text")
-    own = stage(own.limit(2 * most_labelled), "labelled")
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    own = stage(own.groupBy("_id").agg(F.min("good").alias("good"), F.min("text").alias("text")).select("good", "text"), "labelled")
 
     def each_word(batches):
-        for b in batches:
-            pairs = [(w, g) for g, t in zip(b.column(0).to_pylist(), _bytes(b.column(1)), strict=True) for w in _words(t or b"")]
-            columns = list(zip(*pairs, strict=True)) or [[], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32())], names=["word", "good"])
+        for part, texts in _slices(batches, 1):
+            counts: dict[bytes, list[int]] = {}
+            for good, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                for w in _words(text or b""):
+                    seen = counts.setdefault(w, [0, 0])
+                    seen[0] += 1
+                    seen[1] += good
+            values = np.array(list(counts.values()), dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(values[:, 0]), pa.array(values[:, 1])], names=["word", "n", "g"])
 
     total = own.agg(F.count("*"), F.sum("good")).first()
     n, n_good = total[0], total[1] or 0
     if not n:
         return Model()
     share = (n_good + 1) / (n + 2)
-    seen = own.mapInArrow(each_word, "word binary, good int").groupBy("word").agg(F.count("*").alias("n"), F.sum("good").alias("g")).where(F.col("n") >= LEAST_DOCUMENTS)
+    seen = own.mapInArrow(each_word, "word binary, n long, g long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).where(F.col("n") >= LEAST_DOCUMENTS)
     apart = F.pow(F.col("g") - F.col("n") * share, F.lit(2)) / (F.col("n") * share * (1 - share))
     words = [bytes(r["word"]) for r in seen.orderBy(apart.desc(), "word").select("word").limit(MOST_WORDS).collect()]
     model = Model(words)
 
     def each_row(batches):
-        for b in batches:
-            ones = [np.flatnonzero(x).astype(np.int16) for x in model.indicators(_bytes(b.column(1)))]
+        for part, texts in _slices(batches, 1):
+            ones = [np.flatnonzero(x).astype(np.int16) for x in model.indicators(texts)]
             ends = np.append(0, np.cumsum([len(o) for o in ones])).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*ones, np.zeros(0, np.int16)])))
-            yield pa.RecordBatch.from_arrays([b.column(0), flat], names=["good", "ones"])
+            yield pa.RecordBatch.from_arrays([part.column(0), flat], names=["good", "ones"])
 
-    got = own.mapInArrow(each_row, "good int, ones array<short>").toPandas()  # at most 2 x most_labelled rows
+    got = own.mapInArrow(each_row, "good int, ones array<short>").toPandas()  # at most most_labelled rows
     rows = [np.asarray(o, dtype=np.int16) for o in got["ones"]]
     order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), got["good"].iloc[i]))
     w = _logistic([rows[i] for i in order], got["good"].to_numpy()[order].astype(float), len(words) + sum(map(len, CUTS.values())))
@@ -146,9 +159,9 @@ def evidence(docs: DataFrame, model: Model, host: str, path: str) -> DataFrame:
     known = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_WORDS words
 
     def run(batches):
-        for b in batches:
-            llr = np.clip(known.value.evidence(_bytes(b.column(3))), -30, 30)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(llr.astype(np.float64))], names=["doc_id", "host", "path", "llr"])
+        for part, texts in _slices(batches, 3):
+            llr = np.clip(known.value.evidence(texts), -30, 30)
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(llr.astype(np.float64))], names=["doc_id", "host", "path", "llr"])
 
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text(host).alias("host"), text(path).alias("path"), F.col("text").cast("string").alias("text"))
