@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session has none (tests, a single machine), a fresh temporary folder is set.
+    Where the session has none, a fresh temporary folder is set if all runs on one machine; on a
+    cluster that is an error, as machines don't see each other's folders.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="reelwork-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -47,6 +50,19 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the columns of
+    ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def small(df: DataFrame, most_rows: int) -> bool:
     """Whether a table has at most so many rows; stops counting one row beyond."""
     return df.limit(most_rows + 1).count() <= most_rows

@@ -17,10 +17,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small, stage, table
+from .common import fresh, stage, table
 from .components import components
 
 BYTES = 8
@@ -181,6 +182,14 @@ def fingerprint_components(fps: DataFrame, bits: int = 3) -> DataFrame:
     return components(_links(links, bits)).select(F.col("node").alias("fp"), "root")
 
 
+def _rooted(rows: DataFrame, first: Column, bits: int) -> DataFrame:
+    """(fp, least, root) for each distinct fingerprint of ``rows``: least is the smallest ``first``
+    among its rows, root one member of its component."""
+    nodes = stage(rows.groupBy("fp").agg(F.min(first).alias("least")), "nodes")
+    linked = fingerprint_components(nodes.select("fp"), bits).withColumnRenamed("fp", "f")
+    return nodes.join(linked, F.col("fp") == F.col("f"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs`` (doc_id, text, anything else).
 
@@ -190,27 +199,35 @@ def near_duplicates(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame
     repeated; an empty table gives an empty result; other columns are not read.
     """
     rows = stage(fingerprints(docs, width), "fingerprints")
-    nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = fingerprint_components(nodes.select("fp"), bits).withColumnRenamed("fp", "f")
-    nodes = nodes.join(linked, F.col("fp") == F.col("f"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    nodes = _rooted(rows, F.col("doc_id"), bits)
     ids = nodes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     named = nodes.join(ids, F.col("root") == F.col("r")).select(F.col("fp").alias("f"), "component_id")
     return rows.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (of rows that repeat
-    that doc_id, the one with the least text). Rows without a doc_id stay only where they have
-    no partner with one; then the rows are all of one component and one of them stays."""
-    near = near_duplicates(docs).where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(near, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    again = stage(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated")
-    if small(again, 0):
-        return kept
-    once = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    some = kept.join(again, F.col("doc_id").eqNullSafe(F.col("_again")), "left_semi")
-    return once.unionByName(some.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth"))
+def deduplicated(docs: DataFrame, width: int = 3, bits: int = 3) -> DataFrame:
+    """``docs`` (doc_id, text, anything else) with one row of each component, all columns as they are.
+
+    It is a row that stays, not a doc_id: the one with the smallest doc_id, rows without one last; of
+    rows that share it, the first in the table. So every component keeps exactly one row, also where
+    ids are null or repeat under different texts. Null and empty texts are one component; an empty
+    table gives an empty result. The table is fingerprinted once and written once.
+    """
+    fp, row = fresh(docs, "_fp", "_row")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            texts = pc.cast(b.column(at).cast(pa.string()), pa.binary()).to_pylist()
+            fps = np.array([simhash(t, width) for t in texts], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, fp])
+
+    marked = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(fp, LongType())]))
+    marked = stage(marked.withColumn(row, F.monotonically_increasing_id()), "fingerprinted")
+    thin = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row"))
+    first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    keep = _rooted(thin, first, bits).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.row").alias(row))
+    return marked.join(keep, row, "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

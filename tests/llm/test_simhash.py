@@ -1,12 +1,17 @@
+import random
 from collections import Counter
 
 import numpy as np
 import xxhash
-from conftest_helpers import table_rows
 
 from reelwork.llm import simhash as m
 
 
+def prose(seed, n):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+
+
 def brute(text):
     words = (text or "").encode().lower().split()
     if not words:
@@ -82,8 +87,29 @@ def test_long_lists_are_refined_and_probed_without_loss(spark, monkeypatch):
 
 
 def test_deduplicated_keeps_one_of_each(docs, empty):
-    kept = table_rows(m.deduplicated(docs))
+    kept = m.deduplicated(docs).collect()
     assert [r["doc_id"] for r in kept if r["doc_id"] in range(50, 56)] == [50]
     assert sum(r["doc_id"] == 5 for r in kept) == 1
     assert m.deduplicated(docs).columns == docs.columns
     assert m.near_duplicates(empty).count() == 0 and m.deduplicated(empty).count() == 0
+
+
+def test_deduplicated_keeps_rows_not_ids(spark):
+    a, b, c, d = (prose(500 + i, 300) for i in range(4))
+    rows = [(None, a), (None, b), (3, c), (5, c), (5, d), (5, d), (None, d), (None, None), (9, ""), (8, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in rows], "doc_id long, text string, _fp int, _Row int, root int")
+    kept = m.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, [(None, a), (None, b), (3, c), (5, d), (8, None)]))
+
+
+def test_deduplicated_keeps_one_row_of_each_component(docs):
+    rows = docs.select("doc_id", "text").collect()
+    fps = sorted({brute(r["text"]) for r in rows})
+    find = roots((a, b) for a in fps for b in fps if (a ^ b).bit_count() <= 3)
+    least = {}
+    for r in rows:
+        k, at = find(brute(r["text"])), (r["doc_id"] is None, r["doc_id"] or 0)
+        least[k] = min(least.get(k, at), at)
+    kept = [(find(brute(r["text"])), (r["doc_id"] is None, r["doc_id"] or 0)) for r in m.deduplicated(docs).collect()]
+    assert sorted(kept) == sorted(least.items())
