@@ -1,16 +1,71 @@
-from itertools import combinations
+import random
+import re
+import time
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from reelwork.llm import decontamination as dec
 from reelwork.llm import licenses as lic
 
 
-def test_masks_hit_every_alignment_with_a_fifth_substituted():
-    for n, s in ((15, 3), (20, 4)):
-        for gone in combinations(range(n), s):
-            assert any(not any(p + o in gone for o in m) for m in dec.MASKS for p in range(n - m[-1]))
+def fewest_to_break(n, masks):
+    """The fewest substituted words that leave no place of any mask whole, by dynamic programming
+    over which of the last words are substituted."""
+    span = max(m[-1] for m in masks) + 1
+    state = {(): 0}
+    for at in range(n):
+        nxt = {}
+        for last, cost in state.items():
+            for gone in (0, 1):
+                now = (*last, gone)[-span:]
+                whole = any(len(now) > m[-1] and not any(now[len(now) - 1 - m[-1] + o] for o in m) for m in masks)
+                if not whole:
+                    nxt[now] = min(nxt.get(now, n + 1), cost + gone)
+        state = nxt
+    return min(state.values(), default=n + 1)
+
+
+def test_masks_leave_a_seed_in_items_of_every_length():
+    for n in range(1, 200):
+        masks = [m for low, high, m in dec.MASKS if low <= n <= high]
+        assert fewest_to_break(n, masks) > n - -(-4 * n // 5), n
+
+
+def brute(doc, item, least=0.8):
+    d, i = (re.findall(r"[^\W_]+", (t or "").lower()) for t in (doc, item))
+    best = max(((sum(0 <= g + k < len(d) and d[g + k] == w for k, w in enumerate(i)), -g) for g in range(1 - len(i), len(d))), default=(0, 0))
+    return (-best[1], best[0]) if i and best[0] >= least * len(i) else None
+
+
+def test_recall_against_all_diagonals(spark):
+    r = random.Random(5)
+    vocabulary = ["".join(r.choice("abcdef") for _ in range(3)) for _ in range(60)]
+    items = {n: " ".join(r.choice(vocabulary) for _ in range(n)) for n in range(1, 41)}
+    items |= {100: "a " * 9, 101: "b a " * 6, 102: "c", 103: " ".join(items[30].split()[:12])}
+    docs = []
+    for n in list(items) * 3:
+        w = items[n].split()
+        for i in r.sample(range(len(w)), r.randint(0, len(w) // 5)):
+            w[i] = "zz"
+        cut = r.choice([0, 0, 1])
+        docs.append(" ".join([r.choice(vocabulary) for _ in range(0 if cut else r.randint(0, 30))] + w[cut:] + [r.choice(vocabulary) for _ in range(r.randint(0, 20))]))
+    docs += ["a " * 40, "b a b a b a " * 5, "", None, "a", "c c c"]
+    found = dec.overlaps(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    got = {(x["doc_id"], x["item_id"]): (x["start"], x["matched"]) for x in found.collect()}
+    want = {(d, i): b for d, t in enumerate(docs) for i, item in items.items() if (b := brute(t, item))}
+    assert got == want and len(want) > 150
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_repeated_words_end_soon(spark, monkeypatch, most):
+    monkeypatch.setattr(dec, "MOST_BROADCAST", most)
+    docs = spark.createDataFrame([(1, "same " * 10_000), (2, "two words " * 5000), (3, "other " * 3)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "same " * 1000), (2, "two words " * 300)], "item_id long, text string")
+    start = time.time()
+    got = sorted((r["doc_id"], r["item_id"], r["start"], r["matched"]) for r in dec.overlaps(docs, bench).collect())
+    assert got == [(1, 1, 0, 1000), (2, 2, 0, 600)] and time.time() - start < 60
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +76,7 @@ def passages(spark):
     worse = " ".join("x" if i in (2, 5, 8, 11) else v for i, v in enumerate(w))
     rows = [(1, f"Some text, {item.upper()}! and more"), (2, "start " + changed), (3, worse), (4, " ".join(w[2:])), (5, None), (6, ""), (7, item), (7, item), (None, item), (8, ("filler word " * 20_000) + item)]
     docs = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, item_id int, matched string")
-    bench = spark.createDataFrame([(10, item, 1), (9, item, 1), (11, "too short here", 1), (12, None, 1), (13, "", 1)], "item_id long, text string, doc_id int")
+    bench = spark.createDataFrame([(10, item, 1), (9, item, 1), (11, "too short there", 1), (12, None, 1), (13, "", 1)], "item_id long, text string, doc_id int")
     return docs, bench
 
 
@@ -31,13 +86,23 @@ def test_substitution_tolerant_overlaps(passages, monkeypatch, most):
     docs, bench = passages
     got = {r["doc_id"]: (r["item_id"], r["start"], r["matched"]) for r in dec.overlaps(docs, bench).collect()}
     assert got == {1: (9, 2, 15), 2: (9, 1, 12), 4: (9, -2, 13), 7: (9, 0, 15), None: (9, 0, 15), 8: (9, 40_000, 15)}
-    kept = dec.decontaminated(docs, bench)
-    assert sorted(r["doc_id"] for r in kept.collect()) == [3, 5, 6] and kept.columns == docs.columns
+    more = docs.unionByName(docs.sparkSession.createDataFrame([(None, "clean", 1, "k"), (7, "clean too", 1, "k")], docs.schema)).withColumns({"_th": F.lit(1), "_SIZE": F.lit(2)})
+    kept = dec.decontaminated(more, bench)
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "5", "6", "7", "None"] and kept.columns == more.columns
+    assert {r["text"] for r in kept.where("doc_id is null or doc_id = 7").collect()} == {"clean", "clean too"}
 
 
 def test_decontamination_of_empty_tables(passages, spark):
     docs, bench = passages
     assert dec.overlaps(docs.limit(0), bench).count() == 0 and dec.overlaps(docs, bench.limit(0)).count() == 0
+    assert dec.decontaminated(docs, bench.limit(0)).count() == docs.count() and dec.decontaminated(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_only_where_wanted(spark):
+    docs, bench = spark.createDataFrame([(1, "an exact copy here"), (2, "an exact copy")], "doc_id long, text string"), spark.createDataFrame([(1, "An exact copy, here!")], "item_id long, text string")
+    assert [r["doc_id"] for r in dec.overlaps(docs, bench).collect()] == [1]
+    assert [r["doc_id"] for r in dec.decontaminated(docs, bench).collect()] == [2]
+    assert dec.decontaminated(docs, bench, least_words=5).count() == 2
 
 
 @pytest.mark.parametrize("name", ["op4", "op5"])
