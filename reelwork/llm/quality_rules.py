@@ -194,15 +194,17 @@ def rule_statistics(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 10_000) -> Forest:
     """A forest from labelled rows (doc_id, quality 1: good).
 
-    most_labelled bounds the sample that is fitted on: the labelled doc_ids with the lowest hashes.
-    Rows with a null id or label aren't used, nor documents that fail the base rules. Without
-    labelled good rows the forest has no trees and rejects nothing.
+    most_labelled bounds the sample that is fitted on: the labelled doc_ids with the lowest hashes,
+    and one text of each (the least, where a doc_id repeats). Rows with a null id or label aren't
+    used, nor documents that fail the base rules. Without labelled good rows the forest has no trees
+    and rejects nothing.
     """
     rows = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.min("quality").alias("_quality"))
     sample = rows.orderBy(F.xxhash64("_id"), "_id").limit(most_labelled)
-    own = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
+    own = own.groupBy(F.col("_id").alias("doc_id")).agg(F.min("text").alias("text"))
     quality = sample.withColumnRenamed("_id", "doc_id")
-    got = rule_statistics(own).join(F.broadcast(quality), "doc_id").select(*BASE, "rules", "_quality").limit(2 * most_labelled).toPandas()
+    got = rule_statistics(own).join(F.broadcast(quality), "doc_id").select(*BASE, "rules", "_quality").toPandas()  # at most most_labelled rows
     if not len(got):
         return grow(np.zeros((0, len(RULES))), np.zeros((2, len(RULES))))
     x, good = np.stack(got["rules"].to_list()), got["_quality"].to_numpy() == 1
