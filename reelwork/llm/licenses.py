@@ -1,10 +1,13 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-DataFrame functions only. Every line of every file is a possible header. A line can only reach the
-cosine threshold if it holds one of a template's heavy terms (those without which the rest of the
-template's vector is shorter than the threshold), so lines are first picked by these terms; the
-cosine of the picked ones is exact. A file without a licence of its own takes that of the nearest
-directory above it that has a licence file.
+DataFrame functions only. A text is split into terms once, and windows of it as long as a template
+are compared with that template by the cosine of their TF-IDF vectors. Line ends, comment signs and
+the words around play no part, so a one-line header, a notice wrapped over a comment block, a
+statement within a sentence and the text of a licence file are all found the same way. A window can
+only reach a template's threshold if it holds one of its heavy terms (those without which the rest of
+its vector is shorter than the threshold), so windows are laid where a heavy term of the text
+stands in the place that it has in the template; their cosines are exact. A file without a licence of
+its own takes that of the nearest directory above it that has a licence file.
 """
 
 from __future__ import annotations
@@ -16,20 +19,33 @@ from pyspark.sql import functions as F
 
 from .common import small, stage, table
 
-#: Statements that headers and licence files make, with SPDX identifiers.
+LEAST_COSINE = 0.8
+_GNU = "{what} is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation{mark2} either version {version} of the License, or (at your option) any later version."
+#: Statements that headers and licence files make, with SPDX identifiers. The wording is
+#: the licences' own.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3"),
+    ("GPL-3.0", _GNU.format(what="This program", mark=":", mark2=",", name="General Public License", version="3")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", _GNU.format(what="This program", mark=";", mark2=";", name="General Public License", version="2")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.1", _GNU.format(what="This library", mark=";", mark2=";", name="Lesser General Public License", version="2.1")),
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", _GNU.format(what="This program", mark=":", mark2=",", name="Affero General Public License", version="3")),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -37,77 +53,104 @@ TEMPLATES = [
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+TEMPLATES = [(license, text, LEAST_COSINE) for license, text in TEMPLATES]
+#: A line that names the identifier must name it whole.
+TEMPLATES += [(license, f"SPDX-License-Identifier: {license}", 0.999) for license in dict.fromkeys(t[0] for t in TEMPLATES)]
 #: Templates are a parameter and stay small: their terms are written into the plan.
 MOST_TEMPLATE_TERMS = 5000
-#: A file is a licence file of its directory if its name says so or so much of it is a licence line.
+#: A file is a licence file of its directory if its name says so or so much of it is a licence statement.
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)(\.|$)"
 LICENSE_SHARE = 0.25
-LEAST_COSINE = 0.8
 
 
 def terms(text: Column) -> Column:
-    """Lower-case runs of letters and digits; dots and hyphens between them stay inside a term."""
-    return F.split(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}.-]+|[.-]+(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[.-]+", " ")), " +")
+    """Lower-case runs of letters and digits; none for an empty text."""
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), "")
 
 
-def _weights(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
-    """(template, license, term, w) with unit vectors; (term, idf); the idf of any other term."""
-    counted = templates.select("template", "license", F.explode(terms(F.col("statement"))).alias("term")).where("term <> ''").groupBy("template", "license", "term").agg(F.count("*").alias("tf"))
-    counted = stage(counted, "templates")
-    if not small(counted, MOST_TEMPLATE_TERMS):
-        raise ValueError(f"templates have more than {MOST_TEMPLATE_TERMS} terms")
-    vocabulary = [r["term"] for r in counted.select("term").distinct().collect()]  # at most MOST_TEMPLATE_TERMS
-    known = F.array(*[F.lit(t) for t in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    found = files.select(F.explode(F.array_intersect(terms(F.col("text")), known)).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    n = files.count()
-    idf = counted.select("term").distinct().join(found, "term", "left")
+def _members(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def _vectors(counted: DataFrame, known: DataFrame, n: int) -> tuple[DataFrame, DataFrame, Column]:
+    """(template, term, w) with unit vectors; (term, idf); the idf of any other term. ``known`` has
+    the vocabulary's terms of each file, ``counted`` those of the templates."""
+    df = known.select(F.explode("known").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = counted.select("term").distinct().join(df, "term", "left")
     idf = stage(idf.select("term", (F.log(F.lit(n + 1) / (F.coalesce("df", F.lit(0)) + 1)) + 1).alias("idf")), "idf")
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("template")))
-    vectors = counted.join(F.broadcast(idf), "term").select("template", "license", "term", (w / norm).alias("w"))
-    return stage(vectors, "vectors"), idf, F.lit(log(n + 1) + 1)
+    return stage(counted.join(F.broadcast(idf), "term").select("template", "term", "least", (w / norm).alias("w")), "vectors"), idf, F.lit(log(n + 1) + 1)
 
 
-def _heavy(vectors: DataFrame, least: float) -> list[str]:
-    """Terms one of which a line must hold to reach the threshold with any template."""
+def _anchors(places: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(template, license, least, n, term, o, earlier) for each place of each heavy term: one of them
+    must be in a window that reaches the threshold. earlier: the template's heavy places before it."""
     rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template").orderBy("w", "term")))
-    return [r["term"] for r in vectors.withColumn("rest", rest).where(F.col("rest") >= least * 0.999).select("term").distinct().collect()]
-
-
-def own_licenses(files: DataFrame, templates: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(path, license, cosine, words) of the best line of each file that reaches the threshold:
-    words are that line's. Of equal cosines the first identifier counts."""
-    vectors, idf, other = _weights(files, templates)
-    heavy = F.array(*[F.lit(t) for t in _heavy(vectors, least)]).cast("array<string>")
-    lines = files.select("path", F.explode(F.split("text", "\r\n|\r|\n")).alias("line"))
-    picked = lines.select("path", "line", terms(F.col("line")).alias("terms")).where(F.arrays_overlap("terms", heavy))
-    counted = picked.select("path", F.xxhash64("line").alias("line"), F.explode("terms").alias("term")).where("term <> ''").groupBy("path", "line", "term").agg(F.count("*").alias("tf"))
-    weighed = stage(counted.join(F.broadcast(idf.select("term", "idf")), "term", "left").withColumn("tw", F.col("tf") * F.coalesce("idf", other)), "lines")
-    norms = weighed.groupBy("path", "line").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("norm"), F.sum("tf").alias("words"))
-    dots = weighed.join(F.broadcast(vectors), "term").groupBy("path", "line", "template", "license").agg(F.sum(F.col("tw") * F.col("w")).alias("dot"))
-    cosines = dots.join(norms, ["path", "line"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("cosine"), "words").where(F.col("cosine") >= least)
-    return cosines.groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", "words")).alias("b")).select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), F.col("b.words").alias("words"))
+    heavy = vectors.withColumn("rest", rest).where(F.col("rest") >= F.col("least") * 0.999).select("template", "term")
+    before = Window.partitionBy("template").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    rows = places.join(F.broadcast(heavy), ["template", "term"])
+    return stage(rows.withColumn("earlier", F.collect_list(F.struct(F.col("o").alias("eo"), F.col("term").alias("eterm"))).over(before)), "anchors")
+
+
+def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, license, cosine, words) of the best window of each file that reaches a template's
+    threshold, words being the window's length: of equal cosines the first identifier counts, then the
+    longest. Also (path, n): the terms of each file."""
+    split = templates.select("template", "license", "least", terms(F.col("statement")).alias("terms"))
+    places = stage(split.select("template", "license", "least", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")), "templates")
+    counted = places.groupBy("template", "least", "term").agg(F.count("*").alias("tf"))
+    if not small(counted, MOST_TEMPLATE_TERMS):
+        raise ValueError(f"templates have more than {MOST_TEMPLATE_TERMS} terms")
+    vocabulary = [r["term"] for r in counted.select("term").distinct().orderBy("term").collect()]  # at most MOST_TEMPLATE_TERMS
+    each = files.select("path", F.xxhash64("text").alias("th"), terms(F.col("text")).alias("terms"))
+    known = stage(each.select("path", "th", F.size("terms").alias("n"), F.array_intersect("terms", _members(vocabulary)).alias("known")), "known")
+    vectors, idf, other = _vectors(counted, known, known.count())
+    anchors = _anchors(places, vectors)
+    heavy = [r["term"] for r in anchors.select("term").distinct().orderBy("term").collect()]  # at most MOST_TEMPLATE_TERMS
+
+    # Only texts that hold a heavy term are split once more.
+    picked = known.where(F.arrays_overlap("known", _members(heavy))).select(F.col("path").alias("p"), F.col("th").alias("h")).distinct()
+    rows = files.withColumn("th", F.xxhash64("text"))
+    rows = rows.join(picked, (F.col("path") == F.col("p")) & (F.col("th") == F.col("h")), "left_semi").select("path", "th", terms(F.col("text")).alias("terms"))
+    at = F.transform("terms", lambda t, i: F.when(t.isin(heavy), F.struct(i.alias("at"), t.alias("term"))))
+    hits = rows.select("path", "th", "terms", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("hit"))
+    start = F.col("at") - F.col("o")
+    earlier = F.exists("earlier", lambda e: F.coalesce(F.get("terms", start + e["eo"]) == e["eterm"], F.lit(False)))
+    laid = hits.select("path", "th", "terms", "hit.at", "hit.term").join(F.broadcast(anchors), "term").where(~earlier)
+    inside = F.slice("terms", F.greatest(start, F.lit(0)) + 1, F.least(start + F.col("n"), F.size("terms")) - F.greatest(start, F.lit(0)))
+    # All windows of a text lie in one partition (they are no more than its terms, times the places of
+    # templates), so that neither sum shuffles again.
+    laid = laid.select("path", "th", "template", "license", "least", start.alias("start"), inside.alias("inside")).repartition("path", "th")
+    window = ["path", "th", "template", "start", "license", "least"]
+    weighed = laid.select(*window, F.explode("inside").alias("term")).groupBy(*window, "term").agg(F.count("*").alias("tf"))
+    weighed = weighed.join(F.broadcast(idf), "term", "left").join(F.broadcast(vectors.drop("least")), ["template", "term"], "left")
+    weight = F.col("tf") * F.coalesce("idf", other)
+    scored = weighed.groupBy(*window).agg(F.sum(weight * F.col("w")).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum("tf").alias("words"))
+    cosine = F.round(F.col("dot") / F.col("norm"), 6)
+    best = scored.withColumn("cosine", cosine).where(F.col("cosine") >= F.col("least")).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", (-F.col("words")).alias("w"))).alias("b"))
+    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (-F.col("b.w")).alias("words")), known.groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def _directory(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
-def licensed(files: DataFrame, templates: DataFrame | None = None, least: float = LEAST_COSINE) -> DataFrame:
+def licensed(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
     """path, license, how ('own', 'inherited' or 'none'), cosine and license_dir for each path.
 
-    ``files``: path, text, anything else. license_dir is the directory inherited from. Of several
-    licence files in one directory the best cosine counts, then the first identifier, so that ties
-    have one result. A null text has no lines; a null path is one file in the root; rows that repeat
-    a path are one file; an empty table gives an empty result.
+    ``files``: path, text, anything else; ``templates``: template, license, statement, least (the
+    cosine that it takes), by default TEMPLATES. license_dir is the directory inherited from. Of
+    several licence files in one directory the best cosine counts, then the first identifier, so that
+    ties have one result. A null text has no terms; a null path is one file in the root; rows that
+    repeat a path are one file; an empty table gives an empty result.
     """
     spark = files.sparkSession
     if templates is None:
-        templates = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, statement string")
+        templates = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, license string, statement string, least double")
     rows = files.select(F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = stage(own_licenses(rows, templates, least), "own")
-    thin = rows.select("path", F.size(terms(F.col("text"))).alias("n")).groupBy("path").agg(F.sum("n").alias("n"))
-    thin = stage(thin.join(found, "path", "left").withColumn("dir", _directory(F.col("path"))), "files")
+    found, sizes = own_licenses(rows, templates)
+    thin = stage(sizes.join(found, "path", "left").withColumn("dir", _directory(F.col("path"))), "files")
 
     name = F.regexp_extract("path", "([^/]*)$", 1)
     stated = thin.where(F.col("license").isNotNull() & (name.rlike(LICENSE_NAME) | (F.col("words") >= LICENSE_SHARE * F.col("n"))))
@@ -127,47 +170,49 @@ def licensed(files: DataFrame, templates: DataFrame | None = None, least: float
     )
 
 
-#: Where a document lies: source, language and a directory of 64 neighbours.
-DOCUMENT_PATH = "concat(coalesce(source, ''), '/', coalesce(lang, ''), '/', cast(floor(doc_id / 64) as string), '/', cast(doc_id as string), '.txt')"
+#: Where a document lies: source, language and a directory of 64 neighbours, whose first is its LICENSE.
+_DIR = "{cat}coalesce(source, ''){sep}'/'{sep}coalesce(lang, ''){sep}'/'{sep}cast(cast(floor(doc_id / 64) as bigint) as string){end}"
+DOCUMENT_PATH = _DIR.format(cat="concat(", sep=", ", end=", '/', if(doc_id % 64 = 0, 'LICENSE', concat(cast(doc_id as string), '.txt')))")
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("text", F.expr(DOCUMENT_PATH).alias("path"))
     out = licensed(docs)
-    return out.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "how", "cosine", "license_dir")
-
-
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}.-]+', ' ', 'g'), '[.-]+( |$)', ' ', 'g'), '(^| )[.-]+', ' ', 'g')"
+    parts = F.split("path", "/")
+    first = F.element_at(parts, -2).cast("long") * 64
+    doc_id = F.when(F.endswith("path", F.lit("/LICENSE")), first).otherwise(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long"))
+    return out.select(doc_id.alias("doc_id"), "path", "license", "how", "cosine", "license_dir")
 
 
 def _sql_terms(x: str) -> str:
-    return f"list_filter(string_split({_CLEAN.format(x=x)}, ' '), lambda t: t <> '')"
+    return f"list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-_VALUES = ", ".join(f"({i}, '{lic}', '{text}')" for i, (lic, text) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{lic}', '{text}', {least})" for i, (lic, text, least) in enumerate(TEMPLATES))
 OP5_SQL = f"""
-with files as (
-  select doc_id, coalesce(source, '') || '/' || coalesce(lang, '') || '/' || cast(cast(floor(doc_id / 64) as bigint) as varchar) || '/' || cast(doc_id as varchar) || '.txt' as path,
-    coalesce(source, '') || '/' || coalesce(lang, '') || '/' || cast(cast(floor(doc_id / 64) as bigint) as varchar) as dir, coalesce(text, '') as text from documents),
-templates(template, license, statement) as (values {_VALUES}),
-tterms as (select template, license, term, count(*) as tf from (select template, license, unnest({_sql_terms('statement')}) as term from templates) group by all),
-file_terms as (select distinct doc_id, unnest({_sql_terms('text')}) as term from files),
-df as (select term, count(*) as df from file_terms where term in (select term from tterms) group by term),
+with named as (select doc_id, coalesce(text, '') as text, {_DIR.format(cat='', sep=' || ', end='')} as dir, case when doc_id % 64 = 0 then 'LICENSE' else cast(doc_id as varchar) || '.txt' end as name from documents),
+files as (select doc_id, dir, name, dir || '/' || name as path, {_sql_terms('text')} as terms from named),
+templates(template, license, statement, least) as (values {_VALUES}),
+split as (select template, license, least, {_sql_terms('statement')} as terms from templates),
+places as (select template, license, least, len(terms) as n, unnest(range(0, len(terms))) as o, unnest(terms) as term from split),
+counted as (select template, least, term, count(*) as tf from places group by all),
+file_terms as (select distinct doc_id, unnest(terms) as term from files),
+df as (select term, count(*) as df from file_terms where term in (select term from counted) group by term),
 total as (select count(*) as n from files),
-idf as (select v.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from tterms) v left join df on v.term = df.term, total),
-raw as (select t.template, t.license, t.term, tf * idf as w from tterms t join idf on t.term = idf.term),
-vectors as (select template, license, term, w / sqrt(sum(w * w) over (partition by template)) as w from raw),
-lines as (select doc_id, unnest(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))) as line from files),
-lterms as (select doc_id, line, term, count(*) as tf from (select doc_id, line, unnest({_sql_terms('line')}) as term from lines) group by all),
-weighed as (select doc_id, line, l.term, tf, tf * coalesce(idf, ln(n + 1) + 1) as tw from lterms l left join idf on l.term = idf.term, total),
-norms as (select doc_id, line, sqrt(sum(tw * tw)) as norm, sum(tf) as words from weighed group by all),
-cosines as (
-  select d.doc_id, license, round(dot / norm, 6) as cosine, words
-  from (select doc_id, line, template, license, sum(tw * w) as dot from weighed join vectors on weighed.term = vectors.term group by all) d
-  join norms on d.doc_id = norms.doc_id and d.line = norms.line where round(dot / norm, 6) >= {LEAST_COSINE}),
-own as (select * from cosines qualify row_number() over (partition by doc_id order by cosine desc, license, words) = 1),
-thin as (select f.doc_id, f.path, f.dir, len({_sql_terms('text')}) as n, license, cosine, words from files f left join own on f.doc_id = own.doc_id),
-holders as (select dir, license from thin where license is not null and words >= {LICENSE_SHARE} * n qualify row_number() over (partition by dir order by cosine desc, license) = 1),
+idf as (select v.term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 as idf from (select distinct term from counted) v left join df on v.term = df.term, total),
+raw as (select template, least, c.term, tf * idf as w from counted c join idf on c.term = idf.term),
+vectors as (select template, least, term, w / sqrt(sum(w * w) over (partition by template)) as w from raw),
+heavy as (select template, term from (select *, sqrt(sum(w * w) over (partition by template order by w, term)) as rest from vectors) where rest >= least * 0.999),
+anchors as (select p.* from places p join heavy h on p.template = h.template and p.term = h.term),
+file_places as (select doc_id, unnest(range(0, len(terms))) as p, unnest(terms) as term from files),
+windows as (select distinct f.doc_id, a.template, a.license, a.least, a.n, f.p - a.o as start from file_places f join anchors a on f.term = a.term),
+inside as (select w.doc_id, template, license, least, start, unnest(list_slice(terms, greatest(start, 0) + 1, start + w.n)) as term from windows w join files f on w.doc_id = f.doc_id),
+counts as (select doc_id, template, license, least, start, term, count(*) as tf from inside group by all),
+weighed as (select c.*, tf * coalesce(idf, ln(n + 1) + 1) as tw, v.w from counts c left join idf on c.term = idf.term left join vectors v on c.template = v.template and c.term = v.term, total),
+scored as (select doc_id, license, least, round(sum(tw * w) / sqrt(sum(tw * tw)), 6) as cosine, sum(tf) as words from weighed group by doc_id, template, license, least, start),
+own as (select * from scored where cosine >= least qualify row_number() over (partition by doc_id order by cosine desc, license, words desc) = 1),
+thin as (select f.doc_id, f.path, f.dir, f.name, len(f.terms) as n, license, cosine, words from files f left join own on f.doc_id = own.doc_id),
+holders as (select dir, license from thin where license is not null and (name = 'LICENSE' or words >= {LICENSE_SHARE} * n) qualify row_number() over (partition by dir order by cosine desc, license) = 1),
 dirs as (select distinct dir from thin),
 nearest as (select d.dir, h.dir as above, h.license as above_license from dirs d join holders h on d.dir = h.dir or starts_with(d.dir, h.dir || '/') qualify row_number() over (partition by d.dir order by length(h.dir) desc) = 1)
 select doc_id, path, coalesce(license, above_license) as license,
