@@ -50,6 +50,13 @@ def discard(df: DataFrame) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def make_folders(spark: SparkSession, *paths: str) -> None:
+    """Makes folders, which may exist, so that a read of them finds at least nothing."""
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as keep it apart from the columns of
     ``df``, whatever their case."""

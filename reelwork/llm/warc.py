@@ -10,17 +10,20 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from hashlib import sha1
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stage, table
+from .common import make_folders, new_path, stage, table
 
 #: Payloads of fewer bytes are always kept.
 LEAST_REVISIT = 1000
-#: Records in one archive file, at most: readers hold one file at a time.
-FILE_RECORDS = 2000
+#: Bytes of payload in one archive file, at most, unless one record alone has more: readers hold one
+#: file at a time. Captures are written in classes by size, each with as many records to a file.
+FILE_BYTES = 64 << 20
+SIZES = [32 << 10, 1 << 20]
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -41,12 +44,13 @@ def _record(headers: list[tuple[str, Column | str]], block: Column) -> Column:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     """Writes the records of ``pages`` (page_id, url, html, anything else) as gzipped archives:
-    ``path``/kind=capture, kind=request and kind=metadata.
+    ``path``/(size class)/kind=capture, kind=request and kind=metadata.
 
     Of captures with equal payloads of at least ``least`` bytes, that with the largest page_id is
     the response and the others revisit it; of a null page_id, or where all are null, each is a
     response. A null html is an empty payload, a null url is empty; line ends and spaces in a url
-    are escaped.
+    are escaped. No pages give a folder without archives. Repeated rows are captures of their own
+    with equal identifiers.
     """
     url = F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20]", "%20")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
@@ -70,40 +74,63 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> N
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _id("metadata")), *common, ("WARC-Concurrent-To", _id("capture")), ("Content-Type", "application/warc-fields")], fields)
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("capture", capture), ("request", request), ("metadata", metadata))]))
-    out = rows.select(each.alias("r")).select("r.kind", "r.value")
-    # A record ends with two line ends, which the text writer puts after each row.
-    out.write.partitionBy("kind").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    used = pages.agg(*[F.count_if((size > low) & (size <= high)).alias(f"c{k}") for k, (low, high) in enumerate(_classes())]).first()
+    for k, (low, high) in enumerate(_classes()):
+        if used[k] or not k:
+            out = rows.where((F.col("_bytes") > low) & (F.col("_bytes") <= high)).select(each.alias("r")).select("r.kind", "r.value")
+            # A record ends with two line ends, which the text writer puts after each row.
+            most = max(1, FILE_BYTES // high)
+            out.write.partitionBy("kind").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
+    make_folders(pages.sparkSession, *[f"{path}/size=0/kind={k}" for k in ("capture", "request", "metadata")])
+
+
+def _classes() -> list[tuple[int, int]]:
+    return list(zip([-1, *SIZES], [*SIZES, 1 << 40], strict=True))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of an archive, gzipped by file or by
-    record or not at all. A record that breaks off ends the reading."""
+    record or not at all. What can't be read, a record that breaks off or a damaged member, ends the
+    reading and is given as a last record of the type 'broken' with what is left of it."""
+    broken = False
     while data[:2] == b"\x1f\x8b":
         out, rest = [], data
         while rest[:2] == b"\x1f\x8b":
             member = zlib.decompressobj(31)
-            out.append(member.decompress(rest))
+            try:
+                out.append(member.decompress(rest))
+            except zlib.error:
+                broken = True
+                break
+            broken = not member.eof
             rest = member.unused_data
         data = b"".join(out)
     at = 0
-    while (start := data.find(b"WARC/", at)) >= 0 and (end := data.find(b"\r\n\r\n", start)) >= 0:
+    while (start := data.find(b"WARC/", at)) >= 0:
+        end = data.find(b"\r\n\r\n", start)
         headers = {}
-        for line in data[start:end].split(b"\r\n")[1:]:
+        for line in data[start : max(start, end)].split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
-            headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-        size = int(headers.get("content-length", 0))
-        if end + 4 + size > len(data):
+            headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        size = headers.get("content-length", "0")
+        if end < 0 or not size.isdecimal() or end + 4 + int(size) > len(data):
+            yield headers | {"warc-type": "broken"}, data[start:]
             return
-        yield headers, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        yield headers, data[end + 4 : end + 4 + int(size)]
+        at = end + 4 + int(size)
+    if broken:
+        yield {"warc-type": "broken"}, b""
 
 
-RECORD = "record_id string, type string, url string, concurrent_to string, refers_to string, digest string, http string, payload binary"
+RECORD = "record_id string, type string, url string, concurrent_to string, refers_to string, digest string, http string, payload_bytes long, payload_sha1 string, payload binary"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of the archives below ``path``. http: the head of an HTTP block; payload:
-    what follows it, or the whole block of other records."""
+def read_records(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """One row per record of the archives below ``path``, or of those of one kind. http: the head of
+    an HTTP block; payload: what follows it, or the whole block of other records, with its length and
+    SHA-1. A record that can't be read is a row of the type 'broken'. A folder without archives gives
+    no rows."""
 
     def run(batches):
         for b in batches:
@@ -114,7 +141,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     if h.get("content-type", "").startswith("application/http"):
                         top, _, payload = block.partition(b"\r\n\r\n")
                         head = top.decode("utf-8", "replace")
-                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"), head, payload))
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-payload-digest"), head, len(payload), sha1(payload).hexdigest(), payload))
                     held += len(payload)
                     if held > 8 << 20:
                         yield batch(rows)
@@ -122,27 +149,34 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield batch(rows)
 
+    types = {"payload": pa.binary(), "payload_bytes": pa.int64()}
+
     def batch(rows):
         names = [c.split()[0] for c in RECORD.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, types.get(n, pa.string())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names=names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
-    return files.mapInArrow(run, RECORD)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/size=*/kind={kind}" if kind else path)
+    return files.select("content").mapInArrow(run, RECORD)
 
 
-def captures(spark: SparkSession, path: str) -> DataFrame:
+def captures(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """One nested row per capture: capture_id, request, response and metadata structs.
 
     Requests and metadata are joined through the identifier they are concurrent to; a capture
     without one has null there, and of several with one identifier the first by record id counts.
+    The response has its payload's length and SHA-1, and the payload itself unless ``payloads`` is
+    false: then it goes through no join. Broken records are left out (``read_records`` gives them); a
+    folder without archives gives no rows.
     """
-    of = lambda kind: read_records(spark, f"{path}/kind={kind}")
+    of = lambda kind: read_records(spark, path, kind).where("type <> 'broken'")
     first = lambda rows, name, *cols: rows.groupBy("concurrent_to").agg(F.min(F.struct("record_id", *cols)).alias(name)).withColumnRenamed("concurrent_to", f"_{name}")
     field = F.regexp_extract(F.col("payload").cast("string"), r"(?m)^page-id: *(-?\d+)", 1)
     request = first(of("request"), "request", "url", "http")
     metadata = first(of("metadata").withColumn("page_id", F.when(field != "", field.cast("long"))), "metadata", "page_id")
     length = F.regexp_extract("http", r"(?mi)^content-length: *(\d+)", 1).cast("long").alias("http_length")
-    response = of("capture").select(F.col("record_id").alias("capture_id"), F.struct("type", "url", "http", length, "digest", "refers_to", F.when(F.col("type") == "response", F.col("payload")).alias("payload")).alias("response"))
+    kept = lambda c: F.when(F.col("type") == "response", F.col(c)).alias(c)
+    parts = ["type", "url", "http", length, "digest", "refers_to", kept("payload_bytes"), kept("payload_sha1"), *([kept("payload")] if payloads else [])]
+    response = of("capture").select(F.col("record_id").alias("capture_id"), F.struct(*parts).alias("response"))
     return response.join(request, F.col("capture_id") == F.col("_request"), "left").join(metadata, F.col("capture_id") == F.col("_metadata"), "left").select("capture_id", "request", "response", "metadata")
 
 
@@ -150,9 +184,9 @@ def op6_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
     is_response = F.col("response.type") == "response"
-    size = F.when(is_response, F.octet_length("response.payload").cast("long")).otherwise(F.col("response.http_length"))
-    digest = F.when(is_response, F.sha1("response.payload")).otherwise(F.regexp_replace("response.digest", "^sha1:", ""))
-    rows = captures(spark, path).select("capture_id", F.col("metadata.page_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_to"))
+    size = F.when(is_response, F.col("response.payload_bytes")).otherwise(F.col("response.http_length"))
+    digest = F.when(is_response, F.col("response.payload_sha1")).otherwise(F.regexp_replace("response.digest", "^sha1:", ""))
+    rows = captures(spark, path, payloads=False).select("capture_id", F.col("metadata.page_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_to"))
     rows = stage(rows, "captures")
     named = rows.where("record_type = 'response'").groupBy(F.col("capture_id").alias("_id")).agg(F.max("page_id").alias("refers_to"))
     return rows.join(named, F.col("_to") == F.col("_id"), "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
