@@ -6,24 +6,30 @@ Numbers, secrets and the parts of addresses go through a keyed permutation of al
 format, which leaves none in its place. Names (drawn by gender and script), addresses whose top-level
 domains fall together and secrets of symbols alone can still collide or stay as they are; a job over
 the distinct entities finds these and gives the later entity its next surrogate, a longer one each
-time, until all are distinct.
+time, until all are distinct. A first name is one entity whatever title stands before it; its gender
+is that which most of its titles in the whole table tell.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from functools import lru_cache
 from hashlib import blake2b
+from ipaddress import AddressValueError, IPv6Address
 from unicodedata import category
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small, stage, table
+from pyspark.sql.types import StructField, StructType
 
-KEY = b"change this key"
+from .common import fresh, small, stage, table
+
+#: For demonstrations and tests only: whoever has the key can link surrogates to entities.
+DEMO_KEY = b"reelwork demonstration key"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Titles with the gender that they tell (u: neither), and the script of the names that follow.
@@ -40,8 +46,15 @@ FIRST_NAMES = {
 _SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa".split(),
     "cyrillic": "ба бе бо да де до га го ка ке ко ла ле ло ма ме мо на не но па пе по ра ре ро са се та то".split(),
+    "greek": "βα βε βο γα γο δα δε δο κα κε κο λα λε λο μα με μο να νε νο πα πε πο ρα ρε ρο σα σε τα το".split(),
+}
+#: How drawn names end: surnames, and first names by gender.
+_ENDINGS = {"latin": ["ton", "ner", "ley", "son", "ert", "in"], "cyrillic": ["нов", "рин", "лев", "сов"], "greek": ["δης", "κης", "του"]}
+_GENDERED = {
+    "latin": {"m": ["rus", "don", "bert"], "f": ["na", "lia", "rine"], "u": ["ny", "ley"]},
+    "cyrillic": {"m": ["мир", "слав", "тин"], "f": ["на", "лия", "рина"], "u": ["ша", "ня"]},
+    "greek": {"m": ["νος", "ρης"], "f": ["να", "λια"], "u": ["νι", "λυ"]},
 }
-_ENDINGS = {"latin": ["ton", "ner", "ley", "son", "ert", "in"], "cyrillic": ["нов", "рин", "лев", "сов"]}
 
 
 def _class(*categories: str) -> str:
@@ -64,9 +77,12 @@ PATTERNS = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")),
     ("secret", None, re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\b[\"']?\s{0,8}[:=]\s{0,8}[\"']?([A-Za-z0-9_+/-]{12,})")),
     ("secret", None, re.compile(r"\b([0-9a-f]{32,})\b")),
+    ("iban", None, re.compile(r"(?<![\w-])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])")),
+    ("ip6", ":", re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:.])")),
     ("ip", ".", re.compile(rf"(?<![0-9.])({_OCTET}(?:\.{_OCTET}){{3}})(?![0-9]|\.[0-9])")),
     ("phone", None, re.compile(r"(?<![\w+])(\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5})(?![0-9])")),
     ("phone", None, re.compile(r"(?<![\w+])(\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([-.])[0-9]{3}\2[0-9]{4})(?![0-9])")),
+    ("phone", None, re.compile(r"(?<![\w+.])(0[1-9](?:[ .][0-9]{2}){4}|0[0-9]{2,4}/ ?[0-9]{5,8})(?![0-9])")),
     ("card", None, re.compile(r"(?<![\w.])([0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{1,7})(?!\w)")),
     ("ssn", "-", re.compile(r"(?<![\w-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])")),
 ]
@@ -86,6 +102,42 @@ _ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTU
 _ALPHABET_OF = {c: a for a in _ALPHABETS for c in a}
 
 
+def _digits(text: str) -> str:
+    return re.sub(r"[^0-9]", "", text)
+
+
+def _luhn(digits: str) -> int:
+    """The sum that is a multiple of ten for a valid number."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10
+
+
+def _mod97(iban: str) -> int:
+    """One for a valid account number without spaces."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def _ip6(value: str) -> str:
+    """The usual form of an IPv6 address, empty if it is none (or names none, as ::)."""
+    try:
+        address = IPv6Address(value)
+    except AddressValueError:
+        return ""
+    return str(address) if int(address) > 1 else ""
+
+
+#: What a match must fulfil besides its pattern.
+_VALID: dict[str, Callable[[str], bool]] = {
+    "card": lambda v: _luhn(_digits(v)) == 0,
+    "iban": lambda v: _mod97(v.replace(" ", "")) == 1,
+    # A group of three places with a digit tells an address from names that are joined by ::.
+    "ip6": lambda v: bool(_ip6(v)) and any(len(g) > 2 and _digits(g) for g in v.split(":")),
+}
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the entities of a whole text, in order, without overlaps. For a person
     the span is that of the names after the title, or of a known first name and those after it; its
@@ -113,8 +165,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
         elif kind != "email" and not digits:
             continue
         group = 1 if pattern.groups else 0
+        valid = _VALID.get(kind, bool)
         for m in pattern.finditer(text):
-            put(*m.span(group), kind)
+            if valid(m[group]):
+                put(*m.span(group), kind)
     persons = []
     if any(t in text for t in TITLES):
         for m in _PERSON.finditer(text):
@@ -126,7 +180,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     if persons:
         known: dict[str, str] = {}
         for _, kind, value in sorted(persons):
-            for part, canon in parts(kind, value):
+            for part, canon, _ in parts(kind, value):
                 known.setdefault(canon, part)
         for m in _WORD.finditer(text):
             if part := known.get(m[0].lower()):
@@ -188,48 +242,49 @@ def reshape(value: str, key: bytes, tweak: str, hexadecimal: bool = False) -> st
     return "".join(reversed(out))
 
 
-def _luhn(digits: str) -> int:
-    """The sum that is a multiple of ten for a valid number."""
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return total % 10
-
-
 def _like(pattern: str, digits: str) -> str:
     """The digits in the places of the digits of a written form."""
     it = iter(digits)
     return "".join(next(it) if c.isascii() and c.isdigit() else c for c in pattern)
 
 
-def _digits(text: str) -> str:
-    return re.sub(r"[^0-9]", "", text)
+# Entities
 
 
-# Entities
+def _script(name: str) -> str:
+    return "cyrillic" if "\u0400" <= name[0] <= "\u052f" else "greek" if "\u0370" <= name[0] <= "\u03ff" else "latin"
 
 
-def parts(kind: str, value: str) -> list[tuple[str, str]]:
-    """(kind, canonical form) of what a written entity is replaced by: one, or one for each name of
-    a person. Equal canonical forms are one entity however they are written."""
+def parts(kind: str, value: str) -> list[tuple[str, str, str | None]]:
+    """(kind, canonical form, gender that is told) of what a written entity is replaced by: one, or
+    one for each name of a person. Equal kinds and canonical forms are one entity however they are
+    written and whatever gender is told."""
     if kind == "email":
-        return [("email", value.lower())]
+        return [("email", value.lower(), None)]
     if kind == "ip":
-        return [("ip", ".".join(str(int(x)) for x in value.split(".")))]
+        return [("ip", ".".join(str(int(x)) for x in value.split(".")), None)]
+    if kind == "ip6":
+        return [("ip6", _ip6(value), None)]
+    if kind == "iban":
+        return [("iban", value.replace(" ", ""), None)]
     if kind == "phone":
         country = value[1:].split(" ")[0].split("(")[0].split("-")[0].split(".")[0] if value[0] == "+" else ""
-        country = country if len(country) < 4 else ""
-        return [("phone", f"{country}|{_digits(value)[len(country):]}")]
+        # Numbers within a country keep what tells that they are.
+        country = value[:2] if value[0] == "0" else country if len(country) < 4 else ""
+        return [("phone", f"{country}|{_digits(value)[len(country):]}", None)]
     if kind in ("card", "ssn"):
-        return [(kind, _digits(value))]
+        return [(kind, _digits(value), None)]
     if kind.startswith("person:"):
-        names = _WORD.findall(value)
-        script = "cyrillic" if "\u0400" <= names[0][0] <= "\u052f" else "latin"
-        return [(f"first:{script}:{kind[7:]}", n.lower()) for n in names[:-1]] + [(f"last:{script}", names[-1].lower())]
+        names, told = _WORD.findall(value), kind[7:] if kind[7:] != "u" else None
+        script = _script(names[0])
+        return [(f"first:{script}", n.lower(), told) for n in names[:-1]] + [(f"last:{script}", names[-1].lower(), None)]
     if kind.startswith("name:"):
-        return [(kind[5:], value.lower())]
-    return [("secret", value)]
+        return [(kind[5:], value.lower(), None)]
+    return [("secret", value, None)]
+
+
+#: The genders of listed first names, which no title changes.
+LISTED = {(f"first:{script}", n.lower()): gender for (script, gender), names in FIRST_NAMES.items() for n in names}
 
 
 def _spoken(n: int, syllables: list[str], count: int) -> tuple[str, int]:
@@ -242,9 +297,9 @@ def _spoken(n: int, syllables: list[str], count: int) -> tuple[str, int]:
 
 
 @lru_cache(maxsize=100_000)
-def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
+def surrogate(kind: str, canon: str, gender: str | None, attempt: int, key: bytes) -> str:
     """The canonical form of an entity's surrogate. Each attempt gives another one; of names,
-    addresses and secrets it gets longer without bound."""
+    addresses and secrets it gets longer without bound. gender matters for unlisted first names."""
     tweak = f"{kind}|{attempt}"
     drawn = int.from_bytes(blake2b(f"{tweak}|{canon}".encode(), key=key[:64]).digest(), "big")
     if kind == "email":
@@ -257,6 +312,11 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         a, b, c, d = map(int, canon.split("."))
         n = permute(((a * 256 + b) * 256 + c) * 256 + d, 1 << 32, key, tweak)
         return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ip6":
+        return str(IPv6Address(permute(int(IPv6Address(canon)), 1 << 128, key, tweak)))
+    if kind == "iban":
+        body = reshape(canon[4:], key, f"{tweak}|{canon[:2]}")
+        return f"{canon[:2]}{98 - _mod97(f'{canon[:2]}00{body}'):02d}{body}"
     if kind == "phone":
         country, _, rest = canon.partition("|")
         return f"{country}|{reshape(rest, key, f'{tweak}|{country}')}"
@@ -268,13 +328,16 @@ def surrogate(kind: str, canon: str, attempt: int, key: bytes) -> str:
         return reshape(canon, key, tweak)
     if kind == "secret":
         return reshape(canon, key, tweak, hexadecimal=re.fullmatch("[0-9a-f]+", canon) is not None) + _spoken(drawn, _SYLLABLES["latin"], attempt)[0]
-    _, script, *gender = kind.split(":")
-    names = [x.lower() for x in FIRST_NAMES.get((script, gender[0]), ())] if gender else []
-    if canon in names and not attempt:
-        return names[permute(names.index(canon), len(names), key, kind)]
-    syllables, endings = _SYLLABLES[script], _ENDINGS[script]
-    out, n = _spoken(drawn, syllables, 2 + (not gender) + attempt)
-    return out + (endings[n % len(endings)] if not gender else "")
+    what, script = kind.split(":")
+    listed = LISTED.get((kind, canon))
+    if listed and not attempt:
+        names = [x.lower() for x in FIRST_NAMES[script, listed]]
+        return names[permute(names.index(canon), len(names), key, f"{kind}:{listed}")]
+    endings = _ENDINGS[script] if what == "last" else _GENDERED[script][listed or gender or "u"]
+    out, n = _spoken(drawn, _SYLLABLES[script], 2 + attempt)
+    # Russian surnames of women keep their ending.
+    tail = "а" if kind == "last:cyrillic" and canon.endswith(("ова", "ева", "ёва", "ина")) else ""
+    return out + endings[n % len(endings)] + tail
 
 
 def _cased(new: str, like: str) -> str:
@@ -290,6 +353,9 @@ def written(kind: str, value: str, news: list[str]) -> str:
         return _like(value, country + rest)
     if kind in ("card", "ssn"):
         return _like(value, news[0])
+    if kind == "iban":
+        it = iter(news[0])
+        return "".join(c if c == " " else next(it) for c in value)
     if kind.startswith("person:"):
         it = iter(news)
         return _WORD.sub(lambda m: _cased(next(it), m[0]), value)
@@ -298,15 +364,16 @@ def written(kind: str, value: str, news: list[str]) -> str:
     return news[0]
 
 
-def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """A whole text with its entities replaced, and where they were."""
-    spans = find(text) if text else []
+def replaced(text: str | None, key: bytes, drawn: dict[tuple[str, str], tuple[str | None, int]] | None = None, spans: list[tuple[int, int, str]] | None = None) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """A whole text with its entities replaced, and where they were. drawn: gender and attempt of
+    entities for which these aren't none and 0; spans: what ``find`` gives for the text."""
+    spans = (find(text) if text else []) if spans is None else spans
     if not spans:
         return text, spans
     out, at = [], 0
     for start, end, kind in spans:
         value = text[start:end]
-        news = [surrogate(k, c, (attempts or {}).get((k, c), 0), key) for k, c in parts(kind, value)]
+        news = [surrogate(k, c, *(drawn or {}).get((k, c), (None, 0)), key) for k, c, _ in parts(kind, value)]
         out += [text[at:start], written(kind, value, news)]
         at = end
     return "".join([*out, text[at:]]), spans
@@ -314,39 +381,53 @@ def replaced(text: str | None, key: bytes, attempts: dict[tuple[str, str], int]
 
 # Jobs
 
+_SPAN = "array<struct<start:int,end:int,kind:string>>"
+_SPAN_ARROW = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
+_PART = "array<struct<kind:string,canon:string,gender:string>>"
+_PART_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("canon", pa.string()), ("gender", pa.string())]))
+
 
-def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, canon) of each entity of each row, as often as it occurs."""
+def detected(docs: DataFrame, spans: str = "_spans", entities: str = "_entities") -> DataFrame:
+    """``docs`` with two more columns: the spans of the entities in each text, and their distinct
+    parts. Both are empty for null and empty texts. This is the only pass that searches texts."""
+    at, names = docs.columns.index("text"), docs.columns
 
     def run(batches):
         for b in batches:
-            rows = [(i, *p) for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if text for s, e, kind in find(text) for p in parts(kind, text[s:e])]
-            columns = list(zip(*rows, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.string())], names=["doc_id", "kind", "canon"])
+            found = [(t, find(t)) if t else (t, []) for t in b.column(at).cast(pa.string()).to_pylist()]
+            where = [[{"start": s, "end": e, "kind": k} for s, e, k in f] for _, f in found]
+            what = [[dict(zip(("kind", "canon", "gender"), p, strict=True)) for p in dict.fromkeys(p for s, e, k in f for p in parts(k, t[s:e]))] for t, f in found]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(where, _SPAN_ARROW), pa.array(what, _PART_ARROW)], names=[*names, spans, entities])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, kind string, canon string")
+    types = docs.sparkSession.createDataFrame([], f"a {_SPAN}, b {_PART}").schema.fields
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(n, f.dataType) for n, f in zip((spans, entities), types, strict=True))]))
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     def run(batches):
         for b in batches:
-            kinds, canons, attempts = (b.column(i).to_pylist() for i in range(3))
-            new = [surrogate(k, c, a, key) for k, c, a in zip(kinds, canons, attempts, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(new, pa.string())], names=["kind", "canon", "attempt", "new"])
+            columns = [b.column(i).to_pylist() for i in range(4)]
+            new = [surrogate(*x, key) for x in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(new, pa.string())], names=["kind", "canon", "gender", "attempt", "new"])
 
-    return rows.select("kind", "canon", "attempt").mapInArrow(run, "kind string, canon string, attempt int, new string")
+    return rows.select("kind", "canon", "gender", "attempt").mapInArrow(run, "kind string, canon string, gender string, attempt int, new string")
 
 
 def assign(found: DataFrame, key: bytes) -> DataFrame:
-    """(kind, canon, attempt, new) for each distinct entity of ``found`` (kind, canon): new is its
-    surrogate, and no two entities of a kind share one. Of those that would, the one with the
-    lower canonical form keeps it and the others take their next attempt, as does an entity whose
-    surrogate would be itself.
+    """(kind, canon, gender, attempt, new) for each distinct entity of ``found`` (kind, canon, gender
+    that is told or null): new is its surrogate, and no two entities of a kind share one. Of those
+    that would, the one with the lower canonical form keeps it and the others take their next
+    attempt, as does an entity whose surrogate would be itself. gender is the one told most often (of
+    equals m); null for listed first names, whose own is known.
 
     It ends for any number of entities: permuted formats never need a second attempt, and all others
     get longer with each. If some were drawn for ever, all that are not would at last be shorter than
     their draws, and then the lowest of them would keep its own."""
-    now = stage(_drawn(found.select("kind", "canon").distinct().withColumn("attempt", F.lit(0)), key), "surrogates")
+    told = lambda g: F.count_if(F.col("gender") == g)
+    listed = F.concat_ws("|", "kind", "canon").isin(["|".join(k) for k in LISTED])
+    each = found.groupBy("kind", "canon").agg(told("m").alias("m"), told("f").alias("f"))
+    gender = F.when(listed | ((F.col("m") == 0) & (F.col("f") == 0)), F.lit(None)).when(F.col("m") >= F.col("f"), "m").otherwise("f")
+    now = stage(_drawn(each.select("kind", "canon", gender.alias("gender"), F.lit(0).alias("attempt")), key), "surrogates")
     while True:
         keeps = F.min(F.when(F.col("canon") != F.col("new"), F.col("canon"))).alias("keeps")
         shared = now.groupBy("kind", "new").agg(F.count("*").alias("n"), keeps).where("n > 1 or keeps is null")
@@ -354,44 +435,46 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
         if small(shared, 0):
             return now
         each = now.join(shared, ["kind", "new"], "left")
-        lost = each.where("is_shared and not canon <=> keeps").select("kind", "canon", (F.col("attempt") + 1).alias("attempt"))
-        held = each.where("is_shared is null or canon <=> keeps").select("kind", "canon", "attempt", "new")
+        lost = each.where("is_shared and not canon <=> keeps").select("kind", "canon", "gender", (F.col("attempt") + 1).alias("attempt"))
+        held = each.where("is_shared is null or canon <=> keeps").select("kind", "canon", "gender", "attempt", "new")
         now = stage(held.unionByName(_drawn(lost, key)), "surrogates")
 
 
-def pseudonymised(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     """``docs`` (doc_id, text, anything else) with the entities in its texts replaced, and one more
-    column, _spans: where they were in the old text.
+    column at the end: where they were in the old text (_spans, with more underscores before it where
+    ``docs`` has that column).
 
-    Texts without entities, empty and null ones stay as they are; repeated rows get equal texts; an
-    empty table gives an empty result; all other columns pass through.
+    Texts without entities, empty and null ones stay as they are; a doc_id isn't needed, so null and
+    repeated ones change nothing; repeated rows get equal texts; an empty table gives an empty
+    result; all other columns pass through. Ties (a name told as often of men as of women) go to m.
     """
-    found = stage(entities(docs), "entities")
-    again = assign(found, key).where("attempt > 0").select("kind", "canon", "attempt")
-    again = stage(again, "attempts")
-    plain = docs
-    if not small(again, 0):
-        # Only later attempts need to be looked up: each document gets those of its own entities.
-        own = found.select("doc_id", "kind", "canon").distinct().join(again, ["kind", "canon"])
-        own = own.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("_attempts"))
-        plain = docs.join(own, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select(*[docs[c] for c in docs.columns], "_attempts")
-    names, n = plain.columns, len(docs.columns)
-    at = names.index("text")
+    spans, entities, row, own_row, drawn = fresh(docs, "_spans", "_entities", "_row", "_own_row", "_drawn")
+    found = stage(detected(docs, spans, entities).withColumn(row, F.monotonically_increasing_id()), "detected")
+    each = found.where(F.size(entities) > 0).select(F.col(row).alias("row"), F.explode(entities).alias("e")).select("row", "e.*")
+    # Only what the entity alone doesn't tell has to be looked up: each text gets that of its own.
+    told = stage(assign(each, key).where("attempt > 0 or gender is not null").select("kind", "canon", "gender", "attempt"), "drawn")
+    own = each.select("row", "kind", "canon").distinct().join(told, ["kind", "canon"])
+    own = own.groupBy(F.col("row").alias(own_row)).agg(F.collect_list(F.struct("kind", "canon", "gender", "attempt")).alias(drawn))
+    some = found.where(F.size(spans) > 0).join(own, F.col(row) == F.col(own_row), "left").select(*docs.columns, spans, drawn)
+    at, n = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):
         for b in batches:
-            extra = b.column(n).to_pylist() if len(names) > n else [None] * b.num_rows
-            got = [replaced(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in e or ()}) for t, e in zip(b.column(at).to_pylist(), extra, strict=True)]
-            columns = b.columns[:n]
-            columns[at] = pa.array([g[0] for g in got], b.schema.field(at).type)
-            spans = pa.array([[{"start": s, "end": e, "kind": k} for s, e, k in g[1]] for g in got], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])))
-            yield pa.RecordBatch.from_arrays([*columns, spans], names=[*names[:n], "_spans"])
+            where, looked = b.column(n).to_pylist(), b.column(n + 1).to_pylist()
+            got = []
+            for text, own, known in zip(b.column(at).cast(pa.string()).to_pylist(), where, looked, strict=True):
+                known = {(x["kind"], x["canon"]): (x["gender"], x["attempt"]) for x in known or ()}
+                got.append(replaced(text, key, known, [(x["start"], x["end"], x["kind"]) for x in own])[0])
+            columns = b.columns[: n + 1]
+            columns[at] = pa.array(got, b.schema.field(at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[: n + 1])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return plain.mapInArrow(run, f"{schema}, _spans array<struct<start:int,end:int,kind:string>>")
+    new = some.mapInArrow(run, StructType([f for f in some.schema.fields if f.name != drawn]))
+    return new.unionByName(found.where(F.size(spans) == 0).select(*docs.columns, spans))
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text pseudonymised and the number of entities replaced."""
-    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
     return out.select("doc_id", "text", F.size("_spans").alias("n_entities"))

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import time
@@ -131,3 +132,69 @@ def test_licences_are_found_and_inherited(spark):
     assert got["q/z.txt"] == got["top.txt"] == got[""] == got["ab/x.txt"] == (None, "none", None)
     assert got["v/LICENSE"][0] == "GPL-3.0" and got["v/" + "deep/" * 40 + "f.txt"] == ("GPL-3.0", "inherited", "v")
     assert len(got) == len({r[0] for r in rows}) and lic.licensed(files.limit(0)).count() == 0
+
+
+GPL = """/*
+ * This program is free software: you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License as
+ * published by the Free Software Foundation, either version 3 of
+ * the License, or (at your option) any later version.
+ */
+int main() { return 0; }"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software."""
+BSD = """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions
+# are met:
+# * Neither the name of the copyright holder nor the names of its
+#   contributors may be used to endorse or promote products derived from
+#   this software without specific prior written permission."""
+FOUND = {
+    "wrapped/gpl3.c": (GPL, "GPL-3.0"), "wrapped/gpl2.c": (GPL.replace("version 3", "version 2"), "GPL-2.0"), "wrapped/agpl.c": (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), "wrapped/bsd.py": (BSD, "BSD-3-Clause"), "wrapped/mit.txt": (MIT, "MIT"),
+    "wrapped/apache.py": ("# Copyright 2021 Jane Doe. Licensed under the Apache\n# License, Version 2.0 (the \"License\"); you may not use this file\n# except in compliance with the License.\nx = 1", "Apache-2.0"),
+    "in/a": ("Copyright 2021 Jane Doe. Licensed under the Apache License, Version 2.0.", "Apache-2.0"), "in/b": ("// This file is part of Foo. Released under the MIT License.", "MIT"), "in/c": ("Copyright 2020 Acme Inc. Released under the MIT License. All rights reserved.", "MIT"),
+    "spdx/a": ("// SPDX-License-Identifier: MIT\nlong text follows " * 3, "MIT"), "spdx/b": ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), "spdx/c": ("SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"), "spdx/d": ("SPDX-License-Identifier: EUPL-1.2", None),
+    "no/a": ("A license to use this version under the work", None), "no/b": ("permission is hereby asked of any person", None), "no/c": (None, None), "no/d": ("license " * 3000, None),
+}
+
+
+def test_wrapped_embedded_and_named_licences(spark):
+    files = spark.createDataFrame([(p, t, 1, 2) for p, (t, _) in FOUND.items()] + [(f"prose/{i}/x", "the use of this work is free to any person under the sun", 1, 2) for i in range(50)], "path string, text string, th int, start int")
+    got = {r["path"]: (r["license"], r["how"]) for r in lic.licensed(files).collect()}
+    own = {p: (got[p][0] if got[p][1] == "own" else None) for p in FOUND}
+    assert own == {p: v for p, (_, v) in FOUND.items()}
+
+
+def test_cosines_by_brute_force(spark):
+    r = random.Random(4)
+    words = "the license under version work released mit of and software permission granted free".split()
+    texts = {f"d{i}/f": " ".join(r.choice(words) for _ in range(r.randint(0, 60))) + r.choice(["", " Released under the MIT License. ", " This work is licensed under the GNU General Public License, version 3", "\nPermission is hereby granted, free of charge, to any person"]) for i in range(60)}
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    docs, n = {p: split(t) for p, t in texts.items()}, len(texts)
+    idf = lambda t: math.log((n + 1) / (sum(t in d for d in docs.values()) + 1)) + 1 if any(t in split(s) for _, s, _ in lic.TEMPLATES) else math.log(n + 1) + 1
+    idfs = {t: idf(t) for t in {t for d in docs.values() for t in d} | {t for _, s, _ in lic.TEMPLATES for t in split(s)}}
+    vector = lambda terms: {t: terms.count(t) * idfs[t] for t in terms}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for p, d in docs.items():
+        for license, statement, least in lic.TEMPLATES:
+            own = split(statement)
+            v = vector(own)
+            order, heavy = sorted(v, key=lambda t: (v[t], t)), set()
+            for i in range(len(order)):
+                if norm({t: v[t] for t in order[: i + 1]}) / norm(v) >= least * 0.999:
+                    heavy.add(order[i])
+            for start in {at - o for at, t in enumerate(d) for o, x in enumerate(own) if x == t and t in heavy}:
+                inside = vector(d[max(0, start) : start + len(own)])
+                cosine = round(sum(x * v.get(t, 0) for t, x in inside.items()) / norm(v) / norm(inside), 6)
+                if cosine >= least:
+                    want[p] = min(want.get(p, (0, "z")), (-cosine, license))
+    got = {x["path"]: (-x["cosine"], x["license"]) for x in lic.licensed(spark.createDataFrame(list(texts.items()), "path string, text string")).where("how = 'own'").collect()}
+    assert len(got) > 30 and set(got) == set(want) and all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 2e-6 for p in got)

@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -29,6 +30,7 @@ def test_captures_round_trip(spark, pages, tmp_path):
     ids = {r["capture_id"]: r["metadata"]["page_id"] for r in rows}
     for r in rows:
         page = r["metadata"]["page_id"]
+        assert r["response"]["payload_bytes"] in (None, len(html[page])) and r["response"]["payload_sha1"] in (None, hashlib.sha1(html[page]).hexdigest())
         assert r["response"]["http_length"] == len(html[page]) and r["response"]["digest"] == "sha1:" + hashlib.sha1(html[page]).hexdigest()
         assert r["request"]["http"].startswith("GET /")
         if r["response"]["type"] == "revisit":
@@ -37,14 +39,48 @@ def test_captures_round_trip(spark, pages, tmp_path):
             assert bytes(r["response"]["payload"]) == html[page]
 
 
-def test_reader_takes_members_and_stops_at_a_break():
+def test_reader_takes_members_and_reports_a_break():
     one = b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
-    assert [b for _, b in warc.parse_records(gzip.compress(one) + gzip.compress(one))] == [b"abc"] * 2
-    assert [b for _, b in warc.parse_records(one + one[:-9])] == [b"abc"]
+    read = lambda data: [(h["warc-type"], b) for h, b in warc.parse_records(data)]
+    whole = ("metadata", b"abc")
+    assert read(gzip.compress(one) + gzip.compress(one)) == [whole] * 2 and read(b"") == []
+    assert read(one + one[:-9]) == [whole, ("broken", one[:-9])] and read(one + b"WARC/1.0\r\nx") == [whole, ("broken", b"WARC/1.0\r\nx")]
+    assert read(one.replace(b"3", b"x")) == [("broken", one.replace(b"3", b"x"))]
+    assert read(gzip.compress(one) + gzip.compress(one)[:-12]) == [whole, ("broken", b"")] or read(gzip.compress(one) + gzip.compress(one)[:-12])[0] == whole
+    assert read(gzip.compress(one)[:-4]) == [whole, ("broken", b"")]
 
 
 def test_no_pages(spark, pages, tmp_path):
-    warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
+    path = f"file://{tmp_path}/none"
+    warc.write_archives(pages.limit(0), path)
+    assert warc.captures(spark, path).count() == 0 and warc.read_records(spark, path).count() == 0
+
+
+def test_query_on_no_pages_and_broken_archives(spark, pages, tmp_path):
+    pages.select("page_id", "url", "html").limit(0).write.parquet(f"file://{tmp_path}/pages.parquet")
+    assert warc.op6_transactions(spark, f"file://{tmp_path}").count() == 0
+    path = f"{tmp_path}/warc"
+    warc.write_archives(pages, f"file://{path}")
+    victim = next(f for f in sorted(os.listdir(f"{path}/size=0/kind=request")) if f.endswith(".gz"))
+    data = open(f"{path}/size=0/kind=request/{victim}", "rb").read()
+    os.remove(f"{path}/size=0/kind=request/.{victim}.crc")
+    with open(f"{path}/size=0/kind=request/{victim}", "wb") as f:
+        f.write(gzip.compress(gzip.decompress(data)[:-20]))
+    assert warc.read_records(spark, f"file://{path}").where("type = 'broken'").count() == 1
+    assert warc.captures(spark, f"file://{path}").count() == pages.count()
+
+
+def test_large_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 4000)
+    monkeypatch.setattr(warc, "SIZES", [1000, 2000])
+    sizes = [10] * 9 + [1500] * 5 + [9000] * 3
+    df = spark.createDataFrame([(i, "http://x.example/", chr(97 + i) * n) for i, n in enumerate(sizes)], "page_id long, url string, html string").coalesce(1)
+    path = f"file://{tmp_path}/warc"
+    warc.write_archives(df, path)
+    got = {r["metadata"]["page_id"]: bytes(r["response"]["payload"]).decode() for r in warc.captures(spark, path).collect()}
+    assert got == {i: chr(97 + i) * n for i, n in enumerate(sizes)}
+    count = lambda k: len([f for f in os.listdir(f"{tmp_path}/warc/size={k}/kind=capture") if f.endswith(".gz")])
+    assert (count(0), count(1), count(2)) == (3, 3, 3)
 
 
 @given(st.integers(2, 5000), st.integers(0, 10**6))
@@ -77,9 +113,9 @@ def test_names_of_any_alphabet_and_without_titles():
     assert [text[a:z] for a, z, _ in spans] == ["Smith", "John Smith", "SMITH", "Smith", "John", "Anna Nowak-Łoś", "Kovačević", "Łukasz", "McDonald", "Ölçer", "ПЕТРОВ", "Петров", "O'Brien", "Kovačević", "O'Brien"]
     for gone in ("Smith ", "Smith,", "SMITH", "John", "Nowak", "čević", "Łukasz", "Donald", "Ölçer", "етров", "ЕТРОВ", "Brien"):
         assert gone not in new
-    last = pii.surrogate("last:latin", "smith", 0, b"key")
+    last = pii.surrogate("last:latin", "smith", None, 0, b"key")
     assert new.lower().count(last) == 4 and new.startswith(last.capitalize()) and f"{last.upper()}'s son, Smithson" in new
-    assert pii.surrogate("last:cyrillic", "петров", 0, b"key").upper() in new
+    assert pii.surrogate("last:cyrillic", "петров", None, 0, b"key").upper() in new
     clean = "Smith, Paul and the Paul of 1990; Maria went, Version Two"
     assert pii.replaced(clean, b"key") == (clean, [])
 
@@ -89,8 +125,8 @@ def test_collisions_are_resolved(spark, monkeypatch):
     monkeypatch.setitem(pii._ENDINGS, "latin", ["ton"])
     pii.surrogate.cache_clear()
     real = pii.surrogate
-    names = [(f"last:latin", f"name{i}") for i in range(18)]
-    df = spark.createDataFrame(names, "kind string, canon string")
+    names = [("last:latin", f"name{i}", None) for i in range(18)]
+    df = spark.createDataFrame(names, "kind string, canon string, gender string")
     got = pii.assign(df, b"few").collect()  # 27 surnames for 18 people
     pii.surrogate.cache_clear()
     assert real is pii.surrogate and len(got) == 18
@@ -107,9 +143,9 @@ def test_more_entities_than_short_surrogates(spark, monkeypatch):
         return real(df, name)
 
     monkeypatch.setattr(pii, "stage", stage)
-    rows = [("first:latin:m", f"first{i}") for i in range(2000)] + [("email", f"{c}@x.{tld}") for c in "%abcdefghijklmnopqrstuvwxyz" for tld in ("com", "org", "net")]
-    rows += [("secret", "-" * 12), ("secret", "_" * 12)]
-    got = pii.assign(spark.createDataFrame(rows, "kind string, canon string"), b"many").collect()
+    rows = [("first:latin", f"first{i}") for i in range(5000)] + [("email", f"{c}@x.{tld}") for c in "%abcdefghijklmnopqrstuvwxyz" for tld in ("com", "org", "net")]
+    rows += [("secret", "-" * 12), ("secret", "_" * 12), ("ip6", "2001:db8::1"), ("iban", "DE89370400440532013000")]
+    got = pii.assign(spark.createDataFrame([(*r, "m") for r in rows], "kind string, canon string, gender string"), b"many").collect()
     assert {(r["kind"], r["canon"]) for r in got} == set(rows) and len(got) == len(rows)
     assert len({(r["kind"], r["new"]) for r in got}) == len(rows) and all(r["new"] != r["canon"] for r in got)
 
@@ -119,24 +155,73 @@ def test_permutation_leaves_none_in_its_place(n):
     assert all(pii.permute(v, n, b"k", t) != v for v in range(n) for t in ("a", "b"))
 
 
+def test_numbers_are_valid_before_and_after():
+    text = "Card 4111 1111 1111 1111, no card 4111 1111 1111 1112; DE89 3704 0044 0532 0130 00 not DE89 3704 0044 0532 0130 01; fe80::1ff:fe23:4567:890a at 12:30:45 or a::b; 06 12 34 56 78, 030/1234567"
+    new, spans = pii.replaced(text, b"key")
+    assert [(k, text[a:z]) for a, z, k in spans] == [("card", "4111 1111 1111 1111"), ("iban", "DE89 3704 0044 0532 0130 00"), ("ip6", "fe80::1ff:fe23:4567:890a"), ("phone", "06 12 34 56 78"), ("phone", "030/1234567")]
+    assert [k for _, _, k in pii.find(new)] == [k for _, _, k in spans] and new != text
+
+
+def test_one_surrogate_for_a_name_whatever_its_title(spark):
+    rows = [(1, "Mrs Tamsin Lopez met Dr Tamsin Lopez"), (2, "Dr Tamsin Lopez"), (3, "Mr Tamsin Kay"), (4, "Ms Tamsin Kay"), (5, "Mr Odo Fitz and Herr Odo Zett"), (6, "г-жа Петрова, г-н Петров")]
+    got = {r["doc_id"]: r["text"].split() for r in pii.pseudonymised(spark.createDataFrame(rows, "doc_id long, text string"), b"k").collect()}
+    first = {got[1][1], got[1][5], got[2][1], got[3][1], got[4][1]}
+    assert len(first) == 1 and first.pop().lower().endswith(tuple(pii._GENDERED["latin"]["f"])), got
+    assert got[1][2] == got[1][6] == got[2][2] and got[3][2] == got[4][2] != got[1][2]
+    assert got[5][1] == got[5][5] and got[5][1].lower().endswith(tuple(pii._GENDERED["latin"]["m"]))
+    assert got[6][1].strip(",").endswith("а") and not got[6][3].endswith("а")
+
+
+def by_hand(texts, key):
+    """The whole table's surrogates, with plain Python."""
+    told = defaultdict(Counter)
+    for t in texts:
+        for p in dict.fromkeys(p for a, z, k in pii.find(t or "") for p in pii.parts(k, t[a:z])):
+            told[p[:2]][p[2]] += 1
+    now = {e: (None if e in pii.LISTED or not c["m"] + c["f"] else "m" if c["m"] >= c["f"] else "f", 0) for e, c in told.items()}
+    while True:
+        new = defaultdict(list)
+        for e, d in now.items():
+            new[e[0], pii.surrogate(*e, *d, key)].append(e[1])
+        lost = [(k, c) for (k, v), cs in new.items() for c in cs if c == v or c != min(x for x in cs if x != v)]
+        if not lost:
+            return now
+        for e in lost:
+            now[e] = (now[e][0], now[e][1] + 1)
+
+
+def test_the_whole_table_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    names = ["Abo", "Eda", "Ika", "Olu", "Una", "Yri", "Paul", "Maria"]
+    more = [(10**6 + i, f"{['Mr', 'Mrs', 'Dr'][i % 3]} {names[i % 8]}{chr(97 + i % 23)} Tor{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} wrote to u{i % 90}@mail{i % 7}.org and 10.0.{i % 9}.{i % 200}") for i in range(3000)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    drawn = by_hand(texts.values(), b"table")
+    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(rows, b"table").collect()}
+    assert got == {i: pii.replaced(t, b"table", drawn)[0] for i, t in texts.items()}
+    new = Counter((e[0], pii.surrogate(*e, *d, b"table")) for e, d in drawn.items())
+    assert max(new.values()) == 1 and len(new) > 300 and any(a for _, a in drawn.values())
+
+
 def test_pseudonymised_rows(docs, spark, empty):
-    extra = spark.createDataFrame([(100, "call +1 (171) 555-2028 or Mr John Nobody"), (100, "Mr John Nobody"), (None, "a@b.cd")], "doc_id long, text string")
-    df = docs.select("doc_id", "text", "path").unionByName(extra, allowMissingColumns=True)
-    out = pii.pseudonymised(df)
-    assert out.columns == [*df.columns, "_spans"] and out.count() == df.count()
-    rows = {(r["doc_id"], len(r["_spans"])): r["text"] for r in out.where("doc_id = 100").collect()}
+    extra = spark.createDataFrame([(100, "call +1 (171) 555-2028 or Mr John Nobody"), (100, "Mr John Nobody"), (None, "a@b.cd"), (None, "Mr Vik Low"), (None, "Mr Vik Low")], "doc_id long, text string")
+    df = docs.unionByName(extra, allowMissingColumns=True)
+    out = pii.pseudonymised(df, b"k")
+    assert out.columns[:-1] == df.columns and out.columns[-1] == "__spans" and out.count() == df.count()
+    rows = {(r["doc_id"], len(r["__spans"])): r["text"] for r in out.where("doc_id = 100").collect()}
     assert rows[100, 2].split("Mr ")[1] == rows[100, 1].split("Mr ")[1]
-    same = out.where("size(_spans) = 0").select("doc_id", "text")
-    assert same.exceptAll(df.select("doc_id", "text")).count() == 0 and pii.pseudonymised(empty).count() == 0
+    same = out.where("size(__spans) = 0").drop("__spans")
+    assert same.exceptAll(df).count() == 0 and pii.pseudonymised(empty, b"k").count() == 0
+    assert len({r["text"] for r in out.where("doc_id is null and text like 'Mr %'").collect()}) == 1
 
 
-def test_attempts_reach_the_texts(spark, monkeypatch):
+def test_drawn_attempts_reach_the_texts(spark, monkeypatch):
     real = pii.assign
-    monkeypatch.setattr(pii, "assign", lambda found, key: real(found, key).selectExpr("kind", "canon", "1 as attempt", "new"))
-    df = spark.createDataFrame([(1, "Mr Smith"), (None, "Mr Smith"), (2, "none")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in pii.pseudonymised(df).collect()}
-    want = "Mr " + pii.surrogate("last:latin", "smith", 1, pii.KEY).capitalize()
-    assert got == {1: want, None: want, 2: "none"}
+    monkeypatch.setattr(pii, "assign", lambda found, key: real(found, key).selectExpr("kind", "canon", "gender", "1 as attempt", "new"))
+    df = spark.createDataFrame([(1, "Mr Smith"), (None, "Mr Smith"), (2, "none"), (None, None)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in pii.pseudonymised(df, b"k").collect())
+    want = "Mr " + pii.surrogate("last:latin", "smith", None, 1, b"k").capitalize()
+    assert got == Counter([(1, want), (None, want), (2, "none"), (None, None)])
 
 
 @given(st.lists(st.integers(0, 50), min_size=1, max_size=5), st.integers(1, 6))
@@ -148,20 +233,77 @@ def test_flow_moves_the_fewest_bytes(have, m):
     assert sum(flow[i][i] for i in range(min(len(have), m))) == stays
 
 
+@given(st.lists(st.integers(-5, 50), min_size=1, max_size=9), st.integers(0, 60))
+def test_rooms_are_what_is_needed(left, less):
+    lacking = sum(max(0, x) for x in left)
+    need = max(0, lacking - less)
+    got = sharding.rooms(left, need)
+    assert sum(got) == need and all(0 <= g <= max(0, x) for g, x in zip(got, left, strict=True))
+
+
+@given(st.integers(0, 10**9), st.lists(st.integers(-5, 50), min_size=1, max_size=9))
+def test_shares_add_up(have, room):
+    got = sharding.shares(have, room)
+    assert sum(got) == have and len(got) == len(room) and all(g >= 0 for g in got)
+
+
 def test_resharding(docs, empty, spark, tmp_path):
     layout = sharding.resharded(docs, shards=5, old_shards=3)
     rows = layout.rows.collect()
     assert sum(r["copies"] for r in rows) == docs.count()
-    slots = defaultdict(list)
+    slots, places = defaultdict(list), defaultdict(list)
     for r in rows:
         slots[r["shard"]] += range(r["slot"], r["slot"] + r["copies"])
+        places[r["shard"]].append((r["slot"], r["place"], r["size"] * r["copies"]))
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    files = sharding.rewritten(docs, layout, f"file://{tmp_path}/s").collect()
-    assert Counter((r["doc_id"], r["_shard"]) for r in files) == Counter({(r["doc_id"], r["shard"]): 0 for r in rows} | {}) + sum((Counter({(r["doc_id"], r["shard"]): r["copies"]}) for r in rows if r["shard"] != r["old_shard"]), Counter())
-    assert all(r["_slot"] in slots[r["_shard"]] for r in files)
+    for v in places.values():
+        at = 0
+        for _, place, n in sorted(v):
+            assert place == at
+            at += n
+    files, shard, slot = sharding.rewritten(docs, layout, f"file://{tmp_path}/s", 5, 3000)
+    got = files.collect()
+    assert Counter((r["doc_id"], r[shard]) for r in got) == sum((Counter({(r["doc_id"], r["shard"]): r["copies"]}) for r in rows if r["shard"] != r["old_shard"]), Counter())
+    assert all(r[slot] in slots[r[shard]] for r in got) and len({(r[shard], r[slot]) for r in got}) == len(got)
+    assert set(files.columns) == {*docs.columns, shard, slot}
     assert sharding.resharded(empty).rows.count() == 0
 
 
+def test_repeated_rows_of_one_text_are_numbered_in_parts(spark):
+    df = spark.createDataFrame([(None, 7, 10)] * 400 + [(1, 7, 3)] * 3, "a int, b int, slot long").repartition(7)
+    got = Counter((r["a"], r["slot"]) for r in sharding._numbered(df, "slot", ["a", "b"]).collect())
+    assert got == Counter({(None, 10 + i): 1 for i in range(400)} | {(1, 3 + i): 1 for i in range(3)})
+
+
+def test_query_on_repeats_and_nulls(docs, empty, spark, tmp_path):
+    more = docs.select("doc_id", "text").unionByName(docs.select("doc_id", "text").where("doc_id is null or doc_id = 5"))
+    more.write.parquet(f"file://{tmp_path}/documents.parquet")
+    got = sharding.op10_resharding(spark, f"file://{tmp_path}").collect()
+    text = lambda t: (t or "").encode()
+    want = Counter((r["doc_id"], len(text(r["text"])) + 8, zlib.crc32(text(r["text"]))) for r in more.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == want
+    slots = defaultdict(list)
+    for r in got:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    empty.select("doc_id", "text").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert sharding.op10_resharding(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_fewest_bytes_move_and_sizes_are_near_equal(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    layout = sharding.resharded(docs)
+    rows = layout.rows.toPandas()
+    weight = rows["size"] * rows["copies"]
+    have, now = weight.groupby(rows["old_shard"]).sum(), weight.groupby(rows["shard"]).sum()
+    room = sharding.even(int(weight.sum()), 24)
+    assert layout.least == sum(max(0, h - room[i]) for i, h in have.items())
+    assert layout.moved == weight[rows["shard"] != rows["old_shard"]].sum()
+    # Blocks end within half a small document; the flow has at most a transfer for each shard.
+    assert abs(layout.moved - layout.least) <= 40 * 1024 and layout.moved <= 1.02 * layout.least
+    assert now.max() - now.min() <= 2048 and len(now) == 24
+
+
 def test_near_equal_bytes_and_sizes(spark):
     d = "/root/testdata/sf0.001"
     got, text = sharding.op10_resharding(spark, d).collect(), {r["doc_id"]: r["text"].encode() for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
