@@ -19,11 +19,11 @@ def _sql_rescale(x: str, num1, den1, num2, den2) -> str:
 
 
 def load_media_tables(spark, d):
-    kept = tracks.load_packets(media.packets(spark, d), streams=list(range(50)), kinds=["video", "audio"])
+    kept = tracks.load_packets(media.packets(spark, d), kinds=["video", "audio"])
     return kept.groupBy("stream_id", "kind").agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"))
 
 
-LOAD = "select stream_id, kind, count(*) as packets, cast(sum(size) as bigint) as bytes from packets where stream_id < 50 and kind in ('video', 'audio') group by all"
+LOAD = "select stream_id, kind, count(*) as packets, cast(sum(size) as bigint) as bytes from packets where kind in ('video', 'audio') group by all"
 
 
 def select_tracks(spark, d):
@@ -93,7 +93,7 @@ DURATIONS = f"select seq, case when duration <> 0 then duration when seq % 61 >
 
 
 def interleaved(spark, d):
-    return tracks.interleave(media.packets(spark, d)).select("stream_id", "track_id", "seq", "file_seq")
+    return tracks.interleave(media.packets(spark, d), bucket_ns=7 * DAY * 1000).select("stream_id", "track_id", "seq", "file_seq")
 
 
 INTERLEAVED = "select stream_id, track_id, seq, row_number() over (partition by stream_id order by dts, track_id, seq) as file_seq from packets"
@@ -150,10 +150,8 @@ CODECS = "select user_id as connection, event_type as codec from ev where event_
 
 
 def _segmented(spark, d):
-    kept = tracks.select_tracks(media.packets(spark, d), media.streams(spark, d))
-    # Cuts count from the stream's first packet of any kind.
-    cuts = segments.keyframe_cuts(media.packets(spark, d), DAY).withColumnRenamed("at", "pts")
-    return segments.asof(kept, cuts, ["stream_id"], "pts", F.col("segment"), bucket=7 * DAY).withColumnRenamed("known", "segment")
+    wanted = media.streams(spark, d).where("kind in ('video', 'audio')")
+    return segments.segment(media.packets(spark, d), DAY, bucket=7 * DAY, tracks=wanted)
 
 
 def cut_table(spark, d):

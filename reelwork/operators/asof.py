@@ -2,7 +2,7 @@
 
 A stream may be longer than one task should sort. With ``bucket`` the order column is cut into
 buckets; each (key, bucket) is a partition of its own, and what an earlier bucket knew last is
-carried in from a table with one row per key and bucket.
+carried in as one more row, or from a table with one row per key and bucket.
 """
 
 from __future__ import annotations
@@ -11,29 +11,62 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _start(order: str, bucket: int) -> Column:
+    """Where a value's bucket begins; exact for all 64 bits."""
+    return F.col(order) - F.pmod(F.col(order), F.lit(bucket).cast("bigint"))
+
+
+def _earlier(keys: list[str]):
+    """All earlier buckets of the keys: their beginnings are lower."""
+    return Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
+
+
 def last_known(rows: DataFrame, value: str, keys: list[str], order: list[str], bucket: int | None = None) -> DataFrame:
     """``rows`` with ``value`` replaced by its last non-null one, at or before each row in order."""
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
-    cut = rows.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
-    best = cut.where(F.col(value).isNotNull()).groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_v"))
-    parts = cut.select(*keys, "_bucket").distinct().join(best, [*keys, "_bucket"], "left")
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = parts.withColumn("_carry", F.last("_v", ignorenulls=True).over(before)).drop("_v")
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    known = cut.join(carried, [*keys, "_bucket"]).withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(w), "_carry"))
+    return _carried(rows, value, keys, order, bucket, 0, value)
+
+
+def previous(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, bucket: int | None = None) -> DataFrame:
+    """``rows`` with ``value`` of the last earlier row of the keys that has one, as ``name``."""
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    return _carried(rows, value, keys, order, bucket, -1, name)
+
+
+def _carried(rows: DataFrame, value: str, keys: list[str], order: list[str], bucket: int, upto: int, name: str) -> DataFrame:
+    cut = rows.withColumn("_bucket", _start(order[0], bucket))
+    parts = cut.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_v"))
+    carried = parts.withColumn("_carry", F.last("_v", ignorenulls=True).over(_earlier(keys))).drop("_v")
+    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+    known = cut.join(carried, [*keys, "_bucket"]).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "_carry"))
     return known.drop("_bucket", "_carry")
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: Column, tie: str | None = None, bucket: int | None = None) -> DataFrame:
     """Each row of ``left`` with column ``known``: ``value`` of the last row of ``right`` with the
-    same keys and ``at`` no later (of equal ones that with the highest ``tie``), else null."""
+    same keys and ``at`` no later (of equal ones that with the highest ``tie``), else null. With a
+    bucket, left is read twice (its buckets, its rows) and right twice (the last value of each bucket,
+    its rows); rows with a null key or time then get null."""
     names = left.columns
-    events = right.select(*keys, at, F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"), value.alias("known"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names if c not in (*keys, at)])
+    events = right.select(*keys, at, F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"), value.alias("known"))
+    rest = [c for c in names if c not in (*keys, at)]
+    blank = lambda df: df.select("*", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest])
     asks = left.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("bigint")).withColumn("known", F.lit(None).cast(events.schema["known"].dataType))
-    both = events.unionByName(asks.select(*events.columns))
-    return last_known(both, "known", keys, [at, "_side", "_tie"], bucket).where("_side = 1").select(*names, "known")
+    both = blank(events).unionByName(asks)
+    if bucket is None:
+        return last_known(both, "known", keys, [at, "_side", "_tie"]).where("_side = 1").select(*names, "known")
+    # What was known last before each bucket of left is one more row, at the bucket's beginning.
+    best = events.withColumn("_bucket", _start(at, bucket)).groupBy(*keys, "_bucket").agg(F.max_by("known", F.when(F.col("known").isNotNull(), F.struct(at, "_tie"))).alias("_v"))
+    parts = left.select(*keys, _start(at, bucket).alias("_bucket")).distinct().withColumn("_asked", F.lit(True))
+    marks = best.unionByName(parts, allowMissingColumns=True).withColumn("known", F.last("_v", ignorenulls=True).over(_earlier(keys))).where("_asked and known is not null")
+    carried = marks.select(*keys, F.col("_bucket").cast(left.schema[at].dataType).alias(at), F.lit(-1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), "known")
+    rows = both.unionByName(blank(carried)).withColumn("_bucket", _start(at, bucket))
+    w = Window.partitionBy(*keys, "_bucket").orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("known", F.last("known", ignorenulls=True).over(w)).where("_side = 1").select(*names, "known")
 
 
 def running_sum(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, bucket: int | None = None) -> DataFrame:
@@ -41,9 +74,8 @@ def running_sum(rows: DataFrame, value: str, keys: list[str], order: list[str],
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cut = rows.withColumn("_bucket", F.floor(F.col(order[0]) / bucket))
+    cut = rows.withColumn("_bucket", _start(order[0], bucket))
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(_earlier(keys)), F.lit(0))).drop("_s")
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return cut.join(base, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_bucket", "_base")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof
+from .staging import stage
 
 
 def keyframe_cuts(packets: DataFrame, duration: int, kind: str = "video") -> DataFrame:
@@ -15,26 +18,41 @@ def keyframe_cuts(packets: DataFrame, duration: int, kind: str = "video") -> Dat
 
     A new one begins at the first keyframe of ``kind`` that is at least ``duration`` after the
     current one's beginning: greedy, no fixed grid. A stream without packets of ``kind`` may cut at
-    any packet. Only possible cut points (one per group of pictures) reach the helper, which jumps
-    from cut to cut.
+    any packet. Only possible cut points (one per group of pictures) reach the helper, sorted in
+    partitions by stream; it jumps from cut to cut and carries only the last one from batch to batch.
+    Packets without a stream are in no segment.
     """
-    first = packets.groupBy("stream_id").agg(F.min("pts").alias("first"), F.max((F.col("kind") == kind).cast("int")).alias("has"))
+    first = packets.where("stream_id is not null").groupBy("stream_id").agg(F.min("pts").alias("first"), F.max((F.col("kind") == kind).cast("int")).alias("has"))
     points = packets.join(first, "stream_id").where((F.col("has") == 0) | ((F.col("kind") == kind) & F.col("is_key"))).select("stream_id", "first", "pts").where("pts is not null")
     starts = first.where("first is not null").select("stream_id", "first", F.col("first").alias("pts"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, cuts = np.sort(pdf["pts"].to_numpy(np.int64)), [int(pdf["first"].iloc[0])]
-        while (i := np.searchsorted(at, cuts[-1] + duration)) < len(at):
-            cuts.append(int(at[i]))
-        return pd.DataFrame({"stream_id": pdf["stream_id"].iloc[0], "segment": np.arange(len(cuts)), "at": cuts})
-
-    return points.unionByName(starts).groupBy("stream_id").applyInPandas(run, "stream_id long, segment long, at long")
-
-
-def segment(packets: DataFrame, duration: int, kind: str = "video", bucket: int | None = None) -> DataFrame:
-    """``packets`` with their segment; all tracks of a stream are cut together."""
-    cuts = keyframe_cuts(packets, duration, kind).withColumnRenamed("at", "pts")
-    return asof(packets, cuts, ["stream_id"], "pts", F.col("segment"), bucket=bucket).withColumnRenamed("known", "segment")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        stream, last, n = None, 0, 0
+        for pdf in batches:
+            streams, at, firsts = (pdf[c].to_numpy(np.int64) for c in ("stream_id", "pts", "first"))
+            edges = [*(np.flatnonzero(streams[1:] != streams[:-1]) + 1), len(streams)]
+            out, lo = [], 0
+            for hi in edges if len(streams) else []:
+                if streams[lo] != stream:
+                    stream, last, n = int(streams[lo]), int(firsts[lo]), 0
+                    out.append((stream, n, last))
+                while (i := lo + np.searchsorted(at[lo:hi], last + duration)) < hi:
+                    last, n = int(at[i]), n + 1
+                    out.append((stream, n, last))
+                lo = hi
+            yield pd.DataFrame(out, columns=["stream_id", "segment", "at"]).astype("int64")
+
+    rows = points.unionByName(starts).repartition("stream_id").sortWithinPartitions("stream_id", "pts")
+    return rows.mapInPandas(run, "stream_id long, segment long, at long")
+
+
+def segment(packets: DataFrame, duration: int, kind: str = "video", bucket: int | None = None, tracks: DataFrame | None = None) -> DataFrame:
+    """``packets`` with their segment; all tracks of a stream are cut together. ``tracks`` (stream_id,
+    track_id) are those that are kept: cuts count from the stream's first packet of any track. The
+    cuts are found once and written."""
+    cuts = stage(keyframe_cuts(packets, duration, kind), "cuts").withColumnRenamed("at", "pts")
+    kept = packets if tracks is None else packets.join(tracks.select("stream_id", "track_id").distinct(), ["stream_id", "track_id"], "left_semi")
+    return asof(kept, cuts, ["stream_id"], "pts", F.col("segment"), bucket=bucket).withColumnRenamed("known", "segment")
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:
@@ -75,7 +93,8 @@ def segment_name(pattern: str | Column, index: Column) -> Column:
 def playlist_text(segments: DataFrame, pattern: str = "segment_%05d.ts", base_url: str = "", kind: str | None = None, init: str | None = None, final: bool = False, ticks: int = 1_000_000) -> DataFrame:
     """(stream_id, playlist): one text per stream over its ``segments`` (stream_id, segment,
     duration in ticks, media_sequence). kind is the playlist type (EVENT or VOD), init names the
-    initialisation file, final ends the list."""
+    initialisation file, final ends the list. A playlist is one text, so all entries of a stream meet in
+    one row: a year of four-second segments is 8 million entries, some 400 MB."""
     if "%" in pattern and pattern.replace("%%", "").count("%") != 1:
         raise ValueError("the pattern needs one integer conversion")
     entry = F.concat(F.lit("#EXTINF:"), F.format_string("%.6f", F.col("duration") / ticks), F.lit(",\n"), F.lit(base_url), segment_name(pattern, F.col("segment")))

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.time import rescale, to_ns
-from .asof import asof, last_known, running_sum
+from .asof import asof, last_known, previous, running_sum
 
 NOMINAL_NS = 40_000_000
 
 
+def with_first(rows: DataFrame, value: str, keys: list[str], order: str, name: str, skip_nulls: bool = True) -> DataFrame:
+    """``rows`` with the first ``value`` of their keys as ``name``. It comes from one row per key, so
+    that no stream has to be sorted, or held, as a whole; rows with a null key get null."""
+    at = F.when(F.col(value).isNotNull(), F.col(order)) if skip_nulls else F.col(order)
+    return rows.join(rows.groupBy(*keys).agg(F.min_by(value, at).alias(name)), keys, "left")
+
+
 def pace_schedule(buffers: DataFrame, start_ns: str = "start_ns", keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """due_ns: the shared start plus the time since the stream's first pts; at once for an earlier
     pts, null without one. late_ns: arrival_ns minus that. error where it exceeds 64 bits."""
-    first = F.first("pts", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    since = to_ns(F.greatest(F.col("pts") - first, F.lit(0)), F.col("tb_num"), F.col("tb_den"))
-    out = buffers.withColumn("_since", since)
+    since = to_ns(F.greatest(F.col("pts") - F.col("_first"), F.lit(0)), F.col("tb_num"), F.col("tb_den"))
+    out = with_first(buffers, "pts", list(keys), "seq", "_first").withColumn("_since", since).drop("_first")
     due = F.col(start_ns).cast("decimal(20,0)") + F.col("_since")
     fits = due <= F.lit((1 << 63) - 1).cast("decimal(20,0)")
     out = out.withColumn("due_ns", F.when(fits, due).cast("bigint")).withColumn("error", F.when(F.col("pts").isNotNull() & ~F.coalesce(fits, F.lit(False)), "timestamp_overflow"))
@@ -32,41 +40,69 @@ def observed_duration(frames: DataFrame, resets: DataFrame | None = None, at: st
     if resets is not None:
         marks = resets.select("stream_id", "seq").withColumn("_r", F.lit(1))
         both = frames.withColumn("_r", F.lit(0)).unionByName(marks, allowMissingColumns=True)
-        epoch = F.sum("_r").over(Window.partitionBy("stream_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-        rows = both.withColumn("epoch", epoch).where("_r = 0").drop("_r")
-    step = F.col(at) - F.lag(at).over(Window.partitionBy("stream_id", "epoch").orderBy("seq"))
-    rows = last_known(rows.withColumn("duration_ns", F.when(step > 0, step)), "duration_ns", ["stream_id", "epoch"], ["seq"], bucket)
+        # A frame has the resets before it; of one place in the order the reset comes later.
+        rows = running_sum(both, "_r", ["stream_id"], ["seq", "_r"], "epoch", bucket).where("_r = 0").drop("_r")
+    keys = ["stream_id", "epoch"]
+    step = F.col(at) - F.col("_last")
+    rows = previous(rows, at, keys, ["seq"], "_last", bucket).withColumn("duration_ns", F.when(step > 0, step)).drop("_last")
+    rows = last_known(rows, "duration_ns", keys, ["seq"], bucket)
     return rows.withColumn("duration_ns", F.coalesce("duration_ns", F.lit(NOMINAL_NS).cast("bigint")))
 
 
 def playback_position(asks: DataFrame, samples: DataFrame, bucket: int | None = None) -> DataFrame:
-    """master and position_ns at each ask (stream_id, wall_ns): none before any sample; during
-    priming the position is held at the last one; then it runs on from the sample if that is running,
-    never beyond what was submitted. The first sample after priming never goes back behind the held
-    position."""
-    order = Window.partitionBy("stream_id").orderBy("wall_ns", "seq")
+    """master and position_ns at each ask (stream_id, wall_ns, and for frames seq and pts_ns).
+
+    Before any sample the wall clock is master: a stream's first frame sets the origin, its pts at its
+    time; an ask that is no frame finds none. Audio that registers (the first sample) takes over: while
+    it primes the position is held at the last one, audio's or the wall's; then it runs on from the
+    sample if that is running, never beyond what was submitted, and the first sample after priming
+    never goes back behind the held position. After a sample that ended (``ended``, where samples have
+    that column) the wall carries on from its position until the next one.
+    """
+    if "ended" not in samples.columns:
+        samples = samples.withColumn("ended", F.lit(False))
+    if "pts_ns" in asks.columns:
+        origin = asks.where("pts_ns is not null").groupBy("stream_id").agg(F.min(F.struct("wall_ns", "seq", "pts_ns")).alias("_o"))
+    else:
+        origin = asks.select("stream_id", F.struct("wall_ns", F.lit(None).cast("bigint").alias("seq"), F.lit(None).cast("bigint").alias("pts_ns")).alias("_o")).limit(0)
+    took = samples.groupBy("stream_id").agg(F.min("wall_ns").alias("_took"))
+    wall = lambda at: F.col("_o.pts_ns") + at - F.col("_o.wall_ns")
+    # One row per stream: its origin, and the wall's position when audio took over.
+    base = took.join(origin, "stream_id", "full").withColumn("_handed", F.when(F.col("_o.wall_ns") < F.col("_took"), wall(F.col("_took"))))
+
+    keys, order = ["stream_id"], ["wall_ns", "seq"]
     played = samples.withColumn("_own", F.when(~F.col("priming"), F.col("position_ns")))
-    played = last_known(played.withColumn("held", F.lag("_own").over(order)), "held", ["stream_id"], ["wall_ns", "seq"], bucket)
-    after = F.coalesce(F.lag("priming").over(order), F.lit(False)) & ~F.col("priming")
+    played = previous(previous(played, "_own", keys, order, "held", bucket), "priming", keys, order, "_primed", bucket)
+    played = played.join(base.select("stream_id", "_handed"), "stream_id", "left").withColumn("held", F.coalesce("held", "_handed"))
+    after = F.coalesce("_primed", F.lit(True)) & ~F.col("priming") & ~F.coalesce("ended", F.lit(False))
     played = played.withColumn("position_ns", F.when(after, F.greatest("position_ns", F.coalesce("held", "position_ns"))).otherwise(F.col("position_ns")))
     played = played.withColumn("submitted_ns", F.greatest("submitted_ns", "position_ns"))
-    value = F.struct(F.col("wall_ns").alias("since"), "position_ns", "submitted_ns", "running", "priming", "held")
-    got = asof(asks, played, ["stream_id"], "wall_ns", value, "seq", bucket)
-    run = F.col("known.position_ns") + F.when(F.col("known.running"), F.col("wall_ns") - F.col("known.since")).otherwise(F.lit(0))
-    master = F.when(F.col("known").isNull(), "none").when(F.col("known.priming"), "priming").otherwise("audio")
-    position = F.when(master == "priming", F.col("known.held")).when(master == "audio", F.least(run, F.col("known.submitted_ns")))
-    return got.withColumn("master", master).withColumn("position_ns", position).drop("known")
+    value = F.struct(F.col("wall_ns").alias("since"), "position_ns", "submitted_ns", "running", "priming", "held", F.coalesce("ended", F.lit(False)).alias("ended"))
+    got = asof(asks, played, keys, "wall_ns", value, "seq", bucket).join(base.select("stream_id", "_o"), "stream_id", "left")
+
+    elapsed = F.col("wall_ns") - F.col("known.since")
+    run = F.col("known.position_ns") + F.when(F.col("known.running"), elapsed).otherwise(F.lit(0))
+    position = (
+        F.when(F.col("known").isNull(), wall(F.col("wall_ns"))).when(F.col("known.priming"), F.col("known.held"))
+        .when(F.col("known.ended"), F.col("known.position_ns") + elapsed).otherwise(F.least(run, F.col("known.submitted_ns")))
+    )
+    master = (
+        F.when(F.col("known").isNull(), F.when(F.col("_o.pts_ns").isNull() | (F.col("wall_ns") < F.col("_o.wall_ns")), "none").otherwise("wall"))
+        .when(F.col("known.priming"), "priming").when(F.col("known.ended"), "wall").otherwise("audio")
+    )
+    return got.withColumn("master", master).withColumn("position_ns", F.when(F.col("master") != "none", position)).drop("known", "_o")
 
 
-def sync_video(frames: DataFrame, samples: DataFrame, bucket: int | None = None) -> DataFrame:
-    """decision of each frame (stream_id, seq, wall_ns, pts_ns) against the audio position when it
+def sync_video(frames: DataFrame, samples: DataFrame, bucket: int | None = None, seq_bucket: int | None = None) -> DataFrame:
+    """decision of each frame (stream_id, seq, wall_ns, pts_ns) against the playback position when it
     arrives, and wait_ns. Without a master a frame renders; while audio primes it holds; ahead, it
-    waits; later than one frame's duration it drops."""
-    timed = playback_position(observed_duration(frames, bucket=None), samples, bucket)
+    waits; later than one frame's duration it drops, but never where the wall is master."""
+    timed = playback_position(observed_duration(frames, bucket=seq_bucket), samples, bucket)
     ahead = F.col("pts_ns") - F.col("position_ns")
-    decision = (
-        F.when(F.col("master") == "none", "Render").when((F.col("master") == "priming") | F.col("position_ns").isNull(), "Hold")
-        .when(ahead > 0, "Wait").when(-ahead > F.col("duration_ns"), "Drop").otherwise("Render")
+    audio = F.col("master") == "audio"
+    decision: Column = (
+        F.when(F.col("master") == "none", "Render").when((F.col("master") == "priming") | (audio & F.col("position_ns").isNull()), "Hold")
+        .when(ahead > 0, "Wait").when(audio & (-ahead > F.col("duration_ns")), "Drop").otherwise("Render")
     )
     return timed.withColumn("decision", decision).withColumn("wait_ns", F.when(decision == "Wait", ahead))
 
@@ -91,15 +127,15 @@ def splice_timeline(packets: DataFrame, bucket: int | None = None) -> DataFrame:
 
 def zero_base(packets: DataFrame, keys: tuple[str, ...] = ("stream_id", "track_id")) -> DataFrame:
     """A track whose first pts is negative moves up so that it starts at 0; spacing stays."""
-    first = F.first("pts", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return packets.withColumn("pts", F.col("pts") + F.greatest(-first, F.lit(0)))
+    return with_first(packets, "pts", list(keys), "seq", "_first").withColumn("pts", F.col("pts") + F.greatest(-F.col("_first"), F.lit(0))).drop("_first")
 
 
 def contiguous_pts(frames: DataFrame, in_num: int, in_den: int, rate: int, bucket: int | None = None) -> DataFrame:
     """out_pts: the first pts in samples of ``rate`` (0 if none) and the samples before the frame.
     ``frames``: input, frame_idx, pts, n_samples."""
-    first = F.first("pts").over(Window.partitionBy("input").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    summed = running_sum(frames.withColumn("_first", F.coalesce(rescale(first, in_num, in_den, 1, rate), F.lit(0))), "n_samples", ["input"], ["frame_idx"], "_before", bucket)
+    based = with_first(frames, "pts", ["input"], "frame_idx", "_first", skip_nulls=False)
+    based = based.withColumn("_first", F.coalesce(rescale(F.col("_first"), in_num, in_den, 1, rate), F.lit(0)))
+    summed = running_sum(based, "n_samples", ["input"], ["frame_idx"], "_before", bucket)
     return summed.withColumn("out_pts", F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 
@@ -117,24 +153,37 @@ def cadence(ticks: DataFrame, interval: int) -> DataFrame:
     """The schedule of ticks (source, n, now): due of each and how many were missed before the next.
 
     The next is due one interval after the last; if that is past at ``now``, one interval from now.
-    One task per source; runs on time are filled in one step, only late ticks are looped over.
+    Ticks lie sorted in partitions by source and are folded batch by batch: only what is due last is
+    carried on, so a source of any length needs no more memory. Runs on time are filled in one step,
+    only late ticks are looped over. Ticks without a source or time are in no schedule.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n", kind="stable")
-        now = pdf["now"].to_numpy(np.int64)
-        due, missed = np.empty(len(now), np.int64), np.zeros(len(now), np.int64)
-        i, at = 0, now[0]
-        steps = np.arange(len(now), dtype=np.int64) * interval
-        slack = now - steps  # a tick is late if its own due plus one interval is before now
-        while i < len(now):
-            late = np.flatnonzero(slack[i:] > at - steps[i] + interval)
-            j = i + (late[0] if len(late) else len(now) - i - 1)
-            due[i : j + 1] = at + steps[: j - i + 1]
-            if len(late):
-                missed[j] = (now[j] - due[j]) // interval
-                at = now[j] + interval
-            i = j + 1
-        return pdf.assign(due=due, missed=missed)[["source", "n", "now", "due", "missed"]]
-
-    return ticks.select("source", "n", "now").groupBy("source").applyInPandas(run, "source long, n long, now long, due long, missed long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        source = next_due = None
+        for pdf in batches:
+            sources, now = pdf["source"].to_numpy(np.int64), pdf["now"].to_numpy(np.int64)
+            due, missed = np.empty(len(now), np.int64), np.zeros(len(now), np.int64)
+            for lo, hi in _runs(sources):
+                if sources[lo] != source:
+                    source, next_due = sources[lo], now[lo]
+                i, at = lo, next_due
+                while i < hi:
+                    steps = np.arange(hi - i, dtype=np.int64) * interval
+                    late = np.flatnonzero(now[i:hi] > at + steps + interval)
+                    j = i + (late[0] if len(late) else hi - i - 1)
+                    due[i : j + 1] = at + steps[: j - i + 1]
+                    if len(late):
+                        missed[j] = (now[j] - due[j]) // interval
+                    at = now[j] + interval if len(late) else due[j] + interval
+                    i = j + 1
+                next_due = at
+            yield pdf.assign(due=due, missed=missed)
+
+    sorted_ticks = ticks.where("source is not null and now is not null").select("source", "n", "now").repartition("source").sortWithinPartitions("source", "n")
+    return sorted_ticks.mapInPandas(run, "source long, n long, now long, due long, missed long")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """First place and end of each stretch of equal keys."""
+    ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1), len(keys)]
+    return [(lo, hi) for lo, hi in zip([0, *ends], ends, strict=False) if lo < hi]
