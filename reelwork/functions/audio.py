@@ -32,12 +32,14 @@ def _scaled(x: Column, gain: Column, fmt: str) -> Column:
         return x * gain
     low, high = RANGES[fmt]
     middle = 128 if fmt == "u8" else 0
-    return F.least(F.greatest(F.round((x - middle) * gain) + middle, F.lit(float(low))), F.lit(float(high))).cast("bigint")
+    y = F.greatest(F.round((x - middle) * gain) + middle, F.lit(float(low)))
+    return F.when(y >= float(high), F.lit(high)).otherwise(y.cast("bigint"))
 
 
 def apply_gain(samples: Column, gain: Column, fmt: str) -> Column:
     """Scales an array of samples. Integers round half away from zero and stay in range (u8 around
-    128); floats ('f32', 'f64') keep what exceeds 1."""
+    128), through doubles, so that 64-bit samples beyond 2 ** 53 are the nearest double's; floats
+    ('f32', 'f64') keep what exceeds 1."""
     return F.transform(samples, lambda x: _scaled(x.cast("double"), gain, fmt))
 
 

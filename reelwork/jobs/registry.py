@@ -7,7 +7,7 @@ from . import av_jobs, packet_jobs, report_jobs, stream_jobs
 JOBS = packet_jobs.QUERIES | av_jobs.QUERIES | report_jobs.QUERIES | stream_jobs.QUERIES
 #: Columns that are 32-bit in the jobs and would be 64-bit in the SQL.
 INTS = {
-    "interleave_tracks": ["file_seq"], "contiguous_pts": ["frame_idx"], "z_order": ["draw"], "chroma_key": ["row", "col"], "rgb_to_ycbcr": ["row", "col"], "composite_text": ["row", "col"], "top_detections": ["rank"],
+    "contiguous_pts": ["frame_idx"], "z_order": ["draw"], "chroma_key": ["row", "col"], "rgb_to_ycbcr": ["row", "col"], "composite_text": ["row", "col"], "top_detections": ["rank"],
     "write_segments": ["stream_id"], "write_playlist": ["stream_id"],
 }
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import effective_gain
@@ -19,13 +21,22 @@ def sample_rows(frames: DataFrame, *keep: str) -> DataFrame:
 def mix_audio(frames: DataFrame, size: int) -> DataFrame:
     """(mix_id, block, samples): the sum of all inputs sample by sample, clipped to -1 .. 1.
 
-    ``frames`` (mix_id, input, pts, samples) lie on a grid of ``size`` samples, so a block is the
-    unit that is shuffled and not a sample. Blocks are summed in the order of their inputs, which
-    makes float sums repeatable; a missing input is silence.
+    ``frames``: mix_id, input, pts, samples. They are cut where blocks of ``size`` samples end, so a
+    block's part is the unit that is shuffled and not a sample, and frames need not lie on the blocks'
+    grid nor have one length. Parts are summed in the order of their inputs, which makes float sums
+    repeatable; a missing input is silence.
     """
-    blocks = frames.groupBy("mix_id", (F.col("pts") / size).cast("bigint").alias("block")).agg(F.array_sort(F.collect_list(F.struct("input", "samples"))).alias("parts"))
+    n = F.lit(size).cast("bigint")
+    first, last = F.col("pts") - F.pmod("pts", n), F.col("pts") + F.size("samples") - 1
+    parts = frames.where(F.size("samples") > 0).withColumn("_start", F.explode(F.sequence(first, last - F.pmod(last, n), n)))
+    skip = F.greatest(F.col("_start") - F.col("pts"), F.lit(0))
+    take = F.least(F.col("_start") + size - F.col("pts"), F.size("samples")) - skip
+    own = F.slice("samples", (skip + 1).cast("int"), take.cast("int"))
+    part = F.struct("input", (F.col("pts") + skip - F.col("_start")).cast("int").alias("at"), own.alias("samples"))
+    blocks = parts.groupBy("mix_id", F.call_function("div", F.col("_start"), n).alias("block")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
     silence = F.array_repeat(F.lit(0.0), size)
-    total = F.aggregate("parts", silence, lambda acc, p: F.zip_with(acc, p["samples"], lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
+    placed = lambda p: F.concat(F.slice(silence, F.lit(1), p["at"]), p["samples"])
+    total = F.aggregate("parts", silence, lambda acc, p: F.zip_with(acc, placed(p), lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
     return blocks.select("mix_id", "block", F.transform(total, lambda v: F.greatest(F.least(v, F.lit(1.0)), F.lit(-1.0))).alias("samples"))
 
 
@@ -67,34 +78,35 @@ def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None) -> Dat
 
 
 def ramps(changes: DataFrame, ramp: int) -> DataFrame:
-    """(input, at, start_gain, target, step): the line that the gain follows from each change on.
+    """(input, at, start_gain, target, step, n): the line that the gain follows from each change on.
 
     ``changes``: input, at, gain, muted. A ramp begins at the gain reached so far, also in the middle
-    of another one; a change that keeps the target changes nothing. The fold needs the changes of an
-    input in order; they are few.
+    of another one; a change that keeps the target changes nothing. Changes lie sorted in partitions by
+    input and are folded batch by batch; only the line so far is carried on.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        rows, gain, target, step, since, left = [], None, None, 0.0, 0, 0
-        for at, new in zip(pdf["at"].to_numpy(), pdf["target"].to_numpy(), strict=True):
-            if gain is None:
-                gain = target = new
-                rows.append((at, gain, target, 0.0, 0))
-                continue
-            if new == target:
-                continue
-            done = min(left, at - since)
-            gain = target if done == left else gain + step * done
-            target, since, left = new, at, ramp
-            step = (target - gain) / ramp if ramp else 0.0
-            gain = gain if ramp else target
-            rows.append((at, gain, target, step, ramp))
-        out = pd.DataFrame(rows, columns=["at", "start_gain", "target", "step", "n"])
-        return out.assign(input=pdf["input"].iloc[0])[["input", "at", "start_gain", "target", "step", "n"]]
-
-    targets = changes.withColumn("target", effective_gain(F.col("gain"), F.col("muted"))).where("target is not null").select("input", "at", "target")
-    return targets.groupBy("input").applyInPandas(run, "input long, at long, start_gain double, target double, step double, n long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = gain = target = None
+        step, since, left = 0.0, 0, 0
+        for pdf in batches:
+            rows = []
+            for key, at, new in zip(pdf["input"].to_numpy(), pdf["at"].to_numpy(), pdf["target"].to_numpy(), strict=True):
+                if key != own:
+                    own, gain, target, step, since, left = key, new, new, 0.0, 0, 0
+                    rows.append((key, at, gain, target, 0.0, 0))
+                    continue
+                if new == target:
+                    continue
+                done = min(left, at - since)
+                gain = target if done == left else gain + step * done
+                target, since, left = new, at, ramp
+                step = (target - gain) / ramp if ramp else 0.0
+                gain = gain if ramp else target
+                rows.append((key, at, gain, target, step, ramp))
+            yield pd.DataFrame(rows, columns=["input", "at", "start_gain", "target", "step", "n"])
+
+    targets = changes.withColumn("target", effective_gain(F.col("gain"), F.col("muted"))).where("target is not null and input is not null").select("input", "at", "target")
+    return targets.repartition("input").sortWithinPartitions("input", "at").mapInPandas(run, "input long, at long, start_gain double, target double, step double, n long")
 
 
 def gain_ramp(frames: DataFrame, changes: DataFrame, ramp_ns: int, rate: int, bucket: int | None = None) -> DataFrame:
@@ -117,22 +129,38 @@ def resample(frames: DataFrame, rate: int, block: int = 256) -> DataFrame:
     interpolation between neighbouring samples.
 
     A change of format begins a new run. A run's output has floor(n * rate / its rate) samples; sample
-    k lies at input position k * its rate / rate. Both inputs of a sample come from one equi-join per
-    block of input samples, so nothing is sorted as a whole.
+    k lies at input position k * its rate / rate. Frames are cut into blocks of input samples that
+    overlap by one, and each block gives the output that lies in it: parts of frames are shuffled, not
+    samples, and nothing is sorted as a whole.
     """
     w = Window.partitionBy("input").orderBy("frame_idx")
     change = (F.col("rate") != F.lag("rate").over(w)).cast("int")
     runs = frames.withColumn("run", F.coalesce(F.sum(F.coalesce(change, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("bigint"))
-    runs = running_sum(runs.withColumn("_n", F.size("samples").cast("bigint")), "_n", ["input", "run"], ["frame_idx"], "_before")
-    samples = runs.select("input", "run", F.col("rate").cast("bigint").alias("rate"), "_before", F.posexplode("samples").alias("_i", "v")).select("input", "run", "rate", (F.col("_before") + F.col("_i")).alias("i"), "v")
-    total = runs.groupBy("input", "run", F.col("rate").cast("bigint").alias("rate")).agg(F.sum("_n").alias("n"))
-    outs = total.select("input", "run", "rate", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("b"))
-    low, high = F.ceil(F.col("b") * block * rate / F.col("rate")), F.least(F.ceil((F.col("b") + 1) * block * rate / F.col("rate")), F.floor(F.col("n") * rate / F.col("rate"))) - 1
-    outs = outs.where(low <= high).withColumn("out_idx", F.explode(F.sequence(low, high)))
-    left = F.floor(F.col("out_idx") * F.col("rate") / rate)
-    part = F.col("out_idx") * F.col("rate") / rate - left
-    asks = outs.select("input", "run", "out_idx", "n", F.explode(F.array(F.struct(left.alias("i"), (1 - part).alias("w")), F.struct(F.least(left + 1, F.col("n") - 1).alias("i"), part.alias("w")))).alias("e")).select("input", "run", "out_idx", "e.i", "e.w")
-    return asks.join(samples, ["input", "run", "i"]).groupBy("input", "run", "out_idx").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
+    runs = runs.select("input", "run", "frame_idx", F.col("rate").cast("bigint").alias("rate"), "samples", F.size("samples").cast("bigint").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy("input", "run"))
+    runs = running_sum(runs, "_n", ["input", "run"], ["frame_idx"], "_before").withColumn("_total", total).where("_n > 0")
+    div = lambda a, b: F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
+    # Block b has the samples from b * block up to and with (b + 1) * block.
+    first = div(F.greatest(F.col("_before") - 1, F.lit(0).cast("bigint")), block)
+    parts = runs.withColumn("b", F.explode(F.sequence(first, div(F.col("_before") + F.col("_n") - 1, block))))
+    low = F.greatest(F.col("b") * block - F.col("_before"), F.lit(0))
+    high = F.least((F.col("b") + 1) * block + 1 - F.col("_before"), F.col("_n"))
+    part = F.struct("frame_idx", F.slice("samples", (low + 1).cast("int"), (high - low).cast("int")).alias("s"))
+    blocks = parts.groupBy("input", "run", "rate", "_total", "b").agg(F.flatten(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["s"])).alias("s"))
+    begin = F.col("b") * block
+    up = lambda x: div(x * rate + F.col("rate") - 1, F.col("rate"))
+    last = F.least(up(begin + block), div(F.col("_total") * rate, F.col("rate"))) - 1
+    blocks = blocks.withColumn("_low", up(begin)).withColumn("_high", last).where("_low <= _high")
+
+    def value(k: Column) -> Column:
+        at = div(k * F.col("rate"), rate)
+        share = F.pmod(k * F.col("rate"), F.lit(rate).cast("bigint")) / rate
+        left = F.get("s", (at - begin).cast("int"))
+        right = F.coalesce(F.get("s", (at - begin + 1).cast("int")), left)
+        return left * (1 - share) + right * share
+
+    each = F.transform(F.sequence("_low", "_high"), lambda k: F.struct(k.alias("out_idx"), value(k).alias("v")))
+    return blocks.select("input", "run", F.explode(each).alias("e")).select("input", "run", "e.out_idx", "e.v")
 
 
 def capture_loss(frames: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -62,15 +62,21 @@ def nms(dets: DataFrame, most: float, least_score: float = 0.0) -> DataFrame:
     parts = rows.repartition("frame_id", "class_id").sortWithinPartitions("frame_id", "class_id", F.desc("score"), "det_id")
 
     def each(batches):
-        left = None
+        parts: list[pd.DataFrame] = []  # of the last group, which may go on
         for pdf in batches:
-            pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
-            last = (pdf["frame_id"].to_numpy() == pdf["frame_id"].iloc[-1]) & (pdf["class_id"].to_numpy() == pdf["class_id"].iloc[-1])
-            left = pdf[last]
+            if not len(pdf):
+                continue
+            f, c = pdf["frame_id"].to_numpy(), pdf["class_id"].to_numpy()
+            last = (f == f[-1]) & (c == c[-1])
+            if parts and (parts[-1]["frame_id"].iloc[-1] != f[0] or parts[-1]["class_id"].iloc[-1] != c[0]):
+                yield groups(pd.concat(parts, ignore_index=True))
+                parts = []
             if not last.all():
-                yield groups(pdf[~last])
-        if left is not None and len(left):
-            yield groups(left)
+                yield groups(pd.concat([*parts, pdf[~last]], ignore_index=True))
+                parts = []
+            parts.append(pdf[last])
+        if parts:
+            yield groups(pd.concat(parts, ignore_index=True))
 
     def groups(pdf: pd.DataFrame) -> pd.DataFrame:
         f, c = pdf["frame_id"].to_numpy(), pdf["class_id"].to_numpy()

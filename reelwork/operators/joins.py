@@ -39,11 +39,24 @@ def current_registration(rows: DataFrame, registrations: DataFrame) -> tuple[Dat
     return out.where("_live").drop("_live"), out.where("not _live").drop("_live")
 
 
-def branch_fanout(buffers: DataFrame, branches: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+def branch_fanout(buffers: DataFrame, branches: DataFrame, failures: DataFrame | None = None, bin: int | None = None) -> DataFrame:
     """One row per buffer (tee_id, at, buffer_id) and branch attached then: attached_at <= at <
-    detached_at. A failing (buffer_id, branch_id) loses only its own copy."""
+    detached_at. A failing (buffer_id, branch_id) loses only its own copy.
+
+    With ``bin`` both sides are cut into bins of time, a branch into all that it is attached in (an
+    open one up to the tee's last buffer), and joined on tee and bin: a tee with very many buffers and
+    branches is then spread over tasks and compares only what is near in time.
+    """
     live = (F.col("at") >= F.col("attached_at")) & (F.col("detached_at").isNull() | (F.col("at") < F.col("detached_at")))
-    out = buffers.join(branches, "tee_id").where(live).drop("attached_at", "detached_at")
+    keys = ["tee_id"]
+    if bin is not None:
+        start = lambda c: c - F.pmod(c, F.lit(bin).cast("bigint"))
+        last = buffers.groupBy("tee_id").agg(F.max("at").alias("_last"))
+        end = F.least(F.coalesce(F.col("detached_at") - 1, F.col("_last")), F.col("_last"))
+        branches = branches.join(last, "tee_id").where(end >= F.col("attached_at"))
+        branches = branches.withColumn("_bin", F.explode(F.sequence(start(F.col("attached_at")), start(end), F.lit(bin).cast("bigint")))).drop("_last")
+        buffers, keys = buffers.withColumn("_bin", start(F.col("at"))), ["tee_id", "_bin"]
+    out = buffers.join(branches, keys).where(live).drop("attached_at", "detached_at", "_bin")
     return out if failures is None else out.join(failures, ["buffer_id", "branch_id"], "left_anti")
 
 

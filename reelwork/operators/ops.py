@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asof import running_sum
+from .staging import stage
+
 
 def attribute_events(events: DataFrame, nodes: DataFrame, branch_nodes: DataFrame) -> DataFrame:
     """Bus events with their element's type, name and branch; events without an element stay."""
@@ -18,36 +21,40 @@ def event_summary(events: DataFrame) -> DataFrame:
     return events.groupBy("element_id").agg(*map(count, ("Eos", "Error", "Dropped", "Seeked")), F.min(F.when(F.col("event") == "Error", F.col("at"))).alias("first_error_at"))
 
 
-def topology_paths(nodes: DataFrame, edges: DataFrame, most_depth: int = 64) -> DataFrame:
+def topology_paths(nodes: DataFrame, edges: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(pipeline_id, path): every path from a root to a leaf as 'Type(name) - Type(name)'. A path
-    visits no node twice, so cycles end; depth, not size, bounds the number of joins."""
+    visits no node twice, so cycles end; depth, not size, bounds the number of joins.
+
+    Each depth is written and read back, so none is computed twice. Paths longer than ``most_depth``
+    nodes, if that is set, are an error: none is left out.
+    """
     n = nodes.select("pipeline_id", "id", F.concat("element_type", F.lit("("), "name", F.lit(")")).alias("text"))
     e = edges.select("pipeline_id", "from_id", "to_id").distinct()
     root = n.join(e.select("pipeline_id", F.col("to_id").alias("id")).distinct(), ["pipeline_id", "id"], "left_anti")
-    leaf = n.join(e.select("pipeline_id", F.col("from_id").alias("id")).distinct(), ["pipeline_id", "id"], "left_anti").select("pipeline_id", "id", F.lit(True).alias("leaf"))
-    steps = e.join(n.select("pipeline_id", F.col("id").alias("to_id"), F.col("text").alias("to_text")), ["pipeline_id", "to_id"])
-    now = root.select("pipeline_id", "id", F.array("id").alias("seen"), "text")
-    done = None
-    for _ in range(most_depth):
-        ends = now.join(leaf, ["pipeline_id", "id"]).select("pipeline_id", F.col("text").alias("path"))
-        done = ends if done is None else done.unionByName(ends)
+    inner = e.select("pipeline_id", F.col("from_id").alias("id")).distinct().withColumn("_inner", F.lit(True))
+    known = stage(n.join(inner, ["pipeline_id", "id"], "left").select("pipeline_id", "id", "text", F.col("_inner").isNull().alias("leaf")), "nodes")
+    steps = stage(e.join(known.withColumnsRenamed({"id": "to_id", "text": "to_text", "leaf": "to_leaf"}), ["pipeline_id", "to_id"]), "steps")
+    now = stage(root.join(known.select("pipeline_id", "id", "leaf"), ["pipeline_id", "id"]).select("pipeline_id", "id", F.array("id").alias("seen"), "text", "leaf"), "paths")
+    done, depth = now.where("leaf").select("pipeline_id", F.col("text").alias("path")), 1
+    while not now.isEmpty():
+        if most_depth is not None and depth > most_depth:
+            raise ValueError(f"there are paths of more than {most_depth} nodes")
         grown = now.join(steps, (now["pipeline_id"] == steps["pipeline_id"]) & (now["id"] == steps["from_id"])).where(~F.array_contains("seen", F.col("to_id")))
-        now = grown.select(now["pipeline_id"], F.col("to_id").alias("id"), F.array_append("seen", F.col("to_id")).alias("seen"), F.concat_ws(" - ", "text", "to_text").alias("text"))
-        if now.isEmpty():
-            return done
+        now = stage(grown.select(now["pipeline_id"], F.col("to_id").alias("id"), F.array_append("seen", F.col("to_id")).alias("seen"), F.concat_ws(" - ", "text", "to_text").alias("text"), F.col("to_leaf").alias("leaf")), "paths")
+        done, depth = done.unionByName(now.where("leaf").select("pipeline_id", F.col("text").alias("path"))), depth + 1
     return done
 
 
 _LINE = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}[+-]\d\d:\d\d) (\w+) \[thread=([^\]]*)\](?: \[pipeline_id=([^\]]*)\])? \[element=([^\]]*)\] \[name=([^\]]*)\] (.*)$"
 
 
-def parse_logs(lines: DataFrame) -> DataFrame:
+def parse_logs(lines: DataFrame, bucket: int | None = None) -> DataFrame:
     """One row per record of log lines (file, line_no, line): its fields, and in body the lines that
-    follow a header without one of their own (a topology drawing)."""
+    follow a header without one of their own (a topology drawing). With ``bucket`` (lines) a long file
+    is cut into buckets, which need not fit in one task."""
     part = lambda i: F.regexp_extract("line", _LINE, i)
-    rows = lines.withColumn("_h", F.col("line").rlike(_LINE))
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = rows.withColumn("_rec", F.sum(F.col("_h").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = lines.withColumn("_h", F.col("line").rlike(_LINE)).withColumn("_one", F.col("_h").cast("bigint"))
+    rows = running_sum(rows, "_one", ["file"], ["line_no"], "_rec", bucket).withColumn("_rec", F.col("_rec") + F.col("_one"))
     body = F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line"))))
     heads = rows.groupBy("file", "_rec").agg(F.max_by("line", "_h").alias("line"), F.min("line_no").alias("line_no"), F.max("_h").alias("_any"), F.concat_ws("\n", F.transform(body, lambda b: b["line"])).alias("body"))
     field = lambda name: F.nullif(F.regexp_extract("message", rf"(?:^| ){name}=(\S+)", 1), F.lit(""))
