@@ -46,7 +46,7 @@ PATHS = """with n as (select id, element_type || '(' || name || ')' as text from
 
 
 def _parsed(spark, d):
-    return ops.parse_logs(media.log_lines(spark, d))
+    return ops.parse_logs(media.log_lines(spark, d), bucket=10_000)
 
 
 def logs(spark, d):
@@ -103,7 +103,7 @@ ACTIVE = """with runs as (select user_id as run_id, min(us) as lo, max(us) as hi
 def observed(spark, d):
     e = media.events(spark, d).where("event_type = 'purchase'")
     resets = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"))
-    return timeline.observed_duration(media.clock_frames(spark, d), resets).select("stream_id", "seq", "epoch", "duration_ns")
+    return timeline.observed_duration(media.clock_frames(spark, d), resets, bucket=100_000).select("stream_id", "seq", "epoch", "duration_ns")
 
 
 OBSERVED = """with mixed as (select stream_id, seq, pts_ns, 0 as r from clock_frames union all select user_id, event_id, null, 1 from ev where event_type = 'purchase'),
@@ -111,11 +111,14 @@ OBSERVED = """with mixed as (select stream_id, seq, pts_ns, 0 as r from clock_fr
     st as (select *, pts_ns - lag(pts_ns) over (partition by stream_id, epoch order by seq) as step from f)
     select stream_id, seq, cast(epoch as bigint) as epoch, coalesce(last_value(case when step > 0 then step end ignore nulls) over (partition by stream_id, epoch order by seq rows between unbounded preceding and current row), 40000000) as duration_ns from st"""
 
-_PLAYED = """own as (select *, case when not priming then position_ns end as own, coalesce(lag(priming) over (partition by stream_id order by wall_ns, seq), false) and not priming as is_after from clock_samples),
-    held as (select *, last_value(own ignore nulls) over (partition by stream_id order by wall_ns, seq rows between unbounded preceding and 1 preceding) as held from own),
-    played as (select stream_id, wall_ns, case when is_after then greatest(position_ns, coalesce(held, position_ns)) else position_ns end as pos, greatest(submitted_ns, case when is_after then greatest(position_ns, coalesce(held, position_ns)) else position_ns end) as sub, running, priming, held from held),
-    asked as (select f.*, p.wall_ns as since, p.pos, p.sub, p.running, p.priming, p.held from clock_frames f asof left join played p on f.stream_id = p.stream_id and f.wall_ns >= p.wall_ns),
-    posed as (select *, case when since is null then 'none' when priming then 'priming' else 'audio' end as master, case when priming then held when since is not null then least(pos + case when running then wall_ns - since else 0 end, sub) end as position from asked)"""
+_PLAYED = """origins as (select stream_id, arg_min(pts_ns, (wall_ns, seq)) as o_pts, min(wall_ns) as o_wall from clock_frames group by 1), takes as (select stream_id, min(wall_ns) as t_wall from clock_samples group by 1),
+    own as (select c.*, o_pts + t_wall - o_wall as handed, case when not priming then position_ns end as own, coalesce(lag(priming) over (partition by c.stream_id order by wall_ns, seq), true) and not priming and not ended as is_after
+      from clock_samples c join takes t on c.stream_id = t.stream_id left join origins o on c.stream_id = o.stream_id and o_wall < t_wall),
+    held as (select *, coalesce(last_value(own ignore nulls) over (partition by stream_id order by wall_ns, seq rows between unbounded preceding and 1 preceding), handed) as held from own),
+    played as (select stream_id, wall_ns, case when is_after then greatest(position_ns, coalesce(held, position_ns)) else position_ns end as pos, greatest(submitted_ns, case when is_after then greatest(position_ns, coalesce(held, position_ns)) else position_ns end) as sub, running, priming, ended, held from held),
+    asked as (select f.*, p.wall_ns as since, p.pos, p.sub, p.running, p.priming, p.ended, p.held from clock_frames f asof left join played p on f.stream_id = p.stream_id and f.wall_ns >= p.wall_ns),
+    posed as (select a.*, case when since is null or (ended and not priming) then 'wall' when priming then 'priming' else 'audio' end as master,
+      case when since is null then o_pts + wall_ns - o_wall when priming then held when ended then pos + wall_ns - since else least(pos + case when running then wall_ns - since else 0 end, sub) end as position from asked a join origins o on a.stream_id = o.stream_id)"""
 
 
 def positions(spark, d):
@@ -127,14 +130,14 @@ POSITIONS = f"with {_PLAYED} select stream_id, seq, master, coalesce(position, -
 
 
 def synced(spark, d):
-    out = timeline.sync_video(media.clock_frames(spark, d), media.clock_samples(spark, d))
+    out = timeline.sync_video(media.clock_frames(spark, d), media.clock_samples(spark, d), bucket=7 * DAY * 1000, seq_bucket=100_000)
     return out.select("stream_id", "seq", "decision", F.coalesce("wait_ns", F.lit(-1)).alias("wait_ns"))
 
 
 SYNCED = f"""with {_PLAYED}, st as (select *, pts_ns - lag(pts_ns) over (partition by stream_id order by seq) as step from posed),
     du as (select *, coalesce(last_value(case when step > 0 then step end ignore nulls) over (partition by stream_id order by seq rows between unbounded preceding and current row), 40000000) as dur from st)
-    select stream_id, seq, case when master = 'none' then 'Render' when position is null or master = 'priming' then 'Hold' when pts_ns > position then 'Wait' when position - pts_ns > dur then 'Drop' else 'Render' end as decision,
-      case when master = 'audio' and pts_ns > position then pts_ns - position else -1 end as wait_ns from du"""
+    select stream_id, seq, case when position is null or master = 'priming' then 'Hold' when pts_ns > position then 'Wait' when master = 'audio' and position - pts_ns > dur then 'Drop' else 'Render' end as decision,
+      case when master <> 'priming' and pts_ns > position then pts_ns - position else -1 end as wait_ns from du"""
 
 
 def newest(spark, d):
@@ -173,7 +176,7 @@ def fanned(spark, d):
     nxt = F.min(F.when(F.col("event_type") == "error", F.col("us"))).over(Window.partitionBy("user_id").orderBy("event_id").rowsBetween(1, Window.unboundedFollowing))
     branches = e.withColumn("end", nxt).where("event_type = 'signup'").select((F.col("user_id") % 10).alias("tee_id"), F.col("event_id").alias("branch_id"), F.col("us").alias("attached_at"), F.col("end").alias("detached_at"))
     buffers = e.where("event_type = 'click'").select((F.col("user_id") % 10).alias("tee_id"), F.col("us").alias("at"), F.col("event_id").alias("buffer_id"))
-    out = joins.branch_fanout(buffers, branches).where("(buffer_id + branch_id) % 19 <> 0")
+    out = joins.branch_fanout(buffers, branches, bin=DAY).where("(buffer_id + branch_id) % 19 <> 0")
     return out.groupBy("tee_id", "branch_id").agg(F.count("*").alias("n"), F.sum("buffer_id").alias("buffers"))
 
 
@@ -186,18 +189,23 @@ def inventory(spark, d):
     return bitstream.nal_inventory(bitstream.nal_units(media.nal_payloads(spark, d)))
 
 
-INVENTORY = """select user_id as stream_id, case event_type when 'signup' then 7 when 'purchase' then 8 when 'view' then 5 when 'click' then 1 else 6 end as nal_type, count(*) as units, cast(sum(1 + length(cast(event_id as varchar))) as bigint) as bytes from ev group by all"""
+_WELL_FORMED = "event_type = 'signup' and event_id % 3 = 0"
+_BYTES = " ".join(f"when {i} then {len(x) // 2}" for i, (x, _) in enumerate(media.SPS))
+_WIDTHS = " ".join(f"when {i} then {width}" for i, (_, width) in enumerate(media.SPS))
+INVENTORY = f"""select user_id as stream_id, case event_type when 'signup' then 7 when 'purchase' then 8 when 'view' then 5 when 'click' then 1 else 6 end as nal_type, count(*) as units,
+    cast(sum(case when {_WELL_FORMED} then case event_id % {len(media.SPS)} {_BYTES} end else 1 + length(cast(event_id as varchar)) end) as bigint) as bytes from ev group by all"""
 
 
 def probed(spark, d):
-    ready = bitstream.with_frame_size(bitstream.probe_codec(bitstream.nal_units(media.nal_payloads(spark, d))))
+    ready = bitstream.probe_codec(bitstream.nal_units(media.nal_payloads(spark, d)))
     return ready.select("stream_id", F.col("run").cast("bigint").alias("run"), "codec", "ready_seq", F.col("sps").isNotNull().alias("has_sps"), F.coalesce("width", F.lit(-1)).alias("width"))
 
 
-PROBED = """with u as (select user_id as stream_id, event_id, event_type, (row_number() over (partition by user_id order by event_id) - 1) // 4 as seq from ev),
-    s as (select stream_id, min(case when event_type = 'signup' then event_id end) as a, min(case when event_type = 'purchase' then event_id end) as b from u group by 1),
-    r as (select u.stream_id, case when u.stream_id % 3 <> 0 then 'H264' else 'VP8' end as codec, seq from u join s on u.stream_id = s.stream_id and u.event_id = case when u.stream_id % 3 <> 0 then greatest(a, b) + 0 * (a + b) else (select min(event_id) from u x where x.stream_id = u.stream_id) end)
-    select stream_id, cast(0 as bigint) as run, codec, seq as ready_seq, codec = 'H264' as has_sps, -1 as width from r"""
+PROBED = f"""with u as (select user_id as stream_id, event_id, event_type, (row_number() over (partition by user_id order by event_id) - 1) // 4 as seq from ev),
+    g as (select stream_id, seq, max(case when event_type = 'signup' then event_id end) as a, max(case when event_type = 'purchase' then event_id end) as b from u group by all),
+    k as (select stream_id, seq, max(a) over w as a, max(b) over w as b from g window w as (partition by stream_id order by seq rows between unbounded preceding and current row)),
+    r as (select stream_id, seq, case when stream_id % 3 <> 0 then 'H264' else 'VP8' end as codec, a from k where stream_id % 3 = 0 or (a % 3 = 0 and b is not null) qualify row_number() over (partition by stream_id order by seq) = 1)
+    select stream_id, cast(0 as bigint) as run, codec, seq as ready_seq, codec = 'H264' as has_sps, case when codec = 'H264' then cast(case a % {len(media.SPS)} {_WIDTHS} end as integer) else -1 end as width from r"""
 
 QUERIES = {
     "attribute_events": (attributed, ATTRIBUTED), "event_summary": (summarised, SUMMARISED), "topology_paths": (paths, PATHS), "parse_logs": (logs, LOGS), "lifecycle_check": (lifecycles, LIFECYCLES), "trend_verdict": (trend, TREND),

@@ -35,7 +35,7 @@ VIEWS = {
     "covered": """select canvas_id, layer_id, z_index, opacity, r, g, b, x0, y0, x1, y1 from (select *, greatest(image_x, x, 0) as x0, greatest(image_y, y, 0) as y0,
         least(image_x + image_w, x + w, 64) as x1, least(image_y + image_h, y + h, 36) as y1 from geometry where error is null and visible and opacity > 0) where x0 < x1 and y0 < y1""",
     "clock_samples": """select user_id as stream_id, event_id as seq, us * 1000 as wall_ns, us * 1000 + (event_id % 7 - 3) * 10000000 as position_ns,
-        us * 1000 + (event_id % 7 - 3) * 10000000 + 86400000000000 as submitted_ns, event_id % 4 <> 0 as running, event_id % 9 = 0 as priming from ev where event_type = 'purchase'""",
+        us * 1000 + (event_id % 7 - 3) * 10000000 + 86400000000000 as submitted_ns, event_id % 4 <> 0 as running, event_id % 9 = 0 as priming, event_id % 9 <> 0 and event_id % 11 = 0 as ended from ev where event_type = 'purchase'""",
     "clock_frames": "select user_id as stream_id, event_id as seq, us * 1000 as wall_ns, us * 1000 + (event_id % 5 - 2) * 20000000 as pts_ns from ev where event_type in ('view', 'click')",
     "bus_events": """select event_id, case when event_id % 13 <> 0 then user_id % 30 end as element_id, case event_type when 'signup' then 'Eos' when 'error' then 'Error' when 'click' then 'Dropped' else 'Seeked' end as event, us as at,
         case when event_type = 'purchase' then cast(floor(value) as bigint) * 1000000000 end as requested_ns, case when event_type = 'purchase' then cast(floor(value / 10) as bigint) * 10000000000 end as landed_ns from ev where event_type <> 'view'""",

@@ -66,7 +66,8 @@ class _Bits:
         return (k + 1) // 2 if k % 2 else -(k // 2)
 
 
-#: Profiles whose parameter sets carry chroma and scaling fields.
+#: Profiles whose parameter sets carry chroma and scaling fields. Fixed values, in the order of the
+#: public H.264 standard, whose syntax tables frame_size follows.
 _HIGH = {100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135}
 
 
@@ -114,30 +115,33 @@ def frame_size(sps: bytes) -> tuple[int, int] | None:
         return None
 
 
-def with_frame_size(ready: DataFrame) -> DataFrame:
-    """width and height read from the distinct parameter sets (sps), null where malformed."""
+def frame_sizes(sets: DataFrame) -> DataFrame:
+    """(sps, width, height) of the distinct parameter sets (sps); malformed ones are left out."""
 
     def run(batches):
         for b in batches:
-            sizes = [frame_size(x) if x else None for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s[0] if s else None for s in sizes], pa.int32()), pa.array([s[1] if s else None for s in sizes], pa.int32())], names=["sps", "width", "height"])
+            sizes = [(x, *s) for x in b.column(0).to_pylist() if x and (s := frame_size(x))]
+            columns = list(zip(*sizes, strict=True)) or [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int32()) for c in columns[1:])], names=["sps", "width", "height"])
 
-    sizes = ready.where("sps is not null").select("sps").distinct().mapInArrow(run, "sps binary, width int, height int")
-    return ready.join(sizes, "sps", "left")
+    return sets.where("sps is not null").select("sps").distinct().mapInArrow(run, "sps binary, width int, height int")
 
 
 def probe_codec(units: DataFrame) -> DataFrame:
-    """(stream_id, run, codec, ready_seq, sps, pps): one row per stream and codec run that becomes
-    ready: for H264 once both parameter sets were seen, else at its first payload. A change of codec
-    begins a new run, which has seen nothing."""
-    w = Window.partitionBy("stream_id").orderBy("seq", "nal_idx")
-    change = (F.col("codec") != F.lag("codec").over(w)).cast("int")
-    rows = units.withColumn("_c", F.coalesce(change, F.lit(0)))
-    rows = rows.withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    so_far = Window.partitionBy("stream_id", "run").orderBy("seq", "nal_idx").rowsBetween(Window.unboundedPreceding, 0)
-    seen = lambda t: F.last(F.when(F.col("nal_type") == t, F.col("unit")), ignorenulls=True).over(so_far)
-    rows = rows.withColumn("sps", seen(SPS)).withColumn("pps", seen(PPS))
-    ready = rows.where((F.col("codec") != "H264") | (F.col("sps").isNotNull() & F.col("pps").isNotNull()))
-    best = ready.groupBy("stream_id", "run", "codec").agg(F.min_by(F.struct("seq", "sps", "pps"), F.struct("seq", "nal_idx")).alias("b"))
+    """(stream_id, run, codec, ready_seq, sps, pps, width, height): one row per stream and codec run
+    that becomes ready. H264 is ready with the first payload after which both parameter sets were
+    seen, perhaps in different ones, and the newest sequence set is well formed; it states the frame
+    size. Other codecs are ready at their first payload. A change of codec begins a new run, which has
+    seen nothing."""
+    last = lambda t: F.max_by("unit", F.when(F.col("nal_type") == t, F.col("nal_idx")))
+    payloads = units.groupBy("stream_id", "seq", "codec").agg(last(SPS).alias("sps"), last(PPS).alias("pps"))
+    w = Window.partitionBy("stream_id").orderBy("seq")
+    change = F.coalesce((F.col("codec") != F.lag("codec").over(w)).cast("int"), F.lit(0))
+    rows = payloads.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    so_far = Window.partitionBy("stream_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     h264 = F.col("codec") == "H264"
-    return best.select("stream_id", "run", "codec", F.col("b.seq").alias("ready_seq"), F.when(h264, F.col("b.sps")).alias("sps"), F.when(h264, F.col("b.pps")).alias("pps"))
+    known = rows.withColumns({c: F.when(h264, F.last(c, ignorenulls=True).over(so_far)) for c in ("sps", "pps")})
+    sized = known.join(frame_sizes(payloads), "sps", "left")
+    ready = sized.where(~h264 | (F.col("width").isNotNull() & F.col("pps").isNotNull()))
+    best = ready.groupBy("stream_id", "run", "codec").agg(F.min(F.struct("seq", "sps", "pps", "width", "height")).alias("b"))
+    return best.select("stream_id", "run", "codec", F.col("b.seq").alias("ready_seq"), "b.sps", "b.pps", "b.width", "b.height")

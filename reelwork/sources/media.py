@@ -91,7 +91,11 @@ def clock_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir).where("event_type = 'purchase'")
     wall = F.col("us") * 1000
     position = wall + (F.col("event_id") % 7 - 3) * 10_000_000
-    return e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), wall.alias("wall_ns"), position.alias("position_ns"), (position + DAY * 1000).alias("submitted_ns"), (F.col("event_id") % 4 != 0).alias("running"), (F.col("event_id") % 9 == 0).alias("priming"))
+    priming = F.col("event_id") % 9 == 0
+    return e.select(
+        F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), wall.alias("wall_ns"), position.alias("position_ns"), (position + DAY * 1000).alias("submitted_ns"),
+        (F.col("event_id") % 4 != 0).alias("running"), priming.alias("priming"), (~priming & (F.col("event_id") % 11 == 0)).alias("ended"),
+    )
 
 
 def clock_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,12 +157,19 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.concat(F.lit("user"), user).alias("file"), "event_id", F.posexplode(F.split(text, "\n")).alias("_n", "line")).select("file", (F.col("event_id") * 10 + F.col("_n")).alias("line_no"), "line")
 
 
+#: Well-formed sequence parameter sets (baseline profile) as hexadecimal text, and their widths.
+SPS = [("6742001eda0a3640", 160), ("6742001eda0507e4", 320), ("6742001eda0280f640", 640), ("6742001eda014016e4", 1280)]
+
+
 def nal_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four consecutive events of a user make one byte-stream payload."""
+    """Four consecutive events of a user make one byte-stream payload. Every third signup carries a
+    well-formed parameter set, the others a malformed one."""
     e = events(spark, sf_dir)
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
     kind = F.when(F.col("event_type") == "signup", "67").when(F.col("event_type") == "purchase", "68").when(F.col("event_type") == "view", "65").when(F.col("event_type") == "click", "41").otherwise("06")
-    unit = F.concat(F.lit("00000001"), kind, F.hex(F.encode(F.col("event_id").cast("string"), "utf-8")))
+    good = F.element_at(F.array(*[F.lit(x) for x, _ in SPS]), (F.col("event_id") % len(SPS)).cast("int") + 1)
+    unit = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), good).otherwise(F.concat(kind, F.hex(F.encode(F.col("event_id").cast("string"), "utf-8"))))
+    unit = F.concat(F.lit("00000001"), unit)
     rows = e.select(F.col("user_id").alias("stream_id"), F.floor(n / 4).cast("bigint").alias("seq"), "event_id", unit.alias("unit"))
     joined = rows.groupBy("stream_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "unit"))), lambda x: x["unit"]), "").alias("hex"))
     return joined.select("stream_id", "seq", F.when(F.col("stream_id") % 3 != 0, "H264").otherwise("VP8").alias("codec"), F.unhex("hex").alias("payload"))
