@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import segments
+from ..operators.staging import shared_path
 from ..sources import media
 from ..streaming import live
 from .packet_jobs import playlists
@@ -19,15 +17,6 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; a temporary one where the session sets none."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="reelwork-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def event_stream(spark: SparkSession, d: str) -> DataFrame:
     # A pattern, as a stream takes no path of a single file.
     rows = spark.readStream.schema(EVENTS).parquet(f"{d}/[e]vents.parquet")
@@ -49,26 +38,28 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def mix_ticks(spark, d):
+    """All windows that the stream emits: those that end before the newest event less the watermark.
+    Later ones are still open when the input is used up."""
     samples = event_stream(spark, d).select((F.col("user_id") % 2).alias("mix_id"), "ts", (F.col("value") / 100 - 0.2).alias("v"))
     out = drained(live.stream_mix(samples, "1 hour", "1 hour"), "mix")
-    # The last windows stay open behind the watermark; they are not in the result.
-    closed = out.where("tick < timestamp'2024-01-30 00:00:00'")
-    return closed.select("mix_id", F.unix_seconds("tick").alias("tick"), F.round("v", 6).alias("v"), "n")
+    return out.select("mix_id", F.unix_seconds("tick").alias("tick"), F.round("v", 6).alias("v"), "n")
 
 
-MIX = """select user_id % 2 as mix_id, us // 3600000000 * 3600 + 1704067200 as tick, round(greatest(least(sum(value / 100 - 0.2), 1.0), -1.0), 6) as v, count(*) as n from ev
-    where us < 29 * cast(86400000000 as bigint) group by 1, 2"""
+#: Where the watermark of one hour stands at the end, in microseconds.
+_CLOSED = "select max(us) // 1000 * 1000 - 3600000000 as closed from ev"
+MIX = f"""select user_id % 2 as mix_id, us // 3600000000 * 3600 + 1704067200 as tick, round(greatest(least(sum(value / 100 - 0.2), 1.0), -1.0), 6) as v, count(*) as n from ev, ({_CLOSED}) c
+    where (us // 3600000000 + 1) * 3600000000 <= closed group by 1, 2"""
 
 
 def event_counts(spark, d):
     e = event_stream(spark, d).where("event_type <> 'view'")
     bus = e.select((F.col("user_id") % 30).alias("element_id"), F.when(F.col("event_type") == "error", "Error").when(F.col("event_type") == "click", "Dropped").otherwise("Eos").alias("event"), "ts")
-    out = drained(live.stream_event_counts(bus, "1 day"), "counts").where("window_start < timestamp'2024-01-29 00:00:00'")
+    out = drained(live.stream_event_counts(bus, "1 day"), "counts")
     return out.select("element_id", F.unix_seconds("window_start").alias("window_start"), "errors", "drops")
 
 
-COUNTS = """select user_id % 30 as element_id, us // 86400000000 * 86400 + 1704067200 as window_start, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type = 'click') as drops
-    from ev where event_type in ('error', 'click') and us < 28 * cast(86400000000 as bigint) group by 1, 2"""
+COUNTS = f"""select user_id % 30 as element_id, us // 86400000000 * 86400 + 1704067200 as window_start, count(*) filter (where event_type = 'error') as errors, count(*) filter (where event_type = 'click') as drops
+    from ev, ({_CLOSED} where event_type in ('error', 'click')) c where event_type in ('error', 'click') and (us // 86400000000 + 1) * 86400000000 <= closed group by 1, 2"""
 
 
 def latest(spark, d):
@@ -83,20 +74,27 @@ LATEST = "select user_id % 20 as input, max(event_id) as seq, case when arg_max(
 
 
 def segmenter(spark, d):
+    """Every seventh stream has no video; each stream ends with its last event."""
     e = event_stream(spark, d).withColumn("is_key", F.col("event_type") != "click")
-    kind = F.when(F.col("event_type").isin("view", "click"), "video").otherwise("other")
-    packets = e.select(F.col("user_id").alias("stream_id"), F.col("us").alias("pts"), F.col("event_id").alias("seq"), kind.alias("kind"), "is_key", F.round(F.col("value") * 100).cast("bigint").alias("size"))
-    return drained(live.stream_segment(packets, DAY), "segments").drop("_epoch")
+    has_video = F.col("user_id") % 7 != 3
+    kind = F.when(has_video & F.col("event_type").isin("view", "click"), "video").otherwise("other")
+    packets = e.select(F.col("user_id").alias("stream_id"), F.col("us").alias("pts"), F.col("event_id").alias("seq"), kind.alias("kind"), "is_key", F.round(F.col("value") * 100).cast("bigint").alias("size"), has_video.alias("has_video"))
+    last = media.events(spark, d).groupBy(F.col("user_id").alias("stream_id")).agg(F.max("event_id").alias("seq")).withColumn("is_end", F.lit(True))
+    ended = packets.join(last, ["stream_id", "seq"], "left").withColumn("is_end", F.coalesce("is_end", F.lit(False)))
+    return drained(live.stream_segment(ended, DAY), "segments").drop("_epoch")
 
 
-SEGMENTER = """select p.stream_id, c.segment, min(c.at) as start_pts, count(*) as packets, cast(sum(size) as bigint) as bytes from packets p asof join cuts c on p.stream_id = c.stream_id and p.pts >= c.at
-    where c.segment < (select max(segment) from cuts m where m.stream_id = p.stream_id) group by p.stream_id, c.segment"""
+SEGMENTER = """with sp as (select user_id as stream_id, us as pts, cast(round(value * 100) as bigint) as size, user_id % 7 = 3 or event_type = 'view' as is_cut from ev),
+    sc as (select stream_id, cast(0 as bigint) as segment, min(pts) as at from sp group by stream_id
+      union all select stream_id, segment + 1, (select min(pts) from sp q where q.stream_id = c.stream_id and is_cut and q.pts >= c.at + 86400000000) from sc c where (select min(pts) from sp q where q.stream_id = c.stream_id and is_cut and q.pts >= c.at + 86400000000) is not null)
+    select p.stream_id, c.segment, min(c.at) as start_pts, count(*) as packets, cast(sum(size) as bigint) as bytes from sp p asof join sc c on p.stream_id = c.stream_id and p.pts >= c.at group by p.stream_id, c.segment"""
 
 
 def finalize(spark, d):
     e = event_stream(spark, d).where("event_type in ('signup', 'error')")
-    ends = e.select(F.col("user_id").alias("file_id"), (F.col("event_id") % 3).cast("int").alias("track_id"), F.when(F.col("event_type") == "signup", "Eos").otherwise("Stop").alias("event"), F.col("us").alias("at"))
-    return drained(live.stream_finalize(ends, 3), "final").drop("_epoch")
+    ends = e.select(F.col("user_id").alias("file_id"), (F.col("event_id") % 3).cast("int").alias("track_id"), F.when(F.col("event_type") == "signup", "Eos").otherwise("Stop").alias("event"), F.col("us").alias("at"), "ts")
+    # Files are forgotten a year after their last event.
+    return drained(live.stream_finalize(ends.withWatermark("ts", "1 hour"), 3, 366 * DAY // 1000), "final").drop("_epoch")
 
 
 FINALIZE = "select file_id, max(done) as finalized_at from (select file_id, track_id, min(at) as done from track_events group by all) group by file_id having count(*) = 3"

@@ -33,9 +33,11 @@ class LatestFrame(StatefulProcessor):
         self.newest = handle.getValueState("newest", "seq long, frame_id long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        last = pdf.iloc[-1]
-        if self.newest.exists() and self.newest.get()[0] > last["seq"]:
+        last = None
+        for pdf in rows:  # chunk by chunk: a hot input is never held as a whole
+            top = pdf.iloc[int(pdf["seq"].to_numpy().argmax())]
+            last = top if last is None or top["seq"] >= last["seq"] else last
+        if last is None or (self.newest.exists() and self.newest.get()[0] > last["seq"]):
             return
         if last["event"] == "frame":
             self.newest.update((int(last["seq"]), int(last["frame_id"])))
@@ -67,14 +69,18 @@ class Segmenter(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values(["pts", "seq"], kind="stable")
         state, out = self.open.get() if self.open.exists() else None, []
-        for pts, is_key, size in zip(pdf["pts"], pdf["is_key"] & (pdf["kind"] == "video"), pdf["size"], strict=True):
+        cuts = ~pdf["has_video"] | (pdf["is_key"] & (pdf["kind"] == "video"))
+        for pts, is_cut, size in zip(pdf["pts"], cuts, pdf["size"], strict=True):
             if state is None:
                 state = (0, int(pts), 0, 0)
-            elif is_key and pts - state[1] >= self.duration:
+            elif is_cut and pts - state[1] >= self.duration:
                 out.append((key[0], *state))
                 state = (state[0] + 1, int(pts), 0, 0)
             state = (state[0], state[1], state[2] + 1, state[3] + int(size))
-        if state is not None:
+        if pdf["is_end"].any():
+            out.append((key[0], *state))
+            self.open.clear()
+        elif state is not None:
             self.open.update(state)
         yield pd.DataFrame(out, columns=["stream_id", "segment", "start_pts", "packets", "bytes"]).astype("int64")
 
@@ -83,43 +89,75 @@ class Segmenter(StatefulProcessor):
 
 
 def stream_segment(packets: DataFrame, duration: int) -> DataFrame:
-    """Closed segments of live packets (stream_id, pts, seq, kind, is_key, size), which arrive in order
-    batch by batch; the open one stays in the state."""
+    """Closed segments of live packets (stream_id, pts, seq, kind, is_key, size, has_video, is_end),
+    which arrive in order batch by batch. A stream without video (has_video is known from its tracks)
+    may cut at any packet. The open segment stays in the state until the stream's last packet (is_end)
+    closes it. One stream's packets of one batch are sorted in memory: a source's limit on files or
+    bytes per trigger bounds them."""
     return packets.groupBy("stream_id").transformWithStateInPandas(Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long", "Append", "None")
 
 
 class Finalizer(StatefulProcessor):
-    """State: the tracks done so far and when; a file is told once. A file that never ends keeps its few
-    rows of state; a time to live would need processing time, under which a drained stream never stops."""
+    """State: the tracks done so far and when; a file is told once. With ``ttl_ms`` a file of which
+    nothing was heard for so long, in event time, is forgotten; without it its few rows stay."""
 
-    def __init__(self, expected: int):
-        self.expected = expected
+    def __init__(self, expected: int, ttl_ms: int | None = None):
+        self.expected, self.ttl_ms = expected, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.done = handle.getMapState("done", "track int", "at long")
         self.told = handle.getValueState("told", "at long")
+        self.due = handle.getValueState("due", "ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        if not self.told.exists():
-            pdf = pd.concat(list(rows)).groupby("track_id", as_index=False)["at"].min()
+        out, newest, told = [], None, self.told.exists()
+        for chunk in rows:
+            if self.ttl_ms is not None:
+                newest = max(newest or 0, int(chunk["ms"].max()))
+            if told:
+                continue
+            pdf = chunk.groupby("track_id", as_index=False)["at"].min()
             for track, at in zip(pdf["track_id"], pdf["at"], strict=True):
                 if not self.done.containsKey((int(track),)) or self.done.getValue((int(track),))[0] > at:
                     self.done.updateValue((int(track),), (int(at),))
+        if not told:
             ends = [v[0] for _, v in self.done.iterator()]
             if len(ends) >= self.expected:
                 self.told.update((max(ends),))
                 out = [(key[0], max(ends))]
+        if newest is not None:
+            self._wait_until(newest + self.ttl_ms)
         yield pd.DataFrame(out, columns=["file_id", "finalized_at"]).astype("int64")
 
+    def _wait_until(self, ms: int) -> None:
+        if self.due.exists():
+            if self.due.get()[0] >= ms:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        for state in (self.done, self.told, self.due):
+            state.clear()
+        yield pd.DataFrame({"file_id": [], "finalized_at": []}).astype("int64")
+
     def close(self) -> None:
         pass
 
 
-def stream_finalize(track_events: DataFrame, expected: int) -> DataFrame:
-    """Each file once, when all its tracks reported Eos or Stop (file_id, track_id, event, at)."""
-    ends = track_events.where(F.col("event").isin("Eos", "Stop")).select("file_id", "track_id", "at")
-    return ends.groupBy("file_id").transformWithStateInPandas(Finalizer(expected), "file_id long, finalized_at long", "Append", "None")
+def stream_finalize(track_events: DataFrame, expected: int, ttl_ms: int | None = None) -> DataFrame:
+    """Each file once, when all its tracks reported Eos or Stop (file_id, track_id, event, at).
+
+    With ``ttl_ms`` the events also have ts, with a watermark, and a file that was silent for so long
+    behind it is forgotten, told or not; should it report again it begins anew."""
+    ends = track_events.where(F.col("event").isin("Eos", "Stop"))
+    columns = ["file_id", "track_id", "at"]
+    if ttl_ms is not None:
+        ends, columns = ends.withColumn("ms", F.unix_millis("ts")), [*columns, "ms", "ts"]
+    grouped = ends.select(*columns).groupBy("file_id")
+    return grouped.transformWithStateInPandas(Finalizer(expected, ttl_ms), "file_id long, finalized_at long", "Append", "None" if ttl_ms is None else "EventTime")
 
 
 def foreach_sink(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoint: str, on_error: Callable[[int, Exception], None] | None = None) -> StreamingQuery:

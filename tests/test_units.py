@@ -1,4 +1,4 @@
-"""Exact small cases."""
+"""Exact small cases. Expected values are fixed by the operators' definitions."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +8,7 @@ from reelwork.functions import pixels as pf
 from reelwork.functions.buffers import map_buffers
 from reelwork.functions.time import media_time, nominal_duration, rescale
 from reelwork.operators import asof, audio, bitstream, detect, joins, layers, ops, segments, timeline, tracks
+from reelwork.streaming import live
 
 
 def one(spark, *cols):
@@ -15,7 +16,7 @@ def one(spark, *cols):
 
 
 def rows(df, *cols):
-    return sorted(tuple(r) for r in df.select(*cols).collect())
+    return sorted((tuple(r) for r in df.select(*cols or "*").collect()), key=lambda r: [(x is None, x) for x in r])
 
 
 def test_rescale(spark):
@@ -42,6 +43,7 @@ def test_gain(spark):
     arr = lambda *x: F.array(*map(F.lit, x))
     got = one(spark, af.apply_gain(arr(20_000, -20_000), F.lit(2.0), "i16"), af.apply_gain(arr(0, 128, 255), F.lit(2.0), "u8"), af.apply_gain(arr(0.75), F.lit(2.0), "f32"), F.round(af.db_to_gain(F.lit(-6.0)), 6), af.db_to_gain(F.lit(float("-inf"))))
     assert got == ([32_767, -32_768], [0, 128, 255], [1.5], round(10 ** (-6 / 20), 6), 0.0)
+    assert one(spark, af.apply_gain(arr((1 << 62) + 1, -(1 << 62)), F.lit(4.0), "i64"))[0] == [(1 << 63) - 1, -(1 << 63)]
     assert one(spark, af.effective_gain(F.lit(2.0), F.lit(True)), af.effective_gain(F.lit(-1.0), F.lit(False)), af.to_packed(af.to_planar(arr(1, 2, 3, 4), 2), 2)) == (0.0, None, [1, 2, 3, 4])
 
 
@@ -95,6 +97,67 @@ def test_sync_decisions(spark):
     assert rows(timeline.sync_video(frames, clock), "seq", "decision", "wait_ns") == [(1, "Drop", None), (2, "Wait", 10_000_000), (3, "Hold", None), (4, "Render", None)]
 
 
+def test_clock_masters(spark):
+    ms = 1_000_000
+    frame = lambda stream, seq, wall, pts: (stream, seq, wall * ms, pts * ms)
+    sample = lambda stream, seq, wall, position, submitted, running, priming, ended=False: (stream, seq, wall * ms, position * ms, submitted * ms, running, priming, ended)
+    frames = spark.createDataFrame([
+        frame(1, 1, 0, 5000), frame(1, 2, 40, 5060), frame(1, 3, 500, 5100),  # no audio: the first frame is the wall's origin
+        frame(2, 1, 0, 50), frame(2, 2, 20, 80), frame(2, 3, 30, 70), frame(2, 4, 45, 60),  # audio takes over, not backwards
+        frame(3, 1, 10, 1), frame(3, 2, 60, 2000), frame(3, 3, 100, 1500),  # audio ends, the wall goes on
+    ], "stream_id long, seq long, wall_ns long, pts_ns long")
+    clock = spark.createDataFrame([
+        sample(2, 10, 10, 0, 0, True, True), sample(2, 11, 30, 50, 160, True, False), sample(2, 12, 40, 55, 160, False, False),
+        sample(3, 10, 0, 1, 2, False, False), sample(3, 11, 50, 2000, 0, False, False, True),
+    ], "stream_id long, seq long, wall_ns long, position_ns long, submitted_ns long, running boolean, priming boolean, ended boolean")
+    for bucket in (None, 25 * ms):
+        got = timeline.playback_position(frames, clock, bucket).selectExpr("stream_id", "seq", "master", f"position_ns / {ms} as p")
+        assert rows(got, "stream_id", "seq", "master", "p") == [
+            (1, 1, "wall", 5000), (1, 2, "wall", 5040), (1, 3, "wall", 5500), (2, 1, "wall", 50), (2, 2, "priming", 60), (2, 3, "audio", 60), (2, 4, "audio", 55),
+            (3, 1, "audio", 1), (3, 2, "wall", 2010), (3, 3, "wall", 2050),
+        ]
+        decided = timeline.sync_video(frames, clock, bucket, None if bucket is None else 2)
+        assert rows(decided, "stream_id", "seq", "decision") == [
+            (1, 1, "Render"), (1, 2, "Wait"), (1, 3, "Render"), (2, 1, "Render"), (2, 2, "Hold"), (2, 3, "Wait"), (2, 4, "Wait"), (3, 1, "Render"), (3, 2, "Render"), (3, 3, "Render"),
+        ]
+    assert rows(timeline.playback_position(frames.drop("pts_ns", "seq"), clock).where("stream_id = 1"), "master", "position_ns") == [("none", None)] * 3
+
+
+def test_observed_duration_with_and_without_buckets(spark):
+    f = spark.createDataFrame([(1, q, q * 10 + (q % 3)) for q in range(0, 40, 2)], "stream_id long, seq long, pts_ns long")
+    resets = spark.createDataFrame([(1, 9), (1, 10), (1, 31)], "stream_id long, seq long")
+    cols = ["seq", "epoch", "duration_ns"]
+    for r, bucket in ((resets, 7), (None, 3)):
+        assert rows(timeline.observed_duration(f, r, bucket=bucket), *cols) == rows(timeline.observed_duration(f, r), *cols)
+
+
+def test_fanout_with_and_without_bins(spark):
+    buffers = spark.createDataFrame([(1, t, t) for t in range(-30, 60, 7)] + [(2, 5, 99)], "tee_id int, at long, buffer_id long")
+    branches = spark.createDataFrame([(1, 1, -20, 15), (1, 2, 0, None), (1, 3, 40, 40), (1, 4, 100, None), (2, 5, 5, 6), (3, 6, 0, None)], "tee_id int, branch_id int, attached_at long, detached_at long")
+    plain = rows(joins.branch_fanout(buffers, branches), "branch_id", "buffer_id")
+    assert plain == rows(joins.branch_fanout(buffers, branches, bin=10), "branch_id", "buffer_id") and len(plain) > 10
+    failed = spark.createDataFrame([(99, 5)], "buffer_id long, branch_id int")
+    assert len(rows(joins.branch_fanout(buffers, branches, failed, 10), "branch_id")) == len(plain) - 1
+
+
+def test_mix_of_frames_off_the_grid(spark):
+    df = spark.createDataFrame([(0, 1, 1, [0.1, 0.2, 0.3, 0.4, 0.5]), (0, 2, 3, [0.5]), (0, 1, -1, [0.25]), (0, 2, 9, [])], "mix_id int, input int, pts long, samples array<double>")
+    got = {r["block"]: [round(v, 6) for v in r["samples"]] for r in audio.mix_audio(df, 2).collect()}
+    assert got == {-1: [0.0, 0.25], 0: [0.0, 0.1], 1: [0.2, 0.8], 2: [0.4, 0.5]}
+
+
+def test_resampling_in_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for rate, out in ((48_000, 32_000), (8000, 48_000), (44_100, 44_100), (44_100, 11_025)):
+        samples = r.normal(size=533)
+        cuts = [0, 1, 7, 7, 250, 251, 500, 533]
+        df = spark.createDataFrame([(1, i, rate, samples[a:z].tolist()) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))], "input int, frame_idx long, rate int, samples array<double>")
+        got = [(x["out_idx"], round(x["v"], 6)) for x in audio.resample(df, out, 16).orderBy("out_idx").collect()]
+        assert got == [(i, round(v, 6)) for i, v in enumerate(audio.interpolate_block(samples, rate, out))]
+
+
 def test_zero_base_cadence_and_active_time(spark):
     p = spark.createDataFrame([(1, 0, 1, -312), (1, 0, 2, 648), (2, 0, 1, 5)], "stream_id long, track_id int, seq long, pts long")
     assert rows(timeline.zero_base(p), "stream_id", "pts") == [(1, 0), (1, 960), (2, 5)]
@@ -142,6 +205,12 @@ def test_nms_suppresses_by_kept_boxes_only(spark):
     # b overlaps a and goes; c overlaps b alone and stays.
     df = spark.createDataFrame([(1, 0, 1, 0.9, 0.0, 0.0, 10.0, 10.0), (1, 0, 2, 0.8, 4.0, 0.0, 10.0, 10.0), (1, 0, 3, 0.7, 8.0, 0.0, 10.0, 10.0), (1, 1, 4, 0.1, 0.0, 0.0, 0.0, 0.0), (1, 1, 5, 0.1, 0.0, 0.0, 0.0, 0.0)], "frame_id long, class_id int, det_id long, score double, x double, y double, w double, h double")
     assert rows(detect.nms(df, 0.3), "det_id") == [(1,), (3,), (4,), (5,)]
+    # A group that goes on over many batches is one group.
+    many = spark.createDataFrame([(f, 0, i, 1 - i / 1000, float(i % 7 * 20), 0.0, 10.0, 10.0) for f in (1, 2) for i in range(50)], df.schema)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
+    assert rows(detect.nms(many, 0.3), "frame_id", "det_id") == [(f, i) for f in (1, 2) for i in range(7)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_units_and_parameter_sets(spark):
@@ -149,13 +218,18 @@ def test_units_and_parameter_sets(spark):
     sps = bytes.fromhex("67640028acd940780227e5c044000003000400000300f03c60c658")
     assert bitstream.frame_size(sps) == (1920, 1080) and bitstream.frame_size(sps[:5]) is None and bitstream.frame_size(b"\x68\x01") is None
     units = spark.createDataFrame([(1, 1, "H264", 0, 8, b"\x68"), (1, 2, "H264", 0, 7, sps), (1, 3, "VP8", 0, 0, b"\x01"), (1, 4, "H264", 0, 7, sps)], "stream_id long, seq long, codec string, nal_idx int, nal_type int, unit binary")
-    assert rows(bitstream.with_frame_size(bitstream.probe_codec(units)), "run", "ready_seq", "width", "height") == [(0, 2, 1920, 1080), (1, 3, None, None)]
+    assert rows(bitstream.probe_codec(units), "run", "ready_seq", "width", "height") == [(0, 2, 1920, 1080), (1, 3, None, None)]
+    # A malformed set keeps a stream unready, also one that follows a good set before the other kind.
+    more = [(2, 1, "H264", 0, 7, sps[:5]), (2, 1, "H264", 1, 8, b"\x68"), (2, 2, "H264", 0, 5, b"\x65"), (3, 1, "H264", 0, 7, sps), (3, 2, "H264", 0, 7, sps[:5]), (3, 2, "H264", 1, 8, b"\x68"), (3, 4, "H264", 0, 7, sps)]
+    assert rows(bitstream.probe_codec(spark.createDataFrame(more, units.schema)), "stream_id", "ready_seq", "width") == [(3, 4, 1920)]
 
 
 def test_paths_with_fan_in_and_cycles(spark):
     nodes = spark.createDataFrame([(1, i, "T", i) for i in "abcdxy"], "pipeline_id int, id string, element_type string, name string")
     edges = spark.createDataFrame([(1, a, b) for a, b in ("ac", "bc", "cd", "xy", "yx")], "pipeline_id int, from_id string, to_id string")
-    assert rows(ops.topology_paths(nodes, edges), "path") == [("T(a) - T(c) - T(d)",), ("T(b) - T(c) - T(d)",)]
+    assert rows(ops.topology_paths(nodes, edges), "path") == [("T(a) - T(c) - T(d)",), ("T(b) - T(c) - T(d)",)] == rows(ops.topology_paths(nodes, edges, 3), "path")
+    with pytest.raises(ValueError, match="more than 2"):
+        ops.topology_paths(nodes, edges, 2)
 
 
 def test_user_errors_are_quarantined(spark):
@@ -164,3 +238,42 @@ def test_user_errors_are_quarantined(spark):
     assert [e[:17] for _, e in out("quarantine")] == ["ZeroDivisionError", ""] and out("drop") == [(10, "")]
     with pytest.raises(ValueError, match="on_error"):
         map_buffers(df, lambda r: r, "x long", "ignore")
+
+
+def test_order_in_buckets(spark):
+    p = spark.createDataFrame([(f, t, q, None if q == 3 else (q * 7) % 11 * 1000, 1, 1000) for f in (1, 2) for t in (0, 1) for q in range(12)], "stream_id long, track_id int, seq long, dts long, tb_num int, tb_den int")
+    whole = rows(tracks.interleave(p), "stream_id", "track_id", "seq", "file_seq")
+    assert whole == rows(tracks.interleave(p, bucket_ns=3_000_000_000), "stream_id", "track_id", "seq", "file_seq")
+    assert [r[3] for r in sorted(whole, key=lambda r: (r[0], r[3]))] == [*range(1, 25)] * 2 and {r[3] for r in whole if r[2] == 3} == {1, 2}
+    head = "2024-01-01T00:00:00.000+00:00 INFO [thread=main] [element=Queue] [name=q] event=eos phase=received"
+    lines = spark.createDataFrame([("f", i, head if i % 5 == 1 else f"body {i}") for i in range(23)], "file string, line_no long, line string")
+    assert rows(ops.parse_logs(lines), "line_no", "body") == rows(ops.parse_logs(lines, 4), "line_no", "body")
+
+
+def drain(spark, files, stream_of, tmp_path):
+    from reelwork.jobs.stream_jobs import ROCKSDB
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    out, source = [], f"{tmp_path}/in"
+    for i, f in enumerate(files):
+        f.coalesce(1).write.mode("append").parquet(source)
+        stream = stream_of(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(source))
+        stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: out.extend(tuple(r) for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def test_live_segments_of_audio_and_at_the_end(spark, tmp_path):
+    schema = "stream_id long, pts long, seq long, kind string, is_key boolean, size long, has_video boolean, is_end boolean"
+    audio_only = [(1, i * 10, i, "audio", False, 1, False, i == 9) for i in range(10)]
+    video = [(2, i * 10, i, "video", i % 4 == 0, 1, True, False) for i in range(10)]
+    files = [spark.createDataFrame([r for r in audio_only + video if lo <= r[2] < lo + 5], schema) for lo in (0, 5)]
+    got = drain(spark, files, lambda s: live.stream_segment(s, 30), tmp_path)
+    assert sorted(got) == [(1, 0, 0, 3, 3), (1, 1, 30, 3, 3), (1, 2, 60, 3, 3), (1, 3, 90, 1, 1), (2, 0, 0, 4, 4), (2, 1, 40, 4, 4)]
+
+
+def test_files_are_forgotten_after_their_time(spark, tmp_path):
+    at = lambda *e: spark.createDataFrame([(f, t, "Eos", s, s) for f, t, s in e], "file_id long, track_id int, event string, at long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    files = [at((1, 0, 100), (2, 0, 100)), at((2, 1, 150), (3, 0, 5000)), at((3, 1, 5001), (1, 1, 5002)), at((1, 0, 5003))]
+    got = drain(spark, files, lambda s: live.stream_finalize(s.withWatermark("ts", "1 second"), 2, 1_000_000), tmp_path)
+    # File 1's first track is forgotten when its second one ends; it is final once both were heard again.
+    assert sorted(got) == [(1, 5003), (2, 150), (3, 5001)]
