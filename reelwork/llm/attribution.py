@@ -17,6 +17,8 @@ from .tokens import default_vocabulary, encoder
 RULES = ("majority", "first", "last")
 #: Holds the tokens that lie in no section.
 OUTSIDE = -1
+#: Sections that leave a task at a time: a text may have millions.
+BATCH = 1 << 18
 
 
 def token_spans(ids: np.ndarray, data: np.ndarray, bytes_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +74,14 @@ def attributed(docs: DataFrame, sections: str | None = None, rule: str = "majori
     files = vocabulary or default_vocabulary()
     names = ["doc_id", "section", "start", "end", "n_tokens", "n_crossing"]
 
+    most = BATCH
+
     def run(batches):
         code = encoder(*files)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1)
             spans = b.column(2).to_pylist() if sections else None
-            out: list[list] = [[] for _ in names]
+            out, held = [[] for _ in names], 0
             for i, doc_id in enumerate(ids):
                 text = texts[i].as_py() or ""
                 s0, s1 = line_sections(text) if spans is None else clipped(spans[i], len(text))
@@ -86,9 +90,16 @@ def attributed(docs: DataFrame, sections: str | None = None, rule: str = "majori
                 of, crosses = allocate(t0, t1, s0, s1, rule)
                 count = np.bincount(of + 1, minlength=len(s0) + 1)
                 crossing = np.bincount(of[crosses] + 1, minlength=len(s0) + 1)
-                k = np.arange(OUTSIDE, len(s0)) if count[0] else np.arange(len(s0))
-                for column, values in zip(out, ([doc_id] * len(k), k, np.append(OUTSIDE, s0)[k + 1], np.append(OUTSIDE, s1)[k + 1], count[k + 1], crossing[k + 1]), strict=True):
-                    column.append(values)
+                every = np.arange(OUTSIDE, len(s0)) if count[0] else np.arange(len(s0))
+                for at in range(0, len(every), most):
+                    k = every[at : at + most]
+                    ends = (np.where(k == OUTSIDE, OUTSIDE, s[np.maximum(k, 0)]) if len(s) else k for s in (s0, s1))
+                    for column, values in zip(out, ([doc_id] * len(k), k, *ends, count[k + 1], crossing[k + 1]), strict=True):
+                        column.append(values)
+                    held += len(k)
+                    if held >= most:
+                        yield batch(out)
+                        out, held = [[] for _ in names], 0
             yield batch(out)
 
     def clipped(rows, n):

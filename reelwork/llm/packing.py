@@ -21,8 +21,9 @@ from .common import stage, table
 from .tokens import default_vocabulary, encoder
 
 OPEN_BINS = 512
-SCHEMA = "doc_id long, piece int, start long, length long, ids array<int>, sequence_id long, offset long"
-_FIELDS = ["doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"]
+SCHEMA = "doc_id long, piece int, start long, length long, {content}, sequence_id long, offset long"
+#: What a piece carries: its ids, or their CRC-32 alone.
+CONTENT = {False: ("ids", "ids array<int>"), True: ("ids_crc32", "ids_crc32 long")}
 #: Tokens that a task of the second round packs, about.
 SECOND_ROUND = 4 << 20
 
@@ -76,18 +77,20 @@ def _pieces(ids: np.ndarray, size: int) -> Iterator[tuple[int, np.ndarray]]:
         yield at, ids[at : at + size]
 
 
-def _batch(rows: list[tuple], sequence_ids: list[int | None], offsets: list[int | None]) -> pa.RecordBatch:
-    lengths = np.array([len(r[3]) for r in rows], dtype=np.int64)
-    ends = np.append(0, np.cumsum(lengths)).astype(np.int32)
-    flat = np.concatenate([r[3] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)
-    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array(lengths)]
-    columns += [pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(sequence_ids, pa.int64()), pa.array(offsets, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, names=_FIELDS)
+def _batch(rows: list[tuple], sequence_ids: list[int | None], offsets: list[int | None], digest: bool) -> pa.RecordBatch:
+    if digest:
+        content = pa.array([r[4] for r in rows], pa.int64())
+    else:
+        ends = np.append(0, np.cumsum([r[3] for r in rows])).astype(np.int32)
+        content = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([r[4] for r in rows]).astype(np.int32) if rows else np.zeros(0, np.int32)))
+    columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3] for r in rows], pa.int64())]
+    columns += [content, pa.array(sequence_ids, pa.int64()), pa.array(offsets, pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", CONTENT[digest][0], "sequence_id", "offset"])
 
 
-def _packed(pieces: Iterator[tuple], size: int, most_open: int, base: int, last: bool) -> Iterator[pa.RecordBatch]:
-    """Packs (doc_id, piece, start, ids) rows of one task. Sequence ids are base and a task's own
-    count; the pieces still open at the end have none, unless this is the last round."""
+def _packed(pieces: Iterator[tuple], size: int, most_open: int, base: int, last: bool, digest: bool) -> Iterator[pa.RecordBatch]:
+    """Packs (doc_id, piece, start, length, content) rows of one task. Sequence ids are base and a
+    task's own count; the pieces still open at the end have none, unless this is the last round."""
     packer, number = Packer(size, most_open), base + (TaskContext.get().partitionId() << 33)
     out: tuple[list, list, list] = ([], [], [])
 
@@ -98,14 +101,14 @@ def _packed(pieces: Iterator[tuple], size: int, most_open: int, base: int, last:
             out[0].append(row)
             out[1].append(number)
             out[2].append(offset)
-            offset += len(row[3])
+            offset += row[3]
         number += 1
 
     for row in pieces:
-        for bin_ in packer.add(row, len(row[3])):
+        for bin_ in packer.add(row, row[3]):
             close(bin_)
         if len(out[0]) >= 2048:
-            yield _batch(*out)
+            yield _batch(*out, digest)
             out = ([], [], [])
     for bin_ in packer.rest():
         if last:
@@ -115,17 +118,26 @@ def _packed(pieces: Iterator[tuple], size: int, most_open: int, base: int, last:
                 out[0].append(row)
                 out[1].append(None)
                 out[2].append(None)
-    yield _batch(*out)
+    yield _batch(*out, digest)
 
 
-def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: tuple[str, str | None] | None = None, open_bins: int = OPEN_BINS) -> DataFrame:
-    """doc_id, piece, start, length, ids, sequence_id, offset for each piece of each row.
+def crc32(ids: np.ndarray) -> int:
+    """The CRC-32 of ids as little-endian unsigned 32-bit numbers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
+
+
+def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: tuple[str, str | None] | None = None, open_bins: int = OPEN_BINS, digest: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids, sequence_id, offset for each piece of each row. With
+    ``digest`` a piece has ids_crc32, the CRC-32 of its ids, in their place, and the ids are nowhere
+    written.
 
     A null text counts as empty and gives the end id alone; repeated rows are packed as often as
     they occur; a null doc_id stays null; an empty table gives an empty result; other columns are
     not read. Any text length is whole: pieces of ``size`` tokens, the first one shorter.
     """
     files = vocabulary or default_vocabulary()
+    name, column = CONTENT[digest]
+    schema = SCHEMA.format(content=column)
 
     def first_round(batches):
         def pieces():
@@ -134,38 +146,25 @@ def packed(docs: DataFrame, size: int = 1024, end_id: int = 2, vocabulary: tuple
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                     for n, (start, part) in enumerate(_pieces(ids, size)):
-                        yield doc_id, n, start, part
+                        yield doc_id, n, start, len(part), crc32(part) if digest else part
 
-        return _packed(pieces(), size, open_bins, 0, last=False)
+        return _packed(pieces(), size, open_bins, 0, last=False, digest=digest)
 
     def second_round(batches):
         def pieces():
             for b in batches:
-                for doc_id, n, start, ids in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
-                    yield doc_id, n, start, ids.values.to_numpy()
+                content = b.column(4).to_pylist() if digest else (x.values.to_numpy() for x in b.column(4))
+                yield from zip(*(b.column(i).to_pylist() for i in range(4)), content, strict=True)
 
-        return _packed(pieces(), size, 2 * size, 1 << 62, last=True)
+        return _packed(pieces(), size, 2 * size, 1 << 62, last=True, digest=digest)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    once = stage(rows.mapInArrow(first_round, SCHEMA), "packed")
-    left = once.where("sequence_id is null").select("doc_id", "piece", "start", "ids", "length")
+    once = stage(rows.mapInArrow(first_round, schema), "packed")
+    left = once.where("sequence_id is null").select("doc_id", "piece", "start", "length", name)
     tokens = left.agg(F.sum("length")).first()[0] or 0
     again = left.repartition(max(1, round(tokens / SECOND_ROUND))).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    return once.where("sequence_id is not null").unionByName(again.mapInArrow(second_round, SCHEMA))
-
-
-def with_digest(pieces: DataFrame) -> DataFrame:
-    """Puts the CRC-32 of the ids, as little-endian unsigned 32-bit numbers, in place of the ids."""
-
-    def run(batches):
-        at = _FIELDS.index("ids")
-        for b in batches:
-            crcs = pa.array([zlib.crc32(x.values.to_numpy().astype("<u4").tobytes()) for x in b.column(at)], pa.int64())
-            columns = [crcs if i == at else c for i, c in enumerate(b.columns)]
-            yield pa.RecordBatch.from_arrays(columns, names=[n if n != "ids" else "ids_crc32" for n in _FIELDS])
-
-    return pieces.select(*_FIELDS).mapInArrow(run, SCHEMA.replace("ids array<int>", "ids_crc32 long"))
+    return once.where("sequence_id is not null").unionByName(again.mapInArrow(second_round, schema))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_digest(packed(table(spark, sf_dir, "documents")))
+    return packed(table(spark, sf_dir, "documents"), digest=True)

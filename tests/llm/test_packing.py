@@ -44,7 +44,7 @@ def test_packer_is_bounded_and_best_fit(lengths, most):
 
 
 def test_sequences_are_whole_and_gapless(docs, empty):
-    got = packing.with_digest(packing.packed(docs)).collect()
+    got = packing.packed(docs, digest=True).collect()
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in got:
         by_doc[r["doc_id"]].append(r)
@@ -64,7 +64,10 @@ def test_sequences_are_whole_and_gapless(docs, empty):
         assert [r["piece"] for r in rows] == list(range(len(rows))) and sum(r["length"] for r in rows) == len(ids)
         assert all(r["length"] == 1024 for r in rows[1:])
         assert all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in rows)
-    assert len(by_doc[5]) == 3 and packing.packed(empty).count() == 0
+    assert len(by_doc[5]) == 3 and packing.packed(empty).count() == 0 and packing.packed(empty, digest=True).count() == 0
+    key = lambda r: tuple(-1 if r[c] is None else r[c] for c in ("doc_id", "piece", "start", "length"))
+    whole = packing.packed(docs).collect()
+    assert sorted((*key(r), r["ids_crc32"]) for r in got) == sorted((*key(r), packing.crc32(np.array(r["ids"]))) for r in whole)
 
 
 def test_attribution_by_brute_force(docs, empty):
@@ -88,6 +91,13 @@ def test_attribution_by_brute_force(docs, empty):
     assert attribution.attributed(empty).count() == 0
 
 
+def test_sections_leave_in_small_batches(docs, monkeypatch):
+    rows = lambda: sorted(map(str, attribution.attributed(docs).collect()))
+    whole = rows()
+    monkeypatch.setattr(attribution, "BATCH", 3)
+    assert rows() == whole and len(whole) > docs.count()
+
+
 def test_given_sections_and_tokens_outside(spark):
     df = spark.createDataFrame([(1, "hello world again", [(0, 3), (3, 11), (20, 30)]), (2, "hello", None), (3, None, [(0, 5)])], "doc_id long, text string, s array<struct<start:int,end:int>>")
     got = {(r["doc_id"], r["section"]): (r["n_tokens"], r["n_crossing"]) for r in attribution.attributed(df, "s").collect()}
