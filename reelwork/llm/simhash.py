@@ -123,19 +123,26 @@ def _links(postings: DataFrame, bits: int) -> DataFrame:
     by mask and key."""
 
     def run(batches):
-        left = None
+        parts: list[np.ndarray] = []  # of the last list, which may go on
         for b in batches:
             now = np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(3)])
-            now = now if left is None else np.concatenate([left, now], axis=1)
-            cut = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0)) + 1
-            last = cut[-1] if len(cut) else 0
-            left = now[:, last:]
-            if last:
-                yield from found(now[2, :last].view(np.uint64), np.append(0, cut))
-        if left is not None and left.shape[1]:
-            yield from found(np.ascontiguousarray(left[2]).view(np.uint64), np.array([0, left.shape[1]]))
-
-    def found(fps, cuts):
+            if not now.shape[1]:
+                continue
+            if parts and (parts[-1][:2, -1] != now[:2, 0]).any():
+                yield from found(parts)
+                parts = []
+            cut = np.flatnonzero((now[:2, 1:] != now[:2, :-1]).any(axis=0))
+            if len(cut):
+                yield from found([*parts, now[:, : cut[-1] + 1]])
+                now, parts = now[:, cut[-1] + 1 :], []
+            parts.append(now)
+        if parts:
+            yield from found(parts)
+
+    def found(parts):
+        rows = np.concatenate(parts, axis=1)
+        fps = np.ascontiguousarray(rows[2]).view(np.uint64)
+        cuts = np.concatenate([[0], np.flatnonzero((rows[:2, 1:] != rows[:2, :-1]).any(axis=0)) + 1, [len(fps)]])
         n, us, vs = np.diff(cuts), [], []
         twos = cuts[:-1][n == 2]
         if len(twos):
