@@ -30,6 +30,8 @@ from .common import fresh, small, stage, table
 
 #: For demonstrations and tests only: whoever has the key can link surrogates to entities.
 DEMO_KEY = b"reelwork demonstration key"
+#: Surrogates that one task draws, about: they are few bytes, but take their time.
+DRAWN_PER_TASK = 20_000
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Titles with the gender that they tell (u: neither), and the script of the names that follow.
@@ -427,7 +429,8 @@ def assign(found: DataFrame, key: bytes) -> DataFrame:
     listed = F.concat_ws("|", "kind", "canon").isin(["|".join(k) for k in LISTED])
     each = found.groupBy("kind", "canon").agg(told("m").alias("m"), told("f").alias("f"))
     gender = F.when(listed | ((F.col("m") == 0) & (F.col("f") == 0)), F.lit(None)).when(F.col("m") >= F.col("f"), "m").otherwise("f")
-    now = stage(_drawn(each.select("kind", "canon", gender.alias("gender"), F.lit(0).alias("attempt")), key), "surrogates")
+    each = stage(each.select("kind", "canon", gender.alias("gender"), F.lit(0).alias("attempt")), "found")
+    now = stage(_drawn(each.repartition(1 + each.count() // DRAWN_PER_TASK), key), "surrogates")
     while True:
         keeps = F.min(F.when(F.col("canon") != F.col("new"), F.col("canon"))).alias("keeps")
         shared = now.groupBy("kind", "new").agg(F.count("*").alias("n"), keeps).where("n > 1 or keeps is null")
