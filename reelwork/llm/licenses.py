@@ -58,6 +58,8 @@ TEMPLATES = [(license, text, LEAST_COSINE) for license, text in TEMPLATES]
 TEMPLATES += [(license, f"SPDX-License-Identifier: {license}", 0.999) for license in dict.fromkeys(t[0] for t in TEMPLATES)]
 #: Templates are a parameter and stay small: their terms are written into the plan.
 MOST_TEMPLATE_TERMS = 5000
+#: Up to so many hashes of texts (some 20 MB) are broadcast; beyond, texts are shuffled to them.
+MOST_BROADCAST = 1_000_000
 #: A file is a licence file of its directory if its name says so or so much of it is a licence statement.
 LICENSE_NAME = r"(?i)^(licen[cs]e|copying|notice)(\.|$)"
 LICENSE_SHARE = 0.25
@@ -109,10 +111,10 @@ def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Dat
     anchors = _anchors(places, vectors)
     heavy = [r["term"] for r in anchors.select("term").distinct().orderBy("term").collect()]  # at most MOST_TEMPLATE_TERMS
 
-    # Only texts that hold a heavy term are split once more.
-    picked = known.where(F.arrays_overlap("known", _members(heavy))).select(F.col("path").alias("p"), F.col("th").alias("h")).distinct()
-    rows = files.withColumn("th", F.xxhash64("text"))
-    rows = rows.join(picked, (F.col("path") == F.col("p")) & (F.col("th") == F.col("h")), "left_semi").select("path", "th", terms(F.col("text")).alias("terms"))
+    # Only texts that hold a heavy term are split once more: their hashes go to the texts if they are few.
+    picked = stage(known.where(F.arrays_overlap("known", _members(heavy))).select(F.col("th").alias("h")).distinct(), "picked")
+    picked = F.broadcast(picked) if small(picked, MOST_BROADCAST) else picked
+    rows = files.withColumn("th", F.xxhash64("text")).join(picked, F.col("th") == F.col("h"), "left_semi").select("path", "th", terms(F.col("text")).alias("terms"))
     at = F.transform("terms", lambda t, i: F.when(t.isin(heavy), F.struct(i.alias("at"), t.alias("term"))))
     hits = rows.select("path", "th", "terms", F.explode(F.filter(at, lambda x: x.isNotNull())).alias("hit"))
     start = F.col("at") - F.col("o")

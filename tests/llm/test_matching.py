@@ -165,7 +165,9 @@ FOUND = {
 }
 
 
-def test_wrapped_embedded_and_named_licences(spark):
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_wrapped_embedded_and_named_licences(spark, monkeypatch, most):
+    monkeypatch.setattr(lic, "MOST_BROADCAST", most)
     files = spark.createDataFrame([(p, t, 1, 2) for p, (t, _) in FOUND.items()] + [(f"prose/{i}/x", "the use of this work is free to any person under the sun", 1, 2) for i in range(50)], "path string, text string, th int, start int")
     got = {r["path"]: (r["license"], r["how"]) for r in lic.licensed(files).collect()}
     own = {p: (got[p][0] if got[p][1] == "own" else None) for p in FOUND}
