@@ -131,7 +131,7 @@ RAMPED = """with ch as (select input, pts as at, case when vec_id % 7 = 0 then 0
 
 def resampled(spark, d):
     f = media.audio_frames(spark, d).withColumn("rate", F.when(F.floor(F.col("frame_idx") / 10) % 2 == 0, 48_000).otherwise(44_100))
-    return _round_all(audio.resample(f, 32_000), "v")
+    return _round_all(audio.resample(f, 32_000, bucket=10_000), "v")
 
 
 RESAMPLED = """with f as (select *, case when (frame_idx // 10) % 2 = 0 then 48000 else 44100 end as rate, frame_idx // 10 as run from audio_frames),
@@ -181,6 +181,16 @@ def keyed(spark, d):
 KEYED = """select frame_id, "row", col, cast(round(round(least(greatest((sqrt(power(r / 255, 2) + power((g - 200) / 255, 2) + power((b - 60) / 255, 2)) / sqrt(3) - 0.25) / 0.2, 0), 1) * 255, 9)) as integer) as a from pixels"""
 
 
+def keyed_frames(spark, d):
+    """The same on whole frames of packed BGRA bytes."""
+    bgra = ("b", "g", "r", "a")
+    frames = layers.chroma_key_frames(layers.frames_of_pixels(media.pixels(spark, d), bgra), (0, 200, 60), 0.35, 0.2)
+    return layers.pixels_of_frames(frames, bgra).select("frame_id", "row", "col", "a")
+
+
+KEYED_FRAMES = f'select * replace (cast("row" as integer) as "row", cast(col as integer) as col) from ({KEYED})'
+
+
 def ycbcr(spark, d):
     return layers.to_ycbcr(media.pixels(spark, d))
 
@@ -225,6 +235,15 @@ SCALED = f"""with oorow as (select unnest(range(0, 6)) as orow), oocol as (selec
     select frame_id, cast(orow as integer) as "row", cast(ocol as integer) as col, round(sum(r * ar.w * ac.w), 6) as r, round(sum(g * ar.w * ac.w), 6) as g, round(sum(b * ar.w * ac.w), 6) as b from pixels p join ar on p."row" = ar.i join ac on p.col = ac.i group by frame_id, orow, ocol"""
 
 
+def scaled_frames(spark, d):
+    """The same on whole frames of packed RGB bytes, rounded to bytes."""
+    return layers.pixels_of_frames(layers.scale_frames(layers.frames_of_pixels(media.pixels(spark, d)), 5, 6))
+
+
+_BYTE = "cast(floor(round({c}, 9) + 0.5) as integer) as {c}"
+SCALED_FRAMES = f"select * replace ({', '.join(_BYTE.format(c=c) for c in 'rgb')}) from ({SCALED})"
+
+
 def decoded(spark, d):
     raw = media.table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("output"))
     return _round_all(detect.decode_candidates(raw, 0.25), "score", "x", "y", "w", "h")
@@ -305,7 +324,7 @@ QUERIES = {
     "synthetic_video": (video, VIDEO), "synthetic_tone": (tone, TONE), "effective_gain": (gains, GAINS), "apply_gain": (gained, GAINED), "interleave_channels": (planar, PLANAR), "mix_audio": (mixed, MIXED),
     "fill_silence": (silence, SILENCE), "capture_loss": (loss, LOSS), "contiguous_pts": (contiguous, CONTIGUOUS), "rechunk_audio": (rechunked, RECHUNKED), "gain_ramp": (ramped, RAMPED), "resample_audio": (resampled, RESAMPLED),
     "layer_geometry": (placed, PLACED), "z_order": (ordered, ORDERED), "layer_pixel_overlap": (covered, COVERED), "composite_layers": (composited, COMPOSITED), "chroma_key": (keyed, KEYED), "rgb_to_ycbcr": (ycbcr, YCBCR),
-    "chroma_subsample": (subsampled, SUBSAMPLED), "composite_text": (texted, TEXTED), "scale_frames": (scaled, SCALED), "decode_candidates": (decoded, DECODED), "iou_pairs": (pairs, PAIRS), "nms": (suppressed, SUPPRESSED),
+    "chroma_subsample": (subsampled, SUBSAMPLED), "composite_text": (texted, TEXTED), "scale_frames": (scaled, SCALED), "scale_frames_packed": (scaled_frames, SCALED_FRAMES), "chroma_key_packed": (keyed_frames, KEYED_FRAMES), "decode_candidates": (decoded, DECODED), "iou_pairs": (pairs, PAIRS), "nms": (suppressed, SUPPRESSED),
     "label_detections": (labelled, LABELLED), "top_detections": (top, TOP), "detect_frames": (detected, DETECTED), "map_buffers": (mapped, MAPPED),
 }
 QUERIES = {k: (f, with_views(sql)) for k, (f, sql) in QUERIES.items()}

@@ -232,7 +232,7 @@ def _spliced_input(spark, d):
 
 
 def spliced(spark, d):
-    return timeline.splice_timeline(_spliced_input(spark, d)).where("out_pts is not null").select("stream_id", "seq", "out_pts", "out_dts")
+    return timeline.splice_timeline(_spliced_input(spark, d), bucket=100_000).where("out_pts is not null").select("stream_id", "seq", "out_pts", "out_dts")
 
 
 SPLICED = """with raw as (select user_id as stream_id, event_id as seq, case when event_id % 17 <> 0 then us - sum(case when event_type = 'purchase' then cast(round(value * 1000000) as bigint) else 0 end) over w end as pts,
@@ -263,7 +263,7 @@ CADENCED = """with t as (select user_id as source, row_number() over (partition
 
 def steadied(spark, d):
     e = media.events(spark, d).where("event_type = 'click'")
-    rows = joins.steady_rate(e.select(F.col("user_id").alias("source"), F.col("us").alias("at"), F.col("event_id").alias("frame_id")), DAY // 4)
+    rows = joins.steady_rate(e.select(F.col("user_id").alias("source"), F.col("us").alias("at"), F.col("event_id").alias("frame_id")), DAY // 4, bucket=7 * DAY)
     return rows.groupBy("source").agg(F.count("*").alias("ticks"), F.count_if("is_repeat").alias("repeats"), F.max("run").cast("bigint").alias("longest"), F.sum("frame_id").alias("frames"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.audio import effective_gain
-from .asof import asof, running_sum
+from .asof import asof, previous, running_sum
 
 
 def sample_rows(frames: DataFrame, *keep: str) -> DataFrame:
@@ -45,11 +45,10 @@ def mix_samples(samples: DataFrame) -> DataFrame:
     return samples.groupBy("mix_id", "at").agg(F.greatest(F.least(F.sum("v"), F.lit(1.0)), F.lit(-1.0)).alias("v"))
 
 
-def fill_silence(frames: DataFrame) -> DataFrame:
+def fill_silence(frames: DataFrame, bucket: int | None = None) -> DataFrame:
     """``frames`` (input, pts, n_samples) and a silent row (is_silence) for each gap before one."""
-    w = Window.partitionBy("input").orderBy("pts")
-    end = F.lag(F.col("pts") + F.col("n_samples")).over(w)
-    rows = frames.withColumn("_end", end).withColumn("is_silence", F.lit(False))
+    ends = frames.withColumn("_own", F.col("pts") + F.col("n_samples"))
+    rows = previous(ends, "_own", ["input"], ["pts"], "_end", bucket).withColumn("is_silence", F.lit(False))
     gaps = rows.where(F.col("pts") > F.col("_end")).select("input", F.col("_end").alias("pts"), (F.col("pts") - F.col("_end")).alias("n_samples"), F.lit(True).alias("is_silence"))
     return rows.select("input", "pts", "n_samples", "is_silence").unionByName(gaps)
 
@@ -58,12 +57,13 @@ def silent_samples(n: str = "n_samples"):
     return F.array_repeat(F.lit(0.0), F.col(n).cast("int"))
 
 
-def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None) -> DataFrame:
+def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None, bucket: int | None = None) -> DataFrame:
     """(input, chunk, samples): the same samples in frames of ``size``. The short last one is given
-    only for inputs in ``flush`` (input), which have ended. Size 0 passes frames through."""
+    only for inputs in ``flush`` (input), which have ended. Size 0 passes frames through. ``bucket`` (frames)
+    spreads a long input."""
     if not size:
         return frames.select("input", F.col("frame_idx").cast("bigint").alias("chunk"), "samples")
-    counted = running_sum(frames.withColumn("_n", F.size("samples").cast("bigint")), "_n", ["input"], ["frame_idx"], "_before")
+    counted = running_sum(frames.withColumn("_n", F.size("samples").cast("bigint")), "_n", ["input"], ["frame_idx"], "_before", bucket)
     # A frame is cut where chunks end: its parts, not its samples, are shuffled.
     first, last = F.floor(F.col("_before") / size), F.floor((F.col("_before") + F.col("_n") - 1) / size)
     parts = counted.where("_n > 0").withColumn("chunk", F.explode(F.sequence(first, last)))
@@ -124,21 +124,21 @@ def gain_ramp(frames: DataFrame, changes: DataFrame, ramp_ns: int, rate: int, bu
     return got.withColumn("samples", F.transform("samples", lambda v, i: v * gain(i))).drop("known")
 
 
-def resample(frames: DataFrame, rate: int, block: int = 256) -> DataFrame:
+def resample(frames: DataFrame, rate: int, block: int = 256, bucket: int | None = None) -> DataFrame:
     """(input, run, out_idx, v): ``frames`` (input, frame_idx, rate, samples) at one rate, by linear
     interpolation between neighbouring samples.
 
     A change of format begins a new run. A run's output has floor(n * rate / its rate) samples; sample
     k lies at input position k * its rate / rate. Frames are cut into blocks of input samples that
     overlap by one, and each block gives the output that lies in it: parts of frames are shuffled, not
-    samples, and nothing is sorted as a whole.
+    samples. ``bucket`` (frames) spreads a long input, which else is sorted in one task.
     """
-    w = Window.partitionBy("input").orderBy("frame_idx")
-    change = (F.col("rate") != F.lag("rate").over(w)).cast("int")
-    runs = frames.withColumn("run", F.coalesce(F.sum(F.coalesce(change, F.lit(0))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("bigint"))
-    runs = runs.select("input", "run", "frame_idx", F.col("rate").cast("bigint").alias("rate"), "samples", F.size("samples").cast("bigint").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy("input", "run"))
-    runs = running_sum(runs, "_n", ["input", "run"], ["frame_idx"], "_before").withColumn("_total", total).where("_n > 0")
+    rows = previous(frames.select("input", "frame_idx", F.col("rate").cast("bigint").alias("rate"), "samples"), "rate", ["input"], ["frame_idx"], "_rate", bucket)
+    rows = rows.withColumn("_new", F.coalesce((F.col("rate") != F.col("_rate")).cast("bigint"), F.lit(0)))
+    runs = running_sum(rows, "_new", ["input"], ["frame_idx"], "run", bucket).withColumn("run", F.col("run") + F.col("_new"))
+    runs = runs.select("input", "run", "frame_idx", "rate", "samples", F.size("samples").cast("bigint").alias("_n"))
+    total = runs.groupBy("input", "run").agg(F.sum("_n").alias("_total"))
+    runs = running_sum(runs, "_n", ["input", "run"], ["frame_idx"], "_before", bucket).join(total, ["input", "run"]).where("_n > 0")
     div = lambda a, b: F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
     # Block b has the samples from b * block up to and with (b + 1) * block.
     first = div(F.greatest(F.col("_before") - 1, F.lit(0).cast("bigint")), block)

@@ -133,12 +133,20 @@ def scale_frames(frames: DataFrame, width: int, height: int) -> DataFrame:
     return frames.mapInPandas(run, frames.schema)
 
 
-def frames_of_pixels(pixels: DataFrame) -> DataFrame:
-    """(frame_id, width, height, pixels): pixel rows packed into RGB bytes, one frame per row."""
+def frames_of_pixels(pixels: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """(frame_id, width, height, pixels): pixel rows packed into bytes, one frame per row."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"])
-        data = pdf[["r", "g", "b"]].to_numpy(np.uint8).tobytes()
+        data = pdf[list(channels)].to_numpy(np.uint8).tobytes()
         return pd.DataFrame({"frame_id": [pdf["frame_id"].iloc[0]], "width": [pdf["col"].max() + 1], "height": [pdf["row"].max() + 1], "pixels": [data]})
 
     return pixels.groupBy("frame_id").applyInPandas(run, "frame_id long, width int, height int, pixels binary")
+
+
+def pixels_of_frames(frames: DataFrame, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """The inverse: (frame_id, row, col, one column per channel) for each pixel of packed frames."""
+    n = len(channels)
+    at = frames.select("frame_id", "width", "pixels", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)).alias("_i"))
+    value = lambda k: F.conv(F.hex(F.substring("pixels", F.col("_i") * n + k + 1, F.lit(1))), 16, 10).cast("int")
+    return at.select("frame_id", F.floor(F.col("_i") / F.col("width")).cast("int").alias("row"), (F.col("_i") % F.col("width")).alias("col"), *[value(k).alias(c) for k, c in enumerate(channels)])

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import rescale, to_ns
@@ -112,16 +112,15 @@ def splice_timeline(packets: DataFrame, bucket: int | None = None) -> DataFrame:
     is true) comes one tick after the last. Packets without pts neither need nor settle a seek;
     several seeks in a row are one; with nothing before it a seek shifts nothing."""
     real = F.col("pts").isNotNull()
-    order = Window.partitionBy("stream_id").orderBy("seq")
-    seeks = F.sum(F.col("seek").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = packets.withColumn("_seeks", seeks)
-    timed = rows.where(real)
-    raw = F.coalesce("dts", "pts")
-    new = F.col("_seeks") > F.coalesce(F.lag("_seeks").over(order), F.lit(0))
-    jump = F.when(new & F.lag(raw).over(order).isNotNull(), F.lag(raw).over(order) + 1 - raw).otherwise(F.lit(0))
-    timed = timed.withColumn("_jump", jump)
-    timed = running_sum(timed, "_jump", ["stream_id"], ["seq"], "_before", bucket).withColumn("offset", F.col("_before") + F.col("_jump"))
-    out = timed.drop("_jump", "_before").unionByName(rows.where(~real).withColumn("offset", F.lit(None).cast("bigint")))
+    keys, order = ["stream_id"], ["seq"]
+    rows = running_sum(packets.withColumn("_seek", F.col("seek").cast("bigint")), "_seek", keys, order, "_seeks", bucket)
+    rows = rows.withColumn("_seeks", F.col("_seeks") + F.col("_seek")).drop("_seek")
+    timed = rows.where(real).withColumn("_raw", F.coalesce("dts", "pts"))
+    timed = previous(previous(timed, "_raw", keys, order, "_last", bucket), "_seeks", keys, order, "_seen", bucket)
+    new = F.col("_seeks") > F.coalesce("_seen", F.lit(0))
+    timed = timed.withColumn("_jump", F.when(new & F.col("_last").isNotNull(), F.col("_last") + 1 - F.col("_raw")).otherwise(F.lit(0)))
+    timed = running_sum(timed, "_jump", keys, order, "_before", bucket).withColumn("offset", F.col("_before") + F.col("_jump"))
+    out = timed.drop("_jump", "_before", "_raw", "_last", "_seen").unionByName(rows.where(~real).withColumn("offset", F.lit(None).cast("bigint")))
     return out.withColumn("out_pts", F.col("pts") + F.col("offset")).withColumn("out_dts", F.col("dts") + F.col("offset")).drop("_seeks")
 
 

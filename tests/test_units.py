@@ -154,8 +154,8 @@ def test_resampling_in_blocks(spark):
         samples = r.normal(size=533)
         cuts = [0, 1, 7, 7, 250, 251, 500, 533]
         df = spark.createDataFrame([(1, i, rate, samples[a:z].tolist()) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))], "input int, frame_idx long, rate int, samples array<double>")
-        got = [(x["out_idx"], round(x["v"], 6)) for x in audio.resample(df, out, 16).orderBy("out_idx").collect()]
-        assert got == [(i, round(v, 6)) for i, v in enumerate(audio.interpolate_block(samples, rate, out))]
+        got, spread = ([(x["out_idx"], round(x["v"], 6)) for x in audio.resample(df, out, 16, b).orderBy("out_idx").collect()] for b in (None, 2))
+        assert got == spread == [(i, round(v, 6)) for i, v in enumerate(audio.interpolate_block(samples, rate, out))]
 
 
 def test_zero_base_cadence_and_active_time(spark):
@@ -240,6 +240,16 @@ def test_user_errors_are_quarantined(spark):
         map_buffers(df, lambda r: r, "x long", "ignore")
 
 
+def test_long_streams_in_buckets(spark):
+    p = spark.createDataFrame([(f, q, None if q % 5 == 4 else (q * 37) % 200, (q * 37) % 200, q % 6 == 3) for f in (1, 2) for q in range(40)], "stream_id long, seq long, pts long, dts long, seek boolean")
+    cols = ["stream_id", "seq", "out_pts", "out_dts"]
+    assert rows(timeline.splice_timeline(p), *cols) == rows(timeline.splice_timeline(p, 7), *cols)
+    f = spark.createDataFrame([(1, t, i) for i, t in enumerate((0, 3, 4, 19, 40, 41, 42, 90))], "source long, at long, frame_id long")
+    assert rows(joins.steady_rate(f, 5), "at", "frame_id", "is_repeat", "run") == rows(joins.steady_rate(f, 5, 16), "at", "frame_id", "is_repeat", "run")
+    a = spark.createDataFrame([(1, i, t, 4, [float(i)] * 4) for i, t in enumerate((0, 4, 9, 13, 30, 34))], "input long, frame_idx long, pts long, n_samples long, samples array<double>")
+    assert rows(audio.fill_silence(a)) == rows(audio.fill_silence(a, 10)) and rows(audio.rechunk(a, 5)) == rows(audio.rechunk(a, 5, bucket=2))
+
+
 def test_order_in_buckets(spark):
     p = spark.createDataFrame([(f, t, q, None if q == 3 else (q * 7) % 11 * 1000, 1, 1000) for f in (1, 2) for t in (0, 1) for q in range(12)], "stream_id long, track_id int, seq long, dts long, tb_num int, tb_den int")
     whole = rows(tracks.interleave(p), "stream_id", "track_id", "seq", "file_seq")
