@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import stage
+
 
 def _start(order: str, bucket: int) -> Column:
     """Where a value's bucket begins; exact for all 64 bits."""
@@ -23,27 +25,25 @@ def _earlier(keys: list[str]):
 
 def last_known(rows: DataFrame, value: str, keys: list[str], order: list[str], bucket: int | None = None) -> DataFrame:
     """``rows`` with ``value`` replaced by its last non-null one, at or before each row in order."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn(value, F.last(value, ignorenulls=True).over(w))
-    return _carried(rows, value, keys, order, bucket, 0, value)
+    return _carried(rows, [value], keys, order, bucket, 0, [value])
 
 
-def previous(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, bucket: int | None = None) -> DataFrame:
-    """``rows`` with ``value`` of the last earlier row of the keys that has one, as ``name``."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
-    return _carried(rows, value, keys, order, bucket, -1, name)
+def previous(rows: DataFrame, values: list[str], keys: list[str], order: list[str], names: list[str], bucket: int | None = None) -> DataFrame:
+    """``rows`` with each of ``values`` of the last earlier row of the keys that has it, as ``names``."""
+    return _carried(rows, values, keys, order, bucket, -1, names)
 
 
-def _carried(rows: DataFrame, value: str, keys: list[str], order: list[str], bucket: int, upto: int, name: str) -> DataFrame:
-    cut = rows.withColumn("_bucket", _start(order[0], bucket))
-    parts = cut.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_v"))
-    carried = parts.withColumn("_carry", F.last("_v", ignorenulls=True).over(_earlier(keys))).drop("_v")
+def _carried(rows: DataFrame, values: list[str], keys: list[str], order: list[str], bucket: int | None, upto: int, names: list[str]) -> DataFrame:
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
+        return rows.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in zip(names, values, strict=True)})
+    # Read twice, so written: steps that follow each other would else repeat all before them.
+    cut = stage(rows.withColumn("_bucket", _start(order[0], bucket)), "cut")
+    parts = cut.groupBy(*keys, "_bucket").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_v{i}") for i, v in enumerate(values)])
+    carried = parts.select(*keys, "_bucket", *[F.last(f"_v{i}", ignorenulls=True).over(_earlier(keys)).alias(f"_carry{i}") for i in range(len(values))])
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    known = cut.join(carried, [*keys, "_bucket"]).withColumn(name, F.coalesce(F.last(value, ignorenulls=True).over(w), "_carry"))
-    return known.drop("_bucket", "_carry")
+    known = {n: F.coalesce(F.last(v, ignorenulls=True).over(w), f"_carry{i}") for i, (n, v) in enumerate(zip(names, values, strict=True))}
+    return cut.join(carried, [*keys, "_bucket"]).withColumns(known).drop("_bucket", *[f"_carry{i}" for i in range(len(values))])
 
 
 def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: Column, tie: str | None = None, bucket: int | None = None) -> DataFrame:
@@ -74,7 +74,7 @@ def running_sum(rows: DataFrame, value: str, keys: list[str], order: list[str],
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cut = rows.withColumn("_bucket", _start(order[0], bucket))
+    cut = stage(rows.withColumn("_bucket", _start(order[0], bucket)), "cut")
     sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(_earlier(keys)), F.lit(0))).drop("_s")
     w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

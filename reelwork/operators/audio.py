@@ -48,7 +48,7 @@ def mix_samples(samples: DataFrame) -> DataFrame:
 def fill_silence(frames: DataFrame, bucket: int | None = None) -> DataFrame:
     """``frames`` (input, pts, n_samples) and a silent row (is_silence) for each gap before one."""
     ends = frames.withColumn("_own", F.col("pts") + F.col("n_samples"))
-    rows = previous(ends, "_own", ["input"], ["pts"], "_end", bucket).withColumn("is_silence", F.lit(False))
+    rows = previous(ends, ["_own"], ["input"], ["pts"], ["_end"], bucket).withColumn("is_silence", F.lit(False))
     gaps = rows.where(F.col("pts") > F.col("_end")).select("input", F.col("_end").alias("pts"), (F.col("pts") - F.col("_end")).alias("n_samples"), F.lit(True).alias("is_silence"))
     return rows.select("input", "pts", "n_samples", "is_silence").unionByName(gaps)
 
@@ -133,7 +133,7 @@ def resample(frames: DataFrame, rate: int, block: int = 256, bucket: int | None
     overlap by one, and each block gives the output that lies in it: parts of frames are shuffled, not
     samples. ``bucket`` (frames) spreads a long input, which else is sorted in one task.
     """
-    rows = previous(frames.select("input", "frame_idx", F.col("rate").cast("bigint").alias("rate"), "samples"), "rate", ["input"], ["frame_idx"], "_rate", bucket)
+    rows = previous(frames.select("input", "frame_idx", F.col("rate").cast("bigint").alias("rate"), "samples"), ["rate"], ["input"], ["frame_idx"], ["_rate"], bucket)
     rows = rows.withColumn("_new", F.coalesce((F.col("rate") != F.col("_rate")).cast("bigint"), F.lit(0)))
     runs = running_sum(rows, "_new", ["input"], ["frame_idx"], "run", bucket).withColumn("run", F.col("run") + F.col("_new"))
     runs = runs.select("input", "run", "frame_idx", "rate", "samples", F.size("samples").cast("bigint").alias("_n"))

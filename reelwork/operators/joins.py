@@ -66,7 +66,7 @@ def steady_rate(frames: DataFrame, interval: int, bucket: int | None = None) ->
     span = frames.groupBy("source").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     ticks = span.select("source", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("bigint"))).alias("at"))
     got = asof(ticks, frames, ["source"], "at", F.col("frame_id"), "frame_id", bucket).withColumnRenamed("known", "frame_id")
-    rows = previous(got, "frame_id", ["source"], ["at"], "_last", bucket)
+    rows = previous(got, ["frame_id"], ["source"], ["at"], ["_last"], bucket)
     rows = rows.withColumn("is_repeat", F.coalesce(F.col("frame_id") == F.col("_last"), F.lit(False))).withColumn("_new", (~F.col("is_repeat")).cast("bigint"))
     rows = running_sum(rows, "_new", ["source"], ["at"], "_g", bucket).withColumn("_g", F.col("_g") + F.col("_new")).drop("_new", "_last")
     return rows.withColumn("run", F.row_number().over(Window.partitionBy("source", "_g").orderBy("at")) - 1).drop("_g")

@@ -44,7 +44,7 @@ def observed_duration(frames: DataFrame, resets: DataFrame | None = None, at: st
         rows = running_sum(both, "_r", ["stream_id"], ["seq", "_r"], "epoch", bucket).where("_r = 0").drop("_r")
     keys = ["stream_id", "epoch"]
     step = F.col(at) - F.col("_last")
-    rows = previous(rows, at, keys, ["seq"], "_last", bucket).withColumn("duration_ns", F.when(step > 0, step)).drop("_last")
+    rows = previous(rows, [at], keys, ["seq"], ["_last"], bucket).withColumn("duration_ns", F.when(step > 0, step)).drop("_last")
     rows = last_known(rows, "duration_ns", keys, ["seq"], bucket)
     return rows.withColumn("duration_ns", F.coalesce("duration_ns", F.lit(NOMINAL_NS).cast("bigint")))
 
@@ -72,7 +72,7 @@ def playback_position(asks: DataFrame, samples: DataFrame, bucket: int | None =
 
     keys, order = ["stream_id"], ["wall_ns", "seq"]
     played = samples.withColumn("_own", F.when(~F.col("priming"), F.col("position_ns")))
-    played = previous(previous(played, "_own", keys, order, "held", bucket), "priming", keys, order, "_primed", bucket)
+    played = previous(played, ["_own", "priming"], keys, order, ["held", "_primed"], bucket)
     played = played.join(base.select("stream_id", "_handed"), "stream_id", "left").withColumn("held", F.coalesce("held", "_handed"))
     after = F.coalesce("_primed", F.lit(True)) & ~F.col("priming") & ~F.coalesce("ended", F.lit(False))
     played = played.withColumn("position_ns", F.when(after, F.greatest("position_ns", F.coalesce("held", "position_ns"))).otherwise(F.col("position_ns")))
@@ -116,7 +116,7 @@ def splice_timeline(packets: DataFrame, bucket: int | None = None) -> DataFrame:
     rows = running_sum(packets.withColumn("_seek", F.col("seek").cast("bigint")), "_seek", keys, order, "_seeks", bucket)
     rows = rows.withColumn("_seeks", F.col("_seeks") + F.col("_seek")).drop("_seek")
     timed = rows.where(real).withColumn("_raw", F.coalesce("dts", "pts"))
-    timed = previous(previous(timed, "_raw", keys, order, "_last", bucket), "_seeks", keys, order, "_seen", bucket)
+    timed = previous(timed, ["_raw", "_seeks"], keys, order, ["_last", "_seen"], bucket)
     new = F.col("_seeks") > F.coalesce("_seen", F.lit(0))
     timed = timed.withColumn("_jump", F.when(new & F.col("_last").isNotNull(), F.col("_last") + 1 - F.col("_raw")).otherwise(F.lit(0)))
     timed = running_sum(timed, "_jump", keys, order, "_before", bucket).withColumn("offset", F.col("_before") + F.col("_jump"))
