@@ -81,8 +81,11 @@ def _matches(docs: DataFrame, benchmark: DataFrame, least: float, least_words: i
     text = ["doc_id", "th", "size"]
     pair = [*text, "item_id"]
     read = _texts(docs).select(*text, words(F.col("text")).alias("doc_words"))
-    found = _seeds(read, "doc_words", masks or [0]).join(sent(seeds.select("_h", "item_id", "n_item", F.size("ats").alias("n_at"))), "_h")
-    places = stage(found.select(*pair, "n_item", F.size("doc_words").alias("n_doc"), "_h", "_at", "n_at"), "places")
+    # Only hashes and places leave a text, as a benchmark too large to be sent is joined by shuffle;
+    # Spark puts a Bloom filter of its hashes before that where the documents are large.
+    laid_out = _seeds(read.withColumn("n_doc", F.size("doc_words")), "doc_words", masks or [0]).select(*text, "n_doc", "_h", "_at")
+    found = laid_out.join(sent(seeds.select("_h", "item_id", "n_item", F.size("ats").alias("n_at"))), "_h")
+    places = stage(found.select(*pair, "n_item", "n_doc", "_h", "_at", "n_at"), "places")
     # Where texts repeat themselves there can be more hits than diagonals: then each diagonal is
     # tried. A pair's places are no more than the words of its text, times the masks.
     places = places.withColumn("every", F.sum("n_at").over(Window.partitionBy(*pair)) >= F.col("n_doc") + F.col("n_item"))

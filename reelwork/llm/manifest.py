@@ -122,10 +122,11 @@ def build(docs: DataFrame, columns: tuple[str, ...] = COLUMNS, group: str = "sou
     return Manifest(leaves, levels, subroots.drop("groups"), top, root["digest"] if root else None, arity)
 
 
-def _with_path(runs: DataFrame, above: DataFrame | None, tops: DataFrame, arity: int) -> DataFrame:
-    """``runs`` with ``path``, that of the node that each became, and ``subroot``: from the level above, or
-    from ``tops`` where that node is its key's root."""
-    last = runs.where(F.col("n") <= arity).join(tops, "key")
+def _with_path(runs: DataFrame, above: DataFrame | None, tops: DataFrame | None, arity: int) -> DataFrame:
+    """``runs`` with ``path``, that of the node that each became, and ``subroot``: from the level above, or,
+    where that node is its key's root, from ``tops`` (None: nothing is above it)."""
+    last = runs.where(F.col("n") <= arity)
+    last = last.withColumns({"path": F.array().cast(PATH), "subroot": F.lit("")}) if tops is None else last.join(tops, "key")
     if above is None:
         return last
     return last.unionByName(runs.where(F.col("n") > arity).join(above.withColumnRenamed("idx", "run"), ["key", "run"]))
@@ -138,7 +139,7 @@ def _step(digests: Column, slot: Column, path: Column, arity: int) -> Column:
     return F.concat(F.array(F.struct(left.alias("left"), right.alias("right"))), path)
 
 
-def _down(levels: list[DataFrame], tops: DataFrame, arity: int, name: str) -> DataFrame | None:
+def _down(levels: list[DataFrame], tops: DataFrame | None, arity: int, name: str) -> DataFrame | None:
     """(key, run, digests, path, subroot) of the lowest level's runs."""
     above = None
     for k in reversed(range(len(levels))):
@@ -154,8 +155,7 @@ def proofs(m: Manifest) -> DataFrame:
     """The manifest's leaves (id, kept, digest) with subroot, root and path: for each level from the leaf up
     the digests to its left and right in its run. Paths are laid from the root down, a run's once for all
     its nodes; only the last step goes to each leaf."""
-    start = m.subroots.select(F.lit(0).cast("long").alias("key")).distinct().withColumns({"path": F.array().cast(PATH), "subroot": F.lit("")})
-    top = _down(m.top, start, m.arity, "down-top")
+    top = _down(m.top, None, m.arity, "down-top")
     if top is None:
         above = m.subroots.select("key", F.array().cast(PATH).alias("path"))
     else:

@@ -3,8 +3,9 @@
 Detected entities are replaced by values of the same type and format that depend on a secret key
 and the entity alone, so that one entity gets one surrogate in every document without any table.
 Numbers, secrets and the parts of addresses go through a keyed permutation of all values of their
-format, which leaves none in its place. Names (drawn by gender and script), addresses whose top-level
-domains fall together and secrets of symbols alone can still collide or stay as they are; a job over
+format, which leaves none in its place; secrets of over 64 characters go piece by piece, each under the
+whole secret. Names (drawn by gender, from letters of their own script), addresses whose top-level
+domains fall together, long secrets and those of symbols alone can still collide or stay as they are; a job over
 the distinct entities finds these and gives the later entity its next surrogate, a longer one each
 time, until all are distinct. A first name is one entity whatever title stands before it; its gender
 is that which most of its titles in the whole table tell.
@@ -30,6 +31,8 @@ from .common import fresh, small, stage, table
 
 #: For demonstrations and tests only: whoever has the key can link surrogates to entities.
 DEMO_KEY = b"reelwork demonstration key"
+#: Characters that are permuted together.
+PIECE = 64
 #: Surrogates that one task draws, about: they are few bytes, but take their time.
 DRAWN_PER_TASK = 20_000
 
@@ -79,6 +82,9 @@ PATTERNS = [
     ("email", "@", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b")),
     ("secret", None, re.compile(r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key))\b[\"']?\s{0,8}[:=]\s{0,8}[\"']?([A-Za-z0-9_+/-]{12,})")),
     ("secret", None, re.compile(r"\b([0-9a-f]{32,})\b")),
+    # Key ids keep their public prefix, key blocks their frame.
+    ("secret", "IA", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)([0-9A-Z]{16})(?![A-Za-z0-9])")),
+    ("secret", "PRIVATE KEY", re.compile(r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----\s([A-Za-z0-9+/=:,\s-]{16,}?)-----END [A-Z ]{0,24}PRIVATE KEY-----")),
     ("iban", None, re.compile(r"(?<![\w-])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![\w-])")),
     ("ip6", ":", re.compile(r"(?<![\w:.])((?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4})(?![\w:.])")),
     ("ip", ".", re.compile(rf"(?<![0-9.])({_OCTET}(?:\.{_OCTET}){{3}})(?![0-9]|\.[0-9])")),
@@ -160,11 +166,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
     for kind, needs, pattern in PATTERNS:
         if needs and needs not in text:
             continue
-        if kind == "secret" and pattern.groups:
+        if kind == "secret" and not needs:
             secret = _SECRET_WORD.search(text) is not None if secret is None else secret
             if not (secret or digits):
                 continue
-        elif kind != "email" and not digits:
+        elif kind not in ("email", "secret") and not digits:
             continue
         group = 1 if pattern.groups else 0
         valid = _VALID.get(kind, bool)
@@ -194,8 +200,11 @@ def find(text: str) -> list[tuple[int, int, str]]:
 
 
 def _round(key: bytes, tweak: bytes, r: int, half: int, bits: int) -> int:
+    """As many pseudorandom bits as a half has: blocks of 64 bytes, each with its number."""
     size = (bits + 7) // 8
-    return int.from_bytes(blake2b(half.to_bytes(size + 1, "big"), digest_size=min(64, size + 1), key=key[:64], person=bytes([r]), salt=blake2b(tweak, digest_size=16).digest()).digest(), "big") & ((1 << bits) - 1)
+    data, salt = half.to_bytes(size + 1, "big"), blake2b(tweak, digest_size=16).digest()
+    blocks = [blake2b(data, digest_size=min(64, size + 1 - at), key=key[:64], person=bytes([r]) + (at // 64).to_bytes(4, "big"), salt=salt).digest() for at in range(0, size + 1, 64)]
+    return int.from_bytes(b"".join(blocks), "big") & ((1 << bits) - 1)
 
 
 def permute(value: int, n: int, key: bytes, tweak: str) -> int:
@@ -226,7 +235,14 @@ def permute(value: int, n: int, key: bytes, tweak: str) -> int:
 
 def reshape(value: str, key: bytes, tweak: str, hexadecimal: bool = False) -> str:
     """Permutes a string among all strings of its format: each letter or digit stays in its
-    alphabet, all else stays as it is. For one key and tweak it is one-to-one."""
+    alphabet, all else stays as it is. For one key and tweak it is one-to-one among strings of up to
+    PIECE characters. Longer ones are permuted piece by piece, each under a tweak of the whole string,
+    so that time is linear and pieces that two strings share don't show."""
+    if len(value) > PIECE:
+        whole = f"{tweak}|{blake2b(value.encode(), key=key[:64], digest_size=16).hexdigest()}"
+        n = -(-len(value) // PIECE)
+        ends = [len(value) * i // n for i in range(n + 1)]
+        return "".join(reshape(value[a:z], key, f"{whole}|{i}", hexadecimal) for i, (a, z) in enumerate(zip(ends, ends[1:], strict=False)))
     hexes = "0123456789abcdef"
     sets = [hexes if hexadecimal and c in hexes else _ALPHABET_OF.get(c) for c in value]
     n, rank = 1, 0
@@ -254,7 +270,21 @@ def _like(pattern: str, digits: str) -> str:
 
 
 def _script(name: str) -> str:
-    return "cyrillic" if "\u0400" <= name[0] <= "\u052f" else "greek" if "\u0370" <= name[0] <= "\u03ff" else "latin"
+    """cyrillic, greek or latin; of any other letter the 128 code points that it stands among."""
+    c = name[0]
+    if "\u0400" <= c <= "\u052f" or "\u0370" <= c <= "\u03ff":
+        return "cyrillic" if c >= "\u0400" else "greek"
+    return "latin" if c < "\u0250" or "\u1e00" <= c <= "\u1eff" else f"u{ord(c) & ~127:04x}"
+
+
+@lru_cache(maxsize=1000)
+def _sounds(script: str) -> list[str]:
+    """What names of a script are drawn from: syllables, or the letters of a block."""
+    if script in _SYLLABLES:
+        return _SYLLABLES[script]
+    first = int(script[1:], 16)
+    letters = [chr(c) for c in range(first, first + 128) if category(chr(c)) in ("Lo", "Ll")]
+    return letters if len(letters) > 1 else _SYLLABLES["latin"]
 
 
 def parts(kind: str, value: str) -> list[tuple[str, str, str | None]]:
@@ -335,8 +365,8 @@ def surrogate(kind: str, canon: str, gender: str | None, attempt: int, key: byte
     if listed and not attempt:
         names = [x.lower() for x in FIRST_NAMES[script, listed]]
         return names[permute(names.index(canon), len(names), key, f"{kind}:{listed}")]
-    endings = _ENDINGS[script] if what == "last" else _GENDERED[script][listed or gender or "u"]
-    out, n = _spoken(drawn, _SYLLABLES[script], 2 + attempt)
+    endings = [""] if script not in _ENDINGS else _ENDINGS[script] if what == "last" else _GENDERED[script][listed or gender or "u"]
+    out, n = _spoken(drawn, _sounds(script), 2 + attempt)
     # Russian surnames of women keep their ending.
     tail = "а" if kind == "last:cyrillic" and canon.endswith(("ова", "ева", "ёва", "ина")) else ""
     return out + endings[n % len(endings)] + tail
