@@ -196,16 +196,24 @@ INVENTORY = f"""select user_id as stream_id, case event_type when 'signup' then
     cast(sum(case when {_WELL_FORMED} then case event_id % {len(media.SPS)} {_BYTES} end else 1 + length(cast(event_id as varchar)) end) as bigint) as bytes from ev group by all"""
 
 
-def probed(spark, d):
-    ready = bitstream.probe_codec(bitstream.nal_units(media.nal_payloads(spark, d)))
+def probe_rows(ready):
     return ready.select("stream_id", F.col("run").cast("bigint").alias("run"), "codec", "ready_seq", F.col("sps").isNotNull().alias("has_sps"), F.coalesce("width", F.lit(-1)).alias("width"))
 
 
-PROBED = f"""with u as (select user_id as stream_id, event_id, event_type, (row_number() over (partition by user_id order by event_id) - 1) // 4 as seq from ev),
-    g as (select stream_id, seq, max(case when event_type = 'signup' then event_id end) as a, max(case when event_type = 'purchase' then event_id end) as b from u group by all),
-    k as (select stream_id, seq, max(a) over w as a, max(b) over w as b from g window w as (partition by stream_id order by seq rows between unbounded preceding and current row)),
-    r as (select stream_id, seq, case when stream_id % 3 <> 0 then 'H264' else 'VP8' end as codec, a from k where stream_id % 3 = 0 or (a % 3 = 0 and b is not null) qualify row_number() over (partition by stream_id order by seq) = 1)
-    select stream_id, cast(0 as bigint) as run, codec, seq as ready_seq, codec = 'H264' as has_sps, case when codec = 'H264' then cast(case a % {len(media.SPS)} {_WIDTHS} end as integer) else -1 end as width from r"""
+def probed(spark, d):
+    return probe_rows(bitstream.probe_codec(media.nal_payloads(spark, d)))
+
+
+#: {keep}: which payloads there are.
+PROBED_OF = f"""with u as (select user_id as stream_id, event_id, event_type, us, (row_number() over (partition by user_id order by event_id) - 1) // 4 as seq from ev),
+    g as (select stream_id, seq, max(us) as at, max(case when event_type = 'signup' then event_id end) as a, max(case when event_type = 'purchase' then event_id end) as b from u group by all),
+    h as (select *, case when (stream_id + case when stream_id % 5 = 1 then seq // 8 else 0 end) % 3 <> 0 then 'H264' else 'VP8' end as codec from g where {{keep}}),
+    c as (select *, case when codec <> lag(codec) over (partition by stream_id order by seq) then 1 else 0 end as new from h),
+    n as (select *, cast(sum(new) over (partition by stream_id order by seq) as bigint) as run from c),
+    k as (select stream_id, run, codec, seq, max(a) over w as a, max(b) over w as b from n window w as (partition by stream_id, run order by seq rows between unbounded preceding and current row)),
+    r as (select * from k where codec = 'VP8' or (a % 3 = 0 and b is not null) qualify row_number() over (partition by stream_id, run order by seq) = 1)
+    select stream_id, run, codec, seq as ready_seq, codec = 'H264' as has_sps, case when codec = 'H264' then cast(case a % {len(media.SPS)} {_WIDTHS} end as integer) else -1 end as width from r"""
+PROBED = PROBED_OF.format(keep="true")
 
 QUERIES = {
     "attribute_events": (attributed, ATTRIBUTED), "event_summary": (summarised, SUMMARISED), "topology_paths": (paths, PATHS), "parse_logs": (logs, LOGS), "lifecycle_check": (lifecycles, LIFECYCLES), "trend_verdict": (trend, TREND),

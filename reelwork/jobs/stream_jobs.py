@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import segments
-from ..operators.staging import shared_path
+from ..operators.staging import shared_path, stage
 from ..sources import media
 from ..streaming import live
 from .packet_jobs import playlists
+from .report_jobs import PROBED_OF, probe_rows
 from .views import VIEWS, with_views
 
 DAY = media.DAY
@@ -23,6 +24,25 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "user_id", "event_type", "value", F.expr(media.MICROS).alias("us")).withColumn("ts", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000))
 
 
+def replayed(rows: DataFrame, name: str, slices: int = 6, late: int = 6 * 3_600_000_000) -> DataFrame:
+    """``rows`` (us, event_id or seq, ...) as a stream: slices of the whole time range, in files that come
+    one after the other, in each of which rows stand in no order and may be up to ``late`` microseconds
+    behind others that came before."""
+    spark, path = rows.sparkSession, shared_path(rows.sparkSession, name)
+    span = rows.agg(F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    width = ((span["hi"] or 0) - (span["lo"] or 0) + late) // slices + 1
+    mixed = F.xxhash64(*[c for c in ("stream_id", "seq", "event_id") if c in rows.columns])
+    cut = rows.withColumn("slice", F.call_function("div", F.col("us") - (span["lo"] or 0) + F.pmod(mixed, F.lit(late)), F.lit(width)))
+    cut = stage(cut.withColumn("ts", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000)), f"{name}-rows")
+    for k in range(slices):  # each later than the one before, as a source reads files by their age
+        cut.where(F.col("slice") == k).drop("slice").repartition(2, mixed).sortWithinPartitions(mixed).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(cut.drop("slice").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in").withWatermark("ts", "12 hours")
+
+
+#: Up to where the watermark of such a stream has come at its end, in milliseconds.
+REPLAYED = "select max({us}) // 1000 - 43200000 as passed from {rows}"
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream until its input is used up and gives all it has emitted."""
     spark, path = stream.sparkSession, shared_path(stream.sparkSession, name)
@@ -75,19 +95,30 @@ LATEST = "select user_id % 20 as input, max(event_id) as seq, case when arg_max(
 
 def segmenter(spark, d):
     """Every seventh stream has no video; each stream ends with its last event."""
-    e = event_stream(spark, d).withColumn("is_key", F.col("event_type") != "click")
+    e = media.events(spark, d).withColumn("is_key", F.col("event_type") != "click")
     has_video = F.col("user_id") % 7 != 3
     kind = F.when(has_video & F.col("event_type").isin("view", "click"), "video").otherwise("other")
-    packets = e.select(F.col("user_id").alias("stream_id"), F.col("us").alias("pts"), F.col("event_id").alias("seq"), kind.alias("kind"), "is_key", F.round(F.col("value") * 100).cast("bigint").alias("size"), has_video.alias("has_video"))
-    last = media.events(spark, d).groupBy(F.col("user_id").alias("stream_id")).agg(F.max("event_id").alias("seq")).withColumn("is_end", F.lit(True))
+    packets = e.select(F.col("user_id").alias("stream_id"), "us", F.col("us").alias("pts"), F.col("event_id").alias("seq"), kind.alias("kind"), "is_key", F.round(F.col("value") * 100).cast("bigint").alias("size"), has_video.alias("has_video"))
+    last = e.groupBy(F.col("user_id").alias("stream_id")).agg(F.max("event_id").alias("seq")).withColumn("is_end", F.lit(True))
     ended = packets.join(last, ["stream_id", "seq"], "left").withColumn("is_end", F.coalesce("is_end", F.lit(False)))
-    return drained(live.stream_segment(ended, DAY), "segments").drop("_epoch")
+    return drained(live.stream_segment(replayed(ended, "packets"), DAY), "segments").drop("_epoch")
 
 
-SEGMENTER = """with sp as (select user_id as stream_id, us as pts, cast(round(value * 100) as bigint) as size, user_id % 7 = 3 or event_type = 'view' as is_cut from ev),
+SEGMENTER = f"""with passed as ({REPLAYED.format(us='us', rows='ev')}),
+    sp as (select user_id as stream_id, us as pts, cast(round(value * 100) as bigint) as size, user_id % 7 = 3 or event_type = 'view' as is_cut from ev, passed where us // 1000 <= passed),
+    ended as (select user_id as stream_id from ev, passed group by user_id, passed having max(us) // 1000 <= passed),
     sc as (select stream_id, cast(0 as bigint) as segment, min(pts) as at from sp group by stream_id
       union all select stream_id, segment + 1, (select min(pts) from sp q where q.stream_id = c.stream_id and is_cut and q.pts >= c.at + 86400000000) from sc c where (select min(pts) from sp q where q.stream_id = c.stream_id and is_cut and q.pts >= c.at + 86400000000) is not null)
-    select p.stream_id, c.segment, min(c.at) as start_pts, count(*) as packets, cast(sum(size) as bigint) as bytes from sp p asof join sc c on p.stream_id = c.stream_id and p.pts >= c.at group by p.stream_id, c.segment"""
+    select p.stream_id, c.segment, min(c.at) as start_pts, count(*) as packets, cast(sum(size) as bigint) as bytes from sp p asof join sc c on p.stream_id = c.stream_id and p.pts >= c.at
+    where p.stream_id in (select stream_id from ended) or (p.stream_id, c.segment + 1) in (select (stream_id, segment) from sc) group by p.stream_id, c.segment"""
+
+
+def probe(spark, d):
+    """Payloads of all streams, shuffled within six hours; parameter sets come in different ones."""
+    return probe_rows(drained(live.stream_probe_codec(replayed(media.nal_payloads(spark, d).withColumnRenamed("at", "us"), "payloads")), "probe"))
+
+
+PROBE = PROBED_OF.format(keep=f"at // 1000 <= ({REPLAYED.format(us='at', rows='g')})")
 
 
 def finalize(spark, d):
@@ -135,7 +166,7 @@ def playlist_files(spark, d):
 PLAYLIST_FILES = "select stream_id, count(*) * 2 + 7 as lines, count(*) as entries from segment_rows group by stream_id"
 
 QUERIES = {
-    "stream_mix_ticks": (mix_ticks, MIX), "stream_event_counts": (event_counts, COUNTS), "stream_latest_frame": (latest, LATEST), "stream_segmenter": (segmenter, SEGMENTER), "stream_finalize": (finalize, FINALIZE),
+    "stream_mix_ticks": (mix_ticks, MIX), "stream_event_counts": (event_counts, COUNTS), "stream_latest_frame": (latest, LATEST), "stream_segmenter": (segmenter, SEGMENTER), "stream_probe_codec": (probe, PROBE), "stream_finalize": (finalize, FINALIZE),
     "foreach_sink": (foreach, FOREACH), "write_segments": (segment_files, FILES), "write_playlist": (playlist_files, PLAYLIST_FILES),
 }
 QUERIES = {k: (f, with_views(sql)) for k, (f, sql) in QUERIES.items()}

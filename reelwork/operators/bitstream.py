@@ -127,19 +127,29 @@ def frame_sizes(sets: DataFrame) -> DataFrame:
     return sets.where("sps is not null").select("sps").distinct().mapInArrow(run, "sps binary, width int, height int")
 
 
-def probe_codec(units: DataFrame) -> DataFrame:
-    """(stream_id, run, codec, ready_seq, sps, pps, width, height): one row per stream and codec run
-    that becomes ready. H264 is ready with the first payload after which both parameter sets were
-    seen, perhaps in different ones, and the newest sequence set is well formed; it states the frame
-    size. Other codecs are ready at their first payload. A change of codec begins a new run, which has
-    seen nothing."""
-    last = lambda t: F.max_by("unit", F.when(F.col("nal_type") == t, F.col("nal_idx")))
-    payloads = units.groupBy("stream_id", "seq", "codec").agg(last(SPS).alias("sps"), last(PPS).alias("pps"))
+def parameter_sets(packets: DataFrame) -> DataFrame:
+    """(stream_id, seq, codec, sps, pps): each payload's last units of the two kinds, null without one."""
+
+    def run(batches):
+        for b in batches:
+            last = [{u[0] & 31: u for u in split_units(p)} if p else {} for p in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *(pa.array([x.get(t) for x in last], pa.binary()) for t in (SPS, PPS))], names=["stream_id", "seq", "codec", "sps", "pps"])
+
+    return packets.select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("seq").cast("bigint").alias("seq"), "codec", "payload").mapInArrow(run, "stream_id long, seq long, codec string, sps binary, pps binary")
+
+
+def probe_codec(packets: DataFrame) -> DataFrame:
+    """(stream_id, run, codec, ready_seq, sps, pps, width, height) of packets (stream_id, seq, codec,
+    payload): one row per stream and codec run that becomes ready. H264 is ready with the first payload
+    after which both parameter sets were seen, perhaps in different ones, and the newest sequence set is
+    well formed; it states the frame size. Other codecs are ready at their first payload, whatever it
+    holds. A change of codec begins a new run, which has seen nothing."""
+    payloads = parameter_sets(packets)
     w = Window.partitionBy("stream_id").orderBy("seq")
-    change = F.coalesce((F.col("codec") != F.lag("codec").over(w)).cast("int"), F.lit(0))
+    change = (~F.col("codec").eqNullSafe(F.lag("codec").over(w)) & (F.row_number().over(w) > 1)).cast("int")
     rows = payloads.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     so_far = Window.partitionBy("stream_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    h264 = F.col("codec") == "H264"
+    h264 = F.coalesce(F.col("codec") == "H264", F.lit(False))
     known = rows.withColumns({c: F.when(h264, F.last(c, ignorenulls=True).over(so_far)) for c in ("sps", "pps")})
     sized = known.join(frame_sizes(payloads), "sps", "left")
     ready = sized.where(~h264 | (F.col("width").isNotNull() & F.col("pps").isNotNull()))

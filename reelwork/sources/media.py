@@ -170,6 +170,9 @@ def nal_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.element_at(F.array(*[F.lit(x) for x, _ in SPS]), (F.col("event_id") % len(SPS)).cast("int") + 1)
     unit = F.when((F.col("event_type") == "signup") & (F.col("event_id") % 3 == 0), good).otherwise(F.concat(kind, F.hex(F.encode(F.col("event_id").cast("string"), "utf-8"))))
     unit = F.concat(F.lit("00000001"), unit)
-    rows = e.select(F.col("user_id").alias("stream_id"), F.floor(n / 4).cast("bigint").alias("seq"), "event_id", unit.alias("unit"))
-    joined = rows.groupBy("stream_id", "seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "unit"))), lambda x: x["unit"]), "").alias("hex"))
-    return joined.select("stream_id", "seq", F.when(F.col("stream_id") % 3 != 0, "H264").otherwise("VP8").alias("codec"), F.unhex("hex").alias("payload"))
+    rows = e.select(F.col("user_id").alias("stream_id"), F.floor(n / 4).cast("bigint").alias("seq"), "event_id", "us", unit.alias("unit"))
+    joined = rows.groupBy("stream_id", "seq").agg(F.max("us").alias("at"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "unit"))), lambda x: x["unit"]), "").alias("hex"))
+    # Every fifth stream changes its codec after each eighth payload.
+    turn = F.when(F.col("stream_id") % 5 == 1, F.floor(F.col("seq") / 8)).otherwise(F.lit(0))
+    codec = F.when((F.col("stream_id") + turn) % 3 != 0, "H264").otherwise("VP8")
+    return joined.select("stream_id", "seq", codec.alias("codec"), F.unhex("hex").alias("payload"), "at")

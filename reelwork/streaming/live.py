@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
+from ..operators.bitstream import PPS, SPS, frame_size, split_units
+
 
 def stream_mix(samples: DataFrame, tick: str = "20 milliseconds", watermark: str = "1 second") -> DataFrame:
     """Per mix and tick the sum of the samples there (mix_id, ts, v), clipped to -1 .. 1, and how many
@@ -27,7 +30,8 @@ def stream_event_counts(events: DataFrame, window: str = "1 hour", watermark: st
 
 
 class LatestFrame(StatefulProcessor):
-    """State: the newest frame of an input, as (seq, frame_id); forgotten at its end or a seek."""
+    """State: the place of an input's newest event and its frame_id, null after an end or a seek. The
+    place is kept then too, so that a frame from before the end, arriving late, doesn't live again."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.newest = handle.getValueState("newest", "seq long, frame_id long")
@@ -39,12 +43,8 @@ class LatestFrame(StatefulProcessor):
             last = top if last is None or top["seq"] >= last["seq"] else last
         if last is None or (self.newest.exists() and self.newest.get()[0] > last["seq"]):
             return
-        if last["event"] == "frame":
-            self.newest.update((int(last["seq"]), int(last["frame_id"])))
-            frame = int(last["frame_id"])
-        else:
-            self.newest.clear()
-            frame = None
+        frame = int(last["frame_id"]) if last["event"] == "frame" else None
+        self.newest.update((int(last["seq"]), frame))
         yield pd.DataFrame({"input": [key[0]], "seq": [int(last["seq"])], "frame_id": pd.array([frame], dtype="Int64")})
 
     def close(self) -> None:
@@ -53,48 +53,162 @@ class LatestFrame(StatefulProcessor):
 
 def stream_latest(frames: DataFrame) -> DataFrame:
     """After each batch the newest frame of each input (input, seq, event, frame_id) that changed;
-    null after an event other than 'frame'."""
+    null after an event other than 'frame'. Rows may arrive in any order: the highest seq counts."""
     return frames.groupBy("input").transformWithStateInPandas(LatestFrame(), "input long, seq long, frame_id long", "Update", "None")
 
 
-class Segmenter(StatefulProcessor):
+class InOrder(StatefulProcessor):
+    """Hands a key's rows on in the order of their event time, however they arrive.
+
+    State: the rows that the watermark hasn't passed, and when it passes the first of them. A timer at
+    that time releases all that are due, in order of ``columns``, of which the first is ms, the event
+    time in milliseconds. What is held is bounded by the watermark's delay; rows that come later than
+    that are dropped by Spark, as in any windowed aggregation."""
+
+    columns: list[str]
+    schema: str
+    out: dict[str, str]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", self.schema)
+        self.due = handle.getValueState("due", "ms long")
+        self.begin(handle)
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        """Sets up the state of the operator itself."""
+        raise NotImplementedError
+
+    def take(self, key: tuple, rows: list[tuple]) -> Iterator[tuple]:
+        """The rows that follow from a key's next rows, which are in order."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            values = list(zip(*(pdf[c].tolist() for c in self.columns), strict=True))
+            if values:
+                self.held.appendList(values)
+                first = min(values)[0] if first is None else min(first, min(v[0] for v in values))
+        if first is not None:
+            self._wake_at(first)
+        yield self._frame([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        rows = [tuple(r) for r in self.held.get()]
+        due = sorted((r for r in rows if r[0] <= passed), key=lambda r: r[: self.ordered])
+        later = [r for r in rows if r[0] > passed]
+        self.held.clear()
+        self.due.clear()
+        if later:
+            self.held.put(later)
+            self._wake_at(min(r[0] for r in later))
+        yield self._frame(list(self.take(key, due)))
+
+    #: How many of the columns give the order.
+    ordered = 3
+
+    def _wake_at(self, ms: int) -> None:
+        if self.due.exists():
+            if self.due.get()[0] <= ms:
+                return
+            self.handle.deleteTimer(self.due.get()[0])
+        self.handle.registerTimer(ms)
+        self.due.update((ms,))
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        columns = list(zip(*rows, strict=True)) or [()] * len(self.out)
+        return pd.DataFrame({c: pd.array(v, dtype=t) if t else pd.Series(list(v), dtype=object) for (c, t), v in zip(self.out.items(), columns, strict=True)})
+
+    def close(self) -> None:
+        pass
+
+
+class Segmenter(InOrder):
     """State: number and start of the open segment, its packets and bytes so far."""
 
+    columns = ["ms", "pts", "seq", "is_cut", "is_end", "size"]
+    schema = "ms long, pts long, seq long, is_cut boolean, is_end boolean, size long"
+    out = dict.fromkeys(["stream_id", "segment", "start_pts", "packets", "bytes"], "Int64")
+
     def __init__(self, duration: int):
         self.duration = duration
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def begin(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState("open", "segment long, start long, packets long, bytes long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["pts", "seq"], kind="stable")
-        state, out = self.open.get() if self.open.exists() else None, []
-        cuts = ~pdf["has_video"] | (pdf["is_key"] & (pdf["kind"] == "video"))
-        for pts, is_cut, size in zip(pdf["pts"], cuts, pdf["size"], strict=True):
+    def take(self, key, rows) -> Iterator[tuple]:
+        state = tuple(self.open.get()) if self.open.exists() else None
+        for _, pts, _, is_cut, is_end, size in rows:
             if state is None:
-                state = (0, int(pts), 0, 0)
+                state = (0, pts, 0, 0)
             elif is_cut and pts - state[1] >= self.duration:
-                out.append((key[0], *state))
-                state = (state[0] + 1, int(pts), 0, 0)
-            state = (state[0], state[1], state[2] + 1, state[3] + int(size))
-        if pdf["is_end"].any():
-            out.append((key[0], *state))
+                yield (key[0], *state)
+                state = (state[0] + 1, pts, 0, 0)
+            state = (state[0], state[1], state[2] + 1, state[3] + size)
+            if is_end:
+                yield (key[0], *state)
+                state = None
+        if state is None:
             self.open.clear()
-        elif state is not None:
+        else:
             self.open.update(state)
-        yield pd.DataFrame(out, columns=["stream_id", "segment", "start_pts", "packets", "bytes"]).astype("int64")
-
-    def close(self) -> None:
-        pass
 
 
 def stream_segment(packets: DataFrame, duration: int) -> DataFrame:
-    """Closed segments of live packets (stream_id, pts, seq, kind, is_key, size, has_video, is_end),
-    which arrive in order batch by batch. A stream without video (has_video is known from its tracks)
-    may cut at any packet. The open segment stays in the state until the stream's last packet (is_end)
-    closes it. One stream's packets of one batch are sorted in memory: a source's limit on files or
-    bytes per trigger bounds them."""
-    return packets.groupBy("stream_id").transformWithStateInPandas(Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long", "Append", "None")
+    """Closed segments of live packets (stream_id, ts, pts, seq, kind, is_key, size, has_video, is_end),
+    which may arrive in any order within the watermark of ts. A stream without video (has_video is known
+    from its tracks) may cut at any packet. The open segment stays in the state until the stream's last
+    packet (is_end) closes it; packets after that begin a stream anew. Order is that of ts, pts, seq."""
+    is_cut = ~F.col("has_video") | (F.col("is_key") & (F.col("kind") == "video"))
+    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "pts", "seq", is_cut.alias("is_cut"), "is_end", "size")
+    return rows.groupBy("stream_id").transformWithStateInPandas(Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long", "Append", "EventTime")
+
+
+class CodecProbe(InOrder):
+    """State: the codec of the run and its number, both parameter sets seen in it, and whether it was told."""
+
+    columns = ["ms", "seq", "codec", "payload"]
+    schema = "ms long, seq long, codec string, payload binary"
+    ordered = 2
+    out = {"stream_id": "Int64", "run": "Int64", "codec": None, "ready_seq": "Int64", "sps": None, "pps": None, "width": "Int32", "height": "Int32"}
+
+    def begin(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "codec string, run long, sps binary, pps binary, told boolean")
+
+    def take(self, key, rows) -> Iterator[tuple]:
+        codec, run, sps, pps, told = self.seen.get() if self.seen.exists() else (None, -1, None, None, False)
+        for _, seq, own, payload in rows:
+            if run < 0 or own != codec:
+                codec, run, sps, pps, told = own, run + 1, None, None, False
+            if told:
+                continue
+            size = (None, None)
+            if codec == "H264":
+                for unit in split_units(bytes(payload)) if payload is not None else ():
+                    if unit[0] & 31 == SPS:
+                        sps = unit
+                    elif unit[0] & 31 == PPS:
+                        pps = unit
+                size = read_size(bytes(sps)) if sps is not None and pps is not None else None
+            if size is not None:
+                told = True
+                yield (key[0], run, codec, seq, sps, pps, *size)
+        self.seen.update((codec, run, sps, pps, told))
+
+
+#: A stream repeats its parameter sets: a worker reads each distinct one once.
+read_size = lru_cache(maxsize=4096)(frame_size)
+
+
+def stream_probe_codec(packets: DataFrame) -> DataFrame:
+    """(stream_id, run, codec, ready_seq, sps, pps, width, height) of live packets (stream_id, ts, seq,
+    codec, payload), once for each codec run, as soon as the watermark of ts has passed the payload that
+    makes it ready; the rules are those of ``probe_codec``. The sets may come in different payloads and
+    batches, which may arrive in any order within the watermark; a change of codec forgets them."""
+    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "codec", "payload")
+    return rows.groupBy("stream_id").transformWithStateInPandas(CodecProbe(), "stream_id long, run long, codec string, ready_seq long, sps binary, pps binary, width int, height int", "Append", "EventTime")
 
 
 class Finalizer(StatefulProcessor):

@@ -1,5 +1,7 @@
 """Exact small cases. Expected values are fixed by the operators' definitions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,11 +219,13 @@ def test_units_and_parameter_sets(spark):
     assert bitstream.split_units(b"\x00\x00\x01\x67\x01\x00\x00\x00\x01\x68\x00\x00\x01\x00\x00\x01\x65") == [b"\x67\x01", b"\x68", b"\x65"]
     sps = bytes.fromhex("67640028acd940780227e5c044000003000400000300f03c60c658")
     assert bitstream.frame_size(sps) == (1920, 1080) and bitstream.frame_size(sps[:5]) is None and bitstream.frame_size(b"\x68\x01") is None
-    units = spark.createDataFrame([(1, 1, "H264", 0, 8, b"\x68"), (1, 2, "H264", 0, 7, sps), (1, 3, "VP8", 0, 0, b"\x01"), (1, 4, "H264", 0, 7, sps)], "stream_id long, seq long, codec string, nal_idx int, nal_type int, unit binary")
-    assert rows(bitstream.probe_codec(units), "run", "ready_seq", "width", "height") == [(0, 2, 1920, 1080), (1, 3, None, None)]
+    sets = lambda *units: b"".join(b"\x00\x00\x01" + u for u in units)
+    schema = "stream_id long, seq long, codec string, payload binary"
+    packets = spark.createDataFrame([(1, 1, "H264", sets(b"\x68")), (1, 2, "H264", sets(sps)), (1, 3, "VP8", b"\x01"), (1, 4, "H264", sets(sps)), (1, 5, None, None)], schema)
+    assert rows(bitstream.probe_codec(packets), "run", "ready_seq", "width", "height") == [(0, 2, 1920, 1080), (1, 3, None, None), (3, 5, None, None)]
     # A malformed set keeps a stream unready, also one that follows a good set before the other kind.
-    more = [(2, 1, "H264", 0, 7, sps[:5]), (2, 1, "H264", 1, 8, b"\x68"), (2, 2, "H264", 0, 5, b"\x65"), (3, 1, "H264", 0, 7, sps), (3, 2, "H264", 0, 7, sps[:5]), (3, 2, "H264", 1, 8, b"\x68"), (3, 4, "H264", 0, 7, sps)]
-    assert rows(bitstream.probe_codec(spark.createDataFrame(more, units.schema)), "stream_id", "ready_seq", "width") == [(3, 4, 1920)]
+    more = [(2, 1, "H264", sets(sps[:5], b"\x68")), (2, 2, "H264", sets(b"\x65")), (3, 1, "H264", sets(sps)), (3, 2, "H264", sets(sps[:5], b"\x68")), (3, 4, "H264", sets(sps))]
+    assert rows(bitstream.probe_codec(spark.createDataFrame(more, schema)), "stream_id", "ready_seq", "width") == [(3, 4, 1920)]
 
 
 def test_paths_with_fan_in_and_cycles(spark):
@@ -260,7 +264,7 @@ def test_order_in_buckets(spark):
     assert rows(ops.parse_logs(lines), "line_no", "body") == rows(ops.parse_logs(lines, 4), "line_no", "body")
 
 
-def drain(spark, files, stream_of, tmp_path):
+def drain(spark, files, stream_of, tmp_path, mode="append"):
     from reelwork.jobs.stream_jobs import ROCKSDB
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -268,19 +272,67 @@ def drain(spark, files, stream_of, tmp_path):
     for i, f in enumerate(files):
         f.coalesce(1).write.mode("append").parquet(source)
         stream = stream_of(spark.readStream.schema(f.schema).option("maxFilesPerTrigger", 1).parquet(source))
-        stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: out.extend(tuple(r) for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{tmp_path}/state").foreachBatch(lambda b, _: out.extend(tuple(r) for r in b.collect())).trigger(availableNow=True).start().awaitTermination()
     return out
 
 
+def at_seconds(df, column, scale=1000):
+    return df.withColumn("ts", F.timestamp_millis(F.col(column) * scale + 10**9))
+
+
+#: A row of another key that moves the watermark past all others.
+FAR = 10**6
+
+
 def test_live_segments_of_audio_and_at_the_end(spark, tmp_path):
     schema = "stream_id long, pts long, seq long, kind string, is_key boolean, size long, has_video boolean, is_end boolean"
     audio_only = [(1, i * 10, i, "audio", False, 1, False, i == 9) for i in range(10)]
     video = [(2, i * 10, i, "video", i % 4 == 0, 1, True, False) for i in range(10)]
-    files = [spark.createDataFrame([r for r in audio_only + video if lo <= r[2] < lo + 5], schema) for lo in (0, 5)]
-    got = drain(spark, files, lambda s: live.stream_segment(s, 30), tmp_path)
+    files = [[r for r in audio_only + video if lo <= r[2] < lo + 5] for lo in (0, 5)] + [[(3, FAR, 0, "audio", False, 1, False, False)]]
+    frames = [at_seconds(spark.createDataFrame(f, schema), "pts") for f in files]
+    got = drain(spark, frames, lambda s: live.stream_segment(s.withWatermark("ts", "1 second"), 30), tmp_path)
     assert sorted(got) == [(1, 0, 0, 3, 3), (1, 1, 30, 3, 3), (1, 2, 60, 3, 3), (1, 3, 90, 1, 1), (2, 0, 0, 4, 4), (2, 1, 40, 4, 4)]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shuffled_batches_give_the_segments_of_the_batch_form(spark, tmp_path, seed):
+    r = random.Random(seed)
+    schema = "stream_id long, pts long, seq long, kind string, is_key boolean, size long, has_video boolean, is_end boolean"
+    packets = [(k, i, i, "video", r.random() < 0.3, r.randint(1, 9), True, i == 59) for k in (1, 2) for i in range(60)]
+    slices = [[p for p in packets if (p[1] + 7919 * (p[1] + p[0]) % 12) // 15 == k] for k in range(5)] + [[(3, FAR, 0, "audio", False, 1, False, False)]]
+    for f in slices:
+        r.shuffle(f)
+    frames = [at_seconds(spark.createDataFrame(f, schema), "pts") for f in slices]
+    got = drain(spark, frames, lambda s: live.stream_segment(s.withWatermark("ts", "13 seconds"), 7), tmp_path)
+    batch = segments.segment(spark.createDataFrame(packets, schema).withColumn("track_id", F.lit(0)), 7)
+    want = batch.groupBy("stream_id", "segment").agg(F.min("pts"), F.count("*"), F.sum("size"))
+    assert sorted(got) == sorted(tuple(x) for x in want.collect()) and sum(map(len, slices)) == 121
+
+
+def test_frames_from_before_an_end_stay_gone(spark, tmp_path):
+    row = lambda *f: spark.createDataFrame(list(f), "input long, seq long, event string, frame_id long")
+    files = [row((1, 5, "frame", 50)), row((1, 9, "end", None)), row((1, 7, "frame", 70)), row((1, 12, "frame", 120), (1, 11, "end", None)), row((1, 10, "frame", 100))]
+    got = drain(spark, files, live.stream_latest, tmp_path, "update")
+    assert got == [(1, 5, 50), (1, 9, None), (1, 12, 120)]
+
+
+def test_codec_of_live_streams(spark, tmp_path):
+    sps, small = bytes.fromhex("67640028acd940780227e5c044000003000400000300f03c60c658"), bytes.fromhex("6742001eda0a3640")
+    sets = lambda *units: b"".join(b"\x00\x00\x01" + u for u in units)
+    packets = [
+        (1, 1, "H264", sets(b"\x68\x01")), (1, 2, "H264", sets(b"\x65")), (1, 3, "H264", sets(sps)), (1, 4, "H264", sets(small, b"\x68\x02")), (1, 5, "VP8", b"\x01"), (1, 6, "H264", sets(sps)), (1, 7, "H264", sets(b"\x68\x03")),
+        (2, 1, "H264", sets(sps[:5], b"\x68")), (2, 2, "H264", None), (2, 3, "H264", b""), (2, 9, "H264", sets(small)), (4, 2, None, None),
+    ]
+    schema = "stream_id long, seq long, codec string, payload binary"
+    batch = rows(bitstream.probe_codec(spark.createDataFrame(packets, schema)), "stream_id", "run", "codec", "ready_seq", "sps", "pps", "width", "height")
+    assert [(r[0], r[1], r[3], r[6]) for r in batch] == [(1, 0, 3, 1920), (1, 1, 5, None), (1, 2, 7, 1920), (2, 0, 9, 160), (4, 0, 2, None)]
+    orders = [(3, 1, 2), (5, 4), (7, 6, 9)]
+    files = [[p for p in packets if p[1] in seqs] for seqs in orders] + [[(3, FAR, "H264", None)]]
+    frames = [at_seconds(spark.createDataFrame(f, schema), "seq") for f in files]
+    got = drain(spark, frames, lambda s: live.stream_probe_codec(s.withWatermark("ts", "3 seconds")), tmp_path)
+    assert sorted(got) == sorted(batch)
+
+
 def test_files_are_forgotten_after_their_time(spark, tmp_path):
     at = lambda *e: spark.createDataFrame([(f, t, "Eos", s, s) for f, t, s in e], "file_id long, track_id int, event string, at long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     files = [at((1, 0, 100), (2, 0, 100)), at((2, 1, 150), (3, 0, 5000)), at((3, 1, 5001), (1, 1, 5002)), at((1, 0, 5003))]
