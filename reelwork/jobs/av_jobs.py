@@ -68,10 +68,14 @@ PLANAR = "select vec_id, round(samples[3], 6) as left_1, round(samples[64], 6) a
 
 
 def mixed(spark, d):
-    return _exploded(audio.mix_audio(media.audio_frames(spark, d), 64), "mix_id", "block")
+    """Stereo; every seventh frame is missing in all inputs, and blocks don't end where frames do."""
+    f = media.audio_frames(spark, d).where("frame_idx % 7 <> 3").withColumn("pts", F.col("frame_idx").cast("bigint") * 32)
+    return audio.mix_audio(f, 12, 2).select("mix_id", "block", "pts", F.posexplode("samples").alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
-MIXED = "select mix_id, at // 64 as block, cast(at % 64 as integer) as i, round(greatest(least(sum(v), 1.0), -1.0), 6) as v from samples group by mix_id, at"
+MIXED = """with s as (select mix_id, at as slot, v from samples where frame_idx % 7 <> 3), t as (select mix_id, slot, sum(v) as v from s group by all),
+    spine as (select mix_id, unnest(range(lo, hi + 1)) as block from (select mix_id, min(slot // 24) as lo, max(slot // 24) as hi from s group by mix_id)), e as (select *, unnest(range(0, 24)) as i from spine)
+    select e.mix_id, block, block * 12 as pts, cast(i as integer) as i, round(greatest(least(coalesce(v, 0), 1.0), -1.0), 6) as v from e left join t on t.mix_id = e.mix_id and t.slot = e.block * 24 + i"""
 
 
 def _gappy(spark, d):
@@ -113,32 +117,42 @@ RECHUNKED = """with n as (select input, max(at) + 1 as n from samples group by i
 
 
 def ramped(spark, d):
+    """Every third frame changes the gain, every fifth resets; one that does both snaps to its own gain."""
     f = media.audio_frames(spark, d)
-    changes = f.where("frame_idx % 3 = 0").select("input", F.col("pts").alias("at"), ((F.col("vec_id") % 4) / 2).alias("gain"), (F.col("vec_id") % 7 == 0).alias("muted"))
+    changes = f.where("frame_idx % 3 = 0 or frame_idx % 5 = 0").select("input", F.col("pts").alias("at"), F.when(F.col("frame_idx") % 3 == 0, (F.col("vec_id") % 4) / 2).alias("gain"), (F.col("vec_id") % 7 == 0).alias("muted"), (F.col("frame_idx") % 5 == 0).alias("reset"))
     return _exploded(audio.gain_ramp(f, changes, 5_000_000, 48_000).select("vec_id", "samples"), "vec_id")
 
 
-RAMPED = """with ch as (select input, pts as at, case when vec_id % 7 = 0 then 0.0 else (vec_id % 4) / 2 end as target, row_number() over (partition by input order by pts) as n from audio_frames where frame_idx % 3 = 0),
-    walk as (select input, n, at, cast(target as double) as g0, cast(target as double) as target, cast(0 as double) as step, cast(0 as bigint) as len from ch where n = 1
-      union all select c.input, c.n, case when c.target = w.target then w.at else c.at end,
-        case when c.target = w.target then w.g0 when c.at - w.at >= w.len then w.target else w.g0 + w.step * (c.at - w.at) end, c.target,
-        case when c.target = w.target then w.step else (c.target - case when c.at - w.at >= w.len then w.target else w.g0 + w.step * (c.at - w.at) end) / 240 end, case when c.target = w.target then w.len else 240 end
-      from walk w join ch c on c.input = w.input and c.n = w.n + 1),
+RAMPED = """with ch as (select input, pts as at, case when frame_idx % 3 = 0 then case when vec_id % 7 = 0 then 0.0 else (vec_id % 4) / 2 end end as own, frame_idx % 5 = 0 as snaps, row_number() over (partition by input order by pts) as n from audio_frames where frame_idx % 3 = 0 or frame_idx % 5 = 0),
+    walk as (select input, n, at, cast(own as double) as g0, cast(own as double) as target, cast(0 as double) as step, cast(0 as bigint) as len from ch where n = 1
+      union all select c.input, c.n, case when c.keeps then w.at else c.at end,
+        case when c.keeps then w.g0 when c.snaps then c.target when c.at - w.at >= w.len then w.target else w.g0 + w.step * (c.at - w.at) end, c.target,
+        case when c.keeps then w.step when c.snaps then 0 else (c.target - case when c.at - w.at >= w.len then w.target else w.g0 + w.step * (c.at - w.at) end) / 240 end, case when c.keeps then w.len when c.snaps then 0 else 240 end
+      from walk w, lateral (select q.input, q.n, q.at, q.snaps, coalesce(q.own, w.target) as target, coalesce(q.own, w.target) = w.target and not q.snaps as keeps from ch q where q.input = w.input and q.n = w.n + 1) c),
     lined as (select ch.input, ch.at as seen, w.at, g0, w.target, step, len from ch join walk w on ch.input = w.input and ch.n = w.n)
     select f.vec_id, cast(s.at - f.pts as integer) as i, round(s.v * case when s.at - l.at + 1 >= l.len then l.target else l.g0 + l.step * (s.at - l.at + 1) end, 6) as v
     from samples s join audio_frames f on s.input = f.input and s.frame_idx = f.frame_idx asof join lined l on f.input = l.input and f.pts >= l.seen"""
 
 
 def resampled(spark, d):
+    """Mono, stereo and 5.1 inputs whose rates change, as stereo and as mono."""
     f = media.audio_frames(spark, d).withColumn("rate", F.when(F.floor(F.col("frame_idx") / 10) % 2 == 0, 48_000).otherwise(44_100))
-    return _round_all(audio.resample(f, 32_000), "v")
-
-
-RESAMPLED = """with f as (select *, case when (frame_idx // 10) % 2 = 0 then 48000 else 44100 end as rate, frame_idx // 10 as run from audio_frames),
-    n as (select input, run, rate, count(*) * 64 as n from f group by all), s as (select f.input, run, rate, (f.frame_idx - run * 10) * 64 + s.at - f.pts as i, v from samples s join f on s.input = f.input and s.frame_idx = f.frame_idx),
-    o as (select input, run, rate, n, unnest(range(0, n * 32000 // rate)) as out_idx from n)
-    select o.input, o.run, o.out_idx, round(a.v * (1 - (o.out_idx * o.rate / 32000 - o.out_idx * o.rate // 32000)) + b.v * (o.out_idx * o.rate / 32000 - o.out_idx * o.rate // 32000), 6) as v
-    from o join s a on a.input = o.input and a.run = o.run and a.i = o.out_idx * o.rate // 32000 join s b on b.input = o.input and b.run = o.run and b.i = least(o.out_idx * o.rate // 32000 + 1, o.n - 1)"""
+    f = f.withColumn("channels", F.when(F.col("input") % 3 == 0, 1).when(F.col("input") % 3 == 1, 2).otherwise(6)).withColumn("pts", F.col("pts") + 48_000)
+    both = [audio.resample(f, 32_000, channels=n).withColumn("to", F.lit(n)) for n in (1, 2)]
+    return _round_all(both[0].unionByName(both[1]), "v")
+
+
+_WEIGHTS = ", ".join(f"({own}, {to}, {o}, {c}, {w!r})" for own in audio.LAYOUTS for to in (1, 2) for o, row in enumerate(audio.mixing_matrix(own, to)) for c, w in enumerate(row))
+RESAMPLED = f"""with w as (select * from (values {_WEIGHTS}) w(ch, "to", channel, c, w)),
+    f as (select *, case when (frame_idx // 10) % 2 = 0 then 48000 else 44100 end as rate, frame_idx // 10 as run, case input % 3 when 0 then 1 when 1 then 2 else 6 end as ch from audio_frames),
+    n as (select input, run, rate, ch, cast(count(*) * (64 // ch) as bigint) as n from f group by input, run, rate, ch),
+    o as (select *, n * 32000 // rate as n_out, 32000 + cast(coalesce(sum(n * 32000 // rate) over (partition by input order by run rows between unbounded preceding and 1 preceding), 0) as bigint) as start from n),
+    i as (select f.input, run, ch, (f.frame_idx - run * 10) * (64 // ch) + (s.at - f.pts) // ch as k, (s.at - f.pts) % ch as c, v from samples s join f on s.input = f.input and s.frame_idx = f.frame_idx where (s.at - f.pts) // ch < 64 // ch),
+    m as (select input, run, k, "to", channel, sum(w * v) as v from i join w using (ch, c) group by all),
+    e as (select o.*, w."to", w.channel, unnest(range(0, n_out)) as out_idx from o join (select distinct ch, "to", channel from w) w on o.ch = w.ch)
+    select e.input, e.run, e.out_idx, e.start + e.out_idx as pts, cast(e.channel as integer) as channel, cast(e."to" as integer) as "to", round(a.v * (1 - (e.out_idx * e.rate / 32000 - e.out_idx * e.rate // 32000)) + b.v * (e.out_idx * e.rate / 32000 - e.out_idx * e.rate // 32000), 6) as v
+    from e join m a on a.input = e.input and a.run = e.run and a."to" = e."to" and a.channel = e.channel and a.k = e.out_idx * e.rate // 32000
+    join m b on b.input = e.input and b.run = e.run and b."to" = e."to" and b.channel = e.channel and b.k = least(e.out_idx * e.rate // 32000 + 1, e.n - 1)"""
 
 
 def placed(spark, d):

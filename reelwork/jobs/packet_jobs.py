@@ -251,14 +251,22 @@ ZEROED = """select stream_id, track_id, seq, pts - k + greatest(0, -(first_value
 
 
 def cadenced(spark, d):
-    e = media.events(spark, d).where("event_type = 'view'")
+    """Views are ticks; every purchase ends a pause of up to four days."""
+    e = media.events(spark, d)
+    ticks = e.where("event_type = 'view'")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("us")).cast("bigint")
-    return timeline.cadence(e.select(F.col("user_id").alias("source"), n.alias("n"), F.col("us").alias("now")), DAY // 2)
-
-
-CADENCED = """with t as (select user_id as source, row_number() over (partition by user_id order by us) as n, us as now from ev where event_type = 'view'),
-    walk as (select source, n, now, now as due from t where n = 1 union all select t.source, t.n, t.now, case when w.due + 43200000000 < w.now then w.now + 43200000000 else w.due + 43200000000 end from walk w join t on t.source = w.source and t.n = w.n + 1)
-    select source, n, now, due, case when due + 43200000000 < now then (now - due) // 43200000000 else 0 end as missed from walk"""
+    pauses = e.where("event_type = 'purchase'").select(F.col("user_id").alias("source"), F.col("us").alias("now"), (F.col("event_id") % 5 * DAY).alias("paused_for"))
+    return timeline.cadence(ticks.select(F.col("user_id").alias("source"), n.alias("n"), F.col("us").alias("now")), DAY // 2, pauses)
+
+
+CADENCED = """with t as (select user_id as source, us as now, event_type = 'view' as is_tick, event_id % 5 * 86400000000 as paused, row_number() over (partition by user_id order by us) as k,
+      count(*) filter (where event_type = 'view') over (partition by user_id order by us) as n from ev where event_type in ('view', 'purchase')),
+    walk as (select source, k, n, now, is_tick, case when is_tick then now end as due, case when is_tick then now + 43200000000 end as upcoming from t where k = 1
+      union all select t.source, t.k, t.n, t.now, t.is_tick, case when t.is_tick then coalesce(w.upcoming, t.now) end,
+        case when t.is_tick then case when coalesce(w.upcoming, t.now) + 43200000000 < t.now then t.now + 43200000000 else coalesce(w.upcoming, t.now) + 43200000000 end
+        when w.upcoming + t.paused < t.now then t.now + 43200000000 else w.upcoming + t.paused end
+      from walk w join t on t.source = w.source and t.k = w.k + 1)
+    select source, n, now, due, case when due + 43200000000 < now then (now - due) // 43200000000 else 0 end as missed from walk where is_tick"""
 
 
 def steadied(spark, d):

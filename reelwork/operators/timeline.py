@@ -148,38 +148,55 @@ def active_time(runs: DataFrame, pauses: DataFrame) -> DataFrame:
     return total.withColumn("active", F.greatest(F.col("end") - F.col("start") - F.col("paused"), F.lit(0)))
 
 
-def cadence(ticks: DataFrame, interval: int) -> DataFrame:
+def cadence(ticks: DataFrame, interval: int, pauses: DataFrame | None = None) -> DataFrame:
     """The schedule of ticks (source, n, now): due of each and how many were missed before the next.
 
     The next is due one interval after the last; if that is past at ``now``, one interval from now.
+    ``pauses`` (source, now, paused_for) end at their now, before a tick of that instant, and move what is
+    due by their length, so that the phase is kept; if that is past even so, the next tick is one interval
+    from now. A pause before the first tick moves nothing, as that one is due at once.
+
     Ticks lie sorted in partitions by source and are folded batch by batch: only what is due last is
     carried on, so a source of any length needs no more memory. Runs on time are filled in one step,
-    only late ticks are looped over. Ticks without a source or time are in no schedule.
+    only late ticks and pauses are looped over. Ticks without a source or time are in no schedule.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = next_due = None
         for pdf in batches:
-            sources, now = pdf["source"].to_numpy(np.int64), pdf["now"].to_numpy(np.int64)
+            sources, now, held = (pdf[c].to_numpy(np.int64) for c in ("source", "now", "paused_for"))
+            is_tick = held < 0
             due, missed = np.empty(len(now), np.int64), np.zeros(len(now), np.int64)
             for lo, hi in _runs(sources):
                 if sources[lo] != source:
-                    source, next_due = sources[lo], now[lo]
-                i, at = lo, next_due
-                while i < hi:
-                    steps = np.arange(hi - i, dtype=np.int64) * interval
-                    late = np.flatnonzero(now[i:hi] > at + steps + interval)
-                    j = i + (late[0] if len(late) else hi - i - 1)
-                    due[i : j + 1] = at + steps[: j - i + 1]
-                    if len(late):
-                        missed[j] = (now[j] - due[j]) // interval
-                    at = now[j] + interval if len(late) else due[j] + interval
-                    i = j + 1
-                next_due = at
-            yield pdf.assign(due=due, missed=missed)
-
-    sorted_ticks = ticks.where("source is not null and now is not null").select("source", "n", "now").repartition("source").sortWithinPartitions("source", "n")
-    return sorted_ticks.mapInPandas(run, "source long, n long, now long, due long, missed long")
+                    source, next_due = sources[lo], None
+                for i, end in _runs(is_tick[lo:hi]):
+                    i, end = lo + i, lo + end
+                    if not is_tick[i]:
+                        for k in range(i, end) if next_due is not None else ():
+                            next_due += held[k]
+                            next_due = now[k] + interval if next_due < now[k] else next_due
+                        continue
+                    at = now[i] if next_due is None else next_due
+                    while i < end:
+                        steps = np.arange(end - i, dtype=np.int64) * interval
+                        late = np.flatnonzero(now[i:end] > at + steps + interval)
+                        j = i + (late[0] if len(late) else end - i - 1)
+                        due[i : j + 1] = at + steps[: j - i + 1]
+                        if len(late):
+                            missed[j] = (now[j] - due[j]) // interval
+                        at = now[j] + interval if len(late) else due[j] + interval
+                        i = j + 1
+                    next_due = at
+            yield pdf.drop(columns="paused_for").assign(due=due, missed=missed)[is_tick]
+
+    rows = ticks.select("source", "n", "now", F.lit(-1).cast("bigint").alias("paused_for"))
+    order = ["source", "n"]
+    if pauses is not None:
+        ends = pauses.where("paused_for >= 0").select("source", F.lit(0).cast("bigint").alias("n"), "now", F.col("paused_for").cast("bigint").alias("paused_for"))
+        rows, order = rows.unionByName(ends), ["source", "now", F.col("paused_for") < 0, "n"]
+    rows = rows.where("source is not null and now is not null").repartition("source").sortWithinPartitions(*order)
+    return rows.mapInPandas(run, "source long, n long, now long, due long, missed long")
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:

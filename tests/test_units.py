@@ -157,7 +157,113 @@ def test_resampling_in_blocks(spark):
         cuts = [0, 1, 7, 7, 250, 251, 500, 533]
         df = spark.createDataFrame([(1, i, rate, samples[a:z].tolist()) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))], "input int, frame_idx long, rate int, samples array<double>")
         got, spread = ([(x["out_idx"], round(x["v"], 6)) for x in audio.resample(df, out, 16, b).orderBy("out_idx").collect()] for b in (None, 2))
-        assert got == spread == [(i, round(v, 6)) for i, v in enumerate(audio.interpolate_block(samples, rate, out))]
+        assert got == spread == [(i, round(v, 6)) for i, v in enumerate(interpolate(samples, rate, out))]
+
+
+def interpolate(samples, rate, out):
+    """The array form of resampling one channel."""
+    import numpy as np
+
+    return np.interp(np.arange(len(samples) * out // rate) * rate / out, np.arange(len(samples)), samples)
+
+
+@pytest.mark.parametrize("channels", [1, 2, 6])
+def test_resampling_with_channels(spark, channels):
+    import numpy as np
+
+    r = np.random.default_rng(channels)
+    runs = [(48_000, r.normal(size=(533, channels))), (44_100, r.normal(size=(120, channels)))]
+    rows_, n = [], 0
+    for rate, samples in runs:
+        for a, z in ((0, 1), (1, 1), (1, 40), (40, len(samples))):
+            rows_.append((1, n, rate, channels, 48_000 + n, samples[a:z].ravel().tolist()))
+            n += 1
+    df = spark.createDataFrame(rows_, "input int, frame_idx long, rate int, channels int, pts long, samples array<double>")
+    for to in (1, 2):
+        matrix = np.array(audio.mixing_matrix(channels, to))
+        assert np.allclose(np.abs(matrix).sum(axis=1), 1)
+        want, start = [], 24_000
+        for k, (rate, samples) in enumerate(runs):
+            each = [interpolate(x, rate, 24_000) for x in (samples @ matrix.T).T]
+            want += [(k, i, start + i, c, round(each[c][i], 6)) for i in range(len(each[0])) for c in range(to)]
+            start += len(each[0])
+        got = [(x["run"], x["out_idx"], x["pts"], x["channel"], round(x["v"], 6)) for x in audio.resample(df, 24_000, 64, channels=to).collect()]
+        assert sorted(got) == want
+    packed = audio.resample_blocks(df, 24_000, 2, 64).orderBy("pts").collect()
+    assert packed[0]["pts"] == 24_000 and all(b["pts"] == a["pts"] + len(a["samples"]) // 2 for a, b in zip(packed, packed[1:], strict=False))
+
+
+def test_layouts_without_a_matrix_are_errors(spark):
+    df = spark.createDataFrame([(1, 0, 8000, 5, [0.0] * 10)], "input int, frame_idx long, rate int, channels int, samples array<double>")
+    with pytest.raises(Exception, match="no mixing matrix to 2 channels from 5"):
+        audio.resample(df, 8000, channels=2).collect()
+    with pytest.raises(ValueError, match="no mixing matrix"):
+        audio.mixing_matrix(2, 5)
+    assert audio.mixing_matrix(6, 6)[3][3] == 1 and audio.mixing_matrix(1, 6)[2] == [1.0] and audio.mixing_matrix(2, 6)[0] == [1.0, 0.0]
+
+
+def test_mix_runs_on_through_silence_with_channels_apart(spark):
+    df = spark.createDataFrame([(0, 1, 0, [0.1, -0.1, 0.2, -0.2]), (0, 2, 1, [0.5, 0.7]), (0, 1, 7, [0.9, -0.9, 1.0]), (0, 2, 7, [0.9, -0.9]), (1, 1, 5, [0.25, 0.5])], "mix_id int, input int, pts long, samples array<double>")
+    got = {(r["mix_id"], r["block"]): (r["pts"], [round(v, 6) for v in r["samples"]]) for r in audio.mix_audio(df, 2, 2).collect()}
+    assert got == {(0, 0): (0, [0.1, -0.1, 0.7, 0.5]), (0, 1): (2, [0.0] * 4), (0, 2): (4, [0.0] * 4), (0, 3): (6, [0.0, 0.0, 1.0, -1.0]), (1, 2): (4, [0.0, 0.0, 0.25, 0.5])}
+    # A mix of very many silent blocks is made in ranges.
+    long = spark.createDataFrame([(0, 1, 0, [0.5]), (0, 1, 300_001, [0.5])], df.schema)
+    assert audio.mix_audio(long, 1).agg(F.count("*"), F.sum("block"), F.sum(F.col("samples")[0])).first()[:] == (300_002, 300_001 * 300_002 // 2, 1.0)
+
+
+def test_steps_of_long_spans(spark, monkeypatch):
+    from reelwork.operators import ranges
+
+    monkeypatch.setattr(ranges, "STEPS", 3)
+    spans = [(1, 0, 100), (2, -7, -7), (3, 5, 4), (4, None, 9), (5, -20, 23)]
+    got = rows(ranges.stepped(spark.createDataFrame(spans, "k int, lo long, hi long"), F.col("lo"), F.col("hi"), 4, "at"), "k", "at")
+    assert got == [(k, at) for k, lo, hi in spans if lo is not None for at in range(lo, hi + 1, 4)]
+
+
+def test_gain_resets(spark):
+    frames = spark.createDataFrame([(1, 10 * i, [1.0] * 10) for i in range(6)], "input long, pts long, samples array<double>")
+    changes = spark.createDataFrame([(1, 0, 1.0, False, False), (1, 5, None, False, True), (1, 10, 0.0, False, False), (1, 20, None, None, True), (1, 30, 1.0, False, False), (1, 40, 0.5, False, True), (1, 50, 1.0, False, False), (1, 50, None, False, True), (2, 0, None, False, True)], "input long, at long, gain double, muted boolean, reset boolean")
+    got = {r["pts"]: [round(v, 6) for v in r["samples"]] for r in audio.gain_ramp(frames, changes, 20_000_000, 1000).collect()}
+    ramp = lambda a, step: [round(a + step * (i + 1), 6) for i in range(10)]
+    assert got == {0: [1.0] * 10, 10: ramp(1.0, -0.05), 20: [0.0] * 10, 30: ramp(0.0, 0.05), 40: [0.5] * 10, 50: [1.0] * 10}
+
+
+def test_pauses_keep_the_phase_of_ticks(spark):
+    ticks = lambda *t: spark.createDataFrame([(1, i + 1, x) for i, x in enumerate(t)], "source long, n long, now long")
+    pauses = lambda *p: spark.createDataFrame([(1, *x) for x in p], "source long, now long, paused_for long")
+    due = lambda t, p: [r[1] for r in rows(timeline.cadence(t, 100, p), "n", "due")]
+    assert due(ticks(0, 600, 700), pauses((590, 500))) == [0, 600, 700]  # 10 of the interval were left
+    assert due(ticks(0, 10_100), pauses((10_000, 1))) == [0, 10_100]  # counted short: one interval from the resume
+    assert due(ticks(5, 105, 400), pauses((1, 50), (200, 40), (300, 10))) == [5, 105, 400]
+    assert due(ticks(0, 100, 250), pauses((250, 50))) == [0, 100, 250] == due(ticks(0, 100, 250), pauses((250, 50), (99, 0)))
+
+
+def test_pauses_by_brute_force(spark):
+    r = random.Random(3)
+    events = [(s, t, r.random() < 0.7, r.randint(0, 300)) for s in (1, 2, 3) for t in sorted(r.sample(range(0, 9000), 80))]
+    want, n = [], {}
+    upcoming: dict = {}
+    for s, now, is_tick, held in events:
+        if is_tick:
+            n[s] = n.get(s, 0) + 1
+            due = upcoming.get(s, now)
+            missed = (now - due) // 50 if due + 50 < now else 0
+            upcoming[s] = now + 50 if due + 50 < now else due + 50
+            want.append((s, n[s], due, missed))
+        elif s in upcoming:
+            upcoming[s] += held
+            upcoming[s] = now + 50 if upcoming[s] < now else upcoming[s]
+    ticks, k = [], {}
+    for s, now, is_tick, _ in events:
+        if is_tick:
+            k[s] = k.get(s, 0) + 1
+            ticks.append((s, k[s], now))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    pauses = spark.createDataFrame([(s, now, held) for s, now, is_tick, held in events if not is_tick], "source long, now long, paused_for long")
+    got = rows(timeline.cadence(spark.createDataFrame(ticks, "source long, n long, now long"), 50, pauses), "source", "n", "due", "missed")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == sorted(want)
 
 
 def test_zero_base_cadence_and_active_time(spark):
