@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import audio as af
 from ..functions.buffers import map_buffers
 from ..operators import audio, detect, layers, timeline
+from ..operators.asof import MOST
 from ..sources import media, synthetic
 from .views import with_views
 
@@ -83,7 +84,7 @@ def _gappy(spark, d):
 
 
 def silence(spark, d):
-    return audio.fill_silence(_gappy(spark, d))
+    return audio.fill_silence(_gappy(spark, d), MOST)
 
 
 SILENCE = """with g as (select input, pts, cast(64 as bigint) as n_samples, lag(pts + 64) over (partition by input order by pts) as e from audio_frames where vec_id % 11 <> 0)
@@ -92,7 +93,7 @@ SILENCE = """with g as (select input, pts, cast(64 as bigint) as n_samples, lag(
 
 def loss(spark, d):
     dropped = media.bus_events(spark, d).select((F.col("element_id") % 10).alias("input"), "event")
-    return audio.capture_loss(_gappy(spark, d), dropped)
+    return audio.capture_loss(_gappy(spark, d), dropped, MOST)
 
 
 LOSS = """with g as (select input, greatest(lead(pts) over (partition by input order by pts) - pts - 64, 0) as gap from audio_frames where vec_id % 11 <> 0),
@@ -101,7 +102,7 @@ LOSS = """with g as (select input, greatest(lead(pts) over (partition by input o
 
 
 def contiguous(spark, d):
-    out = timeline.contiguous_pts(_gappy(spark, d).withColumn("pts", F.col("pts") + 48_000), 1, 48_000, 24_000)
+    out = timeline.contiguous_pts(_gappy(spark, d).withColumn("pts", F.col("pts") + 48_000), 1, 48_000, 24_000, MOST)
     return out.select("input", "frame_idx", "out_pts")
 
 
@@ -110,7 +111,7 @@ CONTIGUOUS = "select input, frame_idx, cast(round((first_value(pts) over w + 480
 
 def rechunked(spark, d):
     f = media.audio_frames(spark, d)
-    return _exploded(audio.rechunk(f, 100, f.where("input % 2 = 0").select("input")), "input", "chunk")
+    return _exploded(audio.rechunk(f, 100, f.where("input % 2 = 0").select("input"), MOST), "input", "chunk")
 
 
 RECHUNKED = """with n as (select input, max(at) + 1 as n from samples group by input) select s.input, at // 100 as chunk, cast(at % 100 as integer) as i, round(v, 6) as v from samples s join n on s.input = n.input where (at // 100 + 1) * 100 <= n or s.input % 2 = 0"""
@@ -120,7 +121,7 @@ def ramped(spark, d):
     """Every third frame changes the gain, every fifth resets; one that does both snaps to its own gain."""
     f = media.audio_frames(spark, d)
     changes = f.where("frame_idx % 3 = 0 or frame_idx % 5 = 0").select("input", F.col("pts").alias("at"), F.when(F.col("frame_idx") % 3 == 0, (F.col("vec_id") % 4) / 2).alias("gain"), (F.col("vec_id") % 7 == 0).alias("muted"), (F.col("frame_idx") % 5 == 0).alias("reset"))
-    return _exploded(audio.gain_ramp(f, changes, 5_000_000, 48_000).select("vec_id", "samples"), "vec_id")
+    return _exploded(audio.gain_ramp(f, changes, 5_000_000, 48_000, MOST).select("vec_id", "samples"), "vec_id")
 
 
 RAMPED = """with ch as (select input, pts as at, case when frame_idx % 3 = 0 then case when vec_id % 7 = 0 then 0.0 else (vec_id % 4) / 2 end end as own, frame_idx % 5 = 0 as snaps, row_number() over (partition by input order by pts) as n from audio_frames where frame_idx % 3 = 0 or frame_idx % 5 = 0),
@@ -138,7 +139,7 @@ def resampled(spark, d):
     """Mono, stereo and 5.1 inputs whose rates change, as stereo and as mono."""
     f = media.audio_frames(spark, d).withColumn("rate", F.when(F.floor(F.col("frame_idx") / 10) % 2 == 0, 48_000).otherwise(44_100))
     f = f.withColumn("channels", F.when(F.col("input") % 3 == 0, 1).when(F.col("input") % 3 == 1, 2).otherwise(6)).withColumn("pts", F.col("pts") + 48_000)
-    both = [audio.resample(f, 32_000, channels=n).withColumn("to", F.lit(n)) for n in (1, 2)]
+    both = [audio.resample(f, 32_000, most=MOST, channels=n).withColumn("to", F.lit(n)) for n in (1, 2)]
     return _round_all(both[0].unionByName(both[1]), "v")
 
 

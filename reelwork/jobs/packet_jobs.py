@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.time import media_time, rescale, ticks_to_seconds
 from ..operators import joins, segments, timeline, tracks
+from ..operators.asof import MOST
 from ..sources import media
 from .views import with_views
 
@@ -93,7 +94,7 @@ DURATIONS = f"select seq, case when duration <> 0 then duration when seq % 61 >
 
 
 def interleaved(spark, d):
-    return tracks.interleave(media.packets(spark, d), bucket_ns=7 * DAY * 1000).select("stream_id", "track_id", "seq", "file_seq")
+    return tracks.interleave(media.packets(spark, d), most=MOST).select("stream_id", "track_id", "seq", "file_seq")
 
 
 INTERLEAVED = "select stream_id, track_id, seq, row_number() over (partition by stream_id order by dts, track_id, seq) as file_seq from packets"
@@ -151,7 +152,7 @@ CODECS = "select user_id as connection, event_type as codec from ev where event_
 
 def _segmented(spark, d):
     wanted = media.streams(spark, d).where("kind in ('video', 'audio')")
-    return segments.segment(media.packets(spark, d), DAY, bucket=7 * DAY, tracks=wanted)
+    return segments.segment(media.packets(spark, d), DAY, most=MOST, tracks=wanted)
 
 
 def cut_table(spark, d):
@@ -207,7 +208,7 @@ PLAYLISTS = """select stream_id, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:7' || c
 def seeks(spark, d):
     e = media.events(spark, d).where("event_type = 'purchase'")
     asks = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("request_id"), (F.col("us") - 3_600_000_000).alias("target"))
-    return joins.seek_keyframe(asks, media.packets(spark, d), bucket=7 * DAY)
+    return joins.seek_keyframe(asks, media.packets(spark, d), most=MOST)
 
 
 SEEKS = """with asks as (select user_id as stream_id, event_id as request_id, us - 3600000000 as target from ev where event_type = 'purchase'), keys as (select stream_id, pts as at from packets where is_key)
@@ -232,7 +233,7 @@ def _spliced_input(spark, d):
 
 
 def spliced(spark, d):
-    return timeline.splice_timeline(_spliced_input(spark, d)).where("out_pts is not null").select("stream_id", "seq", "out_pts", "out_dts")
+    return timeline.splice_timeline(_spliced_input(spark, d), MOST).where("out_pts is not null").select("stream_id", "seq", "out_pts", "out_dts")
 
 
 SPLICED = """with raw as (select user_id as stream_id, event_id as seq, case when event_id % 17 <> 0 then us - sum(case when event_type = 'purchase' then cast(round(value * 1000000) as bigint) else 0 end) over w end as pts,
@@ -271,7 +272,7 @@ CADENCED = """with t as (select user_id as source, us as now, event_type = 'view
 
 def steadied(spark, d):
     e = media.events(spark, d).where("event_type = 'click'")
-    rows = joins.steady_rate(e.select(F.col("user_id").alias("source"), F.col("us").alias("at"), F.col("event_id").alias("frame_id")), DAY // 4)
+    rows = joins.steady_rate(e.select(F.col("user_id").alias("source"), F.col("us").alias("at"), F.col("event_id").alias("frame_id")), DAY // 4, MOST)
     return rows.groupBy("source").agg(F.count("*").alias("ticks"), F.count_if("is_repeat").alias("repeats"), F.max("run").cast("bigint").alias("longest"), F.sum("frame_id").alias("frames"))
 
 

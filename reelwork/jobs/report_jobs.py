@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bitstream, joins, ops, timeline
+from ..operators.asof import MOST
 from ..sources import media
 from .views import with_views
 
@@ -46,7 +47,7 @@ PATHS = """with n as (select id, element_type || '(' || name || ')' as text from
 
 
 def _parsed(spark, d):
-    return ops.parse_logs(media.log_lines(spark, d), bucket=10_000)
+    return ops.parse_logs(media.log_lines(spark, d), MOST)
 
 
 def logs(spark, d):
@@ -103,7 +104,7 @@ ACTIVE = """with runs as (select user_id as run_id, min(us) as lo, max(us) as hi
 def observed(spark, d):
     e = media.events(spark, d).where("event_type = 'purchase'")
     resets = e.select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"))
-    return timeline.observed_duration(media.clock_frames(spark, d), resets).select("stream_id", "seq", "epoch", "duration_ns")
+    return timeline.observed_duration(media.clock_frames(spark, d), resets, most=MOST).select("stream_id", "seq", "epoch", "duration_ns")
 
 
 OBSERVED = """with mixed as (select stream_id, seq, pts_ns, 0 as r from clock_frames union all select user_id, event_id, null, 1 from ev where event_type = 'purchase'),
@@ -122,7 +123,7 @@ _PLAYED = """origins as (select stream_id, arg_min(pts_ns, (wall_ns, seq)) as o_
 
 
 def positions(spark, d):
-    out = timeline.playback_position(media.clock_frames(spark, d), media.clock_samples(spark, d), bucket=7 * DAY * 1000)
+    out = timeline.playback_position(media.clock_frames(spark, d), media.clock_samples(spark, d), MOST)
     return out.select("stream_id", "seq", "master", F.coalesce("position_ns", F.lit(-1)).alias("position_ns"))
 
 
@@ -130,7 +131,7 @@ POSITIONS = f"with {_PLAYED} select stream_id, seq, master, coalesce(position, -
 
 
 def synced(spark, d):
-    out = timeline.sync_video(media.clock_frames(spark, d), media.clock_samples(spark, d), bucket=7 * DAY * 1000, seq_bucket=100_000)
+    out = timeline.sync_video(media.clock_frames(spark, d), media.clock_samples(spark, d), MOST)
     return out.select("stream_id", "seq", "decision", F.coalesce("wait_ns", F.lit(-1)).alias("wait_ns"))
 
 
@@ -146,7 +147,7 @@ def newest(spark, d):
     frames = e.where("event_type = 'click'").select(*base, F.col("event_id").alias("frame_id"))
     marks = e.where("event_type in ('signup', 'error')").select(*base)
     ticks = e.where("event_type = 'view'").select((F.col("user_id") % 20).alias("input"), F.col("us").alias("at"), F.col("event_id").alias("tick_id"))
-    return joins.latest_frame(ticks, frames, marks, bucket=7 * DAY).select("input", "tick_id", F.coalesce("frame_id", F.lit(-1)).alias("frame_id"))
+    return joins.latest_frame(ticks, frames, marks, most=MOST).select("input", "tick_id", F.coalesce("frame_id", F.lit(-1)).alias("frame_id"))
 
 
 NEWEST = """with r as (select user_id % 20 as input, us as at, case when event_type = 'click' then event_id else -1 end as frame_id from ev where event_type in ('click', 'signup', 'error')), t as (select user_id % 20 as input, us as at, event_id as tick_id from ev where event_type = 'view')
@@ -162,7 +163,7 @@ def _registered(spark, d):
 
 
 def current(spark, d):
-    live, stale = joins.current_registration(*_registered(spark, d))
+    live, stale = joins.current_registration(*_registered(spark, d), MOST)
     return live.withColumn("state", F.lit("current")).unionByName(stale.withColumn("state", F.when(F.col("reg_id").isNull(), "unregistered").otherwise("stale"))).select("name", "event_id", "state")
 
 
@@ -201,7 +202,7 @@ def probe_rows(ready):
 
 
 def probed(spark, d):
-    return probe_rows(bitstream.probe_codec(media.nal_payloads(spark, d)))
+    return probe_rows(bitstream.probe_codec(media.nal_payloads(spark, d), MOST))
 
 
 #: {keep}: which payloads there are.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import segments
+from ..operators.asof import MOST
 from ..operators.staging import shared_path, stage
 from ..sources import media
 from ..streaming import live
@@ -146,7 +147,7 @@ FOREACH = "select user_id, count(*) as n, max(event_id) as last from ev group by
 
 def segment_files(spark, d):
     packets, path = media.packets(spark, d), shared_path(spark, "segments")
-    segments.write_segments(segments.segment(packets, 10 * DAY, bucket=7 * DAY), path)
+    segments.write_segments(segments.segment(packets, 10 * DAY, most=MOST), path)
     back = spark.read.parquet(path)
     return back.groupBy("stream_id", "name").agg(F.count("*").alias("packets"), F.sum("size").alias("bytes"))
 

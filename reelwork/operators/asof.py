@@ -1,81 +1,139 @@
-"""As-of matching without range joins: union both sides, carry the last known value forward.
-
-A stream may be longer than one task should sort. With ``bucket`` the order column is cut into
-buckets; each (key, bucket) is a partition of its own, and what an earlier bucket knew last is
-carried in as one more row, or from a table with one row per key and bucket.
+"""Prefix scans over ordered streams, and as-of matching by them instead of range joins.
+
+A scan carries sums and last values along the order of each key. In general one window does it: the rows
+of a key are sorted in one task, which spills. A key may have too many rows for that. ``find_cuts`` counts
+the rows of each key; those with more than ``most`` are cut at quantiles of their order, so that pieces are
+even whatever the spacing, and a scan then works in pieces: one value per key and piece, a window over these
+few, and the window within each piece. Only keys and values are read twice, rows are shuffled once, and
+nothing is written. Rows with a null key or order are rows like others: the nulls are one key, and come first.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
 
+#: Rows of a key that one task sorts; the jobs cut keys with more.
+MOST = 5_000_000
+#: Pieces of a key at most, and rows that are sent to all executors at most.
+PIECES, SENT = 1024, 200_000
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """table: _k0, _k1, ... and _cuts, the values of ``order`` at which a key's pieces begin (but for the
+    first), for each key that is cut."""
+
+    table: DataFrame
+    keys: tuple[str, ...]
+    order: str
+    rows: int
+
+    def sent(self, table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if self.rows <= SENT else table
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with _cut (whether their key is cut) and _piece, 0 where it isn't."""
+        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)]
+        out = rows.join(self.sent(self.table), _all(same), "left").withColumn("_cut", F.col("_cuts").isNotNull())
+        piece = F.size(F.filter("_cuts", lambda c: c <= F.col(self.order)))
+        return out.withColumn("_piece", F.when(F.col("_cut"), piece).otherwise(0)).drop("_cuts", *[f"_k{i}" for i in range(len(self.keys))])
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
+def find_cuts(rows: DataFrame, keys: list[str], order: str, most: int | None) -> Cuts | None:
+    """Where keys with more than ``most`` rows are cut; None if there are none (or ``most`` is None), which
+    one count of the keys tells. ``order`` is a whole number."""
+    if most is None:
+        return None
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    counts = rows.select(*named, F.col(order).cast("bigint").alias("_at"))
+    hot = counts.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    found = hot.agg(F.count("*").alias("keys"), F.max("_n").alias("most")).first()
+    if not found["keys"]:
+        return None
+    pieces = min(PIECES, 2 * -(-found["most"] // most))
+    same = _all([F.col(f"_k{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(keys))])
+    few = found["keys"] * pieces <= SENT
+    of_hot = hot.select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(keys))])
+    only = counts.join(F.broadcast(of_hot) if few else of_hot, same, "left_semi")
+    at = F.percentile_approx("_at", [i / pieces for i in range(1, pieces)], 100 * PIECES)
+    table = only.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.coalesce(F.array_distinct(at), F.array().cast("array<bigint>")).alias("_cuts"))
+    return Cuts(stage(table, "cuts"), tuple(keys), order, found["keys"] * pieces)
+
+
+def scan(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]], cuts: Cuts | None = None) -> DataFrame:
+    """``rows`` with new columns, all in one pass along ``order`` within ``keys``. Each is named with what
+    it holds and of which column: ("sum", c) the sum over all earlier rows, 0 for the first; ("previous", c)
+    the last c of an earlier row that isn't null; ("last", c) the same, the row itself included. ``cuts``
+    are those of the first of ``order`` and of ``keys`` or some of them."""
+    upto = {"sum": -1, "previous": -1, "last": 0}
+
+    def within(w: Window, what: str, of: str) -> Column:
+        w = w.rowsBetween(Window.unboundedPreceding, upto[what])
+        return F.sum(of).over(w) if what == "sum" else F.last(of, ignorenulls=True).over(w)
+
+    begun = lambda what, c: F.coalesce(c, F.lit(0)) if what == "sum" else c
+    if cuts is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.withColumns({n: begun(what, within(w, what, of)) for n, (what, of) in columns.items()})
+    pieces = cuts.placed(rows)
+    value = lambda what, of: F.sum(of) if what == "sum" else F.max_by(of, F.when(F.col(of).isNotNull(), F.struct(*order)))
+    each = pieces.where("_cut").groupBy(*keys, "_piece").agg(*[value(*c).alias(f"_v{i}") for i, c in enumerate(columns.values())])
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lambda i, what: F.sum(f"_v{i}").over(earlier) if what == "sum" else F.last(f"_v{i}", ignorenulls=True).over(earlier)
+    carried = each.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), *[carry(i, what).alias(f"_c{i}") for i, (what, _) in enumerate(columns.values())])
+    same = _all([*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_piece") == F.col("_p")])
+    out = pieces.join(cuts.sent(carried) if set(keys) == set(cuts.keys) else carried, same, "left")
+    w = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    new = {}
+    for i, (n, (what, of)) in enumerate(columns.items()):
+        own, before = begun(what, within(w, what, of)), begun(what, F.col(f"_c{i}"))
+        new[n] = own + before if what == "sum" else F.coalesce(own, before)
+    return out.withColumns(new).drop("_cut", "_piece", "_p", *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(columns))])
+
+
+def last_known(rows: DataFrame, value: str, keys: list[str], order: list[str], cuts: Cuts | None = None) -> DataFrame:
+    """``rows`` with ``value`` replaced by its last non-null one, at or before each row in order."""
+    return scan(rows, keys, order, {value: ("last", value)}, cuts)
 
-def _start(order: str, bucket: int) -> Column:
-    """Where a value's bucket begins; exact for all 64 bits."""
-    return F.col(order) - F.pmod(F.col(order), F.lit(bucket).cast("bigint"))
 
+def previous(rows: DataFrame, values: list[str], keys: list[str], order: list[str], names: list[str], cuts: Cuts | None = None) -> DataFrame:
+    """``rows`` with each of ``values`` of the last earlier row of the keys that has it, as ``names``."""
+    return scan(rows, keys, order, {n: ("previous", v) for n, v in zip(names, values, strict=True)}, cuts)
 
-def _earlier(keys: list[str]):
-    """All earlier buckets of the keys: their beginnings are lower."""
-    return Window.partitionBy(*keys).orderBy("_bucket").rangeBetween(Window.unboundedPreceding, -1)
 
+def following(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, most: int | None = None) -> DataFrame:
+    """``rows`` with ``value`` of the next row of the keys that has it; ``order`` are numbers."""
+    back = [f"_back{i}" for i in range(len(order))]
+    turned = rows.withColumns({b: -F.col(o).cast("bigint") for b, o in zip(back, order, strict=True)})
+    return previous(turned, [value], keys, back, [name], find_cuts(turned, keys, back[0], most)).drop(*back)
 
-def last_known(rows: DataFrame, value: str, keys: list[str], order: list[str], bucket: int | None = None) -> DataFrame:
-    """``rows`` with ``value`` replaced by its last non-null one, at or before each row in order."""
-    return _carried(rows, [value], keys, order, bucket, 0, [value])
 
+def running_sum(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, cuts: Cuts | None = None) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the earlier rows of its keys (0 for the first)."""
+    return scan(rows, keys, order, {name: ("sum", value)}, cuts)
 
-def previous(rows: DataFrame, values: list[str], keys: list[str], order: list[str], names: list[str], bucket: int | None = None) -> DataFrame:
-    """``rows`` with each of ``values`` of the last earlier row of the keys that has it, as ``names``."""
-    return _carried(rows, values, keys, order, bucket, -1, names)
-
-
-def _carried(rows: DataFrame, values: list[str], keys: list[str], order: list[str], bucket: int | None, upto: int, names: list[str]) -> DataFrame:
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-        return rows.withColumns({n: F.last(v, ignorenulls=True).over(w) for n, v in zip(names, values, strict=True)})
-    # Read twice, so written: steps that follow each other would else repeat all before them.
-    cut = stage(rows.withColumn("_bucket", _start(order[0], bucket)), "cut")
-    parts = cut.groupBy(*keys, "_bucket").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order))).alias(f"_v{i}") for i, v in enumerate(values)])
-    carried = parts.select(*keys, "_bucket", *[F.last(f"_v{i}", ignorenulls=True).over(_earlier(keys)).alias(f"_carry{i}") for i in range(len(values))])
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    known = {n: F.coalesce(F.last(v, ignorenulls=True).over(w), f"_carry{i}") for i, (n, v) in enumerate(zip(names, values, strict=True))}
-    return cut.join(carried, [*keys, "_bucket"]).withColumns(known).drop("_bucket", *[f"_carry{i}" for i in range(len(values))])
-
-
-def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: Column, tie: str | None = None, bucket: int | None = None) -> DataFrame:
-    """Each row of ``left`` with column ``known``: ``value`` of the last row of ``right`` with the
-    same keys and ``at`` no later (of equal ones that with the highest ``tie``), else null. With a
-    bucket, left is read twice (its buckets, its rows) and right twice (the last value of each bucket,
-    its rows); rows with a null key or time then get null."""
+
+def asof(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: Column, tie: str | None = None, most: int | None = None, cuts: Cuts | None = None) -> DataFrame:
+    """Each row of ``left`` with column ``known``: ``value`` of the last row of ``right`` with the same keys
+    and ``at`` no later (of equal ones that with the highest ``tie``), else null. It is a union of both
+    sides and a scan. Keys with more than ``most`` rows on both sides are cut, or ``cuts`` given."""
     names = left.columns
     events = right.select(*keys, at, F.lit(0).alias("_side"), (F.col(tie) if tie else F.lit(0)).cast("bigint").alias("_tie"), value.alias("known"))
     rest = [c for c in names if c not in (*keys, at)]
-    blank = lambda df: df.select("*", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest])
-    asks = left.withColumn("_side", F.lit(1)).withColumn("_tie", F.lit(0).cast("bigint")).withColumn("known", F.lit(None).cast(events.schema["known"].dataType))
-    both = blank(events).unionByName(asks)
-    if bucket is None:
-        return last_known(both, "known", keys, [at, "_side", "_tie"]).where("_side = 1").select(*names, "known")
-    # What was known last before each bucket of left is one more row, at the bucket's beginning.
-    best = events.withColumn("_bucket", _start(at, bucket)).groupBy(*keys, "_bucket").agg(F.max_by("known", F.when(F.col("known").isNotNull(), F.struct(at, "_tie"))).alias("_v"))
-    parts = left.select(*keys, _start(at, bucket).alias("_bucket")).distinct().withColumn("_asked", F.lit(True))
-    marks = best.unionByName(parts, allowMissingColumns=True).withColumn("known", F.last("_v", ignorenulls=True).over(_earlier(keys))).where("_asked and known is not null")
-    carried = marks.select(*keys, F.col("_bucket").cast(left.schema[at].dataType).alias(at), F.lit(-1).alias("_side"), F.lit(0).cast("bigint").alias("_tie"), "known")
-    rows = both.unionByName(blank(carried)).withColumn("_bucket", _start(at, bucket))
-    w = Window.partitionBy(*keys, "_bucket").orderBy(at, "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("known", F.last("known", ignorenulls=True).over(w)).where("_side = 1").select(*names, "known")
-
-
-def running_sum(rows: DataFrame, value: str, keys: list[str], order: list[str], name: str, bucket: int | None = None) -> DataFrame:
-    """``rows`` with the sum of ``value`` over the earlier rows of its keys (0 for the first)."""
-    if bucket is None:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumn(name, F.coalesce(F.sum(value).over(w), F.lit(0)))
-    cut = stage(rows.withColumn("_bucket", _start(order[0], bucket)), "cut")
-    sums = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_s"))
-    base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(_earlier(keys)), F.lit(0))).drop("_s")
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return cut.join(base, [*keys, "_bucket"]).withColumn(name, F.col("_base") + F.coalesce(F.sum(value).over(w), F.lit(0))).drop("_bucket", "_base")
+    blank = events.select("*", *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest])
+    asks = left.withColumns({"_side": F.lit(1), "_tie": F.lit(0).cast("bigint"), "known": F.lit(None).cast(events.schema["known"].dataType)})
+    both = blank.unionByName(asks)
+    cuts = cuts or find_cuts(left.select(*keys, at).unionByName(right.select(*keys, at)), keys, at, most)
+    return last_known(both, "known", keys, [at, "_side", "_tie"], cuts).where("_side = 1").select(*names, "known")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.audio import effective_gain
 from ..functions.time import rescale
-from .asof import asof, previous, running_sum
+from .asof import asof, find_cuts, previous, running_sum
 from .ranges import stepped
 
 
@@ -53,10 +53,10 @@ def mix_samples(samples: DataFrame) -> DataFrame:
     return samples.groupBy("mix_id", "at").agg(F.greatest(F.least(F.sum("v"), F.lit(1.0)), F.lit(-1.0)).alias("v"))
 
 
-def fill_silence(frames: DataFrame, bucket: int | None = None) -> DataFrame:
+def fill_silence(frames: DataFrame, most: int | None = None) -> DataFrame:
     """``frames`` (input, pts, n_samples) and a silent row (is_silence) for each gap before one."""
     ends = frames.withColumn("_own", F.col("pts") + F.col("n_samples"))
-    rows = previous(ends, ["_own"], ["input"], ["pts"], ["_end"], bucket).withColumn("is_silence", F.lit(False))
+    rows = previous(ends, ["_own"], ["input"], ["pts"], ["_end"], find_cuts(frames, ["input"], "pts", most)).withColumn("is_silence", F.lit(False))
     gaps = rows.where(F.col("pts") > F.col("_end")).select("input", F.col("_end").alias("pts"), (F.col("pts") - F.col("_end")).alias("n_samples"), F.lit(True).alias("is_silence"))
     return rows.select("input", "pts", "n_samples", "is_silence").unionByName(gaps)
 
@@ -65,13 +65,12 @@ def silent_samples(n: str = "n_samples"):
     return F.array_repeat(F.lit(0.0), F.col(n).cast("int"))
 
 
-def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None, bucket: int | None = None) -> DataFrame:
+def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(input, chunk, samples): the same samples in frames of ``size``. The short last one is given
-    only for inputs in ``flush`` (input), which have ended. Size 0 passes frames through. ``bucket`` (frames)
-    spreads a long input."""
+    only for inputs in ``flush`` (input), which have ended. Size 0 passes frames through."""
     if not size:
         return frames.select("input", F.col("frame_idx").cast("bigint").alias("chunk"), "samples")
-    counted = running_sum(frames.withColumn("_n", F.size("samples").cast("bigint")), "_n", ["input"], ["frame_idx"], "_before", bucket)
+    counted = running_sum(frames.withColumn("_n", F.size("samples").cast("bigint")), "_n", ["input"], ["frame_idx"], "_before", find_cuts(frames, ["input"], "frame_idx", most))
     # A frame is cut where chunks end: its parts, not its samples, are shuffled.
     first, last = F.floor(F.col("_before") / size), F.floor((F.col("_before") + F.col("_n") - 1) / size)
     parts = counted.where("_n > 0").withColumn("chunk", F.explode(F.sequence(first, last)))
@@ -129,12 +128,12 @@ def ramps(changes: DataFrame, ramp: int) -> DataFrame:
     return targets.repartition("input").sortWithinPartitions("input", "at", "reset").mapInPandas(run, "input long, nth long, at long, start_gain double, target double, step double, n long")
 
 
-def gain_ramp(frames: DataFrame, changes: DataFrame, ramp_ns: int, rate: int, bucket: int | None = None) -> DataFrame:
+def gain_ramp(frames: DataFrame, changes: DataFrame, ramp_ns: int, rate: int, most: int | None = None) -> DataFrame:
     """``frames`` (input, pts, samples) with their samples ramped. A frame takes the gain set at or
     before its first sample and follows it in closed form; gain 1 before any change."""
     n = -(-ramp_ns * rate // 1_000_000_000)
     lines = ramps(changes, n).withColumnRenamed("at", "pts")
-    got = asof(frames, lines, ["input"], "pts", F.struct(F.col("pts").alias("since"), "start_gain", "target", "step", "n"), "nth", bucket)
+    got = asof(frames, lines, ["input"], "pts", F.struct(F.col("pts").alias("since"), "start_gain", "target", "step", "n"), "nth", most)
     k = F.col("known")
 
     def gain(i):
@@ -184,7 +183,7 @@ def remixed(samples: Column, channels: Column, n: Column, to: int) -> Column:
     return out
 
 
-def resample_blocks(frames: DataFrame, rate: int, channels: int = 1, block: int = 256, bucket: int | None = None) -> DataFrame:
+def resample_blocks(frames: DataFrame, rate: int, channels: int = 1, block: int = 256, most: int | None = None) -> DataFrame:
     """(input, run, out_idx, pts, samples): ``frames`` (input, frame_idx, rate, samples, and where they
     have them channels, else 1, and pts in samples of their rate, else 0) at one rate and layout, packed.
 
@@ -193,23 +192,23 @@ def resample_blocks(frames: DataFrame, rate: int, channels: int = 1, block: int
     channel; sample k lies at input position k * its rate / rate. out_idx is a block's first sample in its
     run, pts its first on the output's timeline, which begins at the first frame's pts and has no gaps, also
     between runs. Frames are cut into blocks of input samples that overlap by one, and each block gives the
-    output that lies in it: parts of frames are shuffled, not samples. ``bucket`` (frames) spreads a long
-    input, which else is sorted in one task.
+    output that lies in it: parts of frames are shuffled, not samples.
     """
+    cuts = find_cuts(frames, ["input"], "frame_idx", most)
     own = F.col("channels").cast("int") if "channels" in frames.columns else F.lit(1)
     at = F.col("pts").cast("bigint") if "pts" in frames.columns else F.lit(0).cast("bigint")
     rows = frames.select("input", "frame_idx", F.struct(F.col("rate").cast("bigint").alias("rate"), own.alias("channels")).alias("format"), at.alias("pts"), "samples")
     first = rows.groupBy("input").agg(F.min_by(F.struct("pts", "format.rate"), F.struct("frame_idx")).alias("_first"))
-    rows = previous(rows.drop("pts"), ["format"], ["input"], ["frame_idx"], ["_before"], bucket)
+    rows = previous(rows.drop("pts"), ["format"], ["input"], ["frame_idx"], ["_before"], cuts)
     rows = rows.withColumn("_new", F.coalesce((F.col("format") != F.col("_before")).cast("bigint"), F.lit(0))).drop("_before")
-    runs = running_sum(rows, "_new", ["input"], ["frame_idx"], "run", bucket).withColumn("run", F.col("run") + F.col("_new"))
+    runs = running_sum(rows, "_new", ["input"], ["frame_idx"], "run", cuts).withColumn("run", F.col("run") + F.col("_new"))
     runs = runs.select("input", "run", "frame_idx", "format.rate", "format.channels", "samples", F.floor(F.size("samples") / F.col("format.channels")).alias("_n"))
     div = lambda a, b: F.call_function("div", a, b if isinstance(b, Column) else F.lit(b).cast("bigint"))
     total = runs.groupBy("input", "run", "rate").agg(F.sum("_n").alias("_total")).withColumn("_out", div(F.col("_total") * rate, F.col("rate")))
     earlier = Window.partitionBy("input").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # one row per run
     began = F.coalesce(rescale(F.col("_first.pts"), F.lit(1), F.col("_first.rate"), F.lit(1), F.lit(rate)), F.lit(0).cast("bigint"))
     total = total.withColumn("_start", F.coalesce(F.sum("_out").over(earlier), F.lit(0))).join(first, "input").withColumn("_start", F.col("_start") + began)
-    runs = running_sum(runs, "_n", ["input", "run"], ["frame_idx"], "_before", bucket).join(total.drop("_first", "rate"), ["input", "run"]).where("_n > 0")
+    runs = running_sum(runs, "_n", ["input", "run"], ["frame_idx"], "_before", cuts).join(total.drop("_first", "rate"), ["input", "run"]).where("_n > 0")
     runs = runs.withColumn("samples", remixed(F.col("samples"), F.col("channels"), F.col("_n"), channels))
     # Block b has the samples from b * block up to and with (b + 1) * block.
     lowest = div(F.greatest(F.col("_before") - 1, F.lit(0).cast("bigint")), block)
@@ -235,16 +234,18 @@ def resample_blocks(frames: DataFrame, rate: int, channels: int = 1, block: int
     return blocks.select("input", "run", "out_idx", (F.col("_start") + F.col("out_idx")).alias("pts"), samples.alias("samples"))
 
 
-def resample(frames: DataFrame, rate: int, block: int = 256, bucket: int | None = None, channels: int = 1) -> DataFrame:
+def resample(frames: DataFrame, rate: int, block: int = 256, most: int | None = None, channels: int = 1) -> DataFrame:
     """(input, run, out_idx, pts, channel, v): what ``resample_blocks`` gives, one row per value."""
-    each = resample_blocks(frames, rate, channels, block, bucket).select("input", "run", "out_idx", "pts", F.posexplode("samples").alias("_i", "v"))
+    each = resample_blocks(frames, rate, channels, block, most).select("input", "run", "out_idx", "pts", F.posexplode("samples").alias("_i", "v"))
     step = F.floor(F.col("_i") / channels)
     return each.select("input", "run", (F.col("out_idx") + step).alias("out_idx"), (F.col("pts") + step).alias("pts"), (F.col("_i") % channels).alias("channel"), "v")
 
 
-def capture_loss(frames: DataFrame, dropped: DataFrame) -> DataFrame:
+def capture_loss(frames: DataFrame, dropped: DataFrame, most: int | None = None) -> DataFrame:
     """Per input: samples missing between frames and Dropped events (input, event)."""
-    nxt = F.lead("pts").over(Window.partitionBy("input").orderBy("pts"))
-    lost = frames.withColumn("_gap", F.greatest(nxt - F.col("pts") - F.col("n_samples"), F.lit(0))).groupBy("input").agg(F.coalesce(F.sum("_gap"), F.lit(0)).alias("lost_samples"), F.count_if(F.col("_gap") > 0).alias("gaps"))
+    ends = frames.withColumn("_own", F.col("pts") + F.col("n_samples"))
+    rows = previous(ends, ["_own"], ["input"], ["pts"], ["_end"], find_cuts(frames, ["input"], "pts", most))
+    gap = F.when(F.col("_end").isNotNull(), F.greatest(F.col("pts") - F.col("_end"), F.lit(0)))
+    lost = rows.withColumn("_gap", gap).groupBy("input").agg(F.coalesce(F.sum("_gap"), F.lit(0)).alias("lost_samples"), F.count_if(F.col("_gap") > 0).alias("gaps"))
     events = dropped.where("event = 'Dropped'").groupBy("input").agg(F.count("*").alias("drop_events"))
     return lost.join(events, "input", "left").withColumn("drop_events", F.coalesce("drop_events", F.lit(0)))

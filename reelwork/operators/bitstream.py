@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .asof import find_cuts, previous, running_sum, scan
+
 SPS, PPS = 7, 8
 
 
@@ -138,19 +140,20 @@ def parameter_sets(packets: DataFrame) -> DataFrame:
     return packets.select(F.col("stream_id").cast("bigint").alias("stream_id"), F.col("seq").cast("bigint").alias("seq"), "codec", "payload").mapInArrow(run, "stream_id long, seq long, codec string, sps binary, pps binary")
 
 
-def probe_codec(packets: DataFrame) -> DataFrame:
+def probe_codec(packets: DataFrame, most: int | None = None) -> DataFrame:
     """(stream_id, run, codec, ready_seq, sps, pps, width, height) of packets (stream_id, seq, codec,
     payload): one row per stream and codec run that becomes ready. H264 is ready with the first payload
     after which both parameter sets were seen, perhaps in different ones, and the newest sequence set is
     well formed; it states the frame size. Other codecs are ready at their first payload, whatever it
     holds. A change of codec begins a new run, which has seen nothing."""
-    payloads = parameter_sets(packets)
-    w = Window.partitionBy("stream_id").orderBy("seq")
-    change = (~F.col("codec").eqNullSafe(F.lag("codec").over(w)) & (F.row_number().over(w) > 1)).cast("int")
-    rows = payloads.withColumn("_c", change).withColumn("run", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    so_far = Window.partitionBy("stream_id", "run").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    payloads, keys = parameter_sets(packets), ["stream_id"]
+    cuts = find_cuts(packets, keys, "seq", most)
+    rows = previous(payloads.withColumn("_own", F.struct("codec")), ["_own"], keys, ["seq"], ["_before"], cuts)
+    changed = F.col("_before").isNotNull() & ~F.col("codec").eqNullSafe(F.col("_before.codec"))
+    rows = running_sum(rows.withColumn("_new", changed.cast("bigint")), "_new", keys, ["seq"], "run", cuts).withColumn("run", F.col("run") + F.col("_new"))
     h264 = F.coalesce(F.col("codec") == "H264", F.lit(False))
-    known = rows.withColumns({c: F.when(h264, F.last(c, ignorenulls=True).over(so_far)) for c in ("sps", "pps")})
+    known = scan(rows, ["stream_id", "run"], ["seq"], {"sps": ("last", "sps"), "pps": ("last", "pps")}, cuts)
+    known = known.withColumns({c: F.when(h264, F.col(c)) for c in ("sps", "pps")})
     sized = known.join(frame_sizes(payloads), "sps", "left")
     ready = sized.where(~h264 | (F.col("width").isNotNull() & F.col("pps").isNotNull()))
     best = ready.groupBy("stream_id", "run", "codec").agg(F.min(F.struct("seq", "sps", "pps", "width", "height")).alias("b"))

@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import asof, previous, running_sum
+from .asof import asof, find_cuts, following, last_known, previous
+from .ranges import stepped
 
 
-def seek_keyframe(requests: DataFrame, packets: DataFrame, bucket: int | None = None) -> DataFrame:
+def seek_keyframe(requests: DataFrame, packets: DataFrame, most: int | None = None) -> DataFrame:
     """requested and landed of each seek (stream_id, request_id, target): the last keyframe at or
     before the target, else the stream's first keyframe, else the target itself."""
     keys = packets.where("is_key").select("stream_id", "seq", F.coalesce("pts", "dts", F.lit(0)).alias("at"))
-    got = asof(requests.withColumn("at", F.col("target")), keys, ["stream_id"], "at", F.col("at"), "seq", bucket)
+    got = asof(requests.withColumn("at", F.col("target")), keys, ["stream_id"], "at", F.col("at"), "seq", most)
     first = keys.groupBy("stream_id").agg(F.min("at").alias("first"))
     out = got.join(first, "stream_id", "left")
     return out.select("stream_id", "request_id", F.col("target").alias("requested"), F.coalesce("known", "first", "target").alias("landed"))
 
 
-def latest_frame(ticks: DataFrame, frames: DataFrame, marks: DataFrame, keys: tuple[str, ...] = ("input",), bucket: int | None = None) -> DataFrame:
+def latest_frame(ticks: DataFrame, frames: DataFrame, marks: DataFrame, keys: tuple[str, ...] = ("input",), most: int | None = None) -> DataFrame:
     """frame_id of the newest frame at each tick of each input; none after an end or seek in
     ``marks`` (keys, at, seq) until the next frame. At one instant a mark comes before a frame."""
     cols = [*keys, "at", "seq"]
     rows = frames.select(*cols, F.lit(1).alias("_p"), F.struct(F.col("frame_id")).alias("s")).unionByName(marks.select(*cols, F.lit(0).alias("_p"), F.struct(F.lit(None).cast(frames.schema["frame_id"].dataType).alias("frame_id")).alias("s")))
-    got = asof(ticks, rows.withColumn("_t", F.col("seq") * 2 + F.col("_p")), list(keys), "at", F.col("s"), "_t", bucket)
+    got = asof(ticks, rows.withColumn("_t", F.col("seq") * 2 + F.col("_p")), list(keys), "at", F.col("s"), "_t", most)
     return got.withColumn("frame_id", F.col("known.frame_id")).drop("known")
 
 
-def current_registration(rows: DataFrame, registrations: DataFrame) -> tuple[DataFrame, DataFrame]:
+def current_registration(rows: DataFrame, registrations: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (name, reg_id, at) sent under the newest registration of their name at that time, and
     the inert others. ``registrations``: name, reg_id, valid_from; a newer one ends the older at the
     instant it begins."""
-    until = F.lead("valid_from").over(Window.partitionBy("name").orderBy("valid_from", "reg_id"))
-    spans = registrations.withColumn("valid_to", until)
+    spans = following(registrations, "valid_from", ["name"], ["valid_from", "reg_id"], "valid_to", most)
     live = (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
     joined = rows.join(spans, ["name", "reg_id"], "left").withColumn("_live", F.coalesce(live, F.lit(False)))
     out = joined.drop("valid_from", "valid_to")
@@ -60,13 +60,24 @@ def branch_fanout(buffers: DataFrame, branches: DataFrame, failures: DataFrame |
     return out if failures is None else out.join(failures, ["buffer_id", "branch_id"], "left_anti")
 
 
-def steady_rate(frames: DataFrame, interval: int, bucket: int | None = None) -> DataFrame:
-    """(source, at, frame_id, is_repeat, run): a fixed rate from irregular captures by repeating the
-    newest image. run counts the repeats up to here; its largest value is the longest stall."""
-    span = frames.groupBy("source").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    ticks = span.select("source", F.explode(F.sequence("lo", "hi", F.lit(interval).cast("bigint"))).alias("at"))
-    got = asof(ticks, frames, ["source"], "at", F.col("frame_id"), "frame_id", bucket).withColumnRenamed("known", "frame_id")
-    rows = previous(got, ["frame_id"], ["source"], ["at"], ["_last"], bucket)
-    rows = rows.withColumn("is_repeat", F.coalesce(F.col("frame_id") == F.col("_last"), F.lit(False))).withColumn("_new", (~F.col("is_repeat")).cast("bigint"))
-    rows = running_sum(rows, "_new", ["source"], ["at"], "_g", bucket).withColumn("_g", F.col("_g") + F.col("_new")).drop("_new", "_last")
-    return rows.withColumn("run", F.row_number().over(Window.partitionBy("source", "_g").orderBy("at")) - 1).drop("_g")
+def steady_rate(frames: DataFrame, interval: int, most: int | None = None) -> DataFrame:
+    """(source, at, frame_id, is_repeat, run): a fixed rate from irregular captures by repeating the newest
+    image, from the source's first frame to its last. run counts the repeats up to here; its largest value
+    is the longest stall. Of several frames at one instant the highest frame_id counts.
+
+    Each frame gives the ticks up to the next one, so what is scanned is frames; ticks are made last, in
+    ranges, and never held or sorted. Frames without a source or time give none.
+    """
+    keys = ["source"]
+    own = frames.where("source is not null and at is not null").select("source", F.col("at").cast("bigint").alias("at"), "frame_id")
+    span = own.groupBy("source").agg(F.min("at").alias("_lo"))
+    rows = following(own, "at", keys, ["at", "frame_id"], "_next", most).join(span, "source")
+    place = lambda t: F.call_function("div", t - F.col("_lo") + (interval - 1), F.lit(interval).cast("bigint"))  # noqa: E731  ticks before t
+    rows = rows.withColumns({"_first": place(F.col("at")), "_end": place(F.coalesce("_next", F.col("at") + 1))}).where("_first < _end")
+    cuts = find_cuts(rows, keys, "at", most)
+    rows = previous(rows, ["frame_id"], keys, ["at"], ["_shown"], cuts)
+    rows = rows.withColumn("_since", F.when(F.coalesce(F.col("frame_id") != F.col("_shown"), F.lit(True)), F.col("_first")))
+    rows = last_known(rows, "_since", keys, ["at"], cuts)
+    ticks = stepped(rows.select("source", "frame_id", "_lo", "_since", "_first", "_end"), F.col("_first"), F.col("_end") - 1, 1, "_k")
+    run = F.col("_k") - F.col("_since")
+    return ticks.select("source", (F.col("_lo") + F.col("_k") * interval).alias("at"), "frame_id", (run > 0).alias("is_repeat"), run.alias("run"))

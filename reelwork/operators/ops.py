@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .asof import running_sum
+from .asof import find_cuts, running_sum
 from .staging import stage
 
 
@@ -48,17 +48,18 @@ def topology_paths(nodes: DataFrame, edges: DataFrame, most_depth: int | None =
 _LINE = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}[+-]\d\d:\d\d) (\w+) \[thread=([^\]]*)\](?: \[pipeline_id=([^\]]*)\])? \[element=([^\]]*)\] \[name=([^\]]*)\] (.*)$"
 
 
-def parse_logs(lines: DataFrame, bucket: int | None = None) -> DataFrame:
+def parse_logs(lines: DataFrame, most: int | None = None) -> DataFrame:
     """One row per record of log lines (file, line_no, line): its fields, and in body the lines that
-    follow a header without one of their own (a topology drawing). With ``bucket`` (lines) a long file
-    is cut into buckets, which need not fit in one task."""
+    follow a header without one of their own (a topology drawing). Files of more than
+    ``most`` lines are cut into pieces, which need not fit in one task. Lines before a file's first header
+    belong to no record. A record's body is one text, so that it must fit in memory."""
     part = lambda i: F.regexp_extract("line", _LINE, i)
     rows = lines.withColumn("_h", F.col("line").rlike(_LINE)).withColumn("_one", F.col("_h").cast("bigint"))
-    rows = running_sum(rows, "_one", ["file"], ["line_no"], "_rec", bucket).withColumn("_rec", F.col("_rec") + F.col("_one"))
+    rows = running_sum(rows, "_one", ["file"], ["line_no"], "_rec", find_cuts(lines, ["file"], "line_no", most)).withColumn("_rec", F.col("_rec") + F.col("_one")).where("_rec > 0")
     body = F.array_sort(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "line"))))
-    heads = rows.groupBy("file", "_rec").agg(F.max_by("line", "_h").alias("line"), F.min("line_no").alias("line_no"), F.max("_h").alias("_any"), F.concat_ws("\n", F.transform(body, lambda b: b["line"])).alias("body"))
+    heads = rows.groupBy("file", "_rec").agg(F.max_by("line", "_h").alias("line"), F.min("line_no").alias("line_no"), F.concat_ws("\n", F.transform(body, lambda b: b["line"])).alias("body"))
     field = lambda name: F.nullif(F.regexp_extract("message", rf"(?:^| ){name}=(\S+)", 1), F.lit(""))
-    parsed = heads.where("_any").select("file", "line_no", F.to_timestamp(part(1), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("at"), part(2).alias("level"), part(3).alias("thread"), F.nullif(part(4), F.lit("")).alias("pipeline_id"), part(5).alias("element"), part(6).alias("name"), part(7).alias("message"), F.nullif("body", F.lit("")).alias("body"))
+    parsed = heads.select("file", "line_no", F.to_timestamp(part(1), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").alias("at"), part(2).alias("level"), part(3).alias("thread"), F.nullif(part(4), F.lit("")).alias("pipeline_id"), part(5).alias("element"), part(6).alias("name"), part(7).alias("message"), F.nullif("body", F.lit("")).alias("body"))
     return parsed.withColumns({c: field(c) for c in ("event", "control", "phase", "outcome", "error")})
 
 

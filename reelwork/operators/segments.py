@@ -46,13 +46,13 @@ def keyframe_cuts(packets: DataFrame, duration: int, kind: str = "video") -> Dat
     return rows.mapInPandas(run, "stream_id long, segment long, at long")
 
 
-def segment(packets: DataFrame, duration: int, kind: str = "video", bucket: int | None = None, tracks: DataFrame | None = None) -> DataFrame:
+def segment(packets: DataFrame, duration: int, kind: str = "video", most: int | None = None, tracks: DataFrame | None = None) -> DataFrame:
     """``packets`` with their segment; all tracks of a stream are cut together. ``tracks`` (stream_id,
     track_id) are those that are kept: cuts count from the stream's first packet of any track. The
     cuts are found once and written."""
     cuts = stage(keyframe_cuts(packets, duration, kind), "cuts").withColumnRenamed("at", "pts")
     kept = packets if tracks is None else packets.join(tracks.select("stream_id", "track_id").distinct(), ["stream_id", "track_id"], "left_semi")
-    return asof(kept, cuts, ["stream_id"], "pts", F.col("segment"), bucket=bucket).withColumnRenamed("known", "segment")
+    return asof(kept, cuts, ["stream_id"], "pts", F.col("segment"), most=most).withColumnRenamed("known", "segment")
 
 
 def segment_summary(segmented: DataFrame) -> DataFrame:

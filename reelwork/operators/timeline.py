@@ -1,4 +1,4 @@
-"""Window operators over one stream's order. ``bucket`` lets very long streams spread over tasks."""
+"""Window operators over one stream's order. Streams of more than ``most`` rows are cut and spread over tasks."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import rescale, to_ns
-from .asof import asof, last_known, previous, running_sum
+from .asof import asof, find_cuts, last_known, previous, running_sum
 
 NOMINAL_NS = 40_000_000
 
@@ -33,23 +33,23 @@ def pace_schedule(buffers: DataFrame, start_ns: str = "start_ns", keys: tuple[st
     return out.withColumn("late_ns", F.col("arrival_ns") - F.col("due_ns")).drop("_since")
 
 
-def observed_duration(frames: DataFrame, resets: DataFrame | None = None, at: str = "pts_ns", bucket: int | None = None) -> DataFrame:
+def observed_duration(frames: DataFrame, resets: DataFrame | None = None, at: str = "pts_ns", most: int | None = None) -> DataFrame:
     """duration_ns of each frame: the last positive step between frames so far, 40 ms before any;
     ``resets`` (stream_id, at, seq) begin anew."""
-    rows = frames.withColumn("epoch", F.lit(0).cast("bigint"))
+    rows, cuts = frames.withColumn("epoch", F.lit(0).cast("bigint")), find_cuts(frames, ["stream_id"], "seq", most)
     if resets is not None:
         marks = resets.select("stream_id", "seq").withColumn("_r", F.lit(1))
         both = frames.withColumn("_r", F.lit(0)).unionByName(marks, allowMissingColumns=True)
         # A frame has the resets before it; of one place in the order the reset comes later.
-        rows = running_sum(both, "_r", ["stream_id"], ["seq", "_r"], "epoch", bucket).where("_r = 0").drop("_r")
+        rows = running_sum(both, "_r", ["stream_id"], ["seq", "_r"], "epoch", cuts).where("_r = 0").drop("_r")
     keys = ["stream_id", "epoch"]
     step = F.col(at) - F.col("_last")
-    rows = previous(rows, [at], keys, ["seq"], ["_last"], bucket).withColumn("duration_ns", F.when(step > 0, step)).drop("_last")
-    rows = last_known(rows, "duration_ns", keys, ["seq"], bucket)
+    rows = previous(rows, [at], keys, ["seq"], ["_last"], cuts).withColumn("duration_ns", F.when(step > 0, step)).drop("_last")
+    rows = last_known(rows, "duration_ns", keys, ["seq"], cuts)
     return rows.withColumn("duration_ns", F.coalesce("duration_ns", F.lit(NOMINAL_NS).cast("bigint")))
 
 
-def playback_position(asks: DataFrame, samples: DataFrame, bucket: int | None = None) -> DataFrame:
+def playback_position(asks: DataFrame, samples: DataFrame, most: int | None = None) -> DataFrame:
     """master and position_ns at each ask (stream_id, wall_ns, and for frames seq and pts_ns).
 
     Before any sample the wall clock is master: a stream's first frame sets the origin, its pts at its
@@ -71,14 +71,15 @@ def playback_position(asks: DataFrame, samples: DataFrame, bucket: int | None =
     base = took.join(origin, "stream_id", "full").withColumn("_handed", F.when(F.col("_o.wall_ns") < F.col("_took"), wall(F.col("_took"))))
 
     keys, order = ["stream_id"], ["wall_ns", "seq"]
+    cuts = find_cuts(asks.select("stream_id", "wall_ns").unionByName(samples.select("stream_id", "wall_ns")), keys, "wall_ns", most)
     played = samples.withColumn("_own", F.when(~F.col("priming"), F.col("position_ns")))
-    played = previous(played, ["_own", "priming"], keys, order, ["held", "_primed"], bucket)
+    played = previous(played, ["_own", "priming"], keys, order, ["held", "_primed"], cuts)
     played = played.join(base.select("stream_id", "_handed"), "stream_id", "left").withColumn("held", F.coalesce("held", "_handed"))
     after = F.coalesce("_primed", F.lit(True)) & ~F.col("priming") & ~F.coalesce("ended", F.lit(False))
     played = played.withColumn("position_ns", F.when(after, F.greatest("position_ns", F.coalesce("held", "position_ns"))).otherwise(F.col("position_ns")))
     played = played.withColumn("submitted_ns", F.greatest("submitted_ns", "position_ns"))
     value = F.struct(F.col("wall_ns").alias("since"), "position_ns", "submitted_ns", "running", "priming", "held", F.coalesce("ended", F.lit(False)).alias("ended"))
-    got = asof(asks, played, keys, "wall_ns", value, "seq", bucket).join(base.select("stream_id", "_o"), "stream_id", "left")
+    got = asof(asks, played, keys, "wall_ns", value, "seq", cuts=cuts).join(base.select("stream_id", "_o"), "stream_id", "left")
 
     elapsed = F.col("wall_ns") - F.col("known.since")
     run = F.col("known.position_ns") + F.when(F.col("known.running"), elapsed).otherwise(F.lit(0))
@@ -93,11 +94,11 @@ def playback_position(asks: DataFrame, samples: DataFrame, bucket: int | None =
     return got.withColumn("master", master).withColumn("position_ns", F.when(F.col("master") != "none", position)).drop("known", "_o")
 
 
-def sync_video(frames: DataFrame, samples: DataFrame, bucket: int | None = None, seq_bucket: int | None = None) -> DataFrame:
+def sync_video(frames: DataFrame, samples: DataFrame, most: int | None = None) -> DataFrame:
     """decision of each frame (stream_id, seq, wall_ns, pts_ns) against the playback position when it
     arrives, and wait_ns. Without a master a frame renders; while audio primes it holds; ahead, it
     waits; later than one frame's duration it drops, but never where the wall is master."""
-    timed = playback_position(observed_duration(frames, bucket=seq_bucket), samples, bucket)
+    timed = playback_position(observed_duration(frames, most=most), samples, most)
     ahead = F.col("pts_ns") - F.col("position_ns")
     audio = F.col("master") == "audio"
     decision: Column = (
@@ -107,19 +108,20 @@ def sync_video(frames: DataFrame, samples: DataFrame, bucket: int | None = None,
     return timed.withColumn("decision", decision).withColumn("wait_ns", F.when(decision == "Wait", ahead))
 
 
-def splice_timeline(packets: DataFrame, bucket: int | None = None) -> DataFrame:
+def splice_timeline(packets: DataFrame, most: int | None = None) -> DataFrame:
     """out_pts and out_dts that stay monotone across seeks: the first packet after a seek (``seek``
     is true) comes one tick after the last. Packets without pts neither need nor settle a seek;
     several seeks in a row are one; with nothing before it a seek shifts nothing."""
     real = F.col("pts").isNotNull()
     keys, order = ["stream_id"], ["seq"]
-    rows = running_sum(packets.withColumn("_seek", F.col("seek").cast("bigint")), "_seek", keys, order, "_seeks", bucket)
+    cuts = find_cuts(packets, keys, "seq", most)
+    rows = running_sum(packets.withColumn("_seek", F.col("seek").cast("bigint")), "_seek", keys, order, "_seeks", cuts)
     rows = rows.withColumn("_seeks", F.col("_seeks") + F.col("_seek")).drop("_seek")
     timed = rows.where(real).withColumn("_raw", F.coalesce("dts", "pts"))
-    timed = previous(timed, ["_raw", "_seeks"], keys, order, ["_last", "_seen"], bucket)
+    timed = previous(timed, ["_raw", "_seeks"], keys, order, ["_last", "_seen"], cuts)
     new = F.col("_seeks") > F.coalesce("_seen", F.lit(0))
     timed = timed.withColumn("_jump", F.when(new & F.col("_last").isNotNull(), F.col("_last") + 1 - F.col("_raw")).otherwise(F.lit(0)))
-    timed = running_sum(timed, "_jump", keys, order, "_before", bucket).withColumn("offset", F.col("_before") + F.col("_jump"))
+    timed = running_sum(timed, "_jump", keys, order, "_before", cuts).withColumn("offset", F.col("_before") + F.col("_jump"))
     out = timed.drop("_jump", "_before", "_raw", "_last", "_seen").unionByName(rows.where(~real).withColumn("offset", F.lit(None).cast("bigint")))
     return out.withColumn("out_pts", F.col("pts") + F.col("offset")).withColumn("out_dts", F.col("dts") + F.col("offset")).drop("_seeks")
 
@@ -129,12 +131,12 @@ def zero_base(packets: DataFrame, keys: tuple[str, ...] = ("stream_id", "track_i
     return with_first(packets, "pts", list(keys), "seq", "_first").withColumn("pts", F.col("pts") + F.greatest(-F.col("_first"), F.lit(0))).drop("_first")
 
 
-def contiguous_pts(frames: DataFrame, in_num: int, in_den: int, rate: int, bucket: int | None = None) -> DataFrame:
+def contiguous_pts(frames: DataFrame, in_num: int, in_den: int, rate: int, most: int | None = None) -> DataFrame:
     """out_pts: the first pts in samples of ``rate`` (0 if none) and the samples before the frame.
     ``frames``: input, frame_idx, pts, n_samples."""
     based = with_first(frames, "pts", ["input"], "frame_idx", "_first", skip_nulls=False)
     based = based.withColumn("_first", F.coalesce(rescale(F.col("_first"), in_num, in_den, 1, rate), F.lit(0)))
-    summed = running_sum(based, "n_samples", ["input"], ["frame_idx"], "_before", bucket)
+    summed = running_sum(based, "n_samples", ["input"], ["frame_idx"], "_before", find_cuts(frames, ["input"], "frame_idx", most))
     return summed.withColumn("out_pts", F.col("_first") + F.col("_before")).drop("_first", "_before")
 
 

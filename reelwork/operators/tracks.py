@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import nominal_duration, rescale
-from .asof import running_sum
+from .asof import find_cuts, running_sum
 
 KINDS = ("video", "audio", "data")
 
@@ -57,13 +57,13 @@ def fill_duration(packets: DataFrame) -> DataFrame:
     return packets.withColumn("duration", F.when(F.col("duration") == 0, nominal).otherwise(F.col("duration")))
 
 
-def interleave(packets: DataFrame, file: str = "stream_id", bucket_ns: int | None = None) -> DataFrame:
+def interleave(packets: DataFrame, file: str = "stream_id", most: int | None = None) -> DataFrame:
     """file_seq (from 1): the order of a file's packets by dts as time, then track, then arrival. Times
-    are compared in nanoseconds of their own time bases; packets without one come first. With
-    ``bucket_ns`` a long file is numbered in buckets of time, which need not fit in one task."""
+    are compared in nanoseconds of their own time bases; packets without one come first. Files
+    of more than ``most`` packets are numbered in pieces, which need not fit in one task."""
     time = F.coalesce(rescale(F.col("dts"), F.col("tb_num"), F.col("tb_den"), 1, 1_000_000_000), F.lit(-(1 << 62)).cast("bigint"))
     rows = packets.withColumn("_time", time).withColumn("_one", F.lit(1).cast("bigint"))
-    out = running_sum(rows, "_one", [file], ["_time", "track_id", "seq"], "file_seq", bucket_ns)
+    out = running_sum(rows, "_one", [file], ["_time", "track_id", "seq"], "file_seq", find_cuts(rows, [file], "_time", most))
     return out.withColumn("file_seq", F.col("file_seq") + 1).drop("_time", "_one")
 
 

@@ -112,25 +112,25 @@ def test_clock_masters(spark):
         sample(2, 10, 10, 0, 0, True, True), sample(2, 11, 30, 50, 160, True, False), sample(2, 12, 40, 55, 160, False, False),
         sample(3, 10, 0, 1, 2, False, False), sample(3, 11, 50, 2000, 0, False, False, True),
     ], "stream_id long, seq long, wall_ns long, position_ns long, submitted_ns long, running boolean, priming boolean, ended boolean")
-    for bucket in (None, 25 * ms):
-        got = timeline.playback_position(frames, clock, bucket).selectExpr("stream_id", "seq", "master", f"position_ns / {ms} as p")
+    for most in (None, 1):
+        got = timeline.playback_position(frames, clock, most).selectExpr("stream_id", "seq", "master", f"position_ns / {ms} as p")
         assert rows(got, "stream_id", "seq", "master", "p") == [
             (1, 1, "wall", 5000), (1, 2, "wall", 5040), (1, 3, "wall", 5500), (2, 1, "wall", 50), (2, 2, "priming", 60), (2, 3, "audio", 60), (2, 4, "audio", 55),
             (3, 1, "audio", 1), (3, 2, "wall", 2010), (3, 3, "wall", 2050),
         ]
-        decided = timeline.sync_video(frames, clock, bucket, None if bucket is None else 2)
+        decided = timeline.sync_video(frames, clock, most)
         assert rows(decided, "stream_id", "seq", "decision") == [
             (1, 1, "Render"), (1, 2, "Wait"), (1, 3, "Render"), (2, 1, "Render"), (2, 2, "Hold"), (2, 3, "Wait"), (2, 4, "Wait"), (3, 1, "Render"), (3, 2, "Render"), (3, 3, "Render"),
         ]
     assert rows(timeline.playback_position(frames.drop("pts_ns", "seq"), clock).where("stream_id = 1"), "master", "position_ns") == [("none", None)] * 3
 
 
-def test_observed_duration_with_and_without_buckets(spark):
+def test_observed_duration_in_pieces(spark):
     f = spark.createDataFrame([(1, q, q * 10 + (q % 3)) for q in range(0, 40, 2)], "stream_id long, seq long, pts_ns long")
     resets = spark.createDataFrame([(1, 9), (1, 10), (1, 31)], "stream_id long, seq long")
     cols = ["seq", "epoch", "duration_ns"]
-    for r, bucket in ((resets, 7), (None, 3)):
-        assert rows(timeline.observed_duration(f, r, bucket=bucket), *cols) == rows(timeline.observed_duration(f, r), *cols)
+    for r, most in ((resets, 7), (None, 3)):
+        assert rows(timeline.observed_duration(f, r, most=most), *cols) == rows(timeline.observed_duration(f, r), *cols)
 
 
 def test_fanout_with_and_without_bins(spark):
@@ -279,7 +279,7 @@ def test_zero_base_cadence_and_active_time(spark):
 def test_segments_begin_with_keyframes(spark):
     p = spark.createDataFrame([(1, i, i * 10, "video", i % 4 == 0) for i in range(20)] + [(2, i, i * 10, "audio", False) for i in range(10)], "stream_id long, seq long, pts long, kind string, is_key boolean")
     assert rows(segments.keyframe_cuts(p, 50), "stream_id", "at") == [(1, 0), (1, 80), (1, 160), (2, 0), (2, 50)]
-    both = [rows(segments.segment(p, 50, bucket=b), "stream_id", "seq", "segment") for b in (None, 30)]
+    both = [rows(segments.segment(p, 50, most=b), "stream_id", "seq", "segment") for b in (None, 30)]
     assert both[0] == both[1]
 
 
@@ -295,12 +295,12 @@ def test_windows_names_and_finals(spark):
     assert rows(tracks.finalize_tracks(events, expected), "file_id", "is_final", "finalized_at") == [(1, False, None), (2, True, 9), (3, False, None)]
 
 
-def test_asof_with_and_without_buckets(spark):
+def test_asof_in_pieces(spark):
     left = spark.createDataFrame([(1, t) for t in (-5, 0, 3, 40, 41)], "k int, at long")
     right = spark.createDataFrame([(1, 0, 1), (1, 3, 2), (1, 3, 3), (1, 20, None)], "k int, at long, v int")
-    for bucket in (None, 4):
-        assert rows(asof.asof(left, right, ["k"], "at", F.col("v"), "v", bucket), "at", "known") == [(-5, None), (0, 1), (3, 3), (40, 3), (41, 3)]
-        assert rows(asof.running_sum(right, "v", ["k"], ["at", "v"], "s", bucket), "at", "s") == [(0, 0), (3, 1), (3, 3), (20, 6)]
+    for most in (None, 1, 2, 100):
+        assert rows(asof.asof(left, right, ["k"], "at", F.col("v"), "v", most), "at", "known") == [(-5, None), (0, 1), (3, 3), (40, 3), (41, 3)]
+        assert rows(asof.running_sum(right, "v", ["k"], ["at", "v"], "s", asof.find_cuts(right, ["k"], "at", most)), "at", "s") == [(0, 0), (3, 1), (3, 3), (20, 6)]
 
 
 def test_seeks_without_keyframes(spark):
@@ -350,20 +350,88 @@ def test_user_errors_are_quarantined(spark):
         map_buffers(df, lambda r: r, "x long", "ignore")
 
 
-def test_long_streams_in_buckets(spark):
+def test_long_streams_in_pieces(spark):
     p = spark.createDataFrame([(f, q, None if q % 5 == 4 else (q * 37) % 200, (q * 37) % 200, q % 6 == 3) for f in (1, 2) for q in range(40)], "stream_id long, seq long, pts long, dts long, seek boolean")
     cols = ["stream_id", "seq", "out_pts", "out_dts"]
     assert rows(timeline.splice_timeline(p), *cols) == rows(timeline.splice_timeline(p, 7), *cols)
     f = spark.createDataFrame([(1, t, i) for i, t in enumerate((0, 3, 4, 19, 40, 41, 42, 90))], "source long, at long, frame_id long")
-    assert rows(joins.steady_rate(f, 5), "at", "frame_id", "is_repeat", "run") == rows(joins.steady_rate(f, 5, 16), "at", "frame_id", "is_repeat", "run")
+    assert rows(joins.steady_rate(f, 5), "at", "frame_id", "is_repeat", "run") == rows(joins.steady_rate(f, 5, 2), "at", "frame_id", "is_repeat", "run")
     a = spark.createDataFrame([(1, i, t, 4, [float(i)] * 4) for i, t in enumerate((0, 4, 9, 13, 30, 34))], "input long, frame_idx long, pts long, n_samples long, samples array<double>")
-    assert rows(audio.fill_silence(a)) == rows(audio.fill_silence(a, 10)) and rows(audio.rechunk(a, 5)) == rows(audio.rechunk(a, 5, bucket=2))
+    assert rows(audio.fill_silence(a)) == rows(audio.fill_silence(a, 2)) and rows(audio.rechunk(a, 5)) == rows(audio.rechunk(a, 5, most=2))
+
+
+def test_scans_in_pieces_keep_nulls_and_agree_with_windows(spark):
+    r = random.Random(4)
+    data = [(r.choice([None, 1, 1, 1, 2]), r.choice([None, *range(-9, 30)]), i, r.choice([None, i]), "x") for i in range(300)]
+    df = spark.createDataFrame(data, "k int, at long, id long, v long, rest string")
+    columns = {"s": ("sum", "v"), "p": ("previous", "v"), "l": ("last", "v")}
+    plain = rows(asof.scan(df, ["k"], ["at", "id"], columns))
+    assert len(plain) == 300
+    for most in (1, 20, 100):
+        cuts = asof.find_cuts(df, ["k"], "at", most)
+        pieces = cuts.placed(df)
+        assert pieces.where("_cut").groupBy("k", "_piece").count().agg(F.max("count")).first()[0] < 150 and pieces.count() == 300
+        assert rows(asof.scan(df, ["k"], ["at", "id"], columns, cuts)) == plain
+        assert rows(asof.scan(df.withColumn("g", F.col("id") % 3), ["k", "g"], ["at", "id"], columns, cuts)) == rows(asof.scan(df.withColumn("g", F.col("id") % 3), ["k", "g"], ["at", "id"], columns))
+        assert rows(asof.following(df, "v", ["k"], ["at", "id"], "n", most), "k", "at", "id", "n") == rows(asof.following(df, "v", ["k"], ["at", "id"], "n"), "k", "at", "id", "n")
+    assert asof.find_cuts(df, ["k"], "at", 1000) is None is asof.find_cuts(df.limit(0), ["k"], "at", 1)
+
+
+def test_nothing_is_sorted_or_written_for_short_streams(spark):
+    df = spark.range(100).select((F.col("id") % 3).alias("k"), F.col("id").alias("at"))
+    plan = asof.scan(df, ["k"], ["at"], {"s": ("sum", "at"), "p": ("previous", "at"), "l": ("last", "at")}, asof.find_cuts(df, ["k"], "at", asof.MOST))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_steady_rate_by_brute_force(spark):
+    r = random.Random(6)
+    frames = [(s, t, i % 7 if s == 1 else i) for s in (1, 2) for i, t in enumerate(sorted(r.choices(range(-50, 400), k=60)))] + [(3, 5, 1), (None, 1, 1), (4, None, 1)]
+    want = []
+    for s in (1, 2, 3):
+        own = [(t, f) for k, t, f in frames if k == s]
+        last, run = None, 0
+        for at in range(min(own)[0], max(own)[0] + 1, 9):
+            shown = max(x for x in own if x[0] <= at)[1]
+            run = run + 1 if shown == last else 0
+            want.append((s, at, shown, run > 0, run))
+            last = shown
+    df = spark.createDataFrame(frames, "source long, at long, frame_id long")
+    for most in (None, 5):
+        assert rows(joins.steady_rate(df, 9, most), "source", "at", "frame_id", "is_repeat", "run") == want
+
+
+def test_a_long_span_of_ticks(spark):
+    df = spark.createDataFrame([(1, 0, 1), (1, 9_000_000, 2)], "source long, at long, frame_id long")
+    got = joins.steady_rate(df, 3).agg(F.count("*"), F.max("run"), F.sum("at")).first()
+    assert got[:] == (3_000_001, 2_999_999, 3 * 3_000_000 * 3_000_001 // 2)
+
+
+def test_logs_before_any_header_are_no_record(spark):
+    head = "2024-01-01T00:00:00.000+00:00 INFO [thread=main] [element=Queue] [name=q] event=eos phase=received"
+    lines = spark.createDataFrame([("none", i, f"line {i}") for i in range(50)] + [("late", i, head if i in (5, 8) else f"b{i}") for i in range(10)], "file string, line_no long, line string")
+    for most in (None, 3):
+        assert rows(ops.parse_logs(lines, most), "file", "line_no", "body") == [("late", 5, "b6\nb7"), ("late", 8, "b9")]
+
+
+def test_codec_runs_of_one_long_stream(spark):
+    packets = spark.createDataFrame([(1, i, "VP8" if i % 50 < 20 else "AV1", b"x") for i in range(400)], "stream_id long, seq long, codec string, payload binary")
+    assert rows(bitstream.probe_codec(packets, 30), "run", "codec", "ready_seq") == rows(bitstream.probe_codec(packets), "run", "codec", "ready_seq") == [(2 * k + j, c, 50 * k + o) for k in range(8) for j, (c, o) in enumerate((("VP8", 0), ("AV1", 20)))]
+
+
+def test_registrations_and_losses_in_pieces(spark):
+    regs = spark.createDataFrame([(1, k, 10 * k) for k in range(20)], "name int, reg_id long, valid_from long")
+    sent = spark.createDataFrame([(1, k, t) for k in (0, 5, 19, 33) for t in range(0, 250, 7)], "name int, reg_id long, at long")
+    plain, pieces = ([rows(x, "reg_id", "at") for x in joins.current_registration(sent, regs, most)] for most in (None, 3))
+    assert plain == pieces == [[(k, t) for k, t in rows(sent, "reg_id", "at") if k < 20 and t >= 10 * k and (t < 10 * k + 10 or k == 19)], [(k, t) for k, t in rows(sent, "reg_id", "at") if not (k < 20 and t >= 10 * k and (t < 10 * k + 10 or k == 19))]]
+    frames = spark.createDataFrame([(1, 10 * i + i // 4, 10) for i in range(40)], "input int, pts long, n_samples long")
+    dropped = spark.createDataFrame([(1, "Dropped")], "input int, event string")
+    assert rows(audio.capture_loss(frames, dropped, 5)) == rows(audio.capture_loss(frames, dropped)) == [(1, 9, 9, 1)]
 
 
-def test_order_in_buckets(spark):
+def test_order_in_pieces(spark):
     p = spark.createDataFrame([(f, t, q, None if q == 3 else (q * 7) % 11 * 1000, 1, 1000) for f in (1, 2) for t in (0, 1) for q in range(12)], "stream_id long, track_id int, seq long, dts long, tb_num int, tb_den int")
     whole = rows(tracks.interleave(p), "stream_id", "track_id", "seq", "file_seq")
-    assert whole == rows(tracks.interleave(p, bucket_ns=3_000_000_000), "stream_id", "track_id", "seq", "file_seq")
+    assert whole == rows(tracks.interleave(p, most=3), "stream_id", "track_id", "seq", "file_seq")
     assert [r[3] for r in sorted(whole, key=lambda r: (r[0], r[3]))] == [*range(1, 25)] * 2 and {r[3] for r in whole if r[2] == 3} == {1, 2}
     head = "2024-01-01T00:00:00.000+00:00 INFO [thread=main] [element=Queue] [name=q] event=eos phase=received"
     lines = spark.createDataFrame([("f", i, head if i % 5 == 1 else f"body {i}") for i in range(23)], "file string, line_no long, line string")
