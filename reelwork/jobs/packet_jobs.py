@@ -150,13 +150,29 @@ def codecs(spark, d):
 CODECS = "select user_id as connection, event_type as codec from ev where event_id % 2 = 0 intersect select user_id, event_type from ev where event_id % 2 = 1"
 
 
+def outbound(spark, d):
+    """Views are packets, sign-ups choose a codec, also ones that weren't negotiated."""
+    e = media.events(spark, d).select(F.col("user_id").alias("connection"), F.col("event_id").alias("at"), "event_type")
+    names = F.array(*map(F.lit, ("view", "click", "purchase", "signup", "error")))
+    choices = e.where("event_type = 'signup'").select("connection", "at", F.element_at(names, (F.col("at") % 5 + 1).cast("int")).alias("codec"))
+    sent, allowed = e.where("event_type = 'view'").select("connection", "at"), codecs(spark, d)
+    rows = lambda df, kind: df.select(F.lit(kind).alias("kind"), "connection", "at", F.coalesce("codec", F.lit("")).alias("codec"), F.coalesce("error", F.lit("")).alias("error"))
+    return rows(tracks.checked_choices(choices, allowed), "choice").unionByName(rows(tracks.outbound_codecs(sent, choices, allowed, MOST), "packet"))
+
+
+OUTBOUND = f"""with allowed as ({CODECS}), ch as (select user_id as connection, event_id as at, ['view', 'click', 'purchase', 'signup', 'error'][event_id % 5 + 1] as codec from ev where event_type = 'signup'),
+    checked as (select *, (connection, codec) in (select (connection, codec) from allowed) as is_ok from ch), ok as (select * from checked where is_ok)
+    select 'choice' as kind, connection, at, codec, case when is_ok then '' else 'codec_not_negotiated' end as error from checked
+    union all select 'packet', p.user_id, p.event_id, coalesce(ok.codec, ''), case when ok.codec is null then 'codec_not_declared' else '' end from (select * from ev where event_type = 'view') p asof left join ok on p.user_id = ok.connection and p.event_id >= ok.at"""
+
+
 def _segmented(spark, d):
     wanted = media.streams(spark, d).where("kind in ('video', 'audio')")
     return segments.segment(media.packets(spark, d), DAY, most=MOST, tracks=wanted)
 
 
 def cut_table(spark, d):
-    return segments.keyframe_cuts(media.packets(spark, d), DAY)
+    return segments.keyframe_cuts(media.packets(spark, d), DAY, most=MOST)
 
 
 CUTS = "select stream_id, segment, at from cuts"
@@ -257,7 +273,7 @@ def cadenced(spark, d):
     ticks = e.where("event_type = 'view'")
     n = F.row_number().over(Window.partitionBy("user_id").orderBy("us")).cast("bigint")
     pauses = e.where("event_type = 'purchase'").select(F.col("user_id").alias("source"), F.col("us").alias("now"), (F.col("event_id") % 5 * DAY).alias("paused_for"))
-    return timeline.cadence(ticks.select(F.col("user_id").alias("source"), n.alias("n"), F.col("us").alias("now")), DAY // 2, pauses)
+    return timeline.cadence(ticks.select(F.col("user_id").alias("source"), n.alias("n"), F.col("us").alias("now")), DAY // 2, pauses, MOST)
 
 
 CADENCED = """with t as (select user_id as source, us as now, event_type = 'view' as is_tick, event_id % 5 * 86400000000 as paused, row_number() over (partition by user_id order by us) as k,
@@ -285,7 +301,7 @@ QUERIES = {
     "load_media_tables": (load_media_tables, LOAD), "select_tracks": (select_tracks, SELECT), "validate_packets": (validate_packets, VALIDATE), "rescale_pts": (rescale_pts, RESCALE),
     "rescale_packets": (rescale_packets, RESCALE_PACKETS), "ticks_to_seconds": (seconds, SECONDS), "media_time_rational": (rational, RATIONAL), "fill_duration": (durations, DURATIONS),
     "interleave_tracks": (interleaved, INTERLEAVED), "merge_sources": (merged, MERGED), "unlinked_streams": (unlinked, UNLINKED), "probe_streams": (probe, PROBE), "count_buffers": (counted, COUNTED),
-    "finalize_tracks": (finalized, FINALIZED), "negotiated_codecs": (codecs, CODECS), "keyframe_segments": (cut_table, CUTS), "segment_summary": (summary, SUMMARY), "live_window": (window, WINDOW),
+    "finalize_tracks": (finalized, FINALIZED), "negotiated_codecs": (codecs, CODECS), "outbound_codecs": (outbound, OUTBOUND), "keyframe_segments": (cut_table, CUTS), "segment_summary": (summary, SUMMARY), "live_window": (window, WINDOW),
     "expired_segments": (expired, EXPIRED), "segment_name": (names, NAMES), "playlist_text": (playlists, PLAYLISTS), "seek_keyframe": (seeks, SEEKS), "pace_schedule": (paced, PACED),
     "splice_timeline": (spliced, SPLICED), "zero_base_timeline": (zeroed, ZEROED), "cadence_resync": (cadenced, CADENCED), "steady_rate": (steadied, STEADIED),
 }

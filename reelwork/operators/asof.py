@@ -25,7 +25,7 @@ PIECES, SENT = 1024, 200_000
 
 @dataclass(frozen=True)
 class Cuts:
-    """table: _k0, _k1, ... and _cuts, the values of ``order`` at which a key's pieces begin (but for the
+    """table: _scan_k0, _scan_k1, ... and _scan_cuts, the values of ``order`` at which a key's pieces begin (but for the
     first), for each key that is cut."""
 
     table: DataFrame
@@ -37,11 +37,11 @@ class Cuts:
         return F.broadcast(table) if self.rows <= SENT else table
 
     def placed(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with _cut (whether their key is cut) and _piece, 0 where it isn't."""
-        same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(self.keys)]
-        out = rows.join(self.sent(self.table), _all(same), "left").withColumn("_cut", F.col("_cuts").isNotNull())
-        piece = F.size(F.filter("_cuts", lambda c: c <= F.col(self.order)))
-        return out.withColumn("_piece", F.when(F.col("_cut"), piece).otherwise(0)).drop("_cuts", *[f"_k{i}" for i in range(len(self.keys))])
+        """``rows`` with _scan_cut (whether their key is cut) and _scan_piece, 0 where it isn't."""
+        same = [F.col(k).eqNullSafe(F.col(f"_scan_k{i}")) for i, k in enumerate(self.keys)]
+        out = rows.join(self.sent(self.table), _all(same), "left").withColumn("_scan_cut", F.col("_scan_cuts").isNotNull())
+        piece = F.size(F.filter("_scan_cuts", lambda c: c <= F.col(self.order)))
+        return out.withColumn("_scan_piece", F.when(F.col("_scan_cut"), piece).otherwise(0)).drop("_scan_cuts", *[f"_scan_k{i}" for i in range(len(self.keys))])
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -56,51 +56,52 @@ def find_cuts(rows: DataFrame, keys: list[str], order: str, most: int | None) ->
     one count of the keys tells. ``order`` is a whole number."""
     if most is None:
         return None
-    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    counts = rows.select(*named, F.col(order).cast("bigint").alias("_at"))
-    hot = counts.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
-    found = hot.agg(F.count("*").alias("keys"), F.max("_n").alias("most")).first()
+    named = [F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)]
+    counts = rows.select(*named, F.col(order).cast("bigint").alias("_scan_at"))
+    hot = counts.groupBy(*[f"_scan_k{i}" for i in range(len(keys))]).agg(F.count("*").alias("_scan_n")).where(F.col("_scan_n") > most)
+    found = hot.agg(F.count("*").alias("keys"), F.max("_scan_n").alias("most")).first()
     if not found["keys"]:
         return None
     pieces = min(PIECES, 2 * -(-found["most"] // most))
-    same = _all([F.col(f"_k{i}").eqNullSafe(F.col(f"_h{i}")) for i in range(len(keys))])
+    same = _all([F.col(f"_scan_k{i}").eqNullSafe(F.col(f"_scan_h{i}")) for i in range(len(keys))])
     few = found["keys"] * pieces <= SENT
-    of_hot = hot.select(*[F.col(f"_k{i}").alias(f"_h{i}") for i in range(len(keys))])
+    of_hot = hot.select(*[F.col(f"_scan_k{i}").alias(f"_scan_h{i}") for i in range(len(keys))])
     only = counts.join(F.broadcast(of_hot) if few else of_hot, same, "left_semi")
-    at = F.percentile_approx("_at", [i / pieces for i in range(1, pieces)], 100 * PIECES)
-    table = only.groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.coalesce(F.array_distinct(at), F.array().cast("array<bigint>")).alias("_cuts"))
+    at = F.percentile_approx("_scan_at", [i / pieces for i in range(1, pieces)], 100 * PIECES)
+    table = only.groupBy(*[f"_scan_k{i}" for i in range(len(keys))]).agg(F.coalesce(F.array_distinct(at), F.array().cast("array<bigint>")).alias("_scan_cuts"))
     return Cuts(stage(table, "cuts"), tuple(keys), order, found["keys"] * pieces)
 
 
 def scan(rows: DataFrame, keys: list[str], order: list[str], columns: dict[str, tuple[str, str]], cuts: Cuts | None = None) -> DataFrame:
     """``rows`` with new columns, all in one pass along ``order`` within ``keys``. Each is named with what
-    it holds and of which column: ("sum", c) the sum over all earlier rows, 0 for the first; ("previous", c)
-    the last c of an earlier row that isn't null; ("last", c) the same, the row itself included. ``cuts``
+    it holds and of which column: ("sum", c) the sum over all earlier rows, 0 for the first; ("max", c)
+    the largest c of them; ("previous", c) the last of them that isn't null; ("last", c) the same, the row
+    itself included. ``cuts``
     are those of the first of ``order`` and of ``keys`` or some of them."""
-    upto = {"sum": -1, "previous": -1, "last": 0}
+    upto = {"sum": -1, "max": -1, "previous": -1, "last": 0}
 
     def within(w: Window, what: str, of: str) -> Column:
         w = w.rowsBetween(Window.unboundedPreceding, upto[what])
-        return F.sum(of).over(w) if what == "sum" else F.last(of, ignorenulls=True).over(w)
+        return F.sum(of).over(w) if what == "sum" else F.max(of).over(w) if what == "max" else F.last(of, ignorenulls=True).over(w)
 
     begun = lambda what, c: F.coalesce(c, F.lit(0)) if what == "sum" else c
     if cuts is None:
         w = Window.partitionBy(*keys).orderBy(*order)
         return rows.withColumns({n: begun(what, within(w, what, of)) for n, (what, of) in columns.items()})
     pieces = cuts.placed(rows)
-    value = lambda what, of: F.sum(of) if what == "sum" else F.max_by(of, F.when(F.col(of).isNotNull(), F.struct(*order)))
-    each = pieces.where("_cut").groupBy(*keys, "_piece").agg(*[value(*c).alias(f"_v{i}") for i, c in enumerate(columns.values())])
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    carry = lambda i, what: F.sum(f"_v{i}").over(earlier) if what == "sum" else F.last(f"_v{i}", ignorenulls=True).over(earlier)
-    carried = each.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), *[carry(i, what).alias(f"_c{i}") for i, (what, _) in enumerate(columns.values())])
-    same = _all([*[F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.col("_piece") == F.col("_p")])
+    value = lambda what, of: F.sum(of) if what == "sum" else F.max(of) if what == "max" else F.max_by(of, F.when(F.col(of).isNotNull(), F.struct(*order)))
+    each = pieces.where("_scan_cut").groupBy(*keys, "_scan_piece").agg(*[value(*c).alias(f"_scan_v{i}") for i, c in enumerate(columns.values())])
+    earlier = Window.partitionBy(*keys).orderBy("_scan_piece").rowsBetween(Window.unboundedPreceding, -1)
+    carry = lambda i, what: F.sum(f"_scan_v{i}").over(earlier) if what == "sum" else F.max(f"_scan_v{i}").over(earlier) if what == "max" else F.last(f"_scan_v{i}", ignorenulls=True).over(earlier)
+    carried = each.select(*[F.col(k).alias(f"_scan_k{i}") for i, k in enumerate(keys)], F.col("_scan_piece").alias("_scan_p"), *[carry(i, what).alias(f"_scan_c{i}") for i, (what, _) in enumerate(columns.values())])
+    same = _all([*[F.col(k).eqNullSafe(F.col(f"_scan_k{i}")) for i, k in enumerate(keys)], F.col("_scan_piece") == F.col("_scan_p")])
     out = pieces.join(cuts.sent(carried) if set(keys) == set(cuts.keys) else carried, same, "left")
-    w = Window.partitionBy(*keys, "_piece").orderBy(*order)
+    w = Window.partitionBy(*keys, "_scan_piece").orderBy(*order)
     new = {}
     for i, (n, (what, of)) in enumerate(columns.items()):
-        own, before = begun(what, within(w, what, of)), begun(what, F.col(f"_c{i}"))
-        new[n] = own + before if what == "sum" else F.coalesce(own, before)
-    return out.withColumns(new).drop("_cut", "_piece", "_p", *[f"_k{i}" for i in range(len(keys))], *[f"_c{i}" for i in range(len(columns))])
+        own, before = begun(what, within(w, what, of)), begun(what, F.col(f"_scan_c{i}"))
+        new[n] = own + before if what == "sum" else F.greatest(own, before) if what == "max" else F.coalesce(own, before)
+    return out.withColumns(new).drop("_scan_cut", "_scan_piece", "_scan_p", *[f"_scan_k{i}" for i in range(len(keys))], *[f"_scan_c{i}" for i in range(len(columns))])
 
 
 def last_known(rows: DataFrame, value: str, keys: list[str], order: list[str], cuts: Cuts | None = None) -> DataFrame:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.audio import effective_gain
 from ..functions.time import rescale
-from .asof import asof, find_cuts, previous, running_sum
+from .asof import asof, find_cuts, previous, running_sum, scan
 from .ranges import stepped
+from .staging import clustered
 
 
 def sample_rows(frames: DataFrame, *keep: str) -> DataFrame:
@@ -84,55 +85,55 @@ def rechunk(frames: DataFrame, size: int, flush: DataFrame | None = None, most:
     return out.join(ended, "input", "left").where((F.size("samples") == size) | F.col("_ended")).drop("_ended")
 
 
-def ramps(changes: DataFrame, ramp: int) -> DataFrame:
+def ramps(changes: DataFrame, ramp: int, most: int | None = None) -> DataFrame:
     """(input, nth, at, start_gain, target, step, n): the line that the gain follows from each change on; of
     one instant the last (the highest nth) counts.
 
     ``changes``: input, at, gain, muted and perhaps ``reset``. A ramp begins at the gain reached so far,
     also in the middle of another one; a change that keeps the target changes nothing. A reset snaps: the
     gain is at its target from there on (the row's own, where it has a gain, else the last one) and no
-    ramp goes on; of one instant it comes after the change. Changes lie sorted in partitions by input and
-    are folded batch by batch; only the line so far is carried on.
+    ramp goes on; of one instant it comes after the change.
+
+    Only changes that come before a ramp's end depend on each other: scans find where that isn't so, and
+    each stretch of changes between is folded by itself, so that one input's changes spread over tasks.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = gain = target = None
-        step, since, left, nth = 0.0, 0, 0, 0
+        own = gain = target = since = None
+        step = 0.0
         for pdf in batches:
             rows = []
-            for key, at, new, snaps in zip(pdf["input"].to_numpy(), pdf["at"].to_numpy(), pdf["target"].to_numpy(), pdf["reset"].to_numpy(), strict=True):
-                fresh = key != own
-                if np.isnan(new):
-                    if fresh:  # a reset before any change
-                        continue
-                    new = target
-                if fresh or snaps:
-                    own, gain, target, step, since, left = key, new, new, 0.0, at, 0
-                    nth += 1
-                    rows.append((key, nth, at, gain, target, 0.0, 0))
-                    continue
-                if new == target:
-                    continue
-                done = min(left, at - since)
-                gain = target if done == left else gain + step * done
-                target, since, left = new, at, ramp
-                step = (target - gain) / ramp if ramp else 0.0
+            for key, stretch, nth, at, new, before, snaps in zip(*(pdf[c].tolist() for c in ("input", "_stretch", "nth", "at", "target", "_before", "_snaps")), strict=True):
+                if (key, stretch) != own:
+                    own, gain = (key, stretch), new if snaps else before
+                else:
+                    gain += step * (at - since)
+                target, since = new, at
+                step = (target - gain) / ramp if ramp and not snaps else 0.0
                 gain = gain if ramp else target
-                nth += 1
-                rows.append((key, nth, at, gain, target, step, ramp))
+                rows.append((key, nth, at, gain, target, step, 0 if snaps else ramp))
             yield pd.DataFrame(rows, columns=["input", "nth", "at", "start_gain", "target", "step", "n"])
 
     reset = F.coalesce(F.col("reset"), F.lit(False)) if "reset" in changes.columns else F.lit(False)
-    targets = changes.select("input", "at", effective_gain(F.col("gain"), F.col("muted")).alias("target"), reset.alias("reset"))
-    targets = targets.where("input is not null and (target is not null or reset)")
-    return targets.repartition("input").sortWithinPartitions("input", "at", "reset").mapInPandas(run, "input long, nth long, at long, start_gain double, target double, step double, n long")
+    rows = changes.select("input", F.col("at").cast("bigint").alias("at"), effective_gain(F.col("gain"), F.col("muted")).alias("target"), reset.alias("reset"))
+    rows = rows.where("input is not null and (target is not null or reset)")
+    keys, order, cuts = ["input"], ["at", "reset", "target"], find_cuts(rows, ["input"], "at", most)
+    rows = rows.withColumn("_target", F.col("target"))
+    rows = scan(rows, keys, order, {"_target": ("last", "_target")}, cuts).where("_target is not null")
+    rows = scan(rows, keys, order, {"_before": ("previous", "_target")}, cuts)
+    rows = rows.where("reset or _before is null or _target <> _before").withColumn("_snaps", F.col("reset") | F.col("_before").isNull())
+    rows = scan(rows.withColumn("_one", F.lit(1).cast("bigint")), keys, order, {"_last": ("previous", "at"), "_settled": ("previous", "_snaps"), "nth": ("sum", "_one")}, cuts)
+    alone = F.col("_snaps") | F.col("_settled") | (F.col("at") - F.col("_last") >= ramp)
+    rows = scan(rows.withColumn("_new", alone.cast("bigint")), keys, order, {"_stretch": ("sum", "_new")}, cuts).withColumn("_stretch", F.col("_stretch") + F.col("_new"))
+    parts = clustered(rows.select("input", "_stretch", "nth", "at", F.col("_target").alias("target"), "_before", "_snaps"), "input", "_stretch").sortWithinPartitions("input", "_stretch", "nth")
+    return parts.mapInPandas(run, "input long, nth long, at long, start_gain double, target double, step double, n long")
 
 
 def gain_ramp(frames: DataFrame, changes: DataFrame, ramp_ns: int, rate: int, most: int | None = None) -> DataFrame:
     """``frames`` (input, pts, samples) with their samples ramped. A frame takes the gain set at or
     before its first sample and follows it in closed form; gain 1 before any change."""
     n = -(-ramp_ns * rate // 1_000_000_000)
-    lines = ramps(changes, n).withColumnRenamed("at", "pts")
+    lines = ramps(changes, n, most).withColumnRenamed("at", "pts")
     got = asof(frames, lines, ["input"], "pts", F.struct(F.col("pts").alias("since"), "start_gain", "target", "step", "n"), "nth", most)
     k = F.col("known")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .staging import clustered
+
 
 def decode_candidates(raw: DataFrame, least: float, output: str = "output") -> DataFrame:
     """Model rows [cx, cy, w, h, one score per class]: the best class (the first of equals), its
@@ -27,15 +30,49 @@ def iou(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     return F.when(union > 0, across * down / union).otherwise(F.lit(0.0))
 
 
-def iou_pairs(dets: DataFrame, least: float) -> DataFrame:
+#: Boxes of a class in a frame from which on a grid decides what is compared.
+CROWD = 256
+
+
+def iou_pairs(dets: DataFrame, least: float, crowd: int = CROWD) -> DataFrame:
     """Pairs det_a < det_b of one frame and class that overlap by at least ``least``. The pairs are
-    the result; boxes of a crowded frame meet only within a class."""
+    the result; boxes meet only within a class. Where a class has more than ``crowd`` boxes in a frame and
+    ``least`` is above 0, only boxes that are near and of like size are compared."""
     cols = ["det_id", "x", "y", "w", "h"]
-    a = dets.select("frame_id", "class_id", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = dets.select("frame_id", "class_id", *[F.col(c).alias(f"b_{c}") for c in cols])
-    pairs = a.join(b, ["frame_id", "class_id"]).where("a_det_id < b_det_id")
+    side = lambda df, s, *more: df.select("frame_id", "class_id", *more, *[F.col(c).alias(f"{s}_{c}") for c in cols])
+    keys = ["frame_id", "class_id"]
+    if least <= 0:
+        few, crowded = dets, None
+    else:
+        many = dets.groupBy(*keys).count().where(F.col("count") > crowd).select(*keys)
+        few, crowded = dets.join(many, keys, "left_anti"), dets.join(many, keys, "left_semi")
     over = iou(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"))
-    return pairs.select("frame_id", "class_id", F.col("a_det_id").alias("det_a"), F.col("b_det_id").alias("det_b"), over.alias("iou")).where(F.col("iou") >= least)
+    out = lambda pairs: pairs.select(*keys, F.least("a_det_id", "b_det_id").alias("det_a"), F.greatest("a_det_id", "b_det_id").alias("det_b"), over.alias("iou")).where(F.col("iou") >= least)
+    pairs = out(side(few, "a").join(side(few, "b"), keys).where("a_det_id < b_det_id"))
+    return pairs if crowded is None else pairs.unionByName(out(_neighbours(crowded, least, side)))
+
+
+def _neighbours(dets: DataFrame, least: float, side: Callable[..., DataFrame]) -> DataFrame:
+    """Pairs of boxes of one frame and class that could overlap by ``least``. A box's level is the power of
+    two in its longer side, and the cells of a level are so wide. Boxes whose longer sides differ by more
+    than 1 / least can't overlap so much: each box meets those of its own level and of some below in the
+    cells of its level that it touches, and a pair counts in the one cell in which its overlap begins."""
+    level = F.floor(F.log2(F.greatest("w", "h"))).cast("int")
+    boxes = dets.where("w > 0 and h > 0 and x is not null and y is not null").withColumn("_own", level)
+    cell = lambda at: F.floor(at / F.pow(F.lit(2.0), F.col("level"))).cast("bigint")
+
+    def touching(df: DataFrame) -> DataFrame:
+        df = df.withColumn("cx", F.explode(F.sequence(cell(F.col("x")), cell(F.col("x") + F.col("w")))))
+        return df.withColumn("cy", F.explode(F.sequence(cell(F.col("y")), cell(F.col("y") + F.col("h")))))
+
+    up = math.ceil(-math.log2(least)) if least < 1 else 0
+    smaller = touching(boxes.withColumn("level", F.explode(F.sequence("_own", F.col("_own") + up))))
+    larger = touching(boxes.withColumn("level", F.col("_own")))
+    place = ["frame_id", "class_id", "level", "cx", "cy"]
+    met = side(smaller, "a", *place[2:], F.col("_own").alias("a_own")).join(side(larger, "b", *place[2:]), place)
+    once = (F.col("a_own") < F.col("level")) | (F.col("a_det_id") < F.col("b_det_id"))
+    begins = (cell(F.greatest("a_x", "b_x")) == F.col("cx")) & (cell(F.greatest("a_y", "b_y")) == F.col("cy"))
+    return met.where(once & begins)
 
 
 def _kept(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, most: float) -> np.ndarray:
@@ -59,7 +96,7 @@ def nms(dets: DataFrame, most: float, least_score: float = 0.0) -> DataFrame:
     cols = ["frame_id", "class_id", "det_id", "score", "x", "y", "w", "h"]
     rows = dets.select(*cols).where(F.col("score") >= least_score)
     # One sorted pass per partition: calling pandas once per (small) group would cost far more.
-    parts = rows.repartition("frame_id", "class_id").sortWithinPartitions("frame_id", "class_id", F.desc("score"), "det_id")
+    parts = clustered(rows, "frame_id", "class_id").sortWithinPartitions("frame_id", "class_id", F.desc("score"), "det_id")
 
     def each(batches):
         parts: list[pd.DataFrame] = []  # of the last group, which may go on

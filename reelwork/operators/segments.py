@@ -2,55 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .asof import asof
-from .staging import stage
+from .greedy import greedy
+from .staging import clustered, stage
 
 
-def keyframe_cuts(packets: DataFrame, duration: int, kind: str = "video") -> DataFrame:
+def keyframe_cuts(packets: DataFrame, duration: int, kind: str = "video", most: int | None = None) -> DataFrame:
     """(stream_id, segment, at): where segments begin, the first at the stream's first packet.
 
     A new one begins at the first keyframe of ``kind`` that is at least ``duration`` after the
     current one's beginning: greedy, no fixed grid. A stream without packets of ``kind`` may cut at
-    any packet. Only possible cut points (one per group of pictures) reach the helper, sorted in
-    partitions by stream; it jumps from cut to cut and carries only the last one from batch to batch.
-    Packets without a stream are in no segment.
+    any packet. Only possible cut points (one per group of pictures) are shuffled; a stream with more
+    than ``most`` of them is spread over tasks. Packets without a stream are in no segment.
     """
     first = packets.where("stream_id is not null").groupBy("stream_id").agg(F.min("pts").alias("first"), F.max((F.col("kind") == kind).cast("int")).alias("has"))
-    points = packets.join(first, "stream_id").where((F.col("has") == 0) | ((F.col("kind") == kind) & F.col("is_key"))).select("stream_id", "first", "pts").where("pts is not null")
-    starts = first.where("first is not null").select("stream_id", "first", F.col("first").alias("pts"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stream, last, n = None, 0, 0
-        for pdf in batches:
-            streams, at, firsts = (pdf[c].to_numpy(np.int64) for c in ("stream_id", "pts", "first"))
-            edges = [*(np.flatnonzero(streams[1:] != streams[:-1]) + 1), len(streams)]
-            out, lo = [], 0
-            for hi in edges if len(streams) else []:
-                if streams[lo] != stream:
-                    stream, last, n = int(streams[lo]), int(firsts[lo]), 0
-                    out.append((stream, n, last))
-                while (i := lo + np.searchsorted(at[lo:hi], last + duration)) < hi:
-                    last, n = int(at[i]), n + 1
-                    out.append((stream, n, last))
-                lo = hi
-            yield pd.DataFrame(out, columns=["stream_id", "segment", "at"]).astype("int64")
-
-    rows = points.unionByName(starts).repartition("stream_id").sortWithinPartitions("stream_id", "pts")
-    return rows.mapInPandas(run, "stream_id long, segment long, at long")
+    points = packets.join(first, "stream_id").where((F.col("has") == 0) | ((F.col("kind") == kind) & F.col("is_key")))
+    key = F.col("stream_id").cast("bigint").alias("key")
+    cuts = greedy(points.select(key, F.col("pts").alias("v")), first.select(key, F.col("first").alias("v")), duration, most)
+    return cuts.select(F.col("key").alias("stream_id"), F.col("n").alias("segment"), F.col("v").alias("at"))
 
 
 def segment(packets: DataFrame, duration: int, kind: str = "video", most: int | None = None, tracks: DataFrame | None = None) -> DataFrame:
     """``packets`` with their segment; all tracks of a stream are cut together. ``tracks`` (stream_id,
     track_id) are those that are kept: cuts count from the stream's first packet of any track. The
     cuts are found once and written."""
-    cuts = stage(keyframe_cuts(packets, duration, kind), "cuts").withColumnRenamed("at", "pts")
+    cuts = stage(keyframe_cuts(packets, duration, kind, most), "cuts").withColumnRenamed("at", "pts")
     kept = packets if tracks is None else packets.join(tracks.select("stream_id", "track_id").distinct(), ["stream_id", "track_id"], "left_semi")
     return asof(kept, cuts, ["stream_id"], "pts", F.col("segment"), most=most).withColumnRenamed("known", "segment")
 
@@ -109,7 +88,7 @@ def playlist_text(segments: DataFrame, pattern: str = "segment_%05d.ts", base_ur
 def write_segments(segmented: DataFrame, path: str, pattern: str = "rec_%04d") -> None:
     """One folder per stream and segment name; each segment lies in one task's files."""
     named = segmented.withColumn("name", segment_name(pattern, F.col("segment")))
-    named.repartition("stream_id", "segment").sortWithinPartitions("stream_id", "segment", "dts", "track_id", "seq").write.partitionBy("stream_id", "name").parquet(path)
+    clustered(named, "stream_id", "segment").sortWithinPartitions("stream_id", "segment", "dts", "track_id", "seq").write.partitionBy("stream_id", "name").parquet(path)
 
 
 def write_playlist(playlists: DataFrame, path: str) -> None:

@@ -1,4 +1,5 @@
-"""Tables written once to the shared folder and read back, so that lineage and repeated work end there."""
+"""Tables written once to the shared folder and read back, so that lineage and repeated work end there;
+rows dealt so that a key's are in one task."""
 
 from __future__ import annotations
 
@@ -6,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +26,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clustered(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with all rows of equal keys in one partition, for a fold over sorted partitions. The shuffle
+    goes by a hash of the keys: one by the keys themselves is left out where the rows are already dealt by
+    them, as below a join or a union of aggregates, and adaptive execution may then deal those anew, since
+    a map over partitions doesn't ask for any."""
+    return rows.repartition(F.xxhash64(*keys))

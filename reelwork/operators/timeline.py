@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import rescale, to_ns
-from .asof import asof, find_cuts, last_known, previous, running_sum
+from .asof import Cuts, asof, find_cuts, last_known, previous, running_sum, scan
+from .greedy import greedy
+from .staging import clustered, stage
 
 NOMINAL_NS = 40_000_000
 
@@ -150,7 +152,7 @@ def active_time(runs: DataFrame, pauses: DataFrame) -> DataFrame:
     return total.withColumn("active", F.greatest(F.col("end") - F.col("start") - F.col("paused"), F.lit(0)))
 
 
-def cadence(ticks: DataFrame, interval: int, pauses: DataFrame | None = None) -> DataFrame:
+def cadence(ticks: DataFrame, interval: int, pauses: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """The schedule of ticks (source, n, now): due of each and how many were missed before the next.
 
     The next is due one interval after the last; if that is past at ``now``, one interval from now.
@@ -160,8 +162,17 @@ def cadence(ticks: DataFrame, interval: int, pauses: DataFrame | None = None) ->
 
     Ticks lie sorted in partitions by source and are folded batch by batch: only what is due last is
     carried on, so a source of any length needs no more memory. Runs on time are filled in one step,
-    only late ticks and pauses are looped over. Ticks without a source or time are in no schedule.
+    only late ticks and pauses are looped over. Where a source has more than ``most`` events, all go the way
+    of ``_cadence_by_scans``. Ticks without a source or time are in no schedule.
     """
+    rows = ticks.select("source", F.col("n").cast("bigint").alias("n"), F.col("now").cast("bigint").alias("now"), F.lit(-1).cast("bigint").alias("paused_for"))
+    order = ["n"]
+    if pauses is not None:
+        ends = pauses.where("paused_for >= 0").select("source", F.lit(0).cast("bigint").alias("n"), F.col("now").cast("bigint").alias("now"), F.col("paused_for").cast("bigint").alias("paused_for"))
+        rows, order = rows.unionByName(ends), ["now", "_is_tick", "n"]
+    rows = rows.where("source is not null and now is not null").withColumn("_is_tick", F.col("paused_for") < 0)
+    if cuts := find_cuts(rows, ["source"], order[0], most):
+        return _cadence_by_scans(rows, interval, order, cuts, most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         source = next_due = None
@@ -192,13 +203,32 @@ def cadence(ticks: DataFrame, interval: int, pauses: DataFrame | None = None) ->
                     next_due = at
             yield pdf.drop(columns="paused_for").assign(due=due, missed=missed)[is_tick]
 
-    rows = ticks.select("source", "n", "now", F.lit(-1).cast("bigint").alias("paused_for"))
-    order = ["source", "n"]
-    if pauses is not None:
-        ends = pauses.where("paused_for >= 0").select("source", F.lit(0).cast("bigint").alias("n"), "now", F.col("paused_for").cast("bigint").alias("paused_for"))
-        rows, order = rows.unionByName(ends), ["source", "now", F.col("paused_for") < 0, "n"]
-    rows = rows.where("source is not null and now is not null").repartition("source").sortWithinPartitions(*order)
-    return rows.mapInPandas(run, "source long, n long, now long, due long, missed long")
+    parts = clustered(rows, "source").sortWithinPartitions("source", *order).drop("_is_tick")
+    return parts.mapInPandas(run, "source long, n long, now long, due long, missed long")
+
+
+def _cadence_by_scans(rows: DataFrame, interval: int, order: list[str], cuts: Cuts, most: int | None) -> DataFrame:
+    """The same without a fold. Let P be the pauses up to an event, i the number of the last tick there and
+    k = now - P - i * interval: how far the event is behind an even cadence. From a tick or a pause that set
+    the schedule anew, at k, the next that does so is the first whose k is more than one interval higher. As
+    that is also the first so high of all events, only those matter that are higher than all before, and
+    these form a greedy chain. A tick is then due at P + i * interval + the k that was set last before it."""
+    keys = ["source"]
+    held = F.when(F.col("_is_tick"), 0).otherwise(F.col("paused_for")).cast("bigint")
+    rows = rows.withColumns({"_held": held, "_one": F.col("_is_tick").cast("bigint")})
+    rows = scan(rows, keys, order, {"_p": ("sum", "_held"), "_i": ("sum", "_one")}, cuts)
+    rows = rows.withColumn("_p", F.col("_p") + F.col("_held")).withColumn("_i", F.col("_i") - 1 + F.col("_one"))
+    rows = rows.withColumn("_k", F.when(F.col("_i") >= 0, F.col("now") - F.col("_p") - F.col("_i") * interval))
+    rows = scan(rows, keys, order, {"_most": ("max", "_k")}, cuts).withColumn("_k", F.when(F.col("_most").isNull() | (F.col("_k") > F.col("_most")), F.col("_k")))
+    rows = stage(rows.select("source", "n", "now", *[c for c in order if c not in ("n", "now")], *(["_is_tick"] if "_is_tick" not in order else []), "_p", "_i", "_k"), "cadence")
+    points = rows.where("_k is not null").select(F.col("source").cast("bigint").alias("key"), F.col("_k").alias("v"))
+    chain = greedy(points, points.groupBy("key").agg(F.min("v").alias("v")), interval + 1, most)
+    chain = chain.select(F.col("key").alias("source"), F.col("v").alias("_k"), F.col("v").alias("_set"))
+    rows = scan(rows.join(chain, ["source", "_k"], "left"), keys, order, {"_since": ("previous", "_set")}, cuts).where("_is_tick")
+    due = F.coalesce(F.col("_since") + F.col("_p") + F.col("_i") * interval, F.col("now"))
+    late = F.col("now") - due > interval
+    missed = F.when(late, F.call_function("div", F.col("now") - due, F.lit(interval).cast("bigint"))).otherwise(F.lit(0).cast("bigint"))
+    return rows.select(F.col("source").cast("bigint").alias("source"), "n", "now", due.alias("due"), missed.alias("missed"))
 
 
 def _runs(keys: np.ndarray) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.time import nominal_duration, rescale
-from .asof import find_cuts, running_sum
+from .asof import asof, find_cuts, running_sum
 
 KINDS = ("video", "audio", "data")
 
@@ -101,3 +101,19 @@ def finalize_tracks(track_events: DataFrame, tracks: DataFrame) -> DataFrame:
 def negotiated(offers: DataFrame, answers: DataFrame) -> DataFrame:
     """Codecs (connection, codec) that both ends support."""
     return offers.select("connection", "codec").intersect(answers.select("connection", "codec"))
+
+
+def checked_choices(choices: DataFrame, allowed: DataFrame) -> DataFrame:
+    """``choices`` (connection, at, codec, ...) of outbound codecs with error 'codec_not_negotiated' where
+    the connection's ``allowed`` (connection, codec) lack it, else null."""
+    known = allowed.select("connection", "codec").distinct().withColumn("_ok", F.lit(True))
+    return choices.join(known, ["connection", "codec"], "left").withColumn("error", F.when(F.col("_ok").isNull(), "codec_not_negotiated")).drop("_ok")
+
+
+def outbound_codecs(packets: DataFrame, choices: DataFrame, allowed: DataFrame, most: int | None = None) -> DataFrame:
+    """``packets`` (connection, at, ...) with the codec that is declared for each: the last accepted choice
+    at or before it. A choice outside the negotiated codecs changes nothing. Before any accepted choice
+    there is no codec and error is 'codec_not_declared': none is guessed."""
+    accepted = checked_choices(choices, allowed).where("error is null")
+    got = asof(packets, accepted, ["connection"], "at", F.col("codec"), most=most).withColumnRenamed("known", "codec")
+    return got.withColumn("error", F.when(F.col("codec").isNull(), "codec_not_declared"))

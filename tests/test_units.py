@@ -9,7 +9,7 @@ from reelwork.functions import audio as af
 from reelwork.functions import pixels as pf
 from reelwork.functions.buffers import map_buffers
 from reelwork.functions.time import media_time, nominal_duration, rescale
-from reelwork.operators import asof, audio, bitstream, detect, joins, layers, ops, segments, timeline, tracks
+from reelwork.operators import asof, audio, bitstream, detect, greedy, joins, layers, ops, segments, timeline, tracks
 from reelwork.streaming import live
 
 
@@ -370,7 +370,7 @@ def test_scans_in_pieces_keep_nulls_and_agree_with_windows(spark):
     for most in (1, 20, 100):
         cuts = asof.find_cuts(df, ["k"], "at", most)
         pieces = cuts.placed(df)
-        assert pieces.where("_cut").groupBy("k", "_piece").count().agg(F.max("count")).first()[0] < 150 and pieces.count() == 300
+        assert pieces.where("_scan_cut").groupBy("k", "_scan_piece").count().agg(F.max("count")).first()[0] < 150 and pieces.count() == 300
         assert rows(asof.scan(df, ["k"], ["at", "id"], columns, cuts)) == plain
         assert rows(asof.scan(df.withColumn("g", F.col("id") % 3), ["k", "g"], ["at", "id"], columns, cuts)) == rows(asof.scan(df.withColumn("g", F.col("id") % 3), ["k", "g"], ["at", "id"], columns))
         assert rows(asof.following(df, "v", ["k"], ["at", "id"], "n", most), "k", "at", "id", "n") == rows(asof.following(df, "v", ["k"], ["at", "id"], "n"), "k", "at", "id", "n")
@@ -513,3 +513,101 @@ def test_files_are_forgotten_after_their_time(spark, tmp_path):
     got = drain(spark, files, lambda s: live.stream_finalize(s.withWatermark("ts", "1 second"), 2, 1_000_000), tmp_path)
     # File 1's first track is forgotten when its second one ends; it is final once both were heard again.
     assert sorted(got) == [(1, 5003), (2, 150), (3, 5001)]
+
+
+def chain_of(points, start, gap):
+    out = [start]
+    while later := [v for v in points if v >= out[-1] + gap]:
+        out.append(min(later))
+    return out
+
+
+@pytest.mark.parametrize("gap", [1, 7, 60, 10_000])
+def test_greedy_chains_fold_or_double(spark, gap):
+    r = random.Random(gap)
+    points = {k: sorted(r.choices(range(-40, 900), k=n)) for k, n in ((1, 150), (2, 20), (3, 1), (4, 90))}
+    starts = {1: -50, 2: points[2][0], 3: points[3][0], 4: 300, 5: 8}
+    p = spark.createDataFrame([(k, v) for k, vs in points.items() for v in vs] + [(6, 1), (None, 1), (1, None)], "key long, v long")
+    s = spark.createDataFrame([*starts.items(), (None, 3)], "key long, v long")
+    want = [(k, n, v) for k, start in sorted(starts.items()) for n, v in enumerate(chain_of(points.get(k, []), start, gap))]
+    for most in (None, 30, 1):
+        assert rows(greedy.greedy(p, s, gap, most), "key", "n", "v") == want
+
+
+@pytest.mark.parametrize("with_pauses", [False, True])
+def test_cadence_without_a_fold(spark, with_pauses):
+    r = random.Random(9)
+    ticks, pauses = [], []
+    for s in (1, 2, 3):
+        now, n = 0, 0
+        for _ in range(150):
+            now += r.choice([1, 10, 48, 50, 50, 52, 130, 700])
+            if with_pauses and r.random() < 0.25:
+                pauses.append((s, now, r.choice([0, 5, 60, 400])))
+            else:
+                n += 1
+                ticks.append((s, n, now))
+    t = spark.createDataFrame(ticks, "source long, n long, now long")
+    p = spark.createDataFrame(pauses, "source long, now long, paused_for long") if with_pauses else None
+    folded, spread = (rows(timeline.cadence(t, 50, p, most), "source", "n", "now", "due", "missed") for most in (None, 20))
+    assert folded == spread and len(folded) == len(ticks) and sum(x[4] for x in folded) > 50
+
+
+def test_ramps_of_one_long_input(spark):
+    r = random.Random(2)
+    changes = [(1, at, r.choice([None, 0.0, 0.5, 1.0]), r.random() < 0.1, r.random() < 0.15) for at in sorted(r.sample(range(3000), 200))]
+    df = spark.createDataFrame(changes, "input long, at long, gain double, muted boolean, reset boolean")
+    gain = target = None
+    step, since, left, want = 0.0, 0, 0, []
+    for _, at, g, muted, snaps in changes:
+        new = None if g is None else 0.0 if muted else g
+        if new is None and (not snaps or target is None):
+            continue
+        new = target if new is None else new
+        if target is None or snaps:
+            gain, target, step, since, left = new, new, 0.0, at, 0
+        elif new == target:
+            continue
+        else:
+            done = min(left, at - since)
+            gain = target if done == left else gain + step * done
+            target, since, left, step = new, at, 20, (new - gain) / 20
+        want.append((at, round(gain, 9), target, round(step, 9), left))
+    for most in (None, 20):
+        got = [(a, round(g, 9), t, round(s, 9), n) for a, g, t, s, n in rows(audio.ramps(df, 20, most), "at", "start_gain", "target", "step", "n")]
+        assert got == want
+
+
+@pytest.mark.parametrize("least", [0.05, 0.3, 1.0])
+def test_crowded_frames_meet_in_a_grid(spark, least):
+    r = random.Random(5)
+    size = lambda: r.choice([0.0, 0.3, 1.0, 4.0, 5.0, 8.0, 30.0, 100.0]) * r.choice([1.0, 1.1])
+    boxes = [(f, c, i, 0.5, r.choice([r.uniform(-50, 50), 3.0]), r.choice([r.uniform(-50, 50), 3.0]), size(), size()) for f in (1, 2) for c in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(boxes, "frame_id long, class_id int, det_id long, score double, x double, y double, w double, h double")
+    cols = ["frame_id", "class_id", "det_a", "det_b", "iou"]
+    plain = rows(detect.iou_pairs(df, least), *cols)
+    assert plain == rows(detect.iou_pairs(df, least, crowd=10), *cols) and plain
+
+
+def test_comparisons_grow_with_neighbours_only(spark):
+    boxes = spark.range(4000).select(F.lit(1).alias("frame_id"), F.lit(0).alias("class_id"), F.col("id").alias("det_id"), (F.col("id") % 100 * 10.0).alias("x"), (F.floor(F.col("id") / 100) * 10.0).alias("y"), F.lit(9.0).alias("w"), F.lit(9.0).alias("h"))
+    side = lambda df, s, *more: df.select("frame_id", "class_id", *more, *[F.col(c).alias(f"{s}_{c}") for c in ("det_id", "x", "y", "w", "h")])
+    assert detect._neighbours(boxes, 0.3, side).count() < 20 * 4000 < 4000 * 3999 / 2 and detect.iou_pairs(boxes, 0.3).count() == 0
+
+
+def test_outbound_choices_are_checked(spark):
+    allowed = spark.createDataFrame([(1, "VP8"), (1, "H264"), (2, "Opus")], "connection int, codec string")
+    choices = spark.createDataFrame([(1, 10, "AV1"), (1, 20, "VP8"), (1, 30, "Opus"), (1, 40, "H264"), (3, 5, "VP8"), (2, 7, None)], "connection int, at long, codec string")
+    assert rows(tracks.checked_choices(choices, allowed).where("error is not null"), "connection", "at", "error") == [(1, 10, "codec_not_negotiated"), (1, 30, "codec_not_negotiated"), (2, 7, "codec_not_negotiated"), (3, 5, "codec_not_negotiated")]
+    packets = spark.createDataFrame([(1, t) for t in (5, 15, 20, 35, 50)] + [(2, 9), (3, 9)], "connection int, at long")
+    got = rows(tracks.outbound_codecs(packets, choices, allowed), "connection", "at", "codec", "error")
+    no = "codec_not_declared"
+    assert got == [(1, 5, None, no), (1, 15, None, no), (1, 20, "VP8", None), (1, 35, "VP8", None), (1, 50, "H264", None), (2, 9, None, no), (3, 9, None, no)]
+
+
+def test_folds_see_whole_keys_after_unions_of_aggregates(spark):
+    """Where both sides of a union are dealt by the key already, a plain repartition would be left out."""
+    p = spark.range(2000).select((F.col("id") % 37).alias("key"), (F.col("id") * 7 % 1000).alias("v"))
+    points, starts = p.groupBy("key", "v").count().join(p.groupBy("key").agg(F.max("v").alias("m")), "key"), p.groupBy("key").agg(F.min("v").alias("v"))
+    got = greedy.greedy(points, starts, 100)
+    assert got.groupBy("key", "n").count().where("count > 1").count() == 0 and got.where("n = 0").count() == 37
