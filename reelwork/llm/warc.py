@@ -21,9 +21,12 @@ from .common import make_folders, new_path, stage, table
 #: Payloads of fewer bytes are always kept.
 LEAST_REVISIT = 1000
 #: Bytes of payload in one archive file, at most, unless one record alone has more: readers hold one
-#: file at a time. Captures are written in classes by size, each with as many records to a file.
+#: file at a time. Records are written in classes by size, each with as many records to a file; requests
+#: and metadata are as long as their urls make them, so those of large captures aren't alone in theirs.
 FILE_BYTES = 64 << 20
-SIZES = [32 << 10, 1 << 20]
+SIZES = [2 << 10, 32 << 10, 1 << 20]
+#: Bytes of a request or metadata record besides twice its url, about.
+SMALL_RECORD = 600
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "1970-01-01T00:00:00Z"
 
@@ -73,12 +76,17 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> N
     request = _record([("WARC-Type", "request"), ("WARC-Record-ID", _id("request")), *common, ("WARC-Concurrent-To", _id("capture")), ("Content-Type", "application/http; msgtype=request")], get)
     fields = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record([("WARC-Type", "metadata"), ("WARC-Record-ID", _id("metadata")), *common, ("WARC-Concurrent-To", _id("capture")), ("Content-Type", "application/warc-fields")], fields)
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("capture", capture), ("request", request), ("metadata", metadata))]))
-    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
-    used = pages.agg(*[F.count_if((size > low) & (size <= high)).alias(f"c{k}") for k, (low, high) in enumerate(_classes())]).first()
+    lengths = {"capture": F.col("_bytes"), "request": F.col("_small"), "metadata": F.col("_small")}
+    small = F.octet_length("_url") * 2 + SMALL_RECORD
+    sizes = pages.select(F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)).alias("_bytes"), (F.octet_length(url) * 2 + SMALL_RECORD).alias("_small"))
+    fits = lambda c, low, high: F.coalesce((c > low) & (c <= high), F.lit(False))
+    used = sizes.agg(*[F.count_if(fits(F.col("_bytes"), low, high) | fits(F.coalesce("_small", F.lit(SMALL_RECORD)), low, high)).alias(f"c{k}") for k, (low, high) in enumerate(_classes())]).first()
+    rows = rows.withColumn("_small", small)
     for k, (low, high) in enumerate(_classes()):
         if used[k] or not k:
-            out = rows.where((F.col("_bytes") > low) & (F.col("_bytes") <= high)).select(each.alias("r")).select("r.kind", "r.value")
+            own_class = {kind: fits(c, low, high) for kind, c in lengths.items()}
+            each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.when(own_class[kind], v).alias("value")) for kind, v in (("capture", capture), ("request", request), ("metadata", metadata))])
+            out = rows.where(own_class["capture"] | own_class["request"]).select(F.explode(each).alias("r")).select("r.kind", "r.value").where("value is not null")
             # A record ends with two line ends, which the text writer puts after each row.
             most = max(1, FILE_BYTES // high)
             out.write.partitionBy("kind").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
