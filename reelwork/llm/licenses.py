@@ -52,10 +52,54 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work (CC0 1.0)."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "Licensed under the MIT license."),
+    ("MIT", "This project is licensed under the MIT License."),
+    ("MIT", "Distributed under the MIT License. See LICENSE for more information."),
+    ("MIT", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("GPL-3.0", "This project is licensed under the GNU General Public License v3.0."),
+    ("GPL-3.0", "GNU General Public License, version 3 or later"),
+    ("GPL-2.0", "GNU General Public License, version 2 or later"),
+    ("GPL-2.0", "This project is licensed under the GNU General Public License v2.0."),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("BSD-2-Clause", "This project is licensed under the BSD 2-Clause License."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "This project is licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("EPL-1.0", "Eclipse Public License - v 1.0"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."),
+    ("CDDL-1.0", "COMMON DEVELOPMENT AND DISTRIBUTION LICENSE (CDDL) Version 1.0"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"),
+    ("EUPL-1.2", "European Union Public Licence v. 1.2"),
+    ("Artistic-2.0", "The Artistic License 2.0"),
+    ("OFL-1.1", "This Font Software is licensed under the SIL Open Font License, Version 1.1."),
+    ("WTFPL", "DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE"),
+    ("PostgreSQL", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted"),
+    ("Python-2.0", "PYTHON SOFTWARE FOUNDATION LICENSE VERSION 2"),
+    ("NCSA", "University of Illinois/NCSA Open Source License"),
+    ("MS-PL", "Microsoft Public License (Ms-PL)"),
+    ("AFL-3.0", "Licensed under the Academic Free License version 3.0"),
+    ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."),
+    ("CC0-1.0", "Creative Commons Zero v1.0 Universal"),
 ]
 TEMPLATES = [(license, text, LEAST_COSINE) for license, text in TEMPLATES]
-#: A line that names the identifier must name it whole.
+#: A line that names the identifier must name it whole; those of the GNU licences may say which versions.
 TEMPLATES += [(license, f"SPDX-License-Identifier: {license}", 0.999) for license in dict.fromkeys(t[0] for t in TEMPLATES)]
+TEMPLATES += [(f"{license}-{which}", f"SPDX-License-Identifier: {license}-{which}", 0.999) for license in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for which in ("only", "or-later")]
 #: Templates are a parameter and stay small: their terms are written into the plan.
 MOST_TEMPLATE_TERMS = 5000
 #: Up to so many hashes of texts (some 20 MB) are broadcast; beyond, texts are shuffled to them.
@@ -97,8 +141,8 @@ def _anchors(places: DataFrame, vectors: DataFrame) -> DataFrame:
 
 def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(path, license, cosine, words) of the best window of each file that reaches a template's
-    threshold, words being the window's length: of equal cosines the first identifier counts, then the
-    longest. Also (path, n): the terms of each file."""
+    threshold, words being the window's length: of equal cosines the longest counts, as it says more,
+    then the first identifier. Also (path, n): the terms of each file."""
     split = templates.select("template", "license", "least", terms(F.col("statement")).alias("terms"))
     places = stage(split.select("template", "license", "least", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")), "templates")
     counted = places.groupBy("template", "least", "term").agg(F.count("*").alias("tf"))
@@ -130,7 +174,7 @@ def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Dat
     weight = F.col("tf") * F.coalesce("idf", other)
     scored = weighed.groupBy(*window).agg(F.sum(weight * F.col("w")).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum("tf").alias("words"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = scored.withColumn("cosine", cosine).where(F.col("cosine") >= F.col("least")).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "license", (-F.col("words")).alias("w"))).alias("b"))
+    best = scored.withColumn("cosine", cosine).where(F.col("cosine") >= F.col("least")).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), (-F.col("words")).alias("w"), "license")).alias("b"))
     return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (-F.col("b.w")).alias("words")), known.groupBy("path").agg(F.sum("n").alias("n"))
 
 
@@ -190,7 +234,7 @@ def _sql_terms(x: str) -> str:
     return f"list_filter(string_split(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' '), lambda t: t <> '')"
 
 
-_VALUES = ", ".join(f"({i}, '{lic}', '{text}', {least})" for i, (lic, text, least) in enumerate(TEMPLATES))
+_VALUES = ", ".join(f"({i}, '{lic}', '{text.replace(chr(39), chr(39) * 2)}', {least})" for i, (lic, text, least) in enumerate(TEMPLATES))
 OP5_SQL = f"""
 with named as (select doc_id, coalesce(text, '') as text, {_DIR.format(cat='', sep=' || ', end='')} as dir, case when doc_id % 64 = 0 then 'LICENSE' else cast(doc_id as varchar) || '.txt' end as name from documents),
 files as (select doc_id, dir, name, dir || '/' || name as path, {_sql_terms('text')} as terms from named),
@@ -212,7 +256,7 @@ inside as (select w.doc_id, template, license, least, start, unnest(list_slice(t
 counts as (select doc_id, template, license, least, start, term, count(*) as tf from inside group by all),
 weighed as (select c.*, tf * coalesce(idf, ln(n + 1) + 1) as tw, v.w from counts c left join idf on c.term = idf.term left join vectors v on c.template = v.template and c.term = v.term, total),
 scored as (select doc_id, license, least, round(sum(tw * w) / sqrt(sum(tw * tw)), 6) as cosine, sum(tf) as words from weighed group by doc_id, template, license, least, start),
-own as (select * from scored where cosine >= least qualify row_number() over (partition by doc_id order by cosine desc, license, words desc) = 1),
+own as (select * from scored where cosine >= least qualify row_number() over (partition by doc_id order by cosine desc, words desc, license) = 1),
 thin as (select f.doc_id, f.path, f.dir, f.name, len(f.terms) as n, license, cosine, words from files f left join own on f.doc_id = own.doc_id),
 holders as (select dir, license from thin where license is not null and (name = 'LICENSE' or words >= {LICENSE_SHARE} * n) qualify row_number() over (partition by dir order by cosine desc, license) = 1),
 dirs as (select distinct dir from thin),
