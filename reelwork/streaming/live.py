@@ -89,7 +89,7 @@ class InOrder(StatefulProcessor):
             values = list(zip(*(pdf[c].tolist() for c in self.columns), strict=True))
             if values:
                 self.held.appendList(values)
-                first = min(values)[0] if first is None else min(first, min(v[0] for v in values))
+                first = min([v[0] for v in values] + ([] if first is None else [first]))
         if first is not None:
             self._wake_at(first)
         yield self._frame([])
@@ -160,9 +160,11 @@ def stream_segment(packets: DataFrame, duration: int) -> DataFrame:
     """Closed segments of live packets (stream_id, ts, pts, seq, kind, is_key, size, has_video, is_end),
     which may arrive in any order within the watermark of ts. A stream without video (has_video is known
     from its tracks) may cut at any packet. The open segment stays in the state until the stream's last
-    packet (is_end) closes it; packets after that begin a stream anew. Order is that of ts, pts, seq."""
+    packet (is_end) closes it; packets after that begin a stream anew. Order is that of ts, pts, seq.
+    Packets without stream, ts or pts are in no segment; other nulls count as 0 or false."""
     is_cut = ~F.col("has_video") | (F.col("is_key") & (F.col("kind") == "video"))
-    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "pts", "seq", is_cut.alias("is_cut"), "is_end", "size")
+    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "pts", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce(is_cut, F.lit(False)).alias("is_cut"), F.coalesce("is_end", F.lit(False)).alias("is_end"), F.coalesce("size", F.lit(0)).alias("size"))
+    rows = rows.where("stream_id is not null and ts is not null and pts is not null")
     return rows.groupBy("stream_id").transformWithStateInPandas(Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long", "Append", "EventTime")
 
 
@@ -206,8 +208,9 @@ def stream_probe_codec(packets: DataFrame) -> DataFrame:
     """(stream_id, run, codec, ready_seq, sps, pps, width, height) of live packets (stream_id, ts, seq,
     codec, payload), once for each codec run, as soon as the watermark of ts has passed the payload that
     makes it ready; the rules are those of ``probe_codec``. The sets may come in different payloads and
-    batches, which may arrive in any order within the watermark; a change of codec forgets them."""
-    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "codec", "payload")
+    batches, which may arrive in any order within the watermark; a change of codec forgets them. Packets
+    without stream, ts or seq are left out; a null codec is one of its own, a null payload holds no set."""
+    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "codec", "payload").where("stream_id is not null and ts is not null and seq is not null")
     return rows.groupBy("stream_id").transformWithStateInPandas(CodecProbe(), "stream_id long, run long, codec string, ready_seq long, sps binary, pps binary, width int, height int", "Append", "EventTime")
 
 

@@ -476,11 +476,12 @@ def test_shuffled_batches_give_the_segments_of_the_batch_form(spark, tmp_path, s
     slices = [[p for p in packets if (p[1] + 7919 * (p[1] + p[0]) % 12) // 15 == k] for k in range(5)] + [[(3, FAR, 0, "audio", False, 1, False, False)]]
     for f in slices:
         r.shuffle(f)
+    slices[1] += [(1, None, 1, "video", True, 1, True, True), (None, 20, 1, "video", True, 1, True, True)]  # in no segment
     frames = [at_seconds(spark.createDataFrame(f, schema), "pts") for f in slices]
     got = drain(spark, frames, lambda s: live.stream_segment(s.withWatermark("ts", "13 seconds"), 7), tmp_path)
     batch = segments.segment(spark.createDataFrame(packets, schema).withColumn("track_id", F.lit(0)), 7)
     want = batch.groupBy("stream_id", "segment").agg(F.min("pts"), F.count("*"), F.sum("size"))
-    assert sorted(got) == sorted(tuple(x) for x in want.collect()) and sum(map(len, slices)) == 121
+    assert sorted(got) == sorted(tuple(x) for x in want.collect()) and sum(map(len, slices)) == 123
 
 
 def test_frames_from_before_an_end_stay_gone(spark, tmp_path):
