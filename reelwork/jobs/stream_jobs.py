@@ -25,7 +25,7 @@ def event_stream(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "user_id", "event_type", "value", F.expr(media.MICROS).alias("us")).withColumn("ts", F.timestamp_micros(F.col("us") + 1_704_067_200_000_000))
 
 
-def replayed(rows: DataFrame, name: str, slices: int = 6, late: int = 6 * 3_600_000_000) -> DataFrame:
+def replayed(rows: DataFrame, name: str, slices: int = 4, late: int = 6 * 3_600_000_000) -> DataFrame:
     """``rows`` (us, event_id or seq, ...) as a stream: slices of the whole time range, in files that come
     one after the other, in each of which rows stand in no order and may be up to ``late`` microseconds
     behind others that came before."""

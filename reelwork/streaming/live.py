@@ -60,19 +60,20 @@ def stream_latest(frames: DataFrame) -> DataFrame:
 class InOrder(StatefulProcessor):
     """Hands a key's rows on in the order of their event time, however they arrive.
 
-    State: the rows that the watermark hasn't passed, and when it passes the first of them. A timer at
-    that time releases all that are due, in order of ``columns``, of which the first is ms, the event
-    time in milliseconds. What is held is bounded by the watermark's delay; rows that come later than
-    that are dropped by Spark, as in any windowed aggregation."""
+    State: the rows that the watermark hasn't passed. A timer at the time of the first of a batch's rows,
+    or of those that stay, releases all that are due, in order of ``columns``, of which the first is ms,
+    the event time in milliseconds. What is held is bounded by the watermark's delay; rows that come later
+    than that are dropped by Spark, as in any windowed aggregation."""
 
     columns: list[str]
     schema: str
     out: dict[str, str]
+    #: How many of the columns give the order.
+    ordered = 3
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", self.schema)
-        self.due = handle.getValueState("due", "ms long")
         self.begin(handle)
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
@@ -84,38 +85,35 @@ class InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first = []
         for pdf in rows:
             values = list(zip(*(pdf[c].tolist() for c in self.columns), strict=True))
             if values:
                 self.held.appendList(values)
-                first = min([v[0] for v in values] + ([] if first is None else [first]))
-        if first is not None:
-            self._wake_at(first)
-        yield self._frame([])
+                first.append(min(v[0] for v in values))
+        if first:
+            self._wake_at(min(first))
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
         rows = [tuple(r) for r in self.held.get()]
         due = sorted((r for r in rows if r[0] <= passed), key=lambda r: r[: self.ordered])
         later = [r for r in rows if r[0] > passed]
-        self.held.clear()
-        self.due.clear()
+        if not due:  # an earlier timer has released them
+            return
         if later:
             self.held.put(later)
-            self._wake_at(min(r[0] for r in later))
-        yield self._frame(list(self.take(key, due)))
-
-    #: How many of the columns give the order.
-    ordered = 3
-
-    def _wake_at(self, ms: int) -> None:
-        if self.due.exists():
-            if self.due.get()[0] <= ms:
-                return
-            self.handle.deleteTimer(self.due.get()[0])
-        self.handle.registerTimer(ms)
-        self.due.update((ms,))
+            self._wake_at(min(r[0] for r in later), passed)
+        else:
+            self.held.clear()
+        if out := list(self.take(key, due)):
+            yield self._frame(out)
+
+    def _wake_at(self, ms: int, passed: int | None = None) -> None:
+        """One timer is enough; those up to ``passed`` are going off now."""
+        if not any(t <= ms and (passed is None or t > passed) for t in self.handle.listTimers()):
+            self.handle.registerTimer(ms)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         columns = list(zip(*rows, strict=True)) or [()] * len(self.out)
