@@ -177,8 +177,7 @@ def packed_decreasing(docs: DataFrame, size: int = 1024, end_id: int = 0, vocabu
         else:
             ends = np.append(0, np.cumsum([len(x) for x in columns[3]])).astype(np.int32)
             content = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[3]).astype(np.int32) if rows else np.zeros(0, np.int32)))
-        arrays = [pa.array(c, pa.int64()) for c in columns]
-        arrays[3] = content
+        arrays = [content if i == 3 else pa.array(c, pa.int64()) for i, c in enumerate(columns)]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"])
 
     def run(batches):

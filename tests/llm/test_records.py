@@ -80,7 +80,7 @@ def test_large_payloads_get_files_of_their_own(spark, tmp_path, monkeypatch):
     warc.write_archives(df, path)
     got = {r["metadata"]["page_id"]: bytes(r["response"]["payload"]).decode() for r in warc.captures(spark, path).collect()}
     assert got == {i: chr(97 + i) * n for i, n in enumerate(sizes)}
-    assert sum(f.endswith(".gz") for d, _, names in os.walk(f"{tmp_path}/warc") for f in names if d.endswith("kind=request")) == 6  # three to a file, whatever their captures' size
+    assert sum(f.endswith(".gz") for d, _, names in os.walk(f"{tmp_path}/warc") for f in names if d.endswith("kind=request")) == 5  # four to a file, whatever their captures' size
     count = lambda k: len([f for f in os.listdir(f"{tmp_path}/warc/size={k}/kind=capture") if f.endswith(".gz")])
     assert (count(0), count(1), count(2)) == (3, 3, 3)
 
