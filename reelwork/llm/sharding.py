@@ -5,15 +5,17 @@ capacities one flow is solved in which a byte that stays costs nothing and a byt
 one; its transfers are cut out of the old shards as blocks of consecutive documents. Documents are
 dealt in classes of falling size: each class fills its part of the blocks, and what the ends of its
 blocks leave too much or too little is put right by the flow of what is still to be dealt, so that
-shards are even but for half a small document at each end of a block. Only moved documents are
-written anew.
+shards are even but for half a small document at each end of a block. Every shard that gains or loses
+documents is then written whole, in the order of its slots; shards that do neither aren't touched.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, new_path, stage, table
@@ -23,6 +25,9 @@ SHARDS, OLD_SHARDS = 24, 16
 CLASSES = [1 << 15, 1 << 12, 1 << 10, 1 << 8]
 #: Bytes of a shard that one rewritten file spans.
 FILE_BYTES = 64 << 20
+#: Files grow beyond that where there would be more of them: the first key of each is sent to all tasks
+#: (some 10 MB for so many).
+MOST_FILES = 100_000
 
 
 def transfers(have: list[int], room: list[int]) -> list[list[int]]:
@@ -88,23 +93,40 @@ def shares(have: int, room: list[int]) -> list[int]:
 
 @dataclass
 class Layout:
-    """rows: doc_id, th (hash of the text), size, text_crc32, copies, old_shard, shard, slot (of the
-    first copy) and place (bytes before it in its shard), for each distinct document; moved: the bytes
-    that change shards; least: those of the flow, the fewest that can."""
+    """rows: doc_id, th (hash of the text), size, text_crc32, copies, class, old_shard, shard, slot (of
+    the first copy) and place (bytes before it in its shard), for each distinct document; old_shards:
+    how many there were; total: the bytes of all; moved: those that change shards; least: those of the
+    flow, the fewest that can; touched: the shards that gain or lose documents."""
 
     rows: DataFrame
+    old_shards: int
+    total: int
     moved: int
     least: int
+    touched: list[int]
 
 
-def _documents(docs: DataFrame, old_shards: int) -> DataFrame:
+def _facts(old_shards: int) -> dict[str, Column]:
+    """What a document's place depends on, from doc_id and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    one = each.groupBy("doc_id", "th", "size", "text_crc32").agg(F.count("*").alias("copies"))
-    of_class = F.lit(len(CLASSES))
+    th, size, of_class = F.xxhash64(text), (F.octet_length(text) + 8).cast("long"), F.lit(len(CLASSES))
     for k in reversed(range(len(CLASSES))):
-        of_class = F.when(F.col("size") >= CLASSES[k], k).otherwise(of_class)
-    return one.withColumn("old_shard", F.pmod("th", F.lit(old_shards)).cast("int")).withColumn("class", of_class.cast("int"))
+        of_class = F.when(size >= CLASSES[k], k).otherwise(of_class)
+    old_shard = F.pmod(th, F.lit(old_shards)).cast("int")
+    return {"doc_id": F.col("doc_id").cast("long"), "th": th, "size": size, "text_crc32": F.crc32(text.cast("binary")), "old_shard": old_shard, "class": of_class.cast("int")}
+
+
+def _key(facts: dict[str, Column]) -> Column:
+    """A string whose order is that of class, old shard, text hash, doc_id (null first), size and CRC-32."""
+    digits = lambda c, n: F.lpad(F.hex(c), n, "0")
+    signed = lambda c: digits(c.bitwiseXOR(F.lit(-(1 << 63))), 16)
+    doc_id = F.when(facts["doc_id"].isNull(), "0").otherwise(F.concat(F.lit("1"), signed(facts["doc_id"])))
+    return F.concat(digits(facts["class"], 2), digits(facts["old_shard"], 8), signed(facts["th"]), F.rpad(doc_id, 17, "0"), digits(facts["size"], 16), digits(facts["text_crc32"], 8))
+
+
+def _documents(docs: DataFrame, old_shards: int) -> DataFrame:
+    facts = _facts(old_shards)
+    return docs.select(*[c.alias(name) for name, c in facts.items()]).groupBy(*facts).agg(F.count("*").alias("copies"))
 
 
 def resharded(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARDS) -> Layout:
@@ -133,7 +155,8 @@ def resharded(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARD
 
     sizes = {(r["class"], r["old_shard"]): r["bytes"] for r in chunks.groupBy("class", "old_shard").agg(F.sum("bytes").alias("bytes")).collect()}  # classes x old shards
     have = [sum(sizes.get((k, i), 0) for k in range(len(CLASSES) + 1)) for i in range(old_shards)]
-    goal, filled, cuts, moved, least = even(sum(have), shards), [0] * shards, [], 0, None
+    total = sum(have)
+    goal, filled, cuts, moved, least, touched = even(total, shards), [0] * shards, [], 0, None, set()
     for k in range(len(CLASSES) + 1):
         flow = transfers(have, rooms([g - f for g, f in zip(goal, filled, strict=True)], sum(have)))
         least = sum(x for i, row in enumerate(flow) for j, x in enumerate(row) if i != j) if least is None else least
@@ -150,7 +173,9 @@ def resharded(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARD
         got = _assigned(placed.where(F.col("class") == k), _cut_table(spark, own)).groupBy("old_shard", "shard").agg(F.sum(weight).alias("bytes"))
         for r in got.collect():  # old shards x shards
             filled[r["shard"]] += r["bytes"]
-            moved += r["bytes"] * (r["shard"] != r["old_shard"])
+            if r["shard"] != r["old_shard"]:
+                moved += r["bytes"]
+                touched |= {r["shard"], r["old_shard"]}
 
     now = _assigned(placed, _cut_table(spark, cuts))
     places = ["shard", *chunk]
@@ -161,7 +186,8 @@ def resharded(docs: DataFrame, shards: int = SHARDS, old_shards: int = OLD_SHARD
     upto = Window.partitionBy(*places).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     out = now.withColumn("nth", F.sum("copies").over(upto) - F.col("copies")).withColumn("local", F.sum(weight).over(upto) - weight).join(counts, places)
     out = out.withColumn("slot", F.col("first") + F.col("nth")).withColumn("place", F.col("start") + F.col("local"))
-    return Layout(stage(out.select("doc_id", "th", "size", "text_crc32", "copies", "old_shard", "shard", "slot", "place"), "layout"), moved, least)
+    rows = stage(out.select("doc_id", "th", "size", "text_crc32", "copies", "class", "old_shard", "shard", "slot", "place"), "layout")
+    return Layout(rows, old_shards, total, moved, least, sorted(j for j in touched if j < shards))
 
 
 def _cut_table(spark: SparkSession, cuts: list[tuple]) -> DataFrame:
@@ -176,54 +202,77 @@ def _assigned(placed: DataFrame, cuts: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(cuts), fits).drop("k", "i", "low", "high")
 
 
-def _numbered(rows: DataFrame, name: str, keys: list[str]) -> DataFrame:
-    """``rows`` with 0, 1, 2 ... added to ``name`` among those of equal ``keys``. They are numbered
-    within their partitions and these by counts, so that no key has to go to one task."""
-    row, part, n, k0, k1 = fresh(rows, "_row", "_part", "_n", "_k0", "_k1")
-    rows = stage(rows.withColumn(row, F.monotonically_increasing_id()), "repeated")
-    rows = rows.withColumn(part, F.shiftright(row, 33))
-    counts = rows.groupBy(F.col(keys[0]).alias(k0), F.col(keys[1]).alias(k1), part).agg(F.count("*").alias(n))
-    base = F.coalesce(F.sum(n).over(Window.partitionBy(k0, k1).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(k0, k1, F.col(part).alias(f"{part}0"), base.alias(n))
-    local = F.row_number().over(Window.partitionBy(*keys, part).orderBy(row)) - 1
-    out = rows.withColumn(name, F.col(name) + local).join(counts, F.col(keys[0]).eqNullSafe(F.col(k0)) & F.col(keys[1]).eqNullSafe(F.col(k1)) & (F.col(part) == F.col(f"{part}0")))
-    return out.withColumn(name, F.col(name) + F.col(n)).drop(row, part, k0, k1, n, f"{part}0")
-
-
-def rewritten(docs: DataFrame, layout: Layout, path: str, shards: int = SHARDS, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str, str]:
-    """Writes the moved documents, with all their columns and their slot, to ``path``/(shard)=N and
-    reads them back; the names of the shard and slot columns, which differ from those of ``docs``,
-    are given too. Files of documents that stay aren't touched.
+@dataclass
+class Stretches:
+    """Where runs of keys go. low: the first key of each stretch, ascending; shard, file (-1: none) and
+    first (its first slot) of each; files: how many."""
+
+    low: np.ndarray
+    shard: np.ndarray
+    file: np.ndarray
+    first: np.ndarray
+    files: int
+
+    def of(self, key: Column) -> Column:
+        @F.pandas_udf("shard int, file int, first long")
+        def find(keys: pd.Series) -> pd.DataFrame:
+            at = np.searchsorted(self.low, keys.to_numpy().astype(self.low.dtype), side="right") - 1
+            return pd.DataFrame({"shard": self.shard[at], "file": self.file[at], "first": self.first[at]})
+
+        return find(key)
+
+
+def stretches(layout: Layout, file_bytes: int = FILE_BYTES, most_files: int = MOST_FILES) -> Stretches:
+    """The files that touched shards are written to, each a stretch of its shard's bytes, as stretches
+    of keys. As a shard is filled from blocks of consecutive keys, these are the files' ends and the
+    blocks' ends: at most ``most_files`` and two for each shard, and as many as there are blocks."""
+    span = max(file_bytes, -(-layout.total // most_files))
+    nth = F.when(F.col("shard").isin(layout.touched), F.floor(F.col("place") / span)).otherwise(-1)
+    key = _key({c: F.col(c) for c in layout.rows.columns})
+    each = layout.rows.groupBy("class", "old_shard", "shard", nth.alias("nth")).agg(F.min(key).alias("low"), F.min("slot").alias("first")).toPandas().sort_values("low")
+    kept = each[each["nth"] >= 0]
+    starts = kept.groupby(["shard", "nth"])["first"].min().sort_index()
+    file = {place: i for i, place in enumerate(starts.index)}
+    places = list(zip(each["shard"], each["nth"], strict=True))
+    return Stretches(
+        each["low"].to_numpy().astype("S"),
+        each["shard"].to_numpy("int32"),
+        np.array([file.get(p, -1) for p in places], "int32"),
+        np.array([starts[p] if p in file else 0 for p in places], "int64"),
+        len(file),
+    )
+
+
+def rewritten(docs: DataFrame, layout: Layout, path: str, file_bytes: int = FILE_BYTES) -> tuple[DataFrame, str, str]:
+    """Writes every shard that gains or loses documents, with all columns of ``docs`` and the slot, to
+    ``path``/(shard)=N and reads them back; the names of the shard and slot columns, which differ from
+    those of ``docs``, are given too. Shards that do neither aren't written.
 
     A file holds a shard's documents within one stretch of its bytes, in the order of their slots, and
-    each task writes one file, so that tasks are even however few shards there are. Repeated rows of
+    each task writes one file, so that tasks are even however few shards there are. A document's file
+    is found from its own columns, so that texts are shuffled once, to their files. Repeated rows of
     one document take consecutive slots.
     """
-    shard, slot, id_, th, own, file, copy = fresh(docs, "_shard", "_slot", "_id", "_th", "_own", "_file", "_copy")
-    starts, n = {}, 0
-    ends = layout.rows.where("shard <> old_shard").groupBy("shard").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    for r in ends.orderBy("shard").collect():  # one row per shard
-        low, high = r["low"] // file_bytes, r["high"] // file_bytes
-        starts[r["shard"]], n = n - low, n + high - low + 1
-    at = F.element_at(F.array(*[F.lit(starts.get(j, 0)) for j in range(shards)]), F.col("shard") + 1) + F.floor(F.col("place") / file_bytes)
-    moved = layout.rows.where("shard <> old_shard").select(F.col("doc_id").alias(id_), F.col("th").alias(th), F.col("shard").alias(shard), F.col("slot").alias(slot), at.cast("int").alias(file), F.col("copies").alias(copy))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn(own, F.xxhash64(text)).join(moved, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(th)))
-    once = rows.where(F.col(copy) == 1)
-    rows = once.unionByName(_numbered(rows.where(F.col(copy) > 1), slot, [id_, th])).select(*docs.columns, shard, slot, file)
-    rows = rows.repartitionById(max(1, n), file).sortWithinPartitions(shard, slot).drop(file)
+    shard, slot, to, file, first = fresh(docs, "_shard", "_slot", "_to", "_file", "_first")
+    where = stretches(layout, file_bytes)
+    key = _key(_facts(layout.old_shards))
+    rows = docs.withColumn(to, where.of(key)).select(*docs.columns, F.col(f"{to}.shard").alias(shard), F.col(f"{to}.file").alias(file), F.col(f"{to}.first").alias(first))
+    rows = rows.where(F.col(file) >= 0).repartitionById(max(1, where.files), file).sortWithinPartitions(shard, key)
+    # A partition is a file, so the low bits of these ids are places within it.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select(*docs.columns, shard, (F.col(first) + nth).alias(slot))
     rows.write.partitionBy(shard).parquet(path)
     return docs.sparkSession.read.schema(rows.schema).parquet(path), shard, slot
 
 
 def op10_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The moved documents as read back from their new files, the others as they are."""
+    """All documents of rewritten shards as read back from their new files, those of others from the plan."""
     docs = table(spark, sf_dir, "documents")
     layout = resharded(docs)
     files, shard, slot = rewritten(docs.select("doc_id", "text"), layout, new_path(spark, "shards"))
     text = F.coalesce("text", F.lit(""))
     size, crc = (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
-    moved = files.select("doc_id", size, crc, F.col(shard).cast("int").alias("shard"), F.col(slot).alias("slot"))
-    stays = layout.rows.where("shard = old_shard").withColumn("slot", F.explode(F.sequence("slot", F.col("slot") + F.col("copies") - 1)))
-    rows = stays.select("doc_id", "size", "text_crc32", "shard", "slot").unionByName(moved)
+    written = files.select("doc_id", size, crc, F.col(shard).cast("int").alias("shard"), F.col(slot).alias("slot"))
+    stays = layout.rows.where(~F.col("shard").isin(layout.touched)).withColumn("slot", F.explode(F.sequence("slot", F.col("slot") + F.col("copies") - 1)))
+    rows = stays.select("doc_id", "size", "text_crc32", "shard", "slot").unionByName(written)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -4,8 +4,10 @@ import os
 import time
 import zlib
 from collections import Counter, defaultdict
+from dataclasses import replace
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -300,18 +302,42 @@ def test_resharding(docs, empty, spark, tmp_path):
         for _, place, n in sorted(v):
             assert place == at
             at += n
-    files, shard, slot = sharding.rewritten(docs, layout, f"file://{tmp_path}/s", 5, 3000)
+    files, shard, slot = sharding.rewritten(docs, layout, f"file://{tmp_path}/s", 3000)
     got = files.collect()
-    assert Counter((r["doc_id"], r[shard]) for r in got) == sum((Counter({(r["doc_id"], r["shard"]): r["copies"]}) for r in rows if r["shard"] != r["old_shard"]), Counter())
-    assert all(r[slot] in slots[r[shard]] for r in got) and len({(r[shard], r[slot]) for r in got}) == len(got)
+    # Every old shard loses documents and every new one gains some, so all are written, whole.
+    assert layout.touched == [0, 1, 2, 3, 4]
+    assert Counter((r["doc_id"], r[shard]) for r in got) == sum((Counter({(r["doc_id"], r["shard"]): r["copies"]}) for r in rows), Counter())
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((r["doc_id"], r["text"]) for r in docs.collect())
+    by_place = {(r[shard], r[slot]): r["doc_id"] for r in got}
+    assert len(by_place) == len(got)
+    assert all(by_place[r["shard"], r["slot"] + i] == r["doc_id"] for r in rows for i in range(r["copies"]))
     assert set(files.columns) == {*docs.columns, shard, slot}
     assert sharding.resharded(empty).rows.count() == 0
 
 
-def test_repeated_rows_of_one_text_are_numbered_in_parts(spark):
-    df = spark.createDataFrame([(None, 7, 10)] * 400 + [(1, 7, 3)] * 3, "a int, b int, slot long").repartition(7)
-    got = Counter((r["a"], r["slot"]) for r in sharding._numbered(df, "slot", ["a", "b"]).collect())
-    assert got == Counter({(None, 10 + i): 1 for i in range(400)} | {(1, 3 + i): 1 for i in range(3)})
+def test_files_are_stretches_of_a_shard_in_order(docs, empty, spark, tmp_path):
+    layout = sharding.resharded(docs, shards=5, old_shards=3)
+    _, shard, slot = sharding.rewritten(docs, layout, f"file://{tmp_path}/s", 3000)
+    ends = defaultdict(list)
+    parts = list(tmp_path.glob(f"s/{shard}=*/*.parquet"))
+    for part in parts:
+        t = pq.read_table(part, partitioning=None).to_pydict()
+        assert t[slot] == list(range(t[slot][0], t[slot][0] + len(t[slot])))
+        each = list(zip(t["doc_id"], t["text"], strict=True))
+        assert sum(len((x or "").encode()) + 8 for i, x in each if (i, x or "") != (each[-1][0], each[-1][1] or "")) < 3000
+        ends[part.parent.name].append((t[slot][0], t[slot][-1]))
+    assert len(ends) == 5 and len(parts) > 10
+    for v in ends.values():
+        v.sort()
+        assert v[0][0] == 0 and all(z + 1 == a for (_, z), (a, _) in zip(v, v[1:], strict=False))
+    # Fewer and larger files where there would be more than allowed; what stays whole isn't written.
+    few = sharding.stretches(layout, 3000, most_files=4)
+    assert few.files <= 4 + 5 and sharding.stretches(layout, 3000).files == len(parts)
+    some, _, _ = sharding.rewritten(docs, replace(layout, touched=[1, 3]), f"file://{tmp_path}/r", 3000)
+    assert Counter(r[shard] for r in some.collect()) == Counter({int(k.split("=")[1]): v[-1][1] + 1 for k, v in ends.items() if k[-1] in "13"})
+    same = sharding.resharded(docs, shards=1, old_shards=1)
+    assert same.moved == 0 and same.touched == [] and sharding.rewritten(docs, same, f"file://{tmp_path}/t")[0].count() == 0
+    assert sharding.rewritten(empty, sharding.resharded(empty), f"file://{tmp_path}/u")[0].count() == 0
 
 
 def test_query_on_repeats_and_nulls(docs, empty, spark, tmp_path):
