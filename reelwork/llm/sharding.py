@@ -219,7 +219,7 @@ class Stretches:
             at = np.searchsorted(self.low, keys.to_numpy().astype(self.low.dtype), side="right") - 1
             return pd.DataFrame({"shard": self.shard[at], "file": self.file[at], "first": self.first[at]})
 
-        return find(key)
+        return find.asNondeterministic()(key)  # so that a filter on what it gives doesn't run it again
 
 
 def stretches(layout: Layout, file_bytes: int = FILE_BYTES, most_files: int = MOST_FILES) -> Stretches:
