@@ -140,9 +140,11 @@ def _anchors(places: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, license, cosine, words) of the best window of each file that reaches a template's
+    """(path, license, cosine, words, nearest, nearest_cosine) of the best window of each file that reaches a template's
     threshold, words being the window's length: of equal cosines the longest counts, as it says more,
-    then the first identifier. Also (path, n): the terms of each file."""
+    then the first identifier. nearest and nearest_cosine are those of the best window of all that were laid,
+    also where it falls short of its threshold, which tells why a file was refused; a file in which no heavy
+    term stands has no row. Also (path, n): the terms of each file."""
     split = templates.select("template", "license", "least", terms(F.col("statement")).alias("terms"))
     places = stage(split.select("template", "license", "least", F.size("terms").alias("n"), F.posexplode("terms").alias("o", "term")), "templates")
     counted = places.groupBy("template", "least", "term").agg(F.count("*").alias("tf"))
@@ -174,8 +176,10 @@ def own_licenses(files: DataFrame, templates: DataFrame) -> tuple[DataFrame, Dat
     weight = F.col("tf") * F.coalesce("idf", other)
     scored = weighed.groupBy(*window).agg(F.sum(weight * F.col("w")).alias("dot"), F.sqrt(F.sum(weight * weight)).alias("norm"), F.sum("tf").alias("words"))
     cosine = F.round(F.col("dot") / F.col("norm"), 6)
-    best = scored.withColumn("cosine", cosine).where(F.col("cosine") >= F.col("least")).groupBy("path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), (-F.col("words")).alias("w"), "license")).alias("b"))
-    return best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (-F.col("b.w")).alias("words")), known.groupBy("path").agg(F.sum("n").alias("n"))
+    order = F.struct((-F.col("cosine")).alias("c"), (-F.col("words")).alias("w"), "license")
+    best = scored.withColumn("cosine", cosine).groupBy("path").agg(F.min(F.when(F.col("cosine") >= F.col("least"), order)).alias("b"), F.min(order).alias("near"))
+    best = best.select("path", F.col("b.license").alias("license"), (-F.col("b.c")).alias("cosine"), (-F.col("b.w")).alias("words"), F.col("near.license").alias("nearest"), (-F.col("near.c")).alias("nearest_cosine"))
+    return best, known.groupBy("path").agg(F.sum("n").alias("n"))
 
 
 def _directory(path: Column) -> Column:
@@ -183,10 +187,11 @@ def _directory(path: Column) -> Column:
 
 
 def licensed(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
-    """path, license, how ('own', 'inherited' or 'none'), cosine and license_dir for each path.
+    """path, license, how ('own', 'inherited' or 'none'), cosine, license_dir, nearest and nearest_cosine for each path.
 
     ``files``: path, text, anything else; ``templates``: template, license, statement, least (the
-    cosine that it takes), by default TEMPLATES. license_dir is the directory inherited from. Of
+    cosine that it takes), by default TEMPLATES. license_dir is the directory inherited from; nearest is the
+    template's licence that the file comes closest to, whether or not it reaches it (null without heavy terms). Of
     several licence files in one directory the best cosine counts, then the first identifier, so that
     ties have one result. A null text has no terms; a null path is one file in the root; rows that
     repeat a path are one file; an empty table gives an empty result.
@@ -213,6 +218,8 @@ def licensed(files: DataFrame, templates: DataFrame | None = None) -> DataFrame:
         F.when(own, "own").when(F.col("above_license").isNotNull(), "inherited").otherwise("none").alias("how"),
         "cosine",
         F.when(~own, F.col("above")).alias("license_dir"),
+        "nearest",
+        "nearest_cosine",
     )
 
 
@@ -227,7 +234,7 @@ def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("path", "/")
     first = F.element_at(parts, -2).cast("long") * 64
     doc_id = F.when(F.endswith("path", F.lit("/LICENSE")), first).otherwise(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long"))
-    return out.select(doc_id.alias("doc_id"), "path", "license", "how", "cosine", "license_dir")
+    return out.select(doc_id.alias("doc_id"), "path", "license", "how", "cosine", "license_dir", "nearest", "nearest_cosine")
 
 
 def _sql_terms(x: str) -> str:
@@ -257,12 +264,13 @@ counts as (select doc_id, template, license, least, start, term, count(*) as tf
 weighed as (select c.*, tf * coalesce(idf, ln(n + 1) + 1) as tw, v.w from counts c left join idf on c.term = idf.term left join vectors v on c.template = v.template and c.term = v.term, total),
 scored as (select doc_id, license, least, round(sum(tw * w) / sqrt(sum(tw * tw)), 6) as cosine, sum(tf) as words from weighed group by doc_id, template, license, least, start),
 own as (select * from scored where cosine >= least qualify row_number() over (partition by doc_id order by cosine desc, words desc, license) = 1),
-thin as (select f.doc_id, f.path, f.dir, f.name, len(f.terms) as n, license, cosine, words from files f left join own on f.doc_id = own.doc_id),
+near as (select doc_id, license as nearest, cosine as nearest_cosine from scored qualify row_number() over (partition by doc_id order by cosine desc, words desc, license) = 1),
+thin as (select f.doc_id, f.path, f.dir, f.name, len(f.terms) as n, license, cosine, words, nearest, nearest_cosine from files f left join own on f.doc_id = own.doc_id left join near on f.doc_id = near.doc_id),
 holders as (select dir, license from thin where license is not null and (name = 'LICENSE' or words >= {LICENSE_SHARE} * n) qualify row_number() over (partition by dir order by cosine desc, license) = 1),
 dirs as (select distinct dir from thin),
 nearest as (select d.dir, h.dir as above, h.license as above_license from dirs d join holders h on d.dir = h.dir or starts_with(d.dir, h.dir || '/') qualify row_number() over (partition by d.dir order by length(h.dir) desc) = 1)
 select doc_id, path, coalesce(license, above_license) as license,
   case when license is not null then 'own' when above_license is not null then 'inherited' else 'none' end as how,
-  cosine, case when license is null then above end as license_dir
+  cosine, case when license is null then above end as license_dir, nearest, nearest_cosine
 from thin left join nearest on thin.dir = nearest.dir
 """

@@ -134,6 +134,15 @@ def test_licences_are_found_and_inherited(spark):
     assert len(got) == len({r[0] for r in rows}) and lic.licensed(files.limit(0)).count() == 0
 
 
+def test_refused_files_tell_what_they_come_closest_to(spark):
+    refused = "Redistribution in source forms, with modification, is permitted to members provided that conditions are met"
+    rows = [("x/f", refused), ("y/f", "Released under the MIT License."), ("z/f", "Der Die Das"), ("n/f", None)]
+    got = {r["path"]: r for r in lic.licensed(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["x/f"]["license"] is None and got["x/f"]["nearest"] == "BSD-3-Clause" and 0.3 < got["x/f"]["nearest_cosine"] < lic.LEAST_COSINE
+    assert got["y/f"]["nearest"] == "MIT" and got["y/f"]["nearest_cosine"] == got["y/f"]["cosine"] >= lic.LEAST_COSINE
+    assert all(got[p][c] is None for p in ("z/f", "n/f") for c in ("nearest", "nearest_cosine", "cosine"))
+
+
 GPL = """/*
  * This program is free software: you can redistribute it and/or
  * modify it under the terms of the GNU General Public License as
@@ -184,7 +193,7 @@ def test_cosines_by_brute_force(spark):
     idfs = {t: idf(t) for t in {t for d in docs.values() for t in d} | {t for _, s, _ in lic.TEMPLATES for t in split(s)}}
     vector = lambda terms: {t: terms.count(t) * idfs[t] for t in terms}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    want = {}
+    want, near = {}, {}
     for p, d in docs.items():
         for license, statement, least in lic.TEMPLATES:
             own = split(statement)
@@ -196,10 +205,14 @@ def test_cosines_by_brute_force(spark):
             for start in {at - o for at, t in enumerate(d) for o, x in enumerate(own) if x == t and t in heavy}:
                 inside = vector(d[max(0, start) : start + len(own)])
                 cosine = round(sum(x * v.get(t, 0) for t, x in inside.items()) / norm(v) / norm(inside), 6)
+                near[p] = min(near.get(p, 0), -cosine)
                 if cosine >= least:
                     want[p] = min(want.get(p, (0, 0, "z")), (-cosine, -len(d[max(0, start) : start + len(own)]), license))
     want = {p: (c, license) for p, (c, _, license) in want.items()}
-    got = {x["path"]: (-x["cosine"], x["license"]) for x in lic.licensed(spark.createDataFrame(list(texts.items()), "path string, text string")).where("how = 'own'").collect()}
+    rows = lic.licensed(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()
+    nearest = {x["path"]: -x["nearest_cosine"] for x in rows if x["nearest"]}
+    assert set(nearest) == set(near) and all(abs(nearest[p] - near[p]) < 2e-6 for p in near) and len(near) > len(want)
+    got = {x["path"]: (-x["cosine"], x["license"]) for x in rows if x["how"] == "own"}
     assert len(got) > 30 and set(got) == set(want) and all(got[p][1] == want[p][1] and abs(got[p][0] - want[p][0]) < 2e-6 for p in got)
 
 
