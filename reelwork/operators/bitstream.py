@@ -71,6 +71,8 @@ class _Bits:
 #: Profiles whose parameter sets carry chroma and scaling fields. Fixed values, in the order of the
 #: public H.264 standard, whose syntax tables frame_size follows.
 _HIGH = {100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135}
+#: All profiles of the standard. Bytes of any other kind may parse by chance, the more the longer they are.
+_PROFILES = _HIGH | {66, 77, 88}
 
 
 def frame_size(sps: bytes) -> tuple[int, int] | None:
@@ -80,10 +82,14 @@ def frame_size(sps: bytes) -> tuple[int, int] | None:
         if b.u(8) & 31 != SPS:
             return None
         profile, chroma, separate = b.u(8), 1, 0
+        if profile not in _PROFILES:
+            return None
         b.u(16)
         b.ue()
         if profile in _HIGH:
             chroma = b.ue()
+            if chroma > 3:
+                return None
             separate = b.u(1) if chroma == 3 else 0
             b.ue(), b.ue(), b.u(1)
             if b.u(1):

@@ -332,6 +332,11 @@ def test_units_and_parameter_sets(spark):
     # A malformed set keeps a stream unready, also one that follows a good set before the other kind.
     more = [(2, 1, "H264", sets(sps[:5], b"\x68")), (2, 2, "H264", sets(b"\x65")), (3, 1, "H264", sets(sps)), (3, 2, "H264", sets(sps[:5], b"\x68")), (3, 4, "H264", sets(sps))]
     assert rows(bitstream.probe_codec(spark.createDataFrame(more, schema)), "stream_id", "ready_seq", "width") == [(3, 4, 1920)]
+    # Bytes of no known profile are no set, though they would parse by chance (as 16 x 16 and 16 x 32).
+    chance = [b"\x67389139", b"\x6782092282"]
+    assert [bitstream.frame_size(u) for u in chance] == [None, None] and bitstream.frame_size(bytes.fromhex("6742001eda0a3640")) == (160, 96)
+    more = [(4, i, "H264", sets(u, b"\x68")) for i, u in enumerate([*chance, sps])]
+    assert rows(bitstream.probe_codec(spark.createDataFrame(more, schema)), "stream_id", "ready_seq", "width") == [(4, 2, 1920)]
 
 
 def test_paths_with_fan_in_and_cycles(spark):
