@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,6 +143,42 @@ def test_fanout_with_and_without_bins(spark):
     assert len(rows(joins.branch_fanout(buffers, branches, failed, 10), "branch_id")) == len(plain) - 1
 
 
+def test_fanout_totals_make_no_copies(spark):
+    buffers = spark.createDataFrame([(1, t, t, t % 3 if t % 5 else None) for t in range(-30, 60, 2)] + [(2, 5, 99, 1), (None, 5, 98, 1), (1, None, 97, 1)], "tee_id int, at long, buffer_id long, fails int")
+    ends = [(-20, 14), (0, None), (40, 40), (41, 30), (100, None), (-100, 500), (None, 5), (8, 9), (8, 8)]
+    branches = spark.createDataFrame([(tee, 20 * tee + i, lo, hi, f) for tee in (1, 2, 3) for i, (lo, hi) in enumerate(ends) for f in (i % 3 if i % 4 else None,)], "tee_id int, branch_id int, attached_at long, detached_at long, fails int")
+    copies = joins.branch_fanout(buffers.withColumnRenamed("fails", "b"), branches).where("b is null or fails is null or b <> fails")
+    want = rows(copies.groupBy("tee_id", "branch_id").agg(F.count("*").alias("n"), F.sum("buffer_id").alias("total")), "tee_id", "branch_id", "n", "total")
+    for most in (None, 10):
+        assert rows(joins.branch_totals(buffers, branches, "buffer_id", most), "tee_id", "branch_id", "n", "total") == want and len(want) > 4
+    # 50,000 buffers and 50,000 branches of one tee: 1.25 billion copies, had they to be made.
+    n = 50_000
+    many = spark.range(n).select(F.lit(1).alias("tee_id"), F.col("id").alias("at"), F.col("id").alias("buffer_id"), F.lit(None).cast("int").alias("fails"))
+    spans = many.select("tee_id", F.col("buffer_id").alias("branch_id"), F.col("at").alias("attached_at"), F.lit(None).cast("long").alias("detached_at"), "fails")
+    got = joins.branch_totals(many, spans, "buffer_id").agg(F.count("*"), F.sum("n"), F.max("total")).first()
+    assert tuple(got) == (n, n * (n + 1) // 2, n * (n - 1) // 2)
+
+
+def test_suppression_takes_all_groups_at_once():
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(1, 30, 400)
+    group = np.repeat(np.arange(400), sizes)
+    x, y, w, h = (rng.integers(lo, hi, len(group)).astype(float) for lo, hi in ((0, 40), (0, 40), (0, 20), (0, 20)))
+
+    def plain(at):
+        kept = []
+        for i in at:
+            over = lambda j: max(0, min(x[i] + w[i], x[j] + w[j]) - max(x[i], x[j])) * max(0, min(y[i] + h[i], y[j] + h[j]) - max(y[i], y[j]))  # noqa: B023, E731
+            union = lambda j: w[i] * h[i] + w[j] * h[j] - over(j)  # noqa: B023, E731
+            if all((over(j) / union(j) if union(j) > 0 else 0) <= 0.3 for j in kept):
+                kept.append(i)
+        return kept
+
+    want = [i for g in range(400) for i in plain(np.flatnonzero(group == g))]
+    assert detect._kept(group, x, y, w, h, 0.3).tolist() == want and len(want) < len(group)
+    assert len(detect._kept(group[:0], x[:0], y[:0], w[:0], h[:0], 0.3)) == 0
+
+
 def test_mix_of_frames_off_the_grid(spark):
     df = spark.createDataFrame([(0, 1, 1, [0.1, 0.2, 0.3, 0.4, 0.5]), (0, 2, 3, [0.5]), (0, 1, -1, [0.25]), (0, 2, 9, [])], "mix_id int, input int, pts long, samples array<double>")
     got = {r["block"]: [round(v, 6) for v in r["samples"]] for r in audio.mix_audio(df, 2).collect()}
@@ -617,3 +654,12 @@ def test_folds_see_whole_keys_after_unions_of_aggregates(spark):
     points, starts = p.groupBy("key", "v").count().join(p.groupBy("key").agg(F.max("v").alias("m")), "key"), p.groupBy("key").agg(F.min("v").alias("v"))
     got = greedy.greedy(points, starts, 100)
     assert got.groupBy("key", "n").count().where("count > 1").count() == 0 and got.where("n = 0").count() == 37
+
+
+def test_segments_share_files_but_are_whole(spark, tmp_path):
+    packets = spark.range(6000).selectExpr("id % 300 as stream_id", "id div 300 div 5 as segment", "id as dts", "id % 2 as track_id", "id as seq")
+    segments.write_segments(packets, f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out").withColumn("file", F.input_file_name())
+    each = back.groupBy("stream_id", "name").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
+    assert rows(each.groupBy("n", "files").count(), "n", "files", "count") == [(5, 1, 1200)]
+    assert back.select("name").distinct().count() == 4 and back.select("file").distinct().count() <= 16
