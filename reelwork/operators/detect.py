@@ -75,18 +75,23 @@ def _neighbours(dets: DataFrame, least: float, side: Callable[..., DataFrame]) -
     return met.where(once & begins)
 
 
-def _kept(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, most: float) -> np.ndarray:
-    """Greedy choice among boxes in order: one that overlaps a kept box by more than ``most`` goes."""
+def _kept(group: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, most: float) -> np.ndarray:
+    """Greedy choice among the boxes of each group (rising numbers), in order: one that overlaps a kept box
+    by more than ``most`` goes. All groups take a step at once: the first box that is left in each stays,
+    and what it suppresses goes."""
     alive, keep = np.arange(len(x)), []
     while len(alive):
-        i, alive = alive[0], alive[1:]
-        keep.append(i)
+        g = group[alive]
+        first = np.append(True, g[1:] != g[:-1])
+        keep.append(alive[first])
+        i = np.repeat(alive[first], np.diff(np.append(np.flatnonzero(first), len(alive))))[~first]
+        alive = alive[~first]
         across = np.maximum(0, np.minimum(x[i] + w[i], x[alive] + w[alive]) - np.maximum(x[i], x[alive]))
         down = np.maximum(0, np.minimum(y[i] + h[i], y[alive] + h[alive]) - np.maximum(y[i], y[alive]))
         inter = across * down
         union = w[i] * h[i] + w[alive] * h[alive] - inter
         alive = alive[np.where(union > 0, inter / np.where(union > 0, union, 1), 0) <= most]
-    return np.array(keep, dtype=int)
+    return np.sort(np.concatenate(keep)) if keep else np.array([], dtype=int)
 
 
 def nms(dets: DataFrame, most: float, least_score: float = 0.0) -> DataFrame:
@@ -117,10 +122,8 @@ def nms(dets: DataFrame, most: float, least_score: float = 0.0) -> DataFrame:
 
     def groups(pdf: pd.DataFrame) -> pd.DataFrame:
         f, c = pdf["frame_id"].to_numpy(), pdf["class_id"].to_numpy()
-        cuts = np.flatnonzero((f[1:] != f[:-1]) | (c[1:] != c[:-1])) + 1
-        boxes = [pdf[k].to_numpy(float) for k in "xywh"]
-        keep = [s + _kept(*(b[s:e] for b in boxes), most) for s, e in zip(np.append(0, cuts), np.append(cuts, len(pdf)), strict=True)]
-        return pdf.iloc[np.concatenate(keep)]
+        group = np.cumsum(np.append(False, (f[1:] != f[:-1]) | (c[1:] != c[:-1])))
+        return pdf.iloc[_kept(group, *(pdf[k].to_numpy(float) for k in "xywh"), most)]
 
     return parts.mapInPandas(each, rows.schema)
 
