@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -57,57 +61,88 @@ def stream_latest(frames: DataFrame) -> DataFrame:
     return frames.groupBy("input").transformWithStateInPandas(LatestFrame(), "input long, seq long, frame_id long", "Update", "None")
 
 
+#: Buckets to which streams are dealt by a hash. Every call for a key of the state costs some ten milliseconds,
+#: whatever it holds; a bucket has many streams and few enough rows.
+BUCKETS = 512
+
+
+def _packs(rows: pa.Table) -> list[tuple]:
+    """``rows`` as Arrow streams of some thousand rows each."""
+    out = []
+    for batch in rows.combine_chunks().to_batches(max_chunksize=8192):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema) as writer:
+            writer.write_batch(batch)
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpacked(packs: Iterator[tuple], types: dict[str, pa.DataType]) -> pa.Table:
+    return pa.concat_tables([pa.schema(types).empty_table(), *(pa.ipc.open_stream(bytes(p[0])).read_all() for p in packs)])
+
+
+def _tuples(rows: pa.Table) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in rows.columns), strict=True)
+
+
 class InOrder(StatefulProcessor):
-    """Hands a key's rows on in the order of their event time, however they arrive.
+    """Hands the rows of each stream on in the order of their event time, however they arrive.
 
-    State: the rows that the watermark hasn't passed. A timer at the time of the first of a batch's rows,
-    or of those that stay, releases all that are due, in order of ``columns``, of which the first is ms,
-    the event time in milliseconds. What is held is bounded by the watermark's delay; rows that come later
-    than that are dropped by Spark, as in any windowed aggregation."""
+    The key is a bucket of streams. State: the rows that the watermark hasn't passed, and what ``take``
+    keeps of each stream. A timer at the time of the first of a batch's rows, or of those that stay,
+    releases all that are due, in order of the first of ``types``: stream_id, ms, the event time in
+    milliseconds, and others. What is held is bounded by the watermark's delay; rows that come later than that
+    are dropped by Spark, as in any windowed aggregation."""
 
-    columns: list[str]
-    schema: str
+    #: Of the rows, stream_id and ms first, and of what is kept of a stream, its stream_id first.
+    types: dict[str, pa.DataType]
+    kept_types: dict[str, pa.DataType]
     out: dict[str, str]
     #: How many of the columns give the order.
-    ordered = 3
+    ordered = 4
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.schema)
-        self.begin(handle)
+        # Rows go to the state in packs: as rows of their own each would be pickled and converted singly.
+        self.held = handle.getListState("held", "rows binary")
+        self.kept = handle.getListState("kept", "rows binary")
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        """Sets up the state of the operator itself."""
-        raise NotImplementedError
-
-    def take(self, key: tuple, rows: list[tuple]) -> Iterator[tuple]:
-        """The rows that follow from a key's next rows, which are in order."""
+    def take(self, stream: int, kept: tuple | None, rows: Iterator[tuple], out: list[tuple]) -> tuple | None:
+        """Adds to ``out`` what follows from a stream's next rows, which are in order; gives what is kept of it now."""
         raise NotImplementedError
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = []
         for pdf in rows:
-            values = list(zip(*(pdf[c].tolist() for c in self.columns), strict=True))
-            if values:
-                self.held.appendList(values)
-                first.append(min(v[0] for v in values))
+            if len(pdf):
+                self.held.appendList(_packs(pa.Table.from_pandas(pdf[list(self.types)], pa.schema(self.types), preserve_index=False)))
+                first.append(int(pdf["ms"].min()))
         if first:
             self._wake_at(min(first))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        rows = [tuple(r) for r in self.held.get()]
-        due = sorted((r for r in rows if r[0] <= passed), key=lambda r: r[: self.ordered])
-        later = [r for r in rows if r[0] > passed]
-        if not due:  # an earlier timer has released them
+        rows = _unpacked(self.held.get(), self.types)
+        is_due = pc.less_equal(rows["ms"], passed)
+        due, later = rows.filter(is_due), rows.filter(pc.invert(is_due))
+        if not len(due):  # an earlier timer has released them
             return
-        if later:
-            self.held.put(later)
-            self._wake_at(min(r[0] for r in later), passed)
+        if len(later):
+            self.held.put(_packs(later))
+            self._wake_at(pc.min(later["ms"]).as_py(), passed)
         else:
             self.held.clear()
-        if out := list(self.take(key, due)):
+        kept, out = {k[0]: k[1:] for k in _tuples(_unpacked(self.kept.get(), self.kept_types))}, []
+        in_order = due.sort_by([(c, "ascending") for c in list(self.types)[: self.ordered]])
+        for stream, own in groupby(_tuples(in_order), itemgetter(0)):
+            kept[stream] = self.take(stream, kept.get(stream), own, out)
+        if left := [(stream, *k) for stream, k in kept.items() if k is not None]:
+            columns = zip(zip(*left, strict=True), self.kept_types.values(), strict=True)
+            self.kept.put(_packs(pa.table([pa.array(c, t) for c, t in columns], names=list(self.kept_types))))
+        else:
+            self.kept.clear()
+        if out:
             yield self._frame(out)
 
     def _wake_at(self, ms: int, passed: int | None = None) -> None:
@@ -116,100 +151,97 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(ms)
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
-        columns = list(zip(*rows, strict=True)) or [()] * len(self.out)
+        columns = list(zip(*rows, strict=True))
         return pd.DataFrame({c: pd.array(v, dtype=t) if t else pd.Series(list(v), dtype=object) for (c, t), v in zip(self.out.items(), columns, strict=True)})
 
     def close(self) -> None:
         pass
 
 
+def _in_buckets(rows: DataFrame, buckets: int, processor: InOrder, schema: str) -> DataFrame:
+    dealt = rows.withColumn("stream_id", F.col("stream_id").cast("bigint")).withColumn("bucket", F.pmod(F.xxhash64("stream_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
 class Segmenter(InOrder):
-    """State: number and start of the open segment, its packets and bytes so far."""
+    """Kept: number and start of the open segment, its packets and bytes so far."""
 
-    columns = ["ms", "pts", "seq", "is_cut", "is_end", "size"]
-    schema = "ms long, pts long, seq long, is_cut boolean, is_end boolean, size long"
+    types = dict.fromkeys(["stream_id", "ms", "pts", "seq"], pa.int64()) | dict.fromkeys(["is_cut", "is_end"], pa.bool_()) | {"size": pa.int64()}
+    kept_types = dict.fromkeys(["stream_id", "segment", "start", "packets", "bytes"], pa.int64())
     out = dict.fromkeys(["stream_id", "segment", "start_pts", "packets", "bytes"], "Int64")
 
     def __init__(self, duration: int):
         self.duration = duration
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "segment long, start long, packets long, bytes long")
-
-    def take(self, key, rows) -> Iterator[tuple]:
-        state = tuple(self.open.get()) if self.open.exists() else None
-        for _, pts, _, is_cut, is_end, size in rows:
-            if state is None:
-                state = (0, pts, 0, 0)
-            elif is_cut and pts - state[1] >= self.duration:
-                yield (key[0], *state)
-                state = (state[0] + 1, pts, 0, 0)
-            state = (state[0], state[1], state[2] + 1, state[3] + size)
+    def take(self, stream, kept, rows, out) -> tuple | None:
+        for _, _, pts, _, is_cut, is_end, size in rows:
+            if kept is None:
+                kept = (0, pts, 0, 0)
+            elif is_cut and pts - kept[1] >= self.duration:
+                out.append((stream, *kept))
+                kept = (kept[0] + 1, pts, 0, 0)
+            kept = (kept[0], kept[1], kept[2] + 1, kept[3] + size)
             if is_end:
-                yield (key[0], *state)
-                state = None
-        if state is None:
-            self.open.clear()
-        else:
-            self.open.update(state)
+                out.append((stream, *kept))
+                kept = None
+        return kept
 
 
-def stream_segment(packets: DataFrame, duration: int) -> DataFrame:
+def stream_segment(packets: DataFrame, duration: int, buckets: int = BUCKETS) -> DataFrame:
     """Closed segments of live packets (stream_id, ts, pts, seq, kind, is_key, size, has_video, is_end),
     which may arrive in any order within the watermark of ts. A stream without video (has_video is known
     from its tracks) may cut at any packet. The open segment stays in the state until the stream's last
     packet (is_end) closes it; packets after that begin a stream anew. Order is that of ts, pts, seq.
-    Packets without stream, ts or pts are in no segment; other nulls count as 0 or false."""
+    Packets without stream, ts or pts are in no segment; other nulls count as 0 or false. Streams share the
+    state's keys, ``buckets`` in all, so a key has many."""
     is_cut = ~F.col("has_video") | (F.col("is_key") & (F.col("kind") == "video"))
-    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "pts", F.coalesce("seq", F.lit(0)).alias("seq"), F.coalesce(is_cut, F.lit(False)).alias("is_cut"), F.coalesce("is_end", F.lit(False)).alias("is_end"), F.coalesce("size", F.lit(0)).alias("size"))
+    rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), F.col("pts").cast("bigint").alias("pts"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"), F.coalesce(is_cut, F.lit(False)).alias("is_cut"), F.coalesce("is_end", F.lit(False)).alias("is_end"), F.coalesce("size", F.lit(0)).cast("bigint").alias("size"))
     rows = rows.where("stream_id is not null and ts is not null and pts is not null")
-    return rows.groupBy("stream_id").transformWithStateInPandas(Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long", "Append", "EventTime")
+    return _in_buckets(rows, buckets, Segmenter(duration), "stream_id long, segment long, start_pts long, packets long, bytes long")
 
 
 class CodecProbe(InOrder):
-    """State: the codec of the run and its number, both parameter sets seen in it, and whether it was told."""
+    """Kept: the codec of the run and its number, both parameter sets seen in it, and whether it was told."""
 
-    columns = ["ms", "seq", "codec", "payload"]
-    schema = "ms long, seq long, codec string, payload binary"
-    ordered = 2
+    types = dict.fromkeys(["stream_id", "ms", "seq"], pa.int64()) | {"codec": pa.string(), "payload": pa.binary()}
+    kept_types = {"stream_id": pa.int64(), "codec": pa.string(), "run": pa.int64(), "sps": pa.binary(), "pps": pa.binary(), "told": pa.bool_()}
+    ordered = 3
     out = {"stream_id": "Int64", "run": "Int64", "codec": None, "ready_seq": "Int64", "sps": None, "pps": None, "width": "Int32", "height": "Int32"}
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "codec string, run long, sps binary, pps binary, told boolean")
-
-    def take(self, key, rows) -> Iterator[tuple]:
-        codec, run, sps, pps, told = self.seen.get() if self.seen.exists() else (None, -1, None, None, False)
-        for _, seq, own, payload in rows:
+    def take(self, stream, kept, rows, out) -> tuple | None:
+        codec, run, sps, pps, told = kept or (None, -1, None, None, False)
+        for _, _, seq, own, payload in rows:
             if run < 0 or own != codec:
                 codec, run, sps, pps, told = own, run + 1, None, None, False
             if told:
                 continue
             size = (None, None)
             if codec == "H264":
-                for unit in split_units(bytes(payload)) if payload is not None else ():
+                for unit in split_units(payload) if payload is not None else ():
                     if unit[0] & 31 == SPS:
                         sps = unit
                     elif unit[0] & 31 == PPS:
                         pps = unit
-                size = read_size(bytes(sps)) if sps is not None and pps is not None else None
+                size = read_size(sps) if sps is not None and pps is not None else None
             if size is not None:
                 told = True
-                yield (key[0], run, codec, seq, sps, pps, *size)
-        self.seen.update((codec, run, sps, pps, told))
+                out.append((stream, run, codec, seq, sps, pps, *size))
+        return codec, run, sps, pps, told
 
 
 #: A stream repeats its parameter sets: a worker reads each distinct one once.
 read_size = lru_cache(maxsize=4096)(frame_size)
 
 
-def stream_probe_codec(packets: DataFrame) -> DataFrame:
+def stream_probe_codec(packets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(stream_id, run, codec, ready_seq, sps, pps, width, height) of live packets (stream_id, ts, seq,
     codec, payload), once for each codec run, as soon as the watermark of ts has passed the payload that
     makes it ready; the rules are those of ``probe_codec``. The sets may come in different payloads and
     batches, which may arrive in any order within the watermark; a change of codec forgets them. Packets
-    without stream, ts or seq are left out; a null codec is one of its own, a null payload holds no set."""
+    without stream, ts or seq are left out; a null codec is one of its own, a null payload holds no set.
+    Streams share the state's keys, ``buckets`` in all."""
     rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "codec", "payload").where("stream_id is not null and ts is not null and seq is not null")
-    return rows.groupBy("stream_id").transformWithStateInPandas(CodecProbe(), "stream_id long, run long, codec string, ready_seq long, sps binary, pps binary, width int, height int", "Append", "EventTime")
+    return _in_buckets(rows, buckets, CodecProbe(), "stream_id long, run long, codec string, ready_seq long, sps binary, pps binary, width int, height int")
 
 
 class Finalizer(StatefulProcessor):

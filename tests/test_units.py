@@ -663,3 +663,16 @@ def test_segments_share_files_but_are_whole(spark, tmp_path):
     each = back.groupBy("stream_id", "name").agg(F.count("*").alias("n"), F.count_distinct("file").alias("files"))
     assert rows(each.groupBy("n", "files").count(), "n", "files", "count") == [(5, 1, 1200)]
     assert back.select("name").distinct().count() == 4 and back.select("file").distinct().count() <= 16
+
+
+def test_ordered_streams_share_few_keys(spark, tmp_path):
+    """Many streams in two buckets give what each gives alone, and rows are held in packs."""
+    batches = [[(s, f"2024-01-01 00:00:{t:02d}", t * 10 + s, t, "video", True, 1, True, t == 39) for s in range(40) for t in random.Random(s + k).sample(range(10 * k, 10 * k + 10), 10)] for k in range(4)]
+    schema = "stream_id int, ts string, pts long, seq int, kind string, is_key boolean, size int, has_video boolean, is_end boolean"
+    frames = [spark.createDataFrame(b, schema).withColumn("ts", F.col("ts").cast("timestamp")) for b in batches]
+    late = spark.createDataFrame([(99, "2024-01-01 01:00:00", 0, 0, "video", True, 1, True, False)], schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = drain(spark, [*frames, late], lambda s: live.stream_segment(s.withWatermark("ts", "11 seconds"), 45, 2), tmp_path)
+    want = [(s, n, 50 * n + s, 5, 5) for s in range(40) for n in range(8)]
+    assert sorted(got) == want
+    table = live.pa.table({"ms": list(range(20_000))})
+    assert len(live._packs(table)) == 3 and live._unpacked(iter(live._packs(table)), {"ms": live.pa.int64()}).equals(table)
