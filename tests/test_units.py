@@ -676,3 +676,21 @@ def test_ordered_streams_share_few_keys(spark, tmp_path):
     assert sorted(got) == want
     table = live.pa.table({"ms": list(range(20_000))})
     assert len(live._packs(table)) == 3 and live._unpacked(iter(live._packs(table)), {"ms": live.pa.int64()}).equals(table)
+
+
+def test_playlists_share_files_but_are_whole(spark, tmp_path):
+    texts = spark.range(300).selectExpr("id as stream_id", "concat_ws('\n', '#EXTM3U', transform(sequence(0, id % 7), i -> concat('v/', id, '_', i)), '', '#EXT-X-ENDLIST') as playlist")
+    odd = spark.createDataFrame([(1000, None), (1001, ""), (1002, "a\r\nb\n"), (None, "c\nd"), (1 << 40, "e")], "stream_id long, playlist string")
+    segments.write_playlist(texts.union(odd), f"file://{tmp_path}/out")
+    back = spark.read.parquet(f"file://{tmp_path}/out").withColumn("file", F.input_file_name())
+    entry = F.array_sort(F.collect_list(F.struct("line", "value")))
+    whole = back.groupBy("stream_id").agg(F.count_distinct("file").alias("files"), F.array_join(F.transform(entry, lambda e: e["value"]), "\n").alias("playlist"))
+    got = {r["stream_id"]: r["playlist"] for r in whole.collect()}
+    assert got == {r["stream_id"]: r["playlist"] or "" for r in texts.union(odd).collect()} and len(got) == 305
+    assert whole.where("files > 1").count() == 0 and back.select("file").distinct().count() <= 16
+    # Within its file a playlist stands in order, in one place.
+    for f in (tmp_path / "out").glob("*.parquet"):
+        placed = [(r["stream_id"], r["line"]) for r in spark.read.parquet(f"file://{f}").collect()]
+        assert placed == sorted(placed, key=lambda p: (p[0] is not None, p[0] or 0, p[1]))
+    segments.write_playlist(texts, f"file://{tmp_path}/each", each=True)
+    assert (tmp_path / "each" / "stream_id=8").is_dir() and next((tmp_path / "each" / "stream_id=8").glob("*.txt")).read_text() == "#EXTM3U\nv/8_0\nv/8_1\n\n#EXT-X-ENDLIST\n"
