@@ -550,6 +550,18 @@ def test_codec_of_live_streams(spark, tmp_path):
     assert sorted(got) == sorted(batch)
 
 
+def test_live_codec_takes_no_set_of_unknown_profile(spark, tmp_path):
+    sets = lambda *units: b"".join(b"\x00\x00\x01" + u for u in units)
+    # Ids as digits, as the media tables hold them, which would parse by chance.
+    digits = [b"\x67" + str(i).encode() for i in (101694, 113658, 126619, 389139, 599998)]
+    good = bytes.fromhex("6742001eda0a3640")
+    packets = [(1, i, "H264", sets(u, b"\x68\x01")) for i, u in enumerate([*digits, good, *digits])]
+    schema = "stream_id long, seq long, codec string, payload binary"
+    frames = [at_seconds(spark.createDataFrame(f, schema), "seq") for f in (packets[6:2:-1] + packets[:2], packets[2:3] + packets[7:], [(3, FAR, "VP8", None)])]
+    got = drain(spark, frames, lambda s: live.stream_probe_codec(s.withWatermark("ts", "20 seconds")), tmp_path)
+    assert [(r[0], r[1], r[3], r[6]) for r in got] == [(1, 0, len(digits), 160)]
+
+
 def test_files_are_forgotten_after_their_time(spark, tmp_path):
     at = lambda *e: spark.createDataFrame([(f, t, "Eos", s, s) for f, t, s in e], "file_id long, track_id int, event string, at long, s long").withColumn("ts", F.timestamp_seconds("s")).drop("s")
     files = [at((1, 0, 100), (2, 0, 100)), at((2, 1, 150), (3, 0, 5000)), at((3, 1, 5001), (1, 1, 5002)), at((1, 0, 5003))]
