@@ -237,8 +237,9 @@ def stream_probe_codec(packets: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(stream_id, run, codec, ready_seq, sps, pps, width, height) of live packets (stream_id, ts, seq,
     codec, payload), once for each codec run, as soon as the watermark of ts has passed the payload that
     makes it ready; the rules are those of ``probe_codec``. The sets may come in different payloads and
-    batches, which may arrive in any order within the watermark; a change of codec forgets them. Packets
-    without stream, ts or seq are left out; a null codec is one of its own, a null payload holds no set.
+    batches, which may arrive in any order within the watermark; a change of codec forgets them. Order is
+    that of ts, seq: the batch twin's, if a stream's ts doesn't fall as seq rises. Packets without stream,
+    ts or seq are left out; a null codec is one of its own, a null payload holds no set.
     Streams share the state's keys, ``buckets`` in all."""
     rows = packets.select("stream_id", "ts", F.unix_millis("ts").alias("ms"), "seq", "codec", "payload").where("stream_id is not null and ts is not null and seq is not null")
     return _in_buckets(rows, buckets, CodecProbe(), "stream_id long, run long, codec string, ready_seq long, sps binary, pps binary, width int, height int")

@@ -49,3 +49,17 @@ def test_partitions_do_not_matter(spark, name):
         results.append(rows_of(df.collect(), df.columns))
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("name", ["stream_probe_codec", "stream_segmenter"])
+def test_ids_need_not_ascend_with_time(spark, name, tmp_path):
+    c, copies = duckdb.connect(), "select * replace (event_id + 1000 * k as event_id) from (select * from src, range(3) r(k))"
+    c.execute(f"create view src as select * from '{SF}/events.parquet'")
+    # Ids dealt against time, and a month that each user has three times with later ids.
+    for i, events in enumerate(["select * replace (event_id * 377 % 1000 as event_id) from src", f"select * exclude (k) from ({copies})"]):
+        os.mkdir(tmp_path / str(i))
+        c.execute(f"copy ({events}) to '{tmp_path}/{i}/events.parquet'")
+        c.execute(f"create or replace view events as select * from '{tmp_path}/{i}/events.parquet'")
+        got = registry.QUERIES[name](spark, f"{tmp_path}/{i}")
+        want = c.execute(f"select {', '.join(chr(34) + x + chr(34) for x in got.columns)} from ({registry.SQL[name]})").fetchall()
+        assert rows_of(got.collect(), got.columns) == rows_of(want, got.columns) and want
